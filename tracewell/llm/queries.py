@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .licenses import scan_licenses
+from .media import media_columns
 from .packing import pack_documents
 from .token_blocks import read_token_shards, write_token_shards
+from .warc import read_archives, write_archives
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,14 +19,39 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read_archives(spark, folder).drop("payload")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = write_token_shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_token_shards(shards).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op4_vector_packing": op4_vector_packing,
+    "op6_warc_segments": op6_warc_segments,
+    "op8_license_scan": op8_license_scan,
     "op9_token_blocks": op9_token_blocks,
+    "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_segments": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        r AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+        m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS largest FROM r)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN largest <> page_id THEN largest END AS refers_to
+        FROM m""",
+}
