@@ -9,16 +9,31 @@ from pyspark.sql import functions as F
 from .common import documents
 from .licenses import scan_licenses
 from .media import media_columns
+from .mixing import mix
 from .packing import pack_documents
+from .pii import find_spans
+from .quality import judge
 from .token_blocks import read_token_shards, write_token_shards
 from .warc import read_archives, write_archives
 
 
+def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
+def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spans(documents(spark, sf_dir))
+
+
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read_archives(spark, folder).drop("payload")
@@ -38,7 +53,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op3_perplexity_rules": op3_perplexity_rules,
     "op4_vector_packing": op4_vector_packing,
+    "op5_weak_supervision": op5_weak_supervision,
     "op6_warc_segments": op6_warc_segments,
     "op8_license_scan": op8_license_scan,
     "op9_token_blocks": op9_token_blocks,
@@ -46,6 +64,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_weak_supervision": op5_weak_supervision,
     "op6_warc_segments": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         r AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
