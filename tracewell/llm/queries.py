@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .media import media_columns
 from .mixing import mix
@@ -17,6 +18,11 @@ from .token_blocks import read_token_shards, write_token_shards
 from .warc import read_archives, write_archives
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(documents(spark, sf_dir), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -53,6 +59,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_perplexity_rules": op3_perplexity_rules,
     "op4_vector_packing": op4_vector_packing,
