@@ -14,6 +14,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .pii import find_spans
 from .quality import judge
+from .substrings import remove_repeats
 from .token_blocks import read_token_shards, write_token_shards
 from .warc import read_archives, write_archives
 
@@ -45,6 +46,11 @@ def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder).drop("payload")
 
 
+def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op4_vector_packing": op4_vector_packing,
     "op5_weak_supervision": op5_weak_supervision,
     "op6_warc_segments": op6_warc_segments,
+    "op7_repeated_substrings": op7_repeated_substrings,
     "op8_license_scan": op8_license_scan,
     "op9_token_blocks": op9_token_blocks,
     "op10_media_columns": op10_media_columns,
