@@ -1,0 +1,137 @@
+"""Links between independently recorded sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources.shared import checkpointed
+
+
+def pair_calls(pre: DataFrame, post: DataFrame) -> DataFrame:
+    """Begun calls with their ends: duration and success, null while open; ends without a begin are left out."""
+    ends = post.select("tool_use_id", F.col("timestamp").alias("completed_at"), "error")
+    out = pre.join(ends, "tool_use_id", "left")
+    return out.withColumns({"duration_ms": F.col("completed_at") - F.col("timestamp"), "success": F.when(F.col("completed_at").isNotNull(), F.col("error").isNull())})
+
+
+def by_path(hooks: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Hook sessions with the transcript of the same path; of equal paths the last transcript counts."""
+    newest = transcripts.where("path <> ''").groupBy("path").agg(F.max_by(F.struct(*transcripts.columns), F.col("pos")).alias("t"))
+    return hooks.join(newest, hooks["transcript_path"] == newest["path"]).select(hooks["*"], F.col("t.transcript_id").alias("transcript_id"))
+
+
+def match_score(gap_ms: Column, window_ms: int, same_cwd: Column, near_cwd: Column, same_tools: Column) -> Column:
+    """Points of a candidate pair: time 30 or 15, working directory 25 or 10, tool count 5."""
+    time = F.when(gap_ms <= window_ms, 30).when(gap_ms <= 2 * window_ms, 15).otherwise(0)
+    return time + F.when(same_cwd, 25).when(near_cwd, 10).otherwise(0) + F.when(same_tools, 5).otherwise(0)
+
+
+def candidates(hooks: DataFrame, transcripts: DataFrame, window_ms: int = 5_000, least: int = 40) -> DataFrame:
+    """hooks (hook_id, hook_pos, start, cwd), transcripts (transcript_id, transcript_pos, t_start, t_cwd): pairs of ``least`` points.
+
+    A pair needs both a start within twice the window and a related directory, so pairs meet in buckets of time;
+    the directory is checked within a bucket.
+    """
+    width = 2 * window_ms
+    h = hooks.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("start") / width) + d)))
+    t = transcripts.withColumn("bucket", F.floor(F.col("t_start") / width))
+    inside = lambda a, b: F.col(a).startswith(F.concat(F.col(b), F.lit("/"))) | F.col(b).startswith(F.concat(F.col(a), F.lit("/")))
+    score = match_score(F.abs(F.col("start") - F.col("t_start")), window_ms, F.col("cwd") == F.col("t_cwd"), inside("cwd", "t_cwd"), F.lit(False))
+    return h.join(t, "bucket").withColumn("score", score).where(F.col("score") >= least).drop("bucket")
+
+
+def greedy_match(pairs: DataFrame, rounds: int = 1_000) -> DataFrame:
+    """One transcript per hook: hooks in order each take their best free transcript (the first among equals).
+
+    In each round a hook that no earlier hook contests for its best transcript takes it; its rivals lose that pair.
+    Such rounds give what going through the hooks one by one gives, whole table at a time.
+    """
+    best = Window.partitionBy("hook_id").orderBy(F.col("score").desc(), "transcript_pos")
+    chosen, open_ = None, pairs
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        ranked = open_.withColumn("rank", F.row_number().over(best)).withColumn("earliest", F.min("hook_pos").over(Window.partitionBy("transcript_id")))
+        won = checkpointed(ranked.where("rank = 1 and earliest = hook_pos").drop("rank", "earliest"))
+        chosen = won if chosen is None else chosen.unionByName(won)
+        open_ = checkpointed(open_.join(won.select("hook_id"), "hook_id", "left_anti").join(won.select("transcript_id"), "transcript_id", "left_anti"))
+    return pairs.limit(0) if chosen is None else chosen
+
+
+def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    return left.join(right.select(key), key, "left_anti")
+
+
+def correlation_stats(rows: DataFrame) -> DataFrame:
+    """Rows by match type, and rows with each side."""
+    return rows.groupBy("match_type").agg(F.count("*").alias("n"), F.count("hook_id").alias("with_hook"), F.count("transcript_id").alias("with_transcript"))
+
+
+def attach_in_range(spans: DataFrame, points: DataFrame, key: str, bucket_ms: int = 3_600_000) -> DataFrame:
+    """spans (key, span_id, begin, finish) with points (key, at): pairs where begin <= at <= finish, met by key and hour."""
+    s = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("begin") / bucket_ms), F.floor(F.col("finish") / bucket_ms))))
+    p = points.withColumn("bucket", F.floor(F.col("at") / bucket_ms))
+    return s.join(p, [key, "bucket"]).where((F.col("at") >= F.col("begin")) & (F.col("at") <= F.col("finish"))).drop("bucket")
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left (key, l_begin, l_end), right (key, r_begin, r_end): pairs of one key whose intervals overlap."""
+    return left.join(right, key).where((F.col("l_begin") <= F.col("r_end")) & (F.col("r_begin") <= F.col("l_end")))
+
+
+def resolve_project(rows: DataFrame, projects: DataFrame, path: str) -> DataFrame:
+    """The first project (by position) whose path is the row's path or a directory above it.
+
+    The row's path is cut into its ancestors and joined by equality, so no product of the two tables is made.
+    """
+    p = projects.groupBy("project_path").agg(F.min(F.struct("project_pos", "project_id")).alias("p"))
+    found = _ancestors(rows, path, "project_path").join(p, "project_path").groupBy(path).agg(F.min("p").getField("project_id").alias("project_id"))
+    return rows.join(found, path, "left")
+
+
+def _ancestors(rows: DataFrame, path: str, name: str) -> DataFrame:
+    """Each distinct path with itself and all directories above it."""
+    parts = F.split(F.col(path), "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda d: F.array_join(F.slice(parts, 1, d), "/"))
+    return rows.select(path).distinct().where(F.col(path).isNotNull()).select(path, F.explode(up).alias(name))
+
+
+def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str) -> DataFrame:
+    """The longest listed path that is the row's path or above it; null if none."""
+    keys = _ancestors(rows, path, "prefix")
+    best = keys.join(prefixes.select("prefix").distinct(), "prefix").groupBy(path).agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    return rows.join(best, path, "left")
+
+
+def prioritized_lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The table's value under the first of several keys that it holds."""
+    out, names = rows, []
+    for i, key in enumerate(keys):
+        names.append(f"_found{i}")
+        out = out.join(table.select(F.col("key").alias(f"_key{i}"), F.col(value).alias(names[-1])), F.col(key) == F.col(f"_key{i}"), "left").drop(f"_key{i}")
+    return out.withColumn(value, F.coalesce(*names)).drop(*names)
+
+
+def merge_timeline(*sources: DataFrame) -> DataFrame:
+    """Entries of several sources in one list; sort it by (timestamp, source, entry_id)."""
+    out = sources[0]
+    for s in sources[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def catalog_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """id, change: added, updated (newer modified_at), unchanged or removed; discovered_at is kept."""
+    o = old.select("id", F.col("modified_at").alias("was"), "discovered_at")
+    n = new.select("id", "modified_at")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("modified_at").isNull(), "removed").when(F.col("modified_at") > F.col("was"), "updated").otherwise("unchanged")
+    return o.join(n, "id", "full").select("id", change.alias("change"), "modified_at", "discovered_at")
+
+
+def infer_projects(repos: DataFrame, known: DataFrame) -> DataFrame:
+    """Repositories not yet known, each with an id from its name; equal names get -1, -2, ... in order of path."""
+    fresh = repos.join(known.select("path"), "path", "left_anti")
+    slug = F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-")
+    n = F.row_number().over(Window.partitionBy("slug").orderBy("path")) - 1
+    return fresh.withColumn("slug", slug).withColumn("project_id", F.when(n > 0, F.concat("slug", F.lit("-"), n.cast("string"))).otherwise(F.col("slug"))).drop("slug")

@@ -1,0 +1,155 @@
+"""Redaction with stable placeholders, and projection of JSON by field paths.
+
+One value has one placeholder in a run, whatever the rule that finds it later: numbers follow the first appearance
+(row, rule, place) per placeholder prefix. Pass 1 marks matches rule by rule, pass 2 numbers the distinct values by
+ranges, pass 3 writes the text. Rules see earlier marks as placeholders (``<EMAIL_0>``), so a later rule can match over
+one, as it can over a numbered placeholder.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import rules
+
+_FOUND = "struct<text:string,found:array<struct<rule:int,prefix:string,value:string>>>"
+_OPEN, _CLOSE = "\ue010", "\ue011"
+
+
+def rule_counts(text: Column) -> list[Column]:
+    """Matches of each rule in the text as it is, by rule name."""
+    return [sum((F.regexp_count(text, F.lit(p)) for p in patterns), F.lit(0)).alias(name) for name, _, patterns, _ in rules.REDACTION]
+
+
+def _compiled(extra: list[str]):
+    table = [(i, prefix, re.compile(p.replace(r"\z", r"\Z"))) for i, (_, prefix, patterns, _) in enumerate(rules.REDACTION) for p in patterns]
+    return table + [(len(rules.REDACTION) + i, "CUSTOM", re.compile(p)) for i, p in enumerate(extra)]
+
+
+def mark(text: Column, extra: list[str] = ()) -> Column:
+    """The text with each match replaced by a mark, and the matched values in the order of rules and places."""
+    extra = list(extra)
+
+    @F.pandas_udf(_FOUND)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        table = _compiled(extra)
+        out = []
+        for t in texts:
+            found: list[tuple] = []
+
+            def put(m, rule, prefix):
+                value = re.sub(f"{_OPEN}(\\d+){_CLOSE}", lambda k: found[int(k[1])][2], m[0])
+                found.append((rule, prefix, value))
+                return f"{_OPEN}{len(found) - 1}{_CLOSE}"
+
+            if t is not None:
+                t = t.replace(_OPEN, "?").replace(_CLOSE, "?")
+                for rule, prefix, pattern in table:
+                    t = pattern.sub(lambda m, rule=rule, prefix=prefix: put(m, rule, prefix), t)
+            out.append((t, [{"rule": a, "prefix": b, "value": c} for a, b, c in found]))
+        return pd.DataFrame(out, columns=["text", "found"])
+
+    return run(text)
+
+
+def redact(rows: DataFrame, key: str = "id", text: str = "text", extra: list[str] = ()) -> DataFrame:
+    """key, redacted, n_redactions: stable placeholders over all rows, numbered in order of key."""
+    marked = rows.select(F.col(key).alias("k"), mark(F.col(text), extra).alias("m"))
+    each = marked.select("k", F.posexplode("m.found").alias("place", "f")).select("k", "place", "f.*")
+    first = each.groupBy("value").agg(F.min(F.struct("k", "rule", "place", "prefix")).alias("f")).select("value", F.col("f.prefix").alias("prefix"), "f.k", "f.rule", "f.place")
+    names = first.withColumn("name", F.concat(F.lit("<"), F.col("prefix"), F.lit("_"), F.row_number().over(Window.partitionBy("prefix").orderBy("k", "rule", "place")).cast("string"), F.lit(">")))
+    placed = each.join(names.select("value", "name"), "value").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit(_OPEN), F.col("place").cast("string"), F.lit(_CLOSE)), F.col("name")))).alias("names"))
+    joined = marked.select("k", "m.text", F.size("m.found").alias("n")).join(placed, "k", "left")
+    pieces = F.split(F.regexp_replace("text", f"({_OPEN}[0-9]+{_CLOSE})", "\u0001$1\u0001"), "\u0001")
+    done = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(F.col("names"), p), p)), "")
+    return joined.select(F.col("k").alias(key), F.when(F.col("n") > 0, done).otherwise(F.col("text")).alias("redacted"), F.col("n").alias("n_redactions"))
+
+
+def redaction_report(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct values by category; a value counts for the first rule that claims it."""
+    category = {i: c for i, (_, _, _, c) in enumerate(rules.REDACTION)}
+    values = rows.select(F.explode(mark(F.col(text)).getField("found")).alias("f")).groupBy("f.value").agg(F.min("f.rule").alias("rule"))
+    named = F.element_at(F.create_map(*[x for i, c in category.items() for x in (F.lit(i), F.lit(c))]), F.col("rule"))
+    return values.groupBy(named.alias("category")).agg(F.count("*").alias("n"))
+
+
+def field_paths(value: Column) -> Column:
+    """Distinct field paths of a JSON text; an array stands for its first element, as path[]."""
+
+    def walk(node, at, out):
+        if isinstance(node, dict):
+            for k, v in node.items():
+                p = f"{at}.{k}" if at else k
+                out.append(p)
+                walk(v, p, out)
+        elif isinstance(node, list) and node:
+            walk(node[0], f"{at}[]", out)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            found: list[str] = []
+            try:
+                walk(json.loads(t), "", found)
+            except (TypeError, ValueError):
+                found = []
+            out.append(list(dict.fromkeys(found)))
+        return pd.Series(out)
+
+    return run(value)
+
+
+def _segments(path: str) -> list[str]:
+    """Array steps written as [] or * are the same step."""
+    return [s for s in path.replace("[]", ".*").split(".") if s]
+
+
+def _fits(path: list[str], pattern: list[str]) -> bool:
+    return len(path) == len(pattern) and all(b in ("*", a) for a, b in zip(path, pattern))
+
+
+def strip_fields(value: Column, patterns: list[str]) -> Column:
+    """A JSON text without the fields that a pattern names; * is exactly one step. Key order stays."""
+    parsed = [_segments(p) for p in patterns]
+
+    def walk(node, at):
+        if isinstance(node, dict):
+            return {k: walk(v, [*at, k]) for k, v in node.items() if not any(_fits([*at, k], p) for p in parsed)}
+        return [walk(v, [*at, "*"]) for v in node] if isinstance(node, list) else node
+
+    return _rewrite(value, walk)
+
+
+def keep_fields(value: Column, kept: list[str], always_strip: list[str] = ()) -> Column:
+    """A JSON text with only the kept fields, their ancestors and what lies below them; always_strip goes in any case."""
+    keep, strip = [_segments(p) for p in kept], [_segments(p) for p in always_strip]
+
+    def wanted(at):
+        return any(all(b in ("*", a) for a, b in zip(at, p)) for p in keep)
+
+    def walk(node, at):
+        if isinstance(node, dict):
+            return {k: walk(v, [*at, k]) for k, v in node.items() if wanted([*at, k]) and not any(_fits([*at, k], p) for p in strip)}
+        return [walk(v, [*at, "*"]) for v in node] if isinstance(node, list) else node
+
+    return _rewrite(value, walk)
+
+
+def _rewrite(value: Column, walk) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(json.dumps(walk(json.loads(t), []), ensure_ascii=False, separators=(",", ":")))
+            except (TypeError, ValueError):
+                out.append(None)
+        return pd.Series(out)
+
+    return run(value)
