@@ -9,8 +9,9 @@ to carry the windows with them.
    last, and the offsets in it. A refined bucket of two or more is finished: its windows are all repeated.
 3. Where a bucket holds several refined ones, they are refined again offset by offset: per window offset, by the
    bytes of the window. One member of each refined bucket brings its bytes; members of a bucket come together sorted
-   and are compared in blocks; buckets over ``BUCKET`` members are dealt by window instead, so no bucket, however
-   large, meets in one task.
+   and are compared in blocks. Buckets over ``BUCKET`` members never meet in one task: their windows are parted
+   by distance to the suffix, in steps of 128, 64, ... bytes; each part gets the bucket of the bytes that all windows
+   of its step share, and steps 2 and 3 are used again on the parts.
 
 Identifiers are 64-bit hashes; a window counts as repeated if both its bucket's and its own identifier agree.
 
@@ -185,16 +186,22 @@ def _context_batch(batch, ids, out) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(bucket, pa.int64()), pa.array(hot), pa.array(first, pa.int64()), pa.array(spread, pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "t", "bucket", "hot", "first", "spread", "bytes"])
 
 
-def window_keys(bucket: np.ndarray, spread: np.ndarray, raws: list[bytes], length: int):
-    """For each window of each member: the member's row, the window's number in it, and its key."""
-    reach = length - Q
-    left, count = spread >> 12, (spread & 4095) + 1
+def _aligned(spread: np.ndarray, raws: list[bytes], length: int):
+    """Prefix hashes of members' bytes with all anchors in one column, and how far each starts before its anchor."""
+    reach, left = length - Q, spread >> 12
     wide = np.zeros((len(raws), reach + length), np.uint8)  # anchors stand at column ``reach``
     for k, raw in enumerate(raws):
         wide[k, reach - left[k] : reach - left[k] + len(raw)] = np.frombuffer(raw, np.uint8)
     _POWERS.to(reach + length + 1)
     prefix = np.zeros((len(raws), reach + length + 1), np.uint64)
     np.cumsum(_BYTE[wide] * _POWERS.up[: reach + length], axis=1, out=prefix[:, 1:])
+    return prefix, left
+
+
+def window_keys(bucket: np.ndarray, spread: np.ndarray, raws: list[bytes], length: int):
+    """For each window of each member: the member's row, the window's number in it, and its key."""
+    prefix, left = _aligned(spread, raws, length)
+    reach, count = length - Q, (spread & 4095) + 1
     row = np.repeat(np.arange(len(raws)), count)
     number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     column = (reach - left)[row] + number
@@ -242,21 +249,60 @@ def _refine_blocks(contexts: DataFrame, length: int) -> DataFrame:
     return arrow_pass(sorted_, run, _SPANS)
 
 
-def _refine_dealt(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of members of large buckets, counted by Spark window by window."""
+def _parts(contexts: DataFrame, length: int, width: int) -> DataFrame:
+    """Members with their windows parted by distance to the anchor, in steps of ``width``; each part has the bucket of
+    the bytes that all windows of its step share, which members with fewer windows in the step also have."""
 
     def run(batches):
         for batch in batches:
-            bucket = batch.column("bucket").to_numpy()
-            if not len(bucket):
+            bucket, spread, raws = batch.column("bucket").to_numpy(), batch.column("spread").to_numpy().astype(np.int64), batch.column("bytes").to_pylist()
+            if not len(raws):
                 continue
-            row, number, key = window_keys(bucket, batch.column("spread").to_numpy().astype(np.int64), batch.column("bytes").to_pylist(), length)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(batch.column("first").to_numpy()[row] + number), pa.array(key.view(np.int64))], names=["doc_id", "t", "at", "key"])
-
-    windows = materialize(arrow_pass(contexts.where("hot").drop("hot"), run, "doc_id long, t int, at long, key long"), "windows")
-    repeated = materialize(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "windows")
-    return windows.join(repeated, "key", "left_semi").select("doc_id", "t", F.col("at").alias("first"), F.col("at").alias("last"))
+            prefix, left = _aligned(spread, raws, length)
+            near = left - (spread & 4095)  # the last window's distance; the first one's is left
+            steps = left // width - near // width + 1
+            row = np.repeat(np.arange(len(raws)), steps)
+            step = (near // width)[row] + np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
+            low = left[row] - np.minimum(left[row], step * width + width - 1)
+            high = left[row] - np.maximum(near[row], step * width)
+            anchor = length - Q
+            shared = mix(prefix[row, anchor - step * width - width + 1 + length] - prefix[row, anchor - step * width])
+            own = mix(shared + bucket.view(np.uint64)[row] * _M2 + step.astype(np.uint64) * _M1)
+            at = anchor - left[row]
+            whole = mix(prefix[row, at + high + length] - prefix[row, at + low] + ((left[row] - low) * 4096 + high - low).astype(np.uint64) * _M2)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(take), batch.column("t").take(take), pa.array(own.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(batch.column("first").to_numpy()[row] + low), pa.array((((left[row] - low) << 12) | (high - low)).astype(np.int32)), pa.array([raws[r][a : b + length] for r, a, b in zip(row.tolist(), low.tolist(), high.tolist())], pa.binary())],
+                names=["doc_id", "t", "bucket", "whole", "first", "spread", "bytes"],
+            )
+
+    return arrow_pass(contexts.select("doc_id", "t", "bucket", "first", "spread", "bytes"), run, "doc_id long, t int, bucket long, whole long, first long, spread int, bytes binary")
+
+
+def _spans(members: DataFrame) -> DataFrame:
+    return members.select("doc_id", "t", "first", (F.col("first") + F.col("spread").bitwiseAND(4095)).alias("last"))
+
+
+def _refine(contexts: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of members (doc_id, t, bucket, hot, first, spread, bytes); large buckets are parted until small."""
+    out = _refine_blocks(contexts, length)
+    width = 128
+    while not contexts.where("hot").isEmpty():
+        parts = materialize(_parts(contexts.where("hot"), length, width), "parts")
+        width = max(1, width // 2)
+        refined = parts.groupBy("bucket", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "first", "spread", "bytes")).alias("one"))
+        refined = materialize(refined, "refined")
+        equal = materialize(refined.where("n > 1").select("bucket", "whole"), "refined")
+        out = out.unionByName(_spans(parts.join(equal, ["bucket", "whole"], "left_semi")))
+        contexts = materialize(refined.join(_several(refined), "bucket").select("one.*", "bucket", "hot"), "contexts")
+        out = out.unionByName(_refine_blocks(contexts, length))
+    return out
+
+
+def _several(refined: DataFrame) -> DataFrame:
+    """Buckets of two or more refined ones, and whether they are large."""
+    members = refined.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    return materialize(members.select("bucket", (F.col("members") > BUCKET).alias("hot")), "several")
 
 
 def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
@@ -267,13 +313,10 @@ def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     shared = materialize(suffixes.join(common, "bucket", "left_semi"), "shared")
     refined = shared.groupBy("bucket", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "first", "spread")).alias("one"))
     refined = materialize(refined, "refined")
-    several = refined.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    several = materialize(several.select("bucket", (F.col("members") > BUCKET).alias("hot")), "several")
-    members = refined.join(several, "bucket").select("one.*", "bucket", "hot")
+    members = refined.join(_several(refined), "bucket").select("one.*", "bucket", "hot")
     contexts = _contexts(rows, members, length)
     equal = refined.where("n > 1").select("bucket", "whole")
-    whole = shared.join(equal, ["bucket", "whole"], "left_semi").select("doc_id", "t", "first", (F.col("first") + F.col("spread").bitwiseAND(4095)).alias("last"))
-    return whole.unionByName(_refine_blocks(contexts, length)).unionByName(_refine_dealt(contexts, length))
+    return _spans(shared.join(equal, ["bucket", "whole"], "left_semi")).unionByName(_refine(contexts, length))
 
 
 def cut(raw: bytes, first: np.ndarray, last: np.ndarray, length: int) -> tuple[bytes, int, int]:
