@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import js, text
-from tracewell.operators import filters, joins, loops, monitor, quality, redact, stats
+from tracewell.operators import filters, joins, loops, monitor, quality, redact, stats, transcripts
 
 
 def one(spark, column, **values):
@@ -57,7 +57,7 @@ def test_residue(spark, t, want):
 def test_small_text_functions(spark):
     assert one(spark, text.etime_seconds(F.col("e")), e="2-03:04:05") == 2 * 86400 + 3 * 3600 + 4 * 60 + 5 and one(spark, text.etime_seconds(F.col("e")), e="04:05") == 245
     assert one(spark, text.artifact_type(F.col("u")), u="https://github.com/a/b/pull/3") == "github_pr" and one(spark, text.artifact_type(F.col("u")), u="https://x.y") == "url"
-    assert one(spark, text.commit_hash(F.col("o")), o="[main 1a2b3c4d] msg") == "1a2b3c4d"
+    assert one(spark, text.commit_hash(F.col("o")), o="[main 1a2b3c4d] msg") == "1a2b3c4d" and one(spark, text.commit_message(F.col("o")), o="[main 1a2b3c4d] msg x\nmore") == "msg x"
     assert one(spark, text.hide_user(F.col("p")), p="/home/ann/x") == "/home/<USER>/x"
     assert one(spark, text.hide_flags(F.col("p")), p="run --token=abc -x") == "run --token=[REDACTED] -x"
     assert one(spark, text.detect_agent(F.col("p")), p="/h/.codex/s") == "codex"
@@ -260,7 +260,42 @@ def test_filters(spark):
     ids = lambda **k: {r.id for r in df.where(filters.conversation_filter(**k)).collect()}
     assert ids(match_type="exact") == {1, 3} and ids(feedback="unlabeled") == {2, 3} and ids(quality=(20, 80)) == {3} and ids(project="/w/p") == {1, 3}
     assert ids(has_hooks=True) == {1} and ids(workflow="pending") == {1, 2, 3} and ids(search="PQ") == {2} and ids() == {1, 2, 3}
-    match = filters.match_process(F.col("c"), F.col("e"), [{"label": "claude", "kind": "cmd_regex", "pattern": r"\bclaude\b"}, {"label": "bin", "kind": "exe_prefix", "pattern": "/usr"}], ["sudo "])
+    match = filters.match_process(F.col("c"), F.col("e"), [{"label": "claude", "kind": "cmd_regex", "pattern": r"\bclaude\b"}, {"label": "bin", "kind": "exe_prefix", "pattern": "/usr"}])
     got = spark.createDataFrame([("run claude", "/x"), ("sudo claude", "/x"), ("ls", "/usr/ls"), ("ls", "/x")], "c string, e string").select(match).collect()
     assert [r[0] for r in got] == ["claude", None, "bin", None]
     assert filters.retained(spark.range(15).select("id", F.col("id").alias("timestamp")), 15, 30, 10).agg(F.min("id")).first()[0] == 5
+
+
+def test_transcript_costs_and_risk(spark):
+    m = spark.createDataFrame([("t", "claude-sonnet-4-20250514", 1_000_000, 0, 0, 0), ("t", "claude-haiku-4-5", 0, 1_000_000, 0, 0), ("t", "gpt", 0, 0, 1_000_000, 3_000_000)], "transcript_id string, model string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long")
+    by = {r.model: r.cost for r in transcripts.cost_by_model(m).collect()}
+    assert by == {"claude-sonnet-4-20250514": 3.0, "claude-haiku-4-5": 4.0, "gpt": 3.0}
+    total = transcripts.session_cost(transcripts.cost_by_model(m)).first()
+    assert total.cost == 10.0 and total.message_count == 3
+    calls = [("a", 1, "Read", "/x/.env", None), ("a", 2, "Read", "/x/.env", None), ("a", 3, "WebFetch", None, "https://h.org/x"), ("b", 1, "Write", "/y", None)] + [("c", i, "Read", f"/f{i}", None) for i in range(21)]
+    risk = {r.transcript_id: r for r in transcripts.privacy_risk(spark.createDataFrame(calls, "transcript_id string, line int, tool_name string, file_path string, url string")).collect()}
+    assert (risk["a"].risk_level, risk["a"].files_read, risk["a"].sensitive_files, risk["a"].domains) == ("high", 1, 2, 1)
+    assert risk["b"].risk_level == "low" and risk["c"].risk_level == "medium"
+
+
+def test_numstat_and_tool_results(spark):
+    lines = spark.createDataFrame([("r", x) for x in ("3\t0\ta.py", "0\t2\tb", "-\t-\timg", "4\t4\tc\td", "", "bad")], "repo_id string, value string")
+    got = {r.path: (r.insertions, r.deletions, r.status) for r in transcripts.parse_numstat(lines).collect()}
+    assert got == {"a.py": (3, 0, "added"), "b": (0, 2, "deleted"), "img": (0, 0, "modified"), "c\td": (4, 4, "modified")}
+    s = transcripts.diff_summary(transcripts.parse_numstat(lines)).first()
+    assert (s.files_changed, s.lines_added, s.lines_removed, s.files_created, s.files_deleted) == (4, 7, 6, 1, 1)
+    ok = lambda v: one(spark, transcripts.result_success(F.col("r")), r=v)
+    assert ok('{"error":"x"}') is False and ok('{"success":false}') is False and ok('{"a":1}') is True and ok("command not found") is False and ok("fine") is True
+
+
+@pytest.mark.parametrize("data,source,want", [('{"session":1,"tool_usages":[]}', "x", "cc_hook"), ('{"messages":[]}', "x", "cc_transcript"), ('{"message":{"model":"m"}}', "x", "cc_transcript"), ('[{"tool_name":"a"}]', "x", "cc_hook"), ("{}", "Codex", "codex_transcript"), ("{}", "", "unknown"), ("{}", "other", "other")])
+def test_source_type(spark, data, source, want):
+    assert one(spark, transcripts.source_type(F.col("s"), F.col("d")), s=source, d=data) == want
+
+
+def test_previews_and_patterns(spark):
+    assert one(spark, transcripts.safe_preview(F.col("t"), 5), t="ab\n  cdefgh") == "ab cd..."
+    assert transcripts.check_pattern("(a+)+$") and transcripts.check_pattern("(") and not transcripts.check_pattern(r"\bsk-[a-z]{20,}")
+    found = transcripts.pattern_matches(spark.createDataFrame([(1, "x1 y22")], "id int, text string"), {"num": "[0-9]+"}).collect()
+    assert [(r.pattern, r.start, r.end, r.match) for r in found] == [("num", 1, 2, "1"), ("num", 4, 6, "22")]
+    assert one(spark, transcripts.line_diff(F.col("a"), F.col("b")), a="x\ny\nz", b="x\nq\nz") == " x\n-y\n+q\n z"

@@ -117,10 +117,26 @@ def etime_seconds(etime: Column) -> Column:
 
 def commit_hash(output: Column) -> Column:
     """The hash that git prints when it commits, by the first of three forms that fits."""
-    forms = [r"\[[^\s\]]+(?: \([^)]*\))? ([0-9a-f]{7,40})\]", r"(?m)^commit ([0-9a-f]{7,40})", r"\b([0-9a-f]{40})\b"]
+    forms = [r"\[[A-Za-z0-9_/-]+\s+([a-f0-9]{7,40})\]", r"(?m)^([a-f0-9]{7,40})\s", r"commit\s+([a-f0-9]{40})"]
     return F.coalesce(*[F.nullif(F.regexp_extract(output, f, 1), F.lit("")) for f in forms])
 
 
+def commit_message(output: Column) -> Column:
+    """What follows the bracketed branch and hash, to the end of the line; at most 200 characters, else empty."""
+    return F.substring(F.trim(F.regexp_extract(output, r"\[[^\]]+\]\s+([^\n]+)", 1)), 1, 200)
+
+
+def sandbox(command: Column) -> Column:
+    """docker or macos for sandboxed agents; null for others."""
+    docker = command.rlike(r"(?i)docker\s+(run|exec)") & command.rlike(r"(?i)claude-sandbox|claude-code-config|\bclaude\b")
+    return F.when(docker, "docker").when(command.rlike(r"(?i)sandbox-exec") | command.rlike(r"--sandbox\b"), "macos")
+
+
+def sensitive_reason(path: Column) -> Column:
+    """Why a file may be private, by the first rule that fits; null for others."""
+    return F.coalesce(*[F.when(path.rlike(p), F.lit(reason)) for p, reason in rules.SENSITIVE_PATHS])
+
+
 def format_tokens(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1_000, F.format_string("%.1fK", n / 1_000)).otherwise(n.cast("string"))
 

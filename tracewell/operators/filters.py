@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 
 def event_feed(events: DataFrame, category: str | None = None, action: str | None = None, since: str | None = None, limit: int = 50) -> DataFrame:
     """The newest events of a category, action and time; equal times in order of id."""
@@ -87,9 +89,9 @@ def metadata_search(text: str) -> Column:
     return inside(F.col("name")) | F.exists("aliases", inside) | F.exists("tags", inside)
 
 
-def match_process(cmdline: Column, exe: Column, matchers: list[dict], wrappers: list[str]) -> Column:
+def match_process(cmdline: Column, exe: Column, matchers: list[dict], wrappers: list[str] = tuple(rules.SHELL_WRAPPERS)) -> Column:
     """The label of the first matcher that fits; wrapper commands have none. Matchers: label, kind, pattern."""
-    out = F.when(reduce(lambda a, b: a | b, [cmdline.startswith(w) for w in wrappers], F.lit(False)), None)
+    out = F.when(reduce(lambda a, b: a | b, [cmdline.rlike(w) | exe.rlike(w) for w in wrappers], F.lit(False)), None)
     for m in matchers:
         test = {"cmd_regex": cmdline.rlike("(?i)" + m["pattern"]), "exe_prefix": exe.startswith(m["pattern"]), "exe_suffix": exe.endswith(m["pattern"])}[m["kind"]]
         out = out.when(test, m["label"])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..functions.js import half_up
-from ..operators import filters, joins, loops, monitor, quality, redact, stats
+from ..functions.js import share_percent
+from ..operators import filters, joins, loops, monitor, quality, redact, stats, transcripts
 from . import adapters as on
 
 QUERIES: dict = {}
@@ -481,8 +481,6 @@ def conversation_list(spark, d):
 
 @query(U + """, g AS (SELECT session_id, count(*) FILTER (tool_name = 'view') AS r, count(*) AS n FROM u GROUP BY 1) SELECT session_id, n AS calls, floor(r * 1000.0 / n + 0.5) / 10.0 AS read_share FROM g""")
 def session_shares(spark, d):
-    from ..functions.js import share_percent
-
     g = on.usages(spark, d).groupBy("session_id").agg(F.count("*").alias("calls"), F.count(F.when(F.col("tool_name") == "view", 1)).alias("r"))
     return g.select("session_id", "calls", share_percent(F.col("r"), F.col("calls")).alias("read_share"))
 
@@ -521,3 +519,43 @@ def session_tags(spark, d):
 def latest_versions(spark, d):
     u = on.usages(spark, d)
     return quality.latest_versions(u, "session_id", ["pos"]).select("session_id", F.col("timestamp").alias("latest"))
+
+
+M = """WITH m AS (SELECT conv_id AS transcript_id, CASE turn % 4 WHEN 0 THEN 'claude-sonnet-4-20250514' WHEN 1 THEN 'claude-haiku-4-5' WHEN 2 THEN 'gpt-x' ELSE 'claude-opus-4' END AS model, length(text) AS i, length(text) * 2 AS o, turn AS w FROM conversations) """
+
+
+@query(M + """SELECT transcript_id, model, count(*) AS message_count, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens,
+ round(sum(i) / 1e6 * CASE model WHEN 'claude-haiku-4-5' THEN 0.8 WHEN 'claude-opus-4' THEN 15 ELSE 3 END + sum(o) / 1e6 * CASE model WHEN 'claude-haiku-4-5' THEN 4 WHEN 'claude-opus-4' THEN 75 ELSE 15 END + sum(w) / 1e6 * CASE model WHEN 'claude-haiku-4-5' THEN 0.8 WHEN 'claude-opus-4' THEN 15 ELSE 3 END * 0.25, 9) AS cost FROM m GROUP BY 1, 2""")
+def model_cost(spark, d):
+    names = F.array(*map(F.lit, ["claude-sonnet-4-20250514", "claude-haiku-4-5", "gpt-x", "claude-opus-4"]))
+    n = F.length("text").cast("long")
+    m = on.table(spark, d, "conversations").select(F.col("conv_id").alias("transcript_id"), F.element_at(names, (F.col("turn") % 4 + 1).cast("int")).alias("model"), n.alias("input_tokens"), (n * 2).alias("output_tokens"), F.col("turn").alias("cache_write_tokens"), F.lit(0).alias("cache_read_tokens"))
+    out = transcripts.cost_by_model(m)
+    return out.select("transcript_id", "model", "message_count", "input_tokens", "output_tokens", F.round("cost", 9).alias("cost"))
+
+
+@query(r"""WITH c AS (SELECT page_id % 20 AS transcript_id, CASE WHEN page_id % 3 = 0 THEN 'WebFetch' ELSE 'Read' END AS tool, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, page_id FROM pages),
+ g AS (SELECT transcript_id, count(DISTINCT CASE WHEN tool = 'Read' THEN url END) AS files_read, count(DISTINCT CASE WHEN tool = 'WebFetch' THEN host END) AS domains, count(*) FILTER (tool = 'Read' AND page_id % 40 = 1) AS sensitive_files FROM c GROUP BY 1)
+ SELECT *, CASE WHEN sensitive_files > 0 THEN 'high' WHEN files_read > 20 OR domains > 5 THEN 'medium' ELSE 'low' END AS risk_level FROM g""")
+def privacy_risk(spark, d):
+    read = F.col("page_id") % 3 != 0
+    calls = on.table(spark, d, "pages").select((F.col("page_id") % 20).alias("transcript_id"), F.when(read, "Read").otherwise("WebFetch").alias("tool_name"), F.when(read, F.concat("url", F.when(F.col("page_id") % 40 == 1, ".pem").otherwise(""))).alias("file_path"), "url")
+    return transcripts.privacy_risk(calls).select("transcript_id", "files_read", "domains", "sensitive_files", "risk_level")
+
+
+@query("""SELECT l_orderkey AS repo_id, count(*) AS files_changed, CAST(sum(a) AS BIGINT) AS lines_added, CAST(sum(r) AS BIGINT) AS lines_removed, count(*) FILTER (a > 0 AND r = 0) AS files_created, count(*) FILTER (a = 0 AND r > 0) AS files_deleted
+ FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) % 7 AS a, l_linenumber % 3 AS r FROM lineitem) GROUP BY 1""")
+def diff_summary(spark, d):
+    lines = on.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("repo_id"), F.concat_ws("\t", (F.col("l_quantity").cast("long") % 7).cast("string"), (F.col("l_linenumber") % 3).cast("string"), F.concat(F.lit("src/f"), F.col("l_linenumber").cast("string"))).alias("value"))
+    return transcripts.diff_summary(transcripts.parse_numstat(lines))
+
+
+@query(r"SELECT turn, conv_id, trim(regexp_replace(text, '\s+', ' ', 'g'))[1:80] || CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 80 THEN '...' ELSE '' END AS preview FROM conversations")
+def previews(spark, d):
+    return on.table(spark, d, "conversations").select("turn", "conv_id", transcripts.safe_preview(F.col("text"), 80).alias("preview"))
+
+
+@query("SELECT CASE page_id % 3 WHEN 0 THEN 'cc_hook' WHEN 1 THEN 'cc_transcript' ELSE 'codex_transcript' END AS source_type, count(*) AS n FROM pages GROUP BY 1")
+def source_types(spark, d):
+    data = F.element_at(F.array(F.lit('{"tool_name":"x"}'), F.lit('{"messages":[]}'), F.lit("{}")), (F.col("page_id") % 3 + 1).cast("int"))
+    return on.table(spark, d, "pages").groupBy(transcripts.source_type(F.lit("codex"), data).alias("source_type")).agg(F.count("*").alias("n"))
