@@ -299,3 +299,22 @@ def test_previews_and_patterns(spark):
     found = transcripts.pattern_matches(spark.createDataFrame([(1, "x1 y22")], "id int, text string"), {"num": "[0-9]+"}).collect()
     assert [(r.pattern, r.start, r.end, r.match) for r in found] == [("num", 1, 2, "1"), ("num", 4, 6, "22")]
     assert one(spark, transcripts.line_diff(F.col("a"), F.col("b")), a="x\ny\nz", b="x\nq\nz") == " x\n-y\n+q\n z"
+
+
+def test_managed_sessions(spark):
+    c = spark.createDataFrame([(1, 7, "/a", 0, None), (2, 7, "/a", 5, None), (3, None, "/b", 100, 200), (4, None, "/b", 150, 300), (5, None, "/z", 0, 1)], "conversation_id int, pid int, cwd string, start_time long, end_time long")
+    m = spark.createDataFrame([(10, 7, "/x", 1, None), (11, 7, "/x", 2, None), (12, None, "/b", 190, 250), (13, None, "/b", 260, 400), (14, None, "/q", 0, None)], "id int, pid int, cwd string, started_at long, ended_at long")
+    got = {(r.conversation_id, r.managed_id, r.how) for r in joins.attach_managed(c, m).collect()}
+    assert got == {(1, 11, "pid"), (2, 11, "pid"), (3, 12, "time"), (4, 13, "time"), (None, 10, "alone"), (None, 14, "alone")}
+
+
+def test_projects_and_contributions(spark):
+    rows = spark.createDataFrame([(1, 10, 2, 0), (1, 20, 0, 1), (None, 5, 0, 0)], "project_id int, score int, tests_passed int, tests_failed int")
+    got = {r.project_id: (r.sessions, r.mean_score, r.tests_passed, r.tests_failed) for r in stats.by_project(rows, spark.createDataFrame([(1,), (2,)], "project_id int")).collect()}
+    assert got == {1: (2, 15.0, 2, 1), 2: (0, None, 0, 0), None: (1, 5.0, 0, 0)}
+    h = spark.createDataFrame([(True, 2, 10, 5), (False, 9, 9, 1), (True, 1, 5, 8)], "success boolean, sessions int, bytes int, at int")
+    assert tuple(stats.contribution_stats(h).first()) == (2, 3, 15, 5, 8)
+    live = joins.live_pids(spark.createDataFrame([("s", "/a")], "session_id string, cwd string"), spark.createDataFrame([(1, "claude", "/a", 0), (2, "claude", "/a", 1), (3, "x", "/a", 2)], "pid int, label string, cwd string, pos int"))
+    assert live.first().live_pid == 2
+    parts = stats.combined(spark.createDataFrame([(0, 70, "positive"), (0, 10, None)], "modified_at long, score int, feedback string"), 30, 0)
+    assert parts["overall"].first().success_rate == 50.0

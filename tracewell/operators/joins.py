@@ -135,3 +135,30 @@ def infer_projects(repos: DataFrame, known: DataFrame) -> DataFrame:
     slug = F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-")
     n = F.row_number().over(Window.partitionBy("slug").orderBy("path")) - 1
     return fresh.withColumn("slug", slug).withColumn("project_id", F.when(n > 0, F.concat("slug", F.lit("-"), n.cast("string"))).otherwise(F.col("slug"))).drop("slug")
+
+
+def live_pids(sessions: DataFrame, processes: DataFrame, label: str = "claude") -> DataFrame:
+    """Sessions with the pid of the live agent in their folder; of several the last by position."""
+    last = processes.where(F.col("label") == label).groupBy("cwd").agg(F.max_by("pid", "pos").alias("live_pid"))
+    return sessions.join(last, "cwd", "left")
+
+
+def bulk_get(ids: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """A row per asked id, found or not; ``found`` tells which."""
+    return ids.join(table.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def attach_managed(conversations: DataFrame, managed: DataFrame, hour_ms: int = 3_600_000) -> DataFrame:
+    """conversation_id, managed_id, how: by pid (the last managed session of a pid, also for several conversations),
+    then one to one by folder and overlap in time; managed sessions left over stand alone."""
+    m = managed.select(F.col("id").alias("managed_id"), F.col("pid").alias("m_pid"), F.col("cwd").alias("m_cwd"), F.col("started_at").alias("r_begin"), F.coalesce("ended_at", F.col("started_at") + hour_ms).alias("r_end"))
+    last = m.where("m_pid is not null").groupBy("m_pid").agg(F.max_by("managed_id", F.struct("r_begin", "managed_id")).alias("managed_id"))
+    c = conversations.select("conversation_id", "pid", "cwd", F.col("start_time").alias("l_begin"), F.coalesce("end_time", F.col("start_time") + hour_ms).alias("l_end"))
+    by_pid = c.join(last, c["pid"] == last["m_pid"]).select("conversation_id", "managed_id", F.lit("pid").alias("how"))
+    free_c, free_m = unmatched(c, by_pid, "conversation_id"), unmatched(m, by_pid, "managed_id")
+    near = overlapping(free_c, free_m.withColumnRenamed("m_cwd", "cwd"), "cwd")
+    pairs = near.select(F.col("conversation_id").alias("hook_id"), F.struct("l_begin", "conversation_id").alias("hook_pos"), F.col("managed_id").alias("transcript_id"), F.struct("r_begin", "managed_id").alias("transcript_pos"), F.lit(1).alias("score"))
+    by_time = greedy_match(pairs).select(F.col("hook_id").alias("conversation_id"), F.col("transcript_id").alias("managed_id"), F.lit("time").alias("how"))
+    linked = by_pid.unionByName(by_time)
+    alone = unmatched(m, linked, "managed_id").select(F.lit(None).cast(c.schema["conversation_id"].dataType).alias("conversation_id"), "managed_id", F.lit("alone").alias("how"))
+    return linked.unionByName(alone)

@@ -195,3 +195,25 @@ def estimated_size(rows: DataFrame) -> DataFrame:
 
 def mean_score(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("sessions"), half_up(F.avg("score"), 1).alias("mean_score"))
+
+
+def by_project(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """Per project, also those without rows, and for rows of none (project_id null): sessions, mean score, tests passed and failed."""
+    per = rows.groupBy("project_id").agg(F.count("*").alias("sessions"), F.avg("score").alias("mean_score"), F.sum("tests_passed").alias("tests_passed"), F.sum("tests_failed").alias("tests_failed"))
+    every = projects.select("project_id").distinct().unionByName(rows.where("project_id is null").select("project_id").distinct())
+    out = every.withColumnRenamed("project_id", "p").join(per, F.col("p").eqNullSafe(F.col("project_id")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select(F.col("p").alias("project_id"), zero("sessions"), "mean_score", zero("tests_passed"), zero("tests_failed"))
+
+
+def combined(scored: DataFrame, days: int, as_of: int) -> dict[str, DataFrame]:
+    """Overview, trend with its overall rate, histogram and percentiles of the same rows."""
+    trend = daily_trend(scored, days, as_of)
+    overall = trend.agg(F.sum("total").alias("total"), F.sum("success").alias("success")).withColumn("success_rate", share_percent(F.col("success"), F.col("total")))
+    return {"overview": overview(scored), "trend": trend, "overall": overall, "histogram": quality_histogram(scored), "percentiles": index_percentiles(scored, "score")}
+
+
+def contribution_stats(history: DataFrame) -> DataFrame:
+    """Totals over successful contributions: uploads, sessions, bytes, first and last time."""
+    ok = history.where("success")
+    return ok.agg(F.count("*").alias("contributions"), F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))

@@ -559,3 +559,29 @@ def previews(spark, d):
 def source_types(spark, d):
     data = F.element_at(F.array(F.lit('{"tool_name":"x"}'), F.lit('{"messages":[]}'), F.lit("{}")), (F.col("page_id") % 3 + 1).cast("int"))
     return on.table(spark, d, "pages").groupBy(transcripts.source_type(F.lit("codex"), data).alias("source_type")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT CASE WHEN n_regionkey < 3 THEN n_regionkey END AS project_id, c_acctbal AS score, c_custkey % 5 AS p, c_custkey % 2 AS f FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ g AS (SELECT project_id, count(*) AS sessions, round(avg(score), 6) AS mean_score, CAST(sum(p) AS BIGINT) AS tests_passed, CAST(sum(f) AS BIGINT) AS tests_failed FROM r GROUP BY 1)
+ SELECT * FROM g UNION ALL SELECT k, 0, NULL, 0, 0 FROM (VALUES (0), (1), (2), (7)) v(k) WHERE k NOT IN (SELECT project_id FROM g WHERE project_id IS NOT NULL)""")
+def by_project(spark, d):
+    n = on.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    rows = on.table(spark, d, "customer").join(n, "c_nationkey").select(F.when(F.col("n_regionkey") < 3, F.col("n_regionkey")).alias("project_id"), F.col("c_acctbal").alias("score"), (F.col("c_custkey") % 5).alias("tests_passed"), (F.col("c_custkey") % 2).alias("tests_failed"))
+    out = stats.by_project(rows, spark.createDataFrame([(0,), (1,), (2,), (7,)], "project_id int"))
+    return out.withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("SELECT event_id % 50 AS id, quality, quality IS NOT NULL AS found FROM (SELECT DISTINCT event_id % 50 AS event_id FROM events) LEFT JOIN labels ON doc_id = event_id")
+def bulk_get(spark, d):
+    ids = on.table(spark, d, "events").select((F.col("event_id") % 50).alias("id")).distinct()
+    return joins.bulk_get(ids, on.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"))
+
+
+@query()
+def attach_managed(spark, d):
+    """Orders as conversations and as managed sessions: some share a pid, others a folder and a time."""
+    o = on.table(spark, d, "orders")
+    at = (F.col("o_orderkey") * 60_000).alias("start_time")
+    c = o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("conversation_id"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at, F.lit(None).cast("long").alias("end_time"))
+    m = o.where("o_orderkey % 10 = 5").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at.alias("started_at"), F.lit(None).cast("long").alias("ended_at"))
+    return joins.attach_managed(c, m)
