@@ -7,12 +7,15 @@ can differ, so at least one part is the same in both. The value of a part is the
 zero; m depends on the size, and documents near the lower end of a band of sizes also go to the band below (the
 triangle-inequality window around the empty set, whose distance is the size).
 
-Inside a region documents are close, and pivots are documents. A region is finished once its documents are known to
-be in one component. Otherwise: up to ``SMALL`` documents are joined directly; larger regions draw pivots, take the
-exact distances to them, and are split into the pivots' Voronoi regions and, inside these, into shells one radius
-wide. A document also goes to every region whose pivot is at most two radii farther than its own, and to the
-neighbouring shells, so no link is lost; pivots have met all others and leave. Regions are joined again recursively.
-Where a split would copy more than it parts, the region only loses its pivots.
+Inside a region documents are close, and pivots are documents. First each document is compared with one pivot of its
+regions; a region whose documents are then known to be in one component is finished. Of the others, those of more
+than ``SMALL`` documents draw ``PIVOTS`` pivots, whose exact distances to all others are taken, and are split into the
+pivots' Voronoi regions and, inside these, into shells one radius wide; a document also goes to every region whose
+pivot is at most two radii farther than its own, and to the neighbouring shells, so no link is lost; pivots have met
+all others and leave. The parts are joined again recursively. Smaller regions, and those that a split does not part,
+are joined directly, in tiles of ``SMALL``. A direct join gives out only pairs of different components whose bit
+sketches differ in no more places than linked sets can (each shingle flips one bit, so sets differ at least as much
+as sketches), and these are compared exactly, one of each two components first.
 
 Sets that are equal form a class, of which one document takes part. Documents without words are linked with nothing.
 Null texts have no words. Rows that share a doc_id are one document in links. A null doc_id takes part as the
@@ -21,6 +24,8 @@ largest id and is returned as null. Extra columns are left out; an empty table g
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, materialize, texts
 from .components import relabel
 
-SMALL = 16
+SMALL = 512
 PIVOTS = 8
+#: 64-bit words of a bit sketch
+SKETCH = 16
 BAND = 1.5
 NULL_ID = 2**63 - 1
 #: rows of a batch of pairs of sets
@@ -77,6 +84,7 @@ def most_apart(sum_of_sizes: int, percent: int) -> int:
     return sum_of_sizes - 2 * -(-percent * sum_of_sizes // (100 + percent))
 
 
+@functools.cache
 def bands(percent: int, largest: int):
     """(smallest size, next band's smallest size, number of parts) of the bands up to a size."""
     lo = max(1, -(-percent // (100 - percent)))  # smaller sets are linked only if equal
@@ -104,23 +112,31 @@ def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Bits that the shingles of a set flip, as words."""
+    size = 64 * SKETCH
+    flips = np.bincount((_mix(x + _MUL[4]) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _sets_pass(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc, n, f1, f2 (fingerprint of the set) and the keys of its parts."""
+    """doc, n, f1, f2 (fingerprint of the set), the keys of its parts, and its bit sketch."""
 
     def run(batches):
         for batch in batches:
-            n, f1, f2, keys = [], [], [], []
+            n, f1, f2, keys, bits = [], [], [], [], []
             for raw in pc.cast(batch.column("text"), pa.binary()).to_pylist():
                 x = shingles(raw, width)
                 n.append(len(x))
                 f1.append(int(_mix(x).sum(dtype=np.uint64).astype(np.int64)))
                 f2.append(int(_mix(x * _MUL[2]).sum(dtype=np.uint64).astype(np.int64)))
                 keys.append(part_keys(x, percent).view(np.int64))
+                bits.append(sketch(x))
             if n:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))], names=["doc", "n", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys))), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(bits)))], names=["doc", "n", "f1", "f2", "keys", "sketch"])
 
-    return materialize(arrow_pass(docs, run, "doc long, n long, f1 long, f2 long, keys array<long>"), "sets")
+    return materialize(arrow_pass(docs, run, "doc long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"), "sets")
 
 
 def _hash_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -174,40 +190,88 @@ def _merge_equal_regions(members: DataFrame) -> DataFrame:
     return materialize(members.join(kept, "cell", "left_semi"), "members")
 
 
-def _link_regions(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members (cell, doc): labels (doc, label) of the components of all links inside regions."""
+def _apart(a: str, b: str):
+    """Places in which two sketches differ: at most the shingles in which the sets differ."""
+    return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+
+
+def _may_link(percent: int, a: str = "_a", b: str = "_b"):
+    both = F.col("size" + a) + F.col("size" + b)
+    return _apart("sketch" + a, "sketch" + b) <= both - 2 * F.ceil(both * percent / (100 + percent))
+
+
+def _direct_pairs(regions: DataFrame, percent: int) -> DataFrame:
+    """regions (cell, n, doc, label, size, sketch): pairs (a, b) of a region that may be linked and are not yet in one
+    component, with their labels and how far their sketches are apart.
+
+    A region of n documents is dealt into n / SMALL tiles, and each pair of tiles meets on its own.
+    """
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / SMALL)).cast("int")
+    own = F.pmod(F.xxhash64(F.col("doc"), F.lit(11)), tiles).cast("int")
+    every = F.explode(F.sequence(F.lit(0), tiles - 1))
+    columns = ["doc", "label", "size", "sketch"]
+    left = regions.withColumns({"ta": own, "tb": every}).select("cell", "ta", "tb", *[F.col(c).alias(c + "_a") for c in columns])
+    right = regions.withColumns({"ta": every, "tb": own}).select("cell", "ta", "tb", *[F.col(c).alias(c + "_b") for c in columns])
+    on = [left[c] == right[c] for c in ("cell", "ta", "tb")] + [F.col("doc_a") > F.col("doc_b"), F.col("label_a") != F.col("label_b"), _may_link(percent)]
+    found = left.join(right, on).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "label_a", "label_b", _apart("sketch_a", "sketch_b").alias("apart"))
+    return found.distinct()
+
+
+def _link_closest_first(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Compares one pair of each two components, the closest by sketch; then those pairs that these links leave apart."""
+    best = pairs.groupBy(F.least("label_a", "label_b").alias("x"), F.greatest("label_a", "label_b").alias("y")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
+    known = _distances(best.select("p.a", "p.b"), sets)
+    labels = relabel(labels, known.where(_linked(percent)).select("a", "b"))
+    la, lb = (labels.select(F.col("doc").alias(x), F.col("label").alias("l" + x)) for x in "ab")
+    rest = pairs.select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti").join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
+    return relabel(labels, _distances(rest, sets).where(_linked(percent)).select("a", "b"))
+
+
+def _link_to_first(members: DataFrame, about: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Compares each document with one other: of its regions' smallest documents (by hash) the smallest."""
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("d"))
+    firsts = members.groupBy("cell").agg(F.min(order("doc")).alias("first"))
+    firsts = materialize(firsts, "firsts")
+    pairs = members.join(firsts, "cell").groupBy("doc").agg(F.min("first").alias("first")).select(F.col("doc").alias("a"), F.col("first.d").alias("b")).where("a <> b")
+    side = lambda x: about.select(*[F.col(c).alias(n) for c, n in (("doc", x), ("size", "size_" + x), ("sketch", "sketch_" + x))])
+    likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b"), "firsts")
+    return relabel(labels, _distances(likely, sets).where(_linked(percent)).select("a", "b"))
+
+
+def _link_regions(members: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members (cell, doc), about (doc, size, sketch): labels (doc, label) of the components of all links inside regions."""
     radius = 1 - percent / 100 + 1e-9
-    labels = materialize(members.select("doc").distinct().select("doc", F.col("doc").alias("label")), "labels")
+    labels = materialize(about.select("doc", F.col("doc").alias("label")), "labels")
+    members = members.withColumn("stuck", F.lit(False))
+    labels = _link_to_first(members, about, labels, sets, percent)
     turn = 0
     while True:
-        order = F.xxhash64(F.col("doc"), F.lit(turn))
         placed = materialize(members.join(labels, "doc"), "placed")
-        state = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("doc", order).alias("first"))
+        state = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("doc", F.xxhash64(F.col("doc"), F.lit(turn))).alias("first"))
         state = materialize(state.where("low <> high").select("cell", "n", "first"), "state")
         if state.isEmpty():
             return labels
         active = materialize(placed.join(state, "cell"), "active")
-        small = F.col("n") <= (SMALL if turn else 1)
-        # the first turn has one pivot per region: most regions are then one component
-        draw = F.pmod(F.xxhash64(F.col("doc"), F.lit(turn), F.lit("pivot")), F.lit(1_000_003)) / 1_000_003.0 < F.lit(PIVOTS if turn else 0) / F.col("n")
+        direct = F.col("stuck") | (F.col("n") <= SMALL)
+        pairs = materialize(_direct_pairs(active.where(direct).join(about, "doc"), percent), "pairs")
+        if not pairs.isEmpty():
+            labels = _link_closest_first(labels, pairs, sets, percent)
+        large = active.where(~direct)
+        if large.isEmpty():
+            return labels
+        draw = F.pmod(F.xxhash64(F.col("doc"), F.lit(turn), F.lit("pivot")), F.lit(1_000_003)) / 1_000_003.0 < F.lit(PIVOTS) / F.col("n")
         pivot = (F.col("doc") == F.col("first")) | draw
-        other = active.select("cell", F.col("doc").alias("b"), F.col("label").alias("label_b"), (small | pivot).alias("meets")).where("meets").drop("meets")
-        met = active.join(other, "cell").where((F.col("doc") != F.col("b")) & (~small | (F.col("doc") > F.col("b"))))
-        if turn:
-            met = met.where(~small | (F.col("label") != F.col("label_b")))
-        known = _distances(met.select(F.col("doc").alias("a"), "b").distinct(), sets)
+        pivots = large.where(pivot).select("cell", F.col("doc").alias("b"))
+        met = large.join(pivots, "cell").where(F.col("doc") != F.col("b")).select(F.col("doc").alias("a"), "b").distinct()
+        known = _distances(met, sets)
         labels = relabel(labels, known.where(_linked(percent)).select("a", "b"))
-        rest = active.where(~small & ~pivot)
-        if turn:
-            rest = _split(rest, other, known, radius)
-        members = materialize(rest.select("cell", "doc").distinct(), "members")
+        members = materialize(_split(large.where(~pivot), pivots, known, radius), "members")
         turn += 1
 
 
 def _split(rest: DataFrame, pivots: DataFrame, known: DataFrame, radius: float) -> DataFrame:
-    """Voronoi regions and shells of the documents that are left, or the region as it was if they do not part it."""
-    far = F.col("every").isNotNull()
-    by_pivot = rest.select("cell", F.col("doc").alias("a")).join(pivots.select("cell", "b"), "cell").join(known, ["a", "b"]).where(far)
+    """Voronoi regions and shells of the documents that are left; a region that they do not part stays and is stuck."""
+    by_pivot = rest.select("cell", F.col("doc").alias("a")).join(pivots.select("cell", "b"), "cell").join(known, ["a", "b"])
     by_pivot = by_pivot.select("cell", "a", "b", (1 - F.col("inside") / F.col("every")).alias("d"))
     home = by_pivot.groupBy("cell", "a").agg(F.min("d").alias("nearest"))
     near = by_pivot.join(home, ["cell", "a"]).where(F.col("d") <= F.col("nearest") + 2 * radius)
@@ -218,8 +282,8 @@ def _split(rest: DataFrame, pivots: DataFrame, known: DataFrame, radius: float)
     parts = dealt.groupBy("was", "cell").agg(F.count("*").alias("k")).groupBy("was").agg(F.sum(F.col("k") * F.col("k")).alias("parts"))
     whole = rest.groupBy(F.col("cell").alias("was")).agg((F.count("*") * F.count("*")).alias("whole"))
     good = materialize(whole.join(parts, "was").where("parts < 0.7 * whole").select("was"), "split")
-    kept = rest.select(F.col("cell").alias("was"), "doc").join(good, "was", "left_anti").select(F.col("was").alias("cell"), "doc")
-    return kept.unionByName(dealt.join(good, "was", "left_semi").select("cell", "doc"))
+    kept = rest.select(F.col("cell").alias("was"), "doc").join(good, "was", "left_anti").select(F.col("was").alias("cell"), "doc", F.lit(True).alias("stuck"))
+    return kept.unionByName(dealt.join(good, "was", "left_semi").select("cell", "doc", F.lit(False).alias("stuck")).distinct())
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -234,9 +298,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     shared = materialize(shared, "shared")
     members = materialize(parts.join(shared, "cell", "left_semi").distinct(), "members")
     members = _merge_equal_regions(members)
-    wanted = materialize(members.select("doc").distinct().join(reps, "doc"), "wanted").select(F.col("doc").alias("doc_id")).distinct()
-    hashes = _hash_sets(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), width)
-    labels = _link_regions(members, hashes, percent)
+    inside = members.select("doc").distinct()
+    about = sets.join(inside, "doc", "left_semi").join(reps, ["doc", "f1", "f2", "n"], "left_semi").select("doc", F.col("n").alias("size"), "sketch").dropDuplicates(["doc"])
+    about = materialize(about, "about")
+    hashes = _hash_sets(rows.join(about.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), width)
+    labels = _link_regions(members, about, hashes, percent)
     named = materialize(classes.join(labels, classes["rep"] == labels["doc"], "left").select("f1", "f2", "n", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id")), "named")
     found = narrow.where("n > 0").join(named, ["f1", "f2", "n"]).select("doc", "n", "component_id", "class_id")
     alone = narrow.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"), F.col("doc").alias("class_id"))
