@@ -42,6 +42,8 @@ PIVOTS = 8
 SKETCH = 16
 BAND = 1.5
 NULL_ID = 2**63 - 1
+#: bits of the low part of a key that tell most keys apart that stand once
+BITMAP = 27
 #: rows of a batch of pairs of sets
 PAIR_ROWS = 200
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -139,6 +141,37 @@ def _sets_pass(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return materialize(arrow_pass(docs, run, "doc long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"), "sets")
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the low part of each key, as words: at most 2**BITMAP bits, so at most 16 MB whatever the keys."""
+    bits = 16
+    while bits < BITMAP and 1 << bits < 32 * keys.count():
+        bits += 3
+    low = F.col("cell").bitwiseAND(F.lit((1 << min(bits, BITMAP)) - 1))
+    words = keys.groupBy(F.shiftrightunsigned(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("word")).toArrow()
+    out = np.zeros(1 << (min(bits, BITMAP) - 6), np.int64)
+    out[words["at"].to_numpy()] = words["word"].to_numpy()
+    return out
+
+
+def _with_keys_in(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc, f1, f2, n, cell: the sets' keys, without most of those that are not in ``keys`` (a filter, not a join)."""
+    shared = sets.sparkSession.sparkContext.broadcast(_bitmap(keys))
+
+    def run(batches):
+        words = shared.value
+        mask = np.int64(len(words) * 64 - 1)
+        for batch in batches:
+            lists = batch.column("keys")
+            cell = lists.flatten().to_numpy()
+            low = cell & mask
+            hit = (words[low >> 6] >> (low & 63)) & 1 > 0
+            row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))[hit]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc", "f1", "f2", "n")), pa.array(cell[hit])], names=["doc", "f1", "f2", "n", "cell"])
+
+    return arrow_pass(sets.select("doc", "f1", "f2", "n", "keys"), run, "doc long, f1 long, f2 long, n long, cell long")
+
+
 def _hash_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc and its shingle hashes as bytes."""
 
@@ -293,10 +326,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     narrow = sets.select("doc", "n", "f1", "f2")
     classes = materialize(narrow.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc"), "f1", "f2", "n")
-    parts = sets.join(reps, ["doc", "f1", "f2", "n"], "left_semi").select("doc", F.explode("keys").alias("cell"))
-    shared = parts.groupBy("cell").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("cell")
+    # a key that stands twice may be shared; copies of a set also count here, and drop out with their class below
+    shared = sets.select(F.explode("keys").alias("cell")).groupBy("cell").agg(F.count("*").alias("k")).where("k > 1").select("cell")
     shared = materialize(shared, "shared")
-    members = materialize(parts.join(shared, "cell", "left_semi").distinct(), "members")
+    members = _with_keys_in(sets, shared).join(reps, ["doc", "f1", "f2", "n"], "left_semi").join(shared, "cell", "left_semi").select("cell", "doc").distinct()
+    members = materialize(members, "members")
     members = _merge_equal_regions(members)
     inside = members.select("doc").distinct()
     about = sets.join(inside, "doc", "left_semi").join(reps, ["doc", "f1", "f2", "n"], "left_semi").select("doc", F.col("n").alias("size"), "sketch").dropDuplicates(["doc"])
