@@ -78,7 +78,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_weak_supervision": op5_weak_supervision,
     "op6_warc_segments": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         r AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
