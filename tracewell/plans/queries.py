@@ -333,17 +333,17 @@ def pair_pre_post(spark, d):
 
 
 def _hooks(spark, d):
-    o = on.table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    o = on.table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("hook_id"), F.col("o_orderkey").alias("hook_pos"), (F.col("o_orderkey") * 1500).alias("start"), F.concat(F.lit("/w/"), (F.col("o_custkey") % 4).cast("string")).alias("cwd"), F.concat(F.lit("/t/"), F.col("o_custkey").cast("string")).alias("transcript_path"))
 
 
 def _transcripts(spark, d):
-    n = on.table(spark, d, "orders").where("o_orderkey % 10 = 5")
+    n = on.table(spark, d, "orders")
     return n.select(F.col("o_orderkey").alias("transcript_id"), F.col("o_orderkey").alias("transcript_pos"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 1500 - 2500).alias("t_start"), F.concat(F.lit("/w/"), (F.col("o_custkey") % 4).cast("string"), F.when(F.col("o_custkey") % 3 == 0, "/sub").otherwise("")).alias("t_cwd"), F.concat(F.lit("/t/"), F.col("o_custkey").cast("string")).alias("path"))
 
 
-H = """WITH h AS (SELECT o_orderkey AS hook_id, o_orderkey * 1500 AS start, '/w/' || (o_custkey % 4) AS cwd, '/t/' || o_custkey AS transcript_path FROM orders WHERE o_orderkey % 10 = 0),
- t AS (SELECT o_orderkey AS transcript_id, o_orderkey * 1500 - 2500 AS t_start, '/w/' || (o_custkey % 4) || CASE WHEN o_custkey % 3 = 0 THEN '/sub' ELSE '' END AS t_cwd, '/t/' || o_custkey AS path FROM orders WHERE o_orderkey % 10 = 5) """
+H = """WITH h AS (SELECT o_orderkey AS hook_id, o_orderkey * 1500 AS start, '/w/' || (o_custkey % 4) AS cwd, '/t/' || o_custkey AS transcript_path FROM orders),
+ t AS (SELECT o_orderkey AS transcript_id, o_orderkey * 1500 - 2500 AS t_start, '/w/' || (o_custkey % 4) || CASE WHEN o_custkey % 3 = 0 THEN '/sub' ELSE '' END AS t_cwd, '/t/' || o_custkey AS path FROM orders) """
 CAND = """SELECT hook_id, transcript_id, CAST(score AS INTEGER) AS score FROM (SELECT hook_id, transcript_id, CASE WHEN abs(start - t_start) <= 5000 THEN 30 WHEN abs(start - t_start) <= 10000 THEN 15 ELSE 0 END + CASE WHEN cwd = t_cwd THEN 25 WHEN starts_with(cwd, t_cwd || '/') OR starts_with(t_cwd, cwd || '/') THEN 10 ELSE 0 END AS score FROM h, t WHERE abs(start - t_start) <= 10000) WHERE score >= 40"""
 
 
@@ -421,19 +421,19 @@ def prioritized_lookup(spark, d):
     return joins.prioritized_lookup(rows, labels, ["doc_id", "second", "third"], "quality").select("doc_id", "quality")
 
 
-@query("""WITH o AS (SELECT doc_id AS id, n_chars AS m FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id AS id, n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS m FROM documents WHERE doc_id % 4 <> 0)
+@query("""WITH o AS (SELECT doc_id AS id, quality AS m FROM labels), n AS (SELECT doc_id AS id, n_chars % 2 AS m FROM documents)
  SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN n.m > o.m THEN 'updated' ELSE 'unchanged' END AS change FROM o FULL JOIN n ON o.id = n.id""")
 def catalog_diff(spark, d):
-    docs = on.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("modified_at"), F.lit(0).alias("discovered_at"))
-    old = docs.where("id % 3 <> 0")
-    new = docs.where("id % 4 <> 0").withColumn("modified_at", F.col("modified_at") + (F.col("id") % 5 == 0).cast("long"))
+    """Labels as the known catalog, documents as the scanned one."""
+    old = on.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("long").alias("modified_at"), F.lit(0).alias("discovered_at"))
+    new = on.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 2).alias("modified_at"))
     return joins.catalog_diff(old, new).select("id", "change")
 
 
-@query("""WITH e AS (SELECT user_id AS pid, (epoch_us(ts) // 1000) AS timestamp, CASE WHEN event_type = 'click' THEN value ELSE 0 END AS cpu, 1704067200000 AS start FROM events WHERE user_id < 40),
+@query("""WITH e AS (SELECT user_id AS pid, (epoch_us(ts) // 1000) AS timestamp, CASE WHEN event_type = 'click' THEN value ELSE 0 END AS cpu, 1704067200000 AS start FROM events),
  s AS (SELECT *, timestamp - coalesce(max(CASE WHEN cpu >= 1 THEN timestamp END) OVER (PARTITION BY pid ORDER BY timestamp), start + 5000) AS quiet FROM e) SELECT pid, timestamp, CASE WHEN cpu >= 1 THEN 'WORKING' WHEN quiet > 86400000 AND timestamp - start > 10000 THEN 'STALLED' ELSE 'WAITING' END AS state FROM s""")
 def state_heuristic(spark, d):
-    e = on.table(spark, d, "events").where("user_id < 40")
+    e = on.table(spark, d, "events")
     samples = e.select(F.col("user_id").alias("pid"), on.millis("ts").alias("timestamp"), F.when(F.col("event_type") == "click", F.col("value")).otherwise(0.0).alias("cpu"), F.lit(1_704_067_200_000).alias("start_time"))
     return monitor.agent_states(samples, stalled_ms=86_400_000).select("pid", "timestamp", "state")
 
@@ -582,6 +582,6 @@ def attach_managed(spark, d):
     """Orders as conversations and as managed sessions: some share a pid, others a folder and a time."""
     o = on.table(spark, d, "orders")
     at = (F.col("o_orderkey") * 60_000).alias("start_time")
-    c = o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("conversation_id"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at, F.lit(None).cast("long").alias("end_time"))
-    m = o.where("o_orderkey % 10 = 5").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at.alias("started_at"), F.lit(None).cast("long").alias("ended_at"))
+    c = o.select(F.col("o_orderkey").alias("conversation_id"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at, F.lit(None).cast("long").alias("end_time"))
+    m = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at.alias("started_at"), F.lit(None).cast("long").alias("ended_at"))
     return joins.attach_managed(c, m)
