@@ -334,16 +334,16 @@ def pair_pre_post(spark, d):
 
 def _hooks(spark, d):
     o = on.table(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("hook_id"), F.col("o_orderkey").alias("hook_pos"), (F.col("o_orderkey") * 1500).alias("start"), F.concat(F.lit("/w/"), (F.col("o_custkey") % 4).cast("string")).alias("cwd"), F.concat(F.lit("/t/"), F.col("o_custkey").cast("string")).alias("transcript_path"))
+    return o.select(F.col("o_orderkey").alias("hook_id"), F.col("o_orderkey").alias("hook_pos"), (F.col("o_orderkey") * 1500).alias("start"), F.concat(F.lit("/w/"), (F.col("o_custkey") % 40).cast("string")).alias("cwd"), F.concat(F.lit("/t/"), F.col("o_custkey").cast("string")).alias("transcript_path"))
 
 
 def _transcripts(spark, d):
     n = on.table(spark, d, "orders")
-    return n.select(F.col("o_orderkey").alias("transcript_id"), F.col("o_orderkey").alias("transcript_pos"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 1500 - 2500).alias("t_start"), F.concat(F.lit("/w/"), (F.col("o_custkey") % 4).cast("string"), F.when(F.col("o_custkey") % 3 == 0, "/sub").otherwise("")).alias("t_cwd"), F.concat(F.lit("/t/"), F.col("o_custkey").cast("string")).alias("path"))
+    return n.select(F.col("o_orderkey").alias("transcript_id"), F.col("o_orderkey").alias("transcript_pos"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 1500 - 2500).alias("t_start"), F.concat(F.lit("/w/"), ((F.col("o_custkey") + 1) % 40).cast("string"), F.when(F.col("o_custkey") % 3 == 0, "/sub").otherwise("")).alias("t_cwd"), F.concat(F.lit("/t/"), (F.col("o_custkey") * 2).cast("string")).alias("path"))
 
 
-H = """WITH h AS (SELECT o_orderkey AS hook_id, o_orderkey * 1500 AS start, '/w/' || (o_custkey % 4) AS cwd, '/t/' || o_custkey AS transcript_path FROM orders),
- t AS (SELECT o_orderkey AS transcript_id, o_orderkey * 1500 - 2500 AS t_start, '/w/' || (o_custkey % 4) || CASE WHEN o_custkey % 3 = 0 THEN '/sub' ELSE '' END AS t_cwd, '/t/' || o_custkey AS path FROM orders) """
+H = """WITH h AS (SELECT o_orderkey AS hook_id, o_orderkey * 1500 AS start, '/w/' || (o_custkey % 40) AS cwd, '/t/' || o_custkey AS transcript_path FROM orders),
+ t AS (SELECT o_orderkey AS transcript_id, o_orderkey * 1500 - 2500 AS t_start, '/w/' || ((o_custkey + 1) % 40) || CASE WHEN o_custkey % 3 = 0 THEN '/sub' ELSE '' END AS t_cwd, '/t/' || (o_custkey * 2) AS path FROM orders) """
 CAND = """SELECT hook_id, transcript_id, CAST(score AS INTEGER) AS score FROM (SELECT hook_id, transcript_id, CASE WHEN abs(start - t_start) <= 5000 THEN 30 WHEN abs(start - t_start) <= 10000 THEN 15 ELSE 0 END + CASE WHEN cwd = t_cwd THEN 25 WHEN starts_with(cwd, t_cwd || '/') OR starts_with(t_cwd, cwd || '/') THEN 10 ELSE 0 END AS score FROM h, t WHERE abs(start - t_start) <= 10000) WHERE score >= 40"""
 
 
@@ -582,6 +582,6 @@ def attach_managed(spark, d):
     """Orders as conversations and as managed sessions: some share a pid, others a folder and a time."""
     o = on.table(spark, d, "orders")
     at = (F.col("o_orderkey") * 60_000).alias("start_time")
-    c = o.select(F.col("o_orderkey").alias("conversation_id"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at, F.lit(None).cast("long").alias("end_time"))
-    m = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at.alias("started_at"), F.lit(None).cast("long").alias("ended_at"))
+    c = o.select(F.col("o_orderkey").alias("conversation_id"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("pid"), F.col("o_custkey").cast("string").alias("cwd"), at, F.lit(None).cast("long").alias("end_time"))
+    m = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("pid"), F.col("o_custkey").cast("string").alias("cwd"), at.alias("started_at"), F.lit(None).cast("long").alias("ended_at"))
     return joins.attach_managed(c, m)
