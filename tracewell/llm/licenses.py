@@ -1,10 +1,11 @@
 """License scans with a positional index of rare tokens.
 
-The index maps each word of the licence templates to its postings (template, position). Document frequencies of those
-words are counted over all documents. For each file, the words of the templates that it holds are ranked by IDF, the
-highest ones are looked up, and the postings are intersected by relative position: each occurrence votes for where
-its template would start. The best start of a template is verified: the share of the template's words that stand at
-their places is its score, and its mandatory key phrases must stand in the file. Templates that pass give their label.
+Document frequencies of the words of the licence templates are counted over all documents. A template passes where
+the share ``COVERAGE`` of its words stand at their places, so of any n - need + 1 of its n places one is right there. The
+index holds so many places of each template, those with the highest IDF. For each file and each template whose mandatory
+key phrases stand in it, every occurrence of a word of these places gives a start, and every start is verified: no
+place that passes is missed, however long the file and whatever else it holds. The share at the best start is the
+template's score. Templates that pass give their label.
 
 Beside these labels stand the base ones: places where a fixed phrase's words follow each other.
 
@@ -15,7 +16,8 @@ give a row each; extra columns are left out; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
+from operator import eq
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,8 +61,7 @@ TEMPLATES = [
     ("unlicense", ["into the public domain"], "this is free and unencumbered software released into the public domain"),
     ("epl", ["eclipse public license"], "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
 ]
-#: words looked up per file, and the share of a template that must stand in place
-LOOKUPS = 6
+#: the share of a template that must stand in place
 COVERAGE = 0.8
 
 
@@ -79,18 +80,22 @@ def _phrase_places(found: list[bytes], phrase: list[bytes]) -> list[int]:
             out.append(at)
 
 
+def _in_place(found: list[bytes], text: list[bytes], start: int) -> int:
+    """Words of ``text`` that stand at their places when it begins at ``start``, which may lie before the file."""
+    return sum(map(eq, text[max(0, -start) :], found[max(0, start) : max(0, start + len(text))]))
+
+
 class Index:
-    """Positional postings of the templates' words, with the words' IDF."""
+    """The places of each template's rarest words by IDF, as many as make a lookup of them exact."""
 
     def __init__(self, frequencies: dict[str, int], n_docs: int, templates=None, base=None):
         self.templates = [(label, [k.encode().split() for k in keys], text.encode().split()) for label, keys, text in templates or TEMPLATES]
         self.base = [(phrase.encode().split(), label) for phrase, label in (base or BASE).items()]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, _, text) in enumerate(self.templates):
-            for p, w in enumerate(text):
-                self.postings[w].append((t, p))
-        self.idf = {w: math.log((n_docs + 1) / (frequencies.get(w.decode(), 0) + 1)) + 1e-9 for w in self.postings}
-        self.vocabulary = frozenset(self.postings)
+        self.vocabulary = frozenset(w for _, _, text in self.templates for w in text)
+        self.idf = {w: math.log((n_docs + 1) / (frequencies.get(w.decode(), 0) + 1)) + 1e-9 for w in self.vocabulary}
+        self.needs = [next(n for n in range(len(text) + 1) if n / len(text) >= COVERAGE) for _, _, text in self.templates]
+        # of any len - need + 1 places at least one is right where a template passes; the rarest give the fewest starts
+        self.rare = [sorted(range(len(text)), key=lambda p: (-self.idf[text[p]], p))[: len(text) - need + 1] for (_, _, text), need in zip(self.templates, self.needs)]
         self.base_words = frozenset(w for phrase, _ in self.base for w in phrase)
 
     def base_places(self, found: list[bytes], present: frozenset) -> tuple[list[int], set[str]]:
@@ -105,34 +110,21 @@ class Index:
 
     def scan(self, found: list[bytes], present: frozenset) -> tuple[set[str], float]:
         """Labels of the templates in the file, and the best score."""
-        ranked = sorted((w for w in present & self.vocabulary), key=lambda w: (-self.idf[w], w))[:LOOKUPS]
-        if len(ranked) < 3:
-            return set(), 0.0
-        votes: Counter = Counter()
-        for w in ranked:
-            at = -1
-            while True:
-                try:
-                    at = found.index(w, at + 1)
-                except ValueError:
-                    break
-                for t, p in self.postings[w]:
-                    votes[t, at - p] += 1
-        starts: dict[int, list[int]] = {}
-        most: Counter = Counter()
-        for (t, start), n in votes.items():
-            if n >= max(most[t], 3):
-                starts[t] = starts[t] + [start] if n == most[t] else [start]
-                most[t] = n
         labels, score = set(), 0.0
-        for t, places in starts.items():
-            label, keys, text = self.templates[t]
+        places: dict[bytes, list[int]] = {}
+        for (label, keys, text), need, rare in zip(self.templates, self.needs, self.rare):
             if not all(present.issuperset(k) and _phrase_places(found, k) for k in keys):
                 continue
-            share = max(sum(1 for p, w in enumerate(text) if 0 <= s + p < len(found) and found[s + p] == w) for s in places) / len(text)
-            if share >= COVERAGE:
+            starts = set()
+            for p in rare:
+                w = text[p]
+                if w not in places:
+                    places[w] = _phrase_places(found, [w]) if w in present else []
+                starts.update(at - p for at in places[w])
+            stand = max((_in_place(found, text, s) for s in starts), default=0)
+            if stand >= need:
                 labels.add(label)
-                score = max(score, share)
+                score = max(score, stand / len(text))
         return labels, score
 
 
@@ -166,7 +158,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 found = words(raw)
                 present = (index.vocabulary | index.base_words).intersection(found)
                 places, base = index.base_places(found, present)
-                labels, score = index.scan(found, present) if len(present) >= 3 else (set(), 0.0)
+                labels, score = index.scan(found, present)
                 score = 1.0 if base else score
                 out.append((len(found), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score))
             if out:
