@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,24 +42,62 @@ def candidates(hooks: DataFrame, transcripts: DataFrame, window_ms: int = 5_000,
     return h.join(t, "bucket").withColumn("score", score).where(F.col("score") >= least).drop("bucket")
 
 
-def greedy_match(pairs: DataFrame, rounds: int = 1_000) -> DataFrame:
+def greedy_match(pairs: DataFrame, rounds: int = 12) -> DataFrame:
     """One transcript per hook: hooks in order each take their best free transcript (the first among equals).
 
-    In each round a hook that no earlier hook contests for its best transcript takes it; its rivals lose that pair.
-    Such rounds give what going through the hooks one by one gives, whole table at a time.
+    Hooks with the same list of pairs take its transcripts in order: the k-th hook of a list takes the k-th, unless an
+    earlier hook with another list contests one of the first k. Such rounds give what going through the hooks one by one
+    gives, whole table at a time. What is still open after ``rounds`` of them (long chains of contested hooks) is gone
+    through one by one, in order, by one task that holds only the ids taken; no pair is left open.
     """
-    best = Window.partitionBy("hook_id").orderBy(F.col("score").desc(), "transcript_pos")
     chosen, open_ = None, pairs
     for _ in range(rounds):
         if open_.isEmpty():
             break
-        ranked = open_.withColumn("rank", F.row_number().over(best)).withColumn("earliest", F.min("hook_pos").over(Window.partitionBy("transcript_id")))
-        won = checkpointed(ranked.where("rank = 1 and earliest = hook_pos").drop("rank", "earliest"))
+        won = checkpointed(_uncontested(open_).select(*pairs.columns))
         chosen = won if chosen is None else chosen.unionByName(won)
-        open_ = checkpointed(open_.join(won.select("hook_id"), "hook_id", "left_anti").join(won.select("transcript_id"), "transcript_id", "left_anti"))
+        open_ = checkpointed(open_.join(won.select("hook_id"), "hook_id", "left_anti").join(won.select("transcript_id"), "transcript_id", "left_anti").select(*pairs.columns))
+    if not open_.isEmpty():
+        rest = checkpointed(_one_by_one(open_))
+        chosen = rest if chosen is None else chosen.unionByName(rest)
     return pairs.limit(0) if chosen is None else chosen
 
 
+def _uncontested(pairs: DataFrame) -> DataFrame:
+    """The pairs of the hooks whose turn among hooks with the same list no earlier hook of another list changes."""
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("hook_id").orderBy(F.col("score").desc(), "transcript_pos")))
+    own = lambda seed: F.xxhash64("transcript_id", "rank", F.lit(seed))
+    lists = ranked.groupBy("hook_id").agg(F.min("hook_pos").alias("pos"), F.struct(F.count("*"), F.sum(own(1).bitwiseAND(F.lit(2**40 - 1))), F.bit_xor(own(2))).alias("list"))
+    lists = lists.withColumn("place", F.row_number().over(Window.partitionBy("list").orderBy("pos", "hook_id"))).drop("pos")
+    placed = checkpointed(ranked.join(lists, "hook_id"))
+    firsts = placed.groupBy("transcript_id", "list").agg(F.min("hook_pos").alias("pos"))
+    by_pos = Window.partitionBy("transcript_id").orderBy("pos")
+    firsts = firsts.select("transcript_id", F.col("list").alias("first_list"), F.col("pos").alias("first_pos"), F.lead("pos").over(by_pos).alias("next_pos"), F.row_number().over(by_pos).alias("k")).where("k = 1").drop("k")
+    other = F.when(F.col("list") == F.col("first_list"), F.col("next_pos")).otherwise(F.col("first_pos"))
+    reached = placed.where("rank <= place").join(firsts, "transcript_id").withColumn("blocked", F.coalesce(other <= F.col("hook_pos"), F.lit(False)))
+    blocked = reached.where("blocked").select("hook_id").distinct()
+    return placed.where("rank = place").join(blocked, "hook_id", "left_anti")
+
+
+def _one_by_one(pairs: DataFrame) -> DataFrame:
+    """The pairs that hooks take in order, one after the other."""
+
+    def run(batches):
+        hooks, taken = set(), set()
+        for batch in batches:
+            keep = []
+            for h, t in zip(batch.column("hook_id").to_pylist(), batch.column("transcript_id").to_pylist()):
+                free = h not in hooks and t not in taken
+                keep.append(free)
+                if free:
+                    hooks.add(h)
+                    taken.add(t)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = pairs.repartition(1).sortWithinPartitions("hook_pos", "hook_id", F.col("score").desc(), "transcript_pos")
+    return ordered.mapInArrow(run, pairs.schema)
+
+
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key), key, "left_anti")
 
