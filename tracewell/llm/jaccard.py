@@ -345,8 +345,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), real("class_id").alias("class_id"))
 
 
+def _row_key(docs: DataFrame):
+    """A number of each doc_id with its text; a seed is taken only if the hash tells all rows of the table apart."""
+    text, seed = F.coalesce("text", F.lit("")), 0
+    while True:
+        key = F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", text)
+        seen = docs.select(key.alias("key"), "doc_id", F.xxhash64(text, F.lit("other")).alias("t"), F.length(text).alias("n")).distinct()
+        if seen.groupBy("key").count().where("count > 1").isEmpty():
+            return key
+        seed += 1
+
+
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of the smallest doc_id of each component; one row per doc_id."""
-    groups = jaccard_components(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["first_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs``, all columns, of the smallest doc_id of each component (null is the largest).
+
+    A row is its doc_id with its text: rows that share an id but not a near text stay, as do those without an id.
+    """
+    key = _row_key(docs)
+    found = jaccard_components(docs.select(key.alias("doc_id"), "text"), width, percent)
+    found = found.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component")).distinct()
+    ids = docs.select(key.alias("row_key"), "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key").alias("row_key"))
+    firsts = ids.join(found, "row_key").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("first_key"))
+    named = docs.withColumn("_row_key", key)
+    return named.join(firsts, F.col("_row_key") == F.col("first_key"), "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
