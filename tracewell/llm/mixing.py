@@ -10,9 +10,10 @@ residual. Documents are dealt by hash into buckets of about ``FAN_IN`` per sourc
 residuals are dealt again, and so on: a reduction tree of log(documents) / log(FAN_IN) levels, each a written table.
 Only the last residual of a source is rounded by itself, so a source misses its target by less than one document.
 
-Randomness is a hash of the documents' ids and ``seed``, so reruns agree. Null texts have size 0 and, like all empty
-documents, take 0. Repeated rows are documents of their own (they share one bucket of the tree). Extra columns are
-left out. An empty table gives no rows.
+Randomness is a hash of the documents' ids, texts and ``seed``, so reruns agree. Null texts have size 0 and, like all
+empty documents, take 0. Repeated rows are documents of their own: they are numbered, each number in a bucket of its
+own, so one row, or the rows without an id, may be any share of the table. Extra columns are left out by ``mix`` and
+kept by ``take_copies``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import join_small, materialize
 
 WEIGHTS = (3, 1, 2)
 FAN_IN = 48
-_UNIT = "struct<h:bigint,doc_id:bigint,size:bigint,p:double>"
-_FOLD = f"struct<cur:{_UNIT},done:array<struct<doc_id:bigint,size:bigint,extra:int>>>"
+_UNIT = "struct<h:bigint,doc_id:bigint,size:bigint,t:bigint,p:double>"
+_FOLD = f"struct<cur:{_UNIT},done:array<struct<doc_id:bigint,size:bigint,t:bigint,extra:int>>>"
 
 
 def word_count(text: Column) -> Column:
@@ -68,11 +69,11 @@ def _pair(seed: int):
         # a ends at 1 when raised and at 0 when lowered; x the other way round
         done = F.struct(
             F.when(a_done, a.doc_id).otherwise(x.doc_id).alias("doc_id"), F.when(a_done, a.size).otherwise(x.size).alias("size"),
-            F.when(a_done == up, 1).otherwise(0).alias("extra"),
+            F.when(a_done, a.t).otherwise(x.t).alias("t"), F.when(a_done == up, 1).otherwise(0).alias("extra"),
         )
         p = F.when(a_done, x.p - moved / x.size).otherwise(a.p + moved / a.size)
         p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
-        rest = F.struct(F.when(a_done, x.h).otherwise(a.h).alias("h"), F.when(a_done, x.doc_id).otherwise(a.doc_id).alias("doc_id"), F.when(a_done, x.size).otherwise(a.size).alias("size"), p.alias("p"))
+        rest = F.struct(F.when(a_done, x.h).otherwise(a.h).alias("h"), F.when(a_done, x.doc_id).otherwise(a.doc_id).alias("doc_id"), F.when(a_done, x.size).otherwise(a.size).alias("size"), F.when(a_done, x.t).otherwise(a.t).alias("t"), p.alias("p"))
         first = F.struct(x.alias("cur"), acc.done.alias("done")).cast(_FOLD)
         return F.when(a.isNull(), first).otherwise(F.struct(rest.alias("cur"), F.concat(acc.done, F.array(done)).alias("done")).cast(_FOLD))
 
@@ -80,44 +81,76 @@ def _pair(seed: int):
 
 
 def round_fractions(units: DataFrame, n_max: int, seed: int) -> DataFrame:
-    """units: source_ix, n (units of the source), h, doc_id, size, p. Result: source_ix, doc_id, size, extra (0 or 1)."""
+    """units: source_ix, n (units of the source), h, doc_id, size, t, p. Result: source_ix, doc_id, size, t, extra (0 or 1)."""
     decided = None
     while True:
         buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / FAN_IN)).cast("long")
         dealt = units.withColumns({"buckets": buckets, "bucket": F.pmod(F.col("h"), buckets)})
-        start = F.struct(F.lit(None).cast(_UNIT).alias("cur"), F.lit(None).cast("array<struct<doc_id:bigint,size:bigint,extra:int>>").alias("done"))
-        start = F.struct(start["cur"].alias("cur"), F.array().cast("array<struct<doc_id:bigint,size:bigint,extra:int>>").alias("done")).cast(_FOLD)
-        folded = dealt.groupBy("source_ix", "bucket").agg(F.max("buckets").alias("n"), F.array_sort(F.collect_list(F.struct("h", "doc_id", "size", "p"))).alias("units"))
+        start = F.struct(F.lit(None).cast(_UNIT).alias("cur"), F.lit(None).cast("array<struct<doc_id:bigint,size:bigint,t:bigint,extra:int>>").alias("done"))
+        start = F.struct(start["cur"].alias("cur"), F.array().cast("array<struct<doc_id:bigint,size:bigint,t:bigint,extra:int>>").alias("done")).cast(_FOLD)
+        folded = dealt.groupBy("source_ix", "bucket").agg(F.max("buckets").alias("n"), F.array_sort(F.collect_list(F.struct("h", "doc_id", "size", "t", "p"))).alias("units"))
         folded = materialize(folded.select("source_ix", "n", F.aggregate("units", start, _pair(seed)).alias("fold")), "mix-level")
-        out = folded.select("source_ix", F.explode("fold.done").alias("d")).select("source_ix", "d.doc_id", "d.size", "d.extra")
+        out = folded.select("source_ix", F.explode("fold.done").alias("d")).select("source_ix", "d.doc_id", "d.size", "d.t", "d.extra")
         decided = out if decided is None else decided.unionByName(out)
-        units = folded.select("source_ix", "n", F.xxhash64("fold.cur.h", F.lit(seed)).alias("h"), "fold.cur.doc_id", "fold.cur.size", "fold.cur.p")
+        units = folded.select("source_ix", "n", F.xxhash64("fold.cur.h", F.lit(seed)).alias("h"), "fold.cur.doc_id", "fold.cur.size", "fold.cur.t", "fold.cur.p")
         n_max = max(1, math.ceil(n_max / FAN_IN))
         if n_max == 1:
             last = F.when(_uniform(F.col("h"), F.lit(seed + 1)) < F.col("p"), 1).otherwise(0)
-            return decided.unionByName(units.select("source_ix", "doc_id", "size", last.alias("extra")))
+            return decided.unionByName(units.select("source_ix", "doc_id", "size", "t", last.alias("extra")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (source, doc_id, size, t) with k, the number of a row among its equals from 0.
+
+    Equal rows are counted by the partition that read them, and numbered inside it from where the others before end.
+    """
+    key = ["source", "doc_id", "size", "t"]
+    rows = materialize(rows.select(*key, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "mix-sizes")
+    several = rows.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*key).orderBy("part")  # a row per partition only
+    several = several.withColumns({"first": F.sum("n").over(before) - F.col("n"), "all": F.sum("n").over(Window.partitionBy(*key))}).where("all > 1")
+    several = materialize(several.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("part").alias("_part"), "first"), "mix-equal")
+    on = [rows[c].eqNullSafe(several[f"_{c}"]) for c in key] + [rows["part"] == several["_part"]]
+    inside = F.row_number().over(Window.partitionBy(*key, "part").orderBy("at"))
+    repeated = join_small(rows, several, on).withColumn("k", F.col("first") + inside - 1)
+    single = join_small(rows, several, on, "left_anti").withColumn("k", F.lit(0).cast("long"))
+    return materialize(single.select(*key, "k").unionByName(repeated.select(*key, "k")), "mix-rows")
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, seed: int = 17) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, copies; one row per document."""
-    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    """doc_id, size, source_size, target, taken, source, copies, t (hash of the text); one row per document."""
+    sizes = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("t"))
+    sizes = _numbered(sizes)
     sources = materialize(source_targets(sizes, share, most, weights), "mix-sources")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = sources.withColumns({"whole": F.floor(times), "p": times - F.floor(times)})
     n_max = sources.agg(F.max("n_docs")).first()[0] or 0
     placed = join_small(sizes, sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     split = (F.col("p") > 0) & (F.col("size") > 0)
-    units = placed.where(split).select("source_ix", F.col("n_docs").alias("n"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"), "doc_id", "size", "p")
-    sure = placed.where(~split).select("source_ix", "doc_id", "size", F.lit(0).alias("extra"))
+    units = placed.where(split).select("source_ix", F.col("n_docs").alias("n"), F.xxhash64("doc_id", "size", "t", "k", F.lit(seed)).alias("h"), "doc_id", "size", "t", "p")
+    sure = placed.where(~split).select("source_ix", "doc_id", "size", "t", F.lit(0).alias("extra"))
     rows = round_fractions(units, n_max, seed).unionByName(sure)
     rows = join_small(rows, sources.select("source_ix", "source", "source_size", "target", "whole"), "source_ix")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), "t")
 
 
 def take_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken, all columns. Rows that share id and size share the number."""
-    copies = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("mix_copies"))
-    held = docs.withColumn("mix_words", word_count(F.col("text")))
-    on = held["doc_id"].eqNullSafe(copies["mix_id"]) & (held["mix_words"] == copies["mix_size"])
-    return held.join(copies, on).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
+    """``docs`` as mixed: each row as often as it is taken, all columns.
+
+    Rows of one id, source and text are as often in the result as they are taken together; where they differ in other
+    columns, any of them stands for all. Columns travel in a struct, so that none can clash with those of the mix.
+    """
+    key = ["doc_id", "source", "size", "t"]
+    of = mix(docs, **options).groupBy(*key).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
+    of = materialize(of.select(*[F.col(c).alias(f"of_{c}") for c in key], "rows", "copies"), "mix-copies")
+    text = F.col("text")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("t"))
+    on = [held[c].eqNullSafe(of[f"of_{c}"]) for c in key]
+    single = held.join(of.where("rows = 1"), on).select("row", "copies")
+    several = join_small(held, of.where("rows > 1"), on).dropDuplicates(key).select("row", "copies")
+    taken = single.unionByName(several)
+    # in two steps, so that a row that stands for very many is not repeated in one task
+    steps = taken.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(1000).cast("long"))))
+    many = F.sequence(F.lit(1), F.least(F.lit(1000), F.col("copies") - F.col("step")).cast("int"))
+    return steps.select("row", F.explode(many).alias("n")).select("row.*")

@@ -25,7 +25,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))
+    return mix(documents(spark, sf_dir)).drop("t")
 
 
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
