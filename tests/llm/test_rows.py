@@ -11,7 +11,7 @@ import pytest
 from tests.llm.helpers import ODD_ROWS, odd_documents, write
 from tracewell.llm import queries as q
 from tracewell.llm.mixing import source_targets, take_copies
-from tracewell.llm.pii import fit, redact
+from tracewell.llm.pii import FEATURES, KINDS, find_spans, fit, redact
 from tracewell.llm.quality import CLASSES, ORDER, Model, gram_codes, keep_good
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,8 +208,6 @@ def test_reliabilities_are_found():
     accuracy = [table[x, True][1] / (1 - table[x, True][0]) if x == "regex" else table[x, True][1] / (table[x, True][1] + table[x, True][-1]) for x in ("regex", "gazetteer", "context")]
     assert accuracy[0] > accuracy[1] > accuracy[2] > 0.5
     assert weights[-3] > weights[-2] > 0
-    from tracewell.llm.pii import KINDS
-
     right = sum(max(0, truth[k] if weights[KINDS.index("phone")] + sum(w * v for w, v in zip(weights[-3:], k[1:])) > 0 else counts[k] - truth[k]) for k in counts)
     assert right / 20_000 > 0.9
 
@@ -225,4 +223,40 @@ def test_redaction(spark):
 
 @pytest.mark.parametrize("bad", [[], [("email", 1, 1, 1, 5)]])
 def test_fit_on_little(bad):
-    assert len(fit(bad)[1]) == 10
+    assert len(fit(bad)[1]) == len(KINDS) + sum(FEATURES.values()) + 3
+
+
+def marked(rng, kind):
+    """A text with one planted value, and the value's place."""
+    words = lambda: " ".join("".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(rng.integers(4, 30)))
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    before, value = {
+        "ssn": ("his ssn is ", f"{rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}"),
+        "phone": ("call me at ", f"({rng.integers(200, 900)}) {rng.integers(200, 900)}-{rng.integers(1000, 9999)}"),
+        "iban": ("my iban: ", f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"),
+        "name": ("my name is ", f"{rng.choice(['Anna', 'Robert', 'Maria', 'John'])} {rng.choice(['Smith', 'Garcia', 'Weber'])}"),
+        "secret": ("with ", "token = " + "".join(rng.choice(list("0123456789abcdef"), 40))),
+    }[kind]
+    head = words() + " " + before
+    return head + value + " " + words(), (kind, len(head), len(head) + len(value))
+
+
+def test_added_spans_have_precision_and_recall(spark):
+    """Planted values of the kinds that only the method finds, and texts with look-alikes that hold none."""
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for i in range(300):
+        text, (kind, a, b) = marked(rng, ["ssn", "phone", "iban", "name", "secret"][i % 5])
+        rows.append((i, text, "en", "a"))
+        want.add((i, f"{kind}:{a}:{b}"))
+    for i in range(300, 400):
+        n = rng.integers(1000, 9999, 4)
+        rows.append((i, f"order {n[0]}-{n[1] % 90 + 10}-{n[2]} version {n[0] % 9}.{n[1] % 9} page {n[3]} chapter 12 token of thanks, secret garden, isbn 978-{n[0]}-{n[1]}", "en", "a"))
+    got = {(r.doc_id, x) for r in find_spans(odd_documents(spark, rows)).collect() for x in r.spans.split(",") if x}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "1.2.3.4 x " * 20_000
+    row = find_spans(odd_documents(spark, [(1, text, "en", "a")])).collect()[0]
+    assert row.n_ip == 20_000 and row.spans.startswith("ip:0:7,ip:10:17,") and row.spans.endswith("ip:199990:199997")
