@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.functions import js, text
+from tracewell.functions import js, rules, text
 from tracewell.operators import filters, joins, loops, monitor, quality, redact, stats, transcripts
 
 
@@ -246,6 +246,45 @@ def test_redaction_is_stable(spark):
     assert report == {"pii": 2, "network": 1, "secrets": 1}
 
 
+def brute_redact(rows):
+    """One text after the other, with the placeholders known so far: every rule searched in every text."""
+    import re
+
+    names, counts, out = {}, {}, []
+    for k, t in sorted(rows):
+        found = []
+
+        def put(m, prefix):
+            found.append((prefix, re.sub("\uf000(\\d+)\uf001", lambda x: found[int(x[1])][1], m[0])))
+            return f"\uf000{len(found) - 1}\uf001"
+
+        for name, prefix, patterns, _ in rules.REDACTION:
+            for p in patterns:
+                t = re.sub(p.replace(r"\z", r"\Z"), lambda m: put(m, prefix), t)
+        t = re.sub(redact.LONG_STRING, lambda m: put(m, "KEY") if redact.high_entropy(m[0]) else m[0], t, flags=re.A)
+        for prefix, value in found:
+            if value not in names:
+                counts[prefix] = counts.get(prefix, 0) + 1
+                names[value] = f"<{prefix}_{counts[prefix]}>"
+        out.append((k, re.sub("\uf000(\\d+)\uf001", lambda x: names[found[int(x[1])][1]], t), len(found)))
+    return out
+
+
+def test_redaction_equals_one_by_one(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    made = ["sk-" + "a1" * 15, "ghp_" + "Ab1" * 10, "hf_" + "x" * 24, ' "' + "aB3/" * 10 + '" ', "xoxb-" + "1a" * 14, "eyJa.eyJb.c ", "postgres://u:p@h/x", "https://a:b@c.de", "1:2:3:4:5:6:7:8", "/home/ann/x y", "C:\\Users\\bob\\z", "q9Zk3mXv7Lp2Rt8Wy4Nb6Hc1", "123-45-6789", "+44 20 7946 0958"]
+    texts = [(10_000_000 + i, f"see {a} and {b} \ue010 \u0001 end") for i, (a, b) in enumerate(zip(made, made[1:] + made[:1]))]
+    rows = docs.unionByName(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = redact.redact(rows, "doc_id", entropy=True).collect()
+    assert sorted(map(tuple, got)) == brute_redact([tuple(r) for r in rows.collect()])
+
+
+def test_redaction_in_json(spark):
+    rows = [(1, '{"a@x.org": "a@x.org", "l": ["10.0.0.1", {"k": "a@x.org b"}], "n": 5}'), (2, "not json a@x.org")]
+    got = {r.id: r.redacted for r in redact.redact(spark.createDataFrame(rows, "id int, text string"), in_json=True).collect()}
+    assert got == {1: '{"a@x.org":"<EMAIL_1>","l":["<IP_1>",{"k":"<EMAIL_1> b"}],"n":5}', 2: "not json <EMAIL_1>"}
+
+
 def test_json_fields(spark):
     doc = '{"a":{"b":1,"img":"x"},"c":[{"d":2,"img":"y"}],"e":null}'
     assert one(spark, redact.field_paths(F.col("j")), j=doc) == ["a", "a.b", "a.img", "c", "c[].d", "c[].img", "e"]
@@ -318,3 +357,20 @@ def test_projects_and_contributions(spark):
     assert live.first().live_pid == 2
     parts = stats.combined(spark.createDataFrame([(0, 70, "positive"), (0, 10, None)], "modified_at long, score int, feedback string"), 30, 0)
     assert parts["overall"].first().success_rate == 50.0
+
+
+def test_overlaps_equal_all_pairs(spark):
+    rng = random.Random(4)
+    spans = lambda n: [(i, rng.choice("ab"), a := rng.randrange(10**8), a + rng.choice([0, 10, 10**4, 10**6, 10**12])) for i in range(n)]
+    left, right = spans(60), spans(80)
+    got = joins.overlapping(spark.createDataFrame(left, "l int, k string, l_begin long, l_end long"), spark.createDataFrame(right, "r int, k string, r_begin long, r_end long"), "k", 1000)
+    assert sorted((r.l, r.r) for r in got.collect()) == sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
+
+
+def test_running_totals_over_ranges(spark):
+    from tracewell.operators.ordering import range_totals
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.randrange(5)) for i in rng.sample(range(1000), 300)]
+    got = range_totals(spark.createDataFrame(rows, "g string, i int, w int"), ["g"], ["i"], F.col("w"), "upto").collect()
+    assert len(got) == 300 and all(r.upto == sum(w for g, i, w in rows if g == r.g and i <= r.i) for r in got)

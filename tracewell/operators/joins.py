@@ -108,15 +108,37 @@ def correlation_stats(rows: DataFrame) -> DataFrame:
 
 
 def attach_in_range(spans: DataFrame, points: DataFrame, key: str, bucket_ms: int = 3_600_000) -> DataFrame:
-    """spans (key, span_id, begin, finish) with points (key, at): pairs where begin <= at <= finish, met by key and hour."""
-    s = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("begin") / bucket_ms), F.floor(F.col("finish") / bucket_ms))))
-    p = points.withColumn("bucket", F.floor(F.col("at") / bucket_ms))
-    return s.join(p, [key, "bucket"]).where((F.col("at") >= F.col("begin")) & (F.col("at") <= F.col("finish"))).drop("bucket")
+    """spans (key, span_id, begin, finish) with points (key, at): pairs where begin <= at <= finish."""
+    s = spans.withColumns({"l_begin": F.col("begin"), "l_end": F.col("finish")})
+    p = points.withColumns({"r_begin": F.col("at"), "r_end": F.col("at")})
+    return overlapping(s, p, key, bucket_ms).drop("l_begin", "l_end", "r_begin", "r_end")
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left (key, l_begin, l_end), right (key, r_begin, r_end): pairs of one key whose intervals overlap."""
-    return left.join(right, key).where((F.col("l_begin") <= F.col("r_end")) & (F.col("r_begin") <= F.col("l_end")))
+def overlapping(left: DataFrame, right: DataFrame, key: str, bucket_ms: int = 3_600_000) -> DataFrame:
+    """left (key, l_begin, l_end), right (key, r_begin, r_end): pairs of one key whose intervals overlap.
+
+    Pairs meet by key and bucket of time. Buckets come in levels, each twice as wide as the one before; an interval
+    belongs to the level at which it touches two buckets at most and a pair meets at the higher of its two levels, so
+    neither a key with very many intervals nor an open-ended one makes more pairs than overlap or stand close by.
+    """
+
+    def leveled(rows: DataFrame, side: str) -> DataFrame:
+        length = (F.col(f"{side}_end") - F.col(f"{side}_begin") + 1) / F.lit(float(bucket_ms))
+        return rows.where(F.col(f"{side}_end") >= F.col(f"{side}_begin")).withColumn(f"{side}_level", F.greatest(F.lit(0), F.ceil(F.log2(length))).cast("int"))
+
+    def dealt(rows: DataFrame, side: str) -> DataFrame:
+        met = rows.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda v: v >= F.col(f"{side}_level"))))
+        width = F.pow(F.lit(2.0), F.col("level")) * bucket_ms
+        return met.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{side}_begin") / width), F.floor(F.col(f"{side}_end") / width))))
+
+    left, right = leveled(left, "l"), leveled(right, "r")
+    levels = sorted({r[0] for x, side in ((left, "l"), (right, "r")) for r in x.select(f"{side}_level").distinct().collect()})  # at most 64
+    if not levels:
+        return left.join(right, key).drop("l_level", "r_level")
+    later = F.floor(F.greatest("l_begin", "r_begin") / (F.pow(F.lit(2.0), F.col("level")) * bucket_ms))
+    met = dealt(left, "l").join(dealt(right, "r"), [key, "level", "bucket"])
+    kept = met.where((F.col("level") == F.greatest("l_level", "r_level")) & (F.col("bucket") == later) & (F.col("l_begin") <= F.col("r_end")) & (F.col("r_begin") <= F.col("l_end")))
+    return kept.drop("level", "bucket", "l_level", "r_level")
 
 
 def resolve_project(rows: DataFrame, projects: DataFrame, path: str) -> DataFrame:

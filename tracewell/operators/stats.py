@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.js import day, half_up, is_false, is_true, share_percent
+from .ordering import range_totals
 
 
 def n_if(cond: Column) -> Column:
@@ -88,10 +89,10 @@ def quality_histogram(scored: DataFrame) -> DataFrame:
 def index_percentiles(values: DataFrame, column: str, shares=(0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """sorted[floor(n * p)] for each p, 0 for no values: one row.
 
-    Values are counted first and ranked by running counts, so the window holds distinct values only.
+    Values are counted first and ranked by running counts over ranges of values.
     """
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
-    ranked = counts.withColumns({"upto": F.sum("k").over(Window.orderBy("v")), "n": F.sum("k").over(Window.partitionBy())})
+    ranked = range_totals(counts, [], ["v"], F.col("k"), "upto").crossJoin(F.broadcast(values.agg(F.count(column).alias("n"))))  # one row
     return ranked.agg(*[F.coalesce(F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("v"))), F.lit(0)).alias(f"p{round(p * 100)}") for p in shares])
 
 

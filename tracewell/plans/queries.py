@@ -30,7 +30,7 @@ U = """WITH u AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, event
  (epoch_us(ts) // 1000) + CAST(floor(value) AS BIGINT) AS completed_at, event_type <> 'error' AS success, value AS duration_ms, props FROM events)
 """
 #: as adapters.coarse_usages, with the previous operations of each session
-C = """WITH c AS (SELECT CAST(user_id % 20 AS VARCHAR) AS session_id, event_id, event_type AS signature, (epoch_us(ts) // 1000) AS ms, CAST(floor((epoch_us(ts) // 1000) / 500) AS BIGINT) AS timestamp,
+C = """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, event_type AS signature, (epoch_us(ts) // 1000) AS ms, CAST(floor((epoch_us(ts) // 1000) / 5000) AS BIGINT) AS timestamp,
  event_type <> 'error' AS success, CASE WHEN event_type = 'error' THEN CASE WHEN value > 50 THEN 'permission denied' ELSE 'unknown error' END END AS error FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ms, event_id) AS k FROM
  (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ms DESC, event_id DESC) AS rn FROM c) WHERE rn <= 500)
@@ -298,7 +298,7 @@ def redact_counts(spark, d):
 
 @query()
 def redact_stable(spark, d):
-    return redact.redact(on.table(spark, d, "documents"), "doc_id")
+    return redact.redact(on.table(spark, d, "documents"), "doc_id", entropy=True)
 
 
 @query()
@@ -571,17 +571,17 @@ def by_project(spark, d):
     return out.withColumn("mean_score", F.round("mean_score", 6))
 
 
-@query("SELECT event_id % 50 AS id, quality, quality IS NOT NULL AS found FROM (SELECT DISTINCT event_id % 50 AS event_id FROM events) LEFT JOIN labels ON doc_id = event_id")
+@query("SELECT event_id AS id, quality, doc_id IS NOT NULL AS found FROM (SELECT DISTINCT event_id FROM events) LEFT JOIN labels ON doc_id = event_id")
 def bulk_get(spark, d):
-    ids = on.table(spark, d, "events").select((F.col("event_id") % 50).alias("id")).distinct()
+    ids = on.table(spark, d, "events").select(F.col("event_id").alias("id")).distinct()
     return joins.bulk_get(ids, on.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"))
 
 
 @query()
 def attach_managed(spark, d):
-    """Orders as conversations and as managed sessions: some share a pid, others a folder and a time."""
+    """Orders as conversations and as managed sessions in 40 folders: some share a pid, others a folder and a time."""
     o = on.table(spark, d, "orders")
     at = (F.col("o_orderkey") * 60_000).alias("start_time")
-    c = o.select(F.col("o_orderkey").alias("conversation_id"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("pid"), F.col("o_custkey").cast("string").alias("cwd"), at, F.lit(None).cast("long").alias("end_time"))
-    m = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("pid"), F.col("o_custkey").cast("string").alias("cwd"), at.alias("started_at"), F.lit(None).cast("long").alias("ended_at"))
+    c = o.select(F.col("o_orderkey").alias("conversation_id"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at, F.lit(None).cast("long").alias("end_time"))
+    m = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("pid"), (F.col("o_custkey") % 40).cast("string").alias("cwd"), at.alias("started_at"), F.lit(None).cast("long").alias("ended_at"))
     return joins.attach_managed(c, m)
