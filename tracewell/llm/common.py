@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: rows of a table that may be broadcast; larger ones are joined by a shuffle
 BROADCAST_ROWS = 20_000
-#: rows that one Arrow batch hands to Python, so that a batch of very long texts stays small
+#: bits of a filter that is broadcast: 16 MB
+BITMAP = 27
+#: rows that a pass works on at once
 BATCH_ROWS = 2_000
 
 
@@ -34,7 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_at = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` has written and that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_written_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def join_small(left: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -42,12 +56,34 @@ def join_small(left: DataFrame, small: DataFrame, on, how: str = "inner", limit:
     return left.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
 
 
-def arrow_pass(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of a bounded number of rows; ``fn(batches)`` yields RecordBatches."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(fn, schema)
+def arrow_pass(df: DataFrame, fn, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``rows`` rows; ``fn(batches)`` yields RecordBatches.
+
+    Spark itself ends a batch at ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB), so very long texts stay bounded.
+    """
+
+    def run(batches):
+        return fn(batch.slice(k, rows) for batch in batches for k in range(0, len(batch), rows))
+
+    return df.mapInArrow(run, schema)
+
+
+def bitmap(values: DataFrame) -> np.ndarray:
+    """Bits of the low part of each value (long) of the one column, as words: 2**BITMAP bits, whatever the values.
+
+    A filter that lets all of ``values`` pass and, up to a hundred million values, few others.
+    """
+    (name,) = values.columns
+    low = F.col(name).bitwiseAND(F.lit((1 << BITMAP) - 1))
+    words = values.groupBy(F.shiftrightunsigned(low, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))")).alias("word")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    out[words["at"].to_numpy()] = words["word"].to_numpy()
+    return out
+
+
+def has(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = values & np.int64(len(words) * 64 - 1)
+    return (words[low >> 6] >> (low & 63)) & 1 > 0
 
 
 def batch_of(**columns) -> pa.RecordBatch:

@@ -2,24 +2,26 @@
 
 With whole documents as the only pivots nearly every distance is 1, every window of twice the radius reaches every
 pivot, and every region holds the whole corpus. So the first regions come from parts of the sets: the shingles of a set
-are dealt by hash into m parts, m one more than the largest number of shingles in which two sets within the radius
-can differ, so at least one part is the same in both. The value of a part is the pivot of a region with a window of
-zero; m depends on the size, and documents near the lower end of a band of sizes also go to the band below (the
-triangle-inequality window around the empty set, whose distance is the size).
-
-Inside a region documents are close, and pivots are documents. First each document is compared with one pivot of its
-regions; a region whose documents are then known to be in one component is finished. Of the others, those of more
-than ``SMALL`` documents draw ``PIVOTS`` pivots, whose exact distances to all others are taken, and are split into the
-pivots' Voronoi regions and, inside these, into shells one radius wide; a document also goes to every region whose
-pivot is at most two radii farther than its own, and to the neighbouring shells, so no link is lost; pivots have met
-all others and leave. The parts are joined again recursively. Smaller regions, and those that a split does not part,
-are joined directly, in tiles of ``SMALL``. A direct join gives out only pairs of different components whose bit
-sketches differ in no more places than linked sets can (each shingle flips one bit, so sets differ at least as much
-as sketches), and these are compared exactly, one of each two components first.
+are dealt by hash into m parts. Two sets within the radius differ in at most d shingles, so at least m - d of their
+parts are the same in both; a set therefore leaves its m - d - 1 lightest parts out and still shares a part with each
+set it is linked with. The value of a part is the pivot of a region with a window of zero; m depends on the size, and
+documents near the lower end of a band of sizes also go to the band below (the triangle-inequality window around the
+empty set, whose distance is the size).
+
+Inside a region documents are close, and pivots are documents. First each document meets one pivot, the most central
+document of its regions, so a group of copies falls into one component whatever the number of regions it fills; a
+region whose documents are then in one component is finished. Of the others, those of more than ``SMALL`` documents
+draw ``PIVOTS`` pivots, whose exact distances to all others are taken, and are split into the pivots' Voronoi regions
+and, inside these, into shells one radius wide; a document also goes to every region whose pivot is at most two radii
+farther than its own, and to the neighbouring shells, so no link is lost; pivots have met all others and leave. The
+parts are joined again recursively. Smaller regions, and those that a split does not part, are compared in blocks:
+bit sketches first (each shingle flips one bit, so sets differ at least as much as sketches), of which a block gives
+out the closest pair of each two components; then exactly, and then the pairs that these links leave apart.
 
 Sets that are equal form a class, of which one document takes part. Documents without words are linked with nothing.
-Null texts have no words. Rows that share a doc_id are one document in links. A null doc_id takes part as the
-largest id and is returned as null. Extra columns are left out; an empty table gives no rows.
+Null texts have no words. Rows that share a doc_id are one document in links, as are those without one; a null
+doc_id counts as larger than all others and is returned as null. Extra columns are left out; an empty table gives no
+rows. Tables of a round are removed when the next is written.
 """
 
 from __future__ import annotations
@@ -33,17 +35,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialize, texts
+from .common import arrow_pass, batch_of, bitmap, has, materialize, release, texts
 from .components import relabel
 
-SMALL = 512
+#: documents of a region that are compared directly
+SMALL = 128
 PIVOTS = 8
+#: documents of one region that a block holds
+TILE = 2048
+#: pairs of sketches compared at once
+PAIRS = 100_000
 #: 64-bit words of a bit sketch
 SKETCH = 16
 BAND = 1.5
-NULL_ID = 2**63 - 1
-#: bits of the low part of a key that tell most keys apart that stand once
-BITMAP = 27
+#: parts beyond those in which linked sets can differ, as a share of these; as many of the lightest are left out
+SPARE = 0.3
 #: rows of a batch of pairs of sets
 PAIR_ROWS = 200
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -86,9 +92,14 @@ def most_apart(sum_of_sizes: int, percent: int) -> int:
     return sum_of_sizes - 2 * -(-percent * sum_of_sizes // (100 + percent))
 
 
+def fingerprint(x: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers that tell sets apart."""
+    return tuple(int(_mix(x * m).sum(dtype=np.uint64).astype(np.int64)) for m in (np.uint64(1), _MUL[2]))
+
+
 @functools.cache
 def bands(percent: int, largest: int):
-    """(smallest size, next band's smallest size, number of parts) of the bands up to a size."""
+    """(smallest size, next band's smallest size, number of parts that a set shows) of the bands up to a size."""
     lo = max(1, -(-percent // (100 - percent)))  # smaller sets are linked only if equal
     out = []
     while lo <= largest:
@@ -100,17 +111,23 @@ def bands(percent: int, largest: int):
 
 
 def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
-    """A key for each part of a set, in its own band and in that below if a smaller set there could be linked."""
+    """A key for each part that a set shows, in its own band and in that below if a smaller set there could be linked.
+
+    Of ``shown + spare`` parts the ``spare`` lightest are left out (of equal ones those with the larger number), which
+    linked sets do alike as far as their parts are the same.
+    """
     n, out = len(x), []
-    for lo, hi, parts in bands(percent, n):
+    for lo, hi, shown in bands(percent, n):
         if not (lo <= n and 100 * (hi - 1) >= percent * n):
             continue
+        parts = shown + int(SPARE * shown)
         part = (_mix(x + np.uint64(lo)) >> np.uint64(11)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         value = np.concatenate([[np.uint64(0)], np.cumsum(_mix(x[order] * _MUL[1]))])
         edge = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
         sums = value[edge[1:]] - value[edge[:-1]]
-        out.append(_mix(sums + np.arange(parts, dtype=np.uint64) * _MUL[2] + np.array([lo], np.uint64) * _MUL[0]))
+        keys = _mix(sums + np.arange(parts, dtype=np.uint64) * _MUL[2] + np.array([lo], np.uint64) * _MUL[0])
+        out.append(keys[np.argsort(edge[:-1] - edge[1:], kind="stable")[:shown]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -121,8 +138,8 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def _sets_pass(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc, n, f1, f2 (fingerprint of the set), the keys of its parts, and its bit sketch."""
+def _sets_pass(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc, row (a hash of the row), n, f1, f2 (fingerprint of the set), the keys of its parts, and its bit sketch."""
 
     def run(batches):
         for batch in batches:
@@ -130,86 +147,97 @@ def _sets_pass(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for raw in pc.cast(batch.column("text"), pa.binary()).to_pylist():
                 x = shingles(raw, width)
                 n.append(len(x))
-                f1.append(int(_mix(x).sum(dtype=np.uint64).astype(np.int64)))
-                f2.append(int(_mix(x * _MUL[2]).sum(dtype=np.uint64).astype(np.int64)))
+                a, b = fingerprint(x)
+                f1.append(a)
+                f2.append(b)
                 keys.append(part_keys(x, percent).view(np.int64))
                 bits.append(sketch(x))
             if n:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys))), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(bits)))], names=["doc", "n", "f1", "f2", "keys", "sketch"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(bits)))
+                yield batch_of(doc=batch.column("doc_id"), row=batch.column("row"), n=pa.array(n, pa.int64()), f1=pa.array(f1, pa.int64()), f2=pa.array(f2, pa.int64()), keys=lists, sketch=sketches)
 
-    return materialize(arrow_pass(docs, run, "doc long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"), "sets")
-
-
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the low part of each key, as words: at most 2**BITMAP bits, so at most 16 MB whatever the keys."""
-    bits = 16
-    while bits < BITMAP and 1 << bits < 32 * keys.count():
-        bits += 3
-    low = F.col("cell").bitwiseAND(F.lit((1 << min(bits, BITMAP)) - 1))
-    words = keys.groupBy(F.shiftrightunsigned(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("word")).toArrow()
-    out = np.zeros(1 << (min(bits, BITMAP) - 6), np.int64)
-    out[words["at"].to_numpy()] = words["word"].to_numpy()
-    return out
+    return materialize(arrow_pass(rows, run, "doc long, row long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"), "sets")
 
 
 def _with_keys_in(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """doc, f1, f2, n, cell: the sets' keys, without most of those that are not in ``keys`` (a filter, not a join)."""
-    shared = sets.sparkSession.sparkContext.broadcast(_bitmap(keys))
+    """f1, f2, n, cell: the sets' keys, without most of those that are not in ``keys`` (a filter, not a join)."""
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap(keys))
 
     def run(batches):
         words = shared.value
-        mask = np.int64(len(words) * 64 - 1)
         for batch in batches:
             lists = batch.column("keys")
             cell = lists.flatten().to_numpy()
-            low = cell & mask
-            hit = (words[low >> 6] >> (low & 63)) & 1 > 0
-            row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))[hit]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc", "f1", "f2", "n")), pa.array(cell[hit])], names=["doc", "f1", "f2", "n", "cell"])
-
-    return arrow_pass(sets.select("doc", "f1", "f2", "n", "keys"), run, "doc long, f1 long, f2 long, n long, cell long")
-
-
-def _hash_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc and its shingle hashes as bytes."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [shingles(raw, width).tobytes() for raw in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc", "x"])
-
-    return materialize(arrow_pass(docs, run, "doc long, x binary"), "hashes")
-
-
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b): a, b, inside (shingles in both), all (in either)."""
-
-    def run(batches):
-        for batch in batches:
-            inside, every = [], []
-            last, y = None, None
-            for raw, other in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
-                x = np.frombuffer(raw, np.uint64)
-                if other is not last:
-                    last, y = other, np.frombuffer(other, np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                k = int((y[at] == x).sum()) if len(y) else 0
-                inside.append(k)
-                every.append(len(x) + len(y) - k)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inside, pa.int64()), pa.array(every, pa.int64())], names=["a", "b", "inside", "every"])
-
-    spark = pairs.sparkSession
-    xa, xb = sets.select(F.col("doc").alias("a"), F.col("x").alias("xa")), sets.select(F.col("doc").alias("b"), F.col("x").alias("xb"))
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf
-    held = conf.get(name)
-    conf.set(name, PAIR_ROWS)
-    try:
-        return materialize(pairs.join(xa, "a").join(xb, "b").mapInArrow(run, "a long, b long, inside long, every long"), "distances")
-    finally:
-        conf.set(name, held)
+            hit = has(words, cell)
+            take = pa.array(np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))[hit])
+            yield batch_of(**{c: batch.column(c).take(take) for c in ("f1", "f2", "n")}, cell=pa.array(cell[hit]))
+
+    return arrow_pass(sets.select("f1", "f2", "n", "keys"), run, "f1 long, f2 long, n long, cell long").distinct()
+
+
+class _Shingles:
+    """Shingle hashes (node, x) of those nodes that comparisons have asked for, made from the texts when they first do."""
+
+    def __init__(self, rows: DataFrame, about: DataFrame, width: int):
+        self.rows, self.about, self.width, self.tables = rows, about, width, []
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """A table with at least ``nodes`` (node)."""
+        missing = nodes.distinct()
+        for held in self.tables:
+            missing = missing.join(held.select("node"), "node", "left_anti")
+        missing = materialize(missing.join(self.about.select("node", "row", "f1"), "node"), "missing")
+        if not missing.isEmpty():
+            self.tables.append(self._read(missing))
+        release(missing)
+        return functools.reduce(DataFrame.unionByName, self.tables) if self.tables else nodes.sparkSession.createDataFrame([], "node long, x binary")
+
+    def _read(self, wanted: DataFrame) -> DataFrame:
+        width, shared = self.width, wanted.sparkSession.sparkContext.broadcast(bitmap(wanted.select("row")))
+
+        def run(batches):
+            seen = set()  # repeated rows of a task give their hashes once
+            for batch in batches:
+                row = batch.column("row").to_numpy()
+                hits = [i for i in np.flatnonzero(has(shared.value, row)).tolist() if row[i] not in seen]
+                hits = list({row[i]: i for i in hits}.values())
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.update(row[i] for i in hits)
+                for k in range(0, len(hits), PAIR_ROWS):
+                    part = hits[k : k + PAIR_ROWS]
+                    xs = [shingles(raw, width) for raw in pc.cast(batch.column("text").take(pa.array(part)), pa.binary()).to_pylist()]
+                    yield batch_of(row=pa.array(row[part]), f1=pa.array([fingerprint(x)[0] for x in xs], pa.int64()), x=pa.array([x.tobytes() for x in xs], pa.binary()))
+
+        found = arrow_pass(self.rows.select("row", "text"), run, "row long, f1 long, x binary")
+        return materialize(found.join(wanted, ["row", "f1"]).select("node", "x").dropDuplicates(["node"]), "shingles")
+
+    def distances(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b): a, b, inside (shingles in both), every (in either)."""
+
+        def run(batches):
+            for batch in batches:
+                inside, every = [], []
+                last, y = None, None
+                for raw, other in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
+                    x = np.frombuffer(raw, np.uint64)
+                    if other is not last:
+                        last, y = other, np.frombuffer(other, np.uint64)
+                    at = np.searchsorted(y, x)
+                    at[at == len(y)] = 0
+                    k = int((y[at] == x).sum()) if len(y) else 0
+                    inside.append(k)
+                    every.append(len(x) + len(y) - k)
+                yield batch_of(a=batch.column("a"), b=batch.column("b"), inside=pa.array(inside, pa.int64()), every=pa.array(every, pa.int64()))
+
+        x = self.of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        xa, xb = x.select(F.col("node").alias("a"), F.col("x").alias("xa")), x.select(F.col("node").alias("b"), F.col("x").alias("xb"))
+        return materialize(arrow_pass(pairs.join(xa, "a").join(xb, "b"), run, "a long, b long, inside long, every long", PAIR_ROWS), "distances")
+
+    def release(self) -> None:
+        release(*self.tables)
 
 
 def _linked(percent: int):
@@ -218,9 +246,11 @@ def _linked(percent: int):
 
 def _merge_equal_regions(members: DataFrame) -> DataFrame:
     """Of regions with the same documents one is kept."""
-    of = members.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").bitwiseAND(F.lit(2**40 - 1))).alias("s"), F.bit_xor(F.xxhash64(F.col("doc"), F.lit(7))).alias("x"), F.min("doc").alias("least"))
+    of = members.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").bitwiseAND(F.lit(2**40 - 1))).alias("s"), F.bit_xor(F.xxhash64(F.col("node"), F.lit(7))).alias("x"), F.min("node").alias("least"))
     kept = materialize(of.groupBy("n", "s", "x", "least").agg(F.min("cell").alias("cell")).select("cell"), "regions")
-    return materialize(members.join(kept, "cell", "left_semi"), "members")
+    out = materialize(members.join(kept, "cell", "left_semi"), "members")
+    release(kept)
+    return out
 
 
 def _apart(a: str, b: str):
@@ -228,121 +258,226 @@ def _apart(a: str, b: str):
     return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(SKETCH)), F.lit(0))
 
 
-def _may_link(percent: int, a: str = "_a", b: str = "_b"):
-    both = F.col("size" + a) + F.col("size" + b)
-    return _apart("sketch" + a, "sketch" + b) <= both - 2 * F.ceil(both * percent / (100 + percent))
+def _may_link(percent: int):
+    both = F.col("size_a") + F.col("size_b")
+    return _apart("sketch_a", "sketch_b") <= both - 2 * F.ceil(both * percent / (100 + percent))
+
+
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    out = relabel(labels, links)
+    if out is not labels:
+        release(labels)
+    return out
+
+
+def _link_to_pivots(members: DataFrame, about: DataFrame, labels: DataFrame, sets: _Shingles, percent: int) -> DataFrame:
+    """Compares each document with one pivot: the most central document of its regions.
+
+    Central is a document that shares most of its parts with others, as the one that copies were made from does; so
+    the copies of a group meet one pivot, in one comparison each, whatever the number of regions they share.
+    """
+    ranked = members.join(about.select("node", "rank"), "node")
+    firsts = materialize(ranked.groupBy("cell").agg(F.min(F.struct("rank", "node")).alias("first")), "firsts")
+    pairs = members.join(firsts, "cell").groupBy("node").agg(F.min("first").alias("first")).select(F.col("node").alias("a"), F.col("first.node").alias("b")).where("a <> b")
+    side = lambda x: about.select(*[F.col(c).alias(n) for c, n in (("node", x), ("size", "size_" + x), ("sketch", "sketch_" + x))])
+    likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b"), "likely")
+    known = sets.distances(likely)
+    labels = _merge(labels, known.where(_linked(percent)).select("a", "b"))
+    release(firsts, likely, known)
+    return labels
+
+
+def _active(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with label and n (documents of the region), of the regions that hold more than one component."""
+    placed = members.join(labels, "node")
+    state = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell", "n")
+    return placed.join(state, "cell")
 
 
-def _direct_pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """regions (cell, n, doc, label, size, sketch): pairs (a, b) of a region that may be linked and are not yet in one
-    component, with their labels and how far their sketches are apart.
+def _split_large(members: DataFrame, about: DataFrame, labels: DataFrame, sets: _Shingles, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Joins regions of more than ``SMALL`` documents at pivots and splits them, again and again.
 
-    A region of n documents is dealt into n / SMALL tiles, and each pair of tiles meets on its own.
+    Gives the labels so far and the regions left: those that are small, and those that pivots do not part.
     """
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / SMALL)).cast("int")
-    own = F.pmod(F.xxhash64(F.col("doc"), F.lit(11)), tiles).cast("int")
-    every = F.explode(F.sequence(F.lit(0), tiles - 1))
-    columns = ["doc", "label", "size", "sketch"]
-    left = regions.withColumns({"ta": own, "tb": every}).select("cell", "ta", "tb", *[F.col(c).alias(c + "_a") for c in columns])
-    right = regions.withColumns({"ta": every, "tb": own}).select("cell", "ta", "tb", *[F.col(c).alias(c + "_b") for c in columns])
-    on = [left[c] == right[c] for c in ("cell", "ta", "tb")] + [F.col("doc_a") > F.col("doc_b"), F.col("label_a") != F.col("label_b"), _may_link(percent)]
-    found = left.join(right, on).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "label_a", "label_b", _apart("sketch_a", "sketch_b").alias("apart"))
-    return found.distinct()
-
-
-def _link_closest_first(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compares one pair of each two components, the closest by sketch; then those pairs that these links leave apart."""
-    best = pairs.groupBy(F.least("label_a", "label_b").alias("x"), F.greatest("label_a", "label_b").alias("y")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
-    known = _distances(best.select("p.a", "p.b"), sets)
-    labels = relabel(labels, known.where(_linked(percent)).select("a", "b"))
-    la, lb = (labels.select(F.col("doc").alias(x), F.col("label").alias("l" + x)) for x in "ab")
-    rest = pairs.select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti").join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
-    return relabel(labels, _distances(rest, sets).where(_linked(percent)).select("a", "b"))
-
-
-def _link_to_first(members: DataFrame, about: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compares each document with one other: of its regions' smallest documents (by hash) the smallest."""
-    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("d"))
-    firsts = members.groupBy("cell").agg(F.min(order("doc")).alias("first"))
-    firsts = materialize(firsts, "firsts")
-    pairs = members.join(firsts, "cell").groupBy("doc").agg(F.min("first").alias("first")).select(F.col("doc").alias("a"), F.col("first.d").alias("b")).where("a <> b")
-    side = lambda x: about.select(*[F.col(c).alias(n) for c, n in (("doc", x), ("size", "size_" + x), ("sketch", "sketch_" + x))])
-    likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b"), "firsts")
-    return relabel(labels, _distances(likely, sets).where(_linked(percent)).select("a", "b"))
-
-
-def _link_regions(members: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members (cell, doc), about (doc, size, sketch): labels (doc, label) of the components of all links inside regions."""
     radius = 1 - percent / 100 + 1e-9
-    labels = materialize(about.select("doc", F.col("doc").alias("label")), "labels")
+    done, turn = [], 0
     members = members.withColumn("stuck", F.lit(False))
-    labels = _link_to_first(members, about, labels, sets, percent)
-    turn = 0
     while True:
-        placed = materialize(members.join(labels, "doc"), "placed")
-        state = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("doc", F.xxhash64(F.col("doc"), F.lit(turn))).alias("first"))
-        state = materialize(state.where("low <> high").select("cell", "n", "first"), "state")
-        if state.isEmpty():
-            return labels
-        active = materialize(placed.join(state, "cell"), "active")
+        active = materialize(_active(members, labels), "active")
         direct = F.col("stuck") | (F.col("n") <= SMALL)
-        pairs = materialize(_direct_pairs(active.where(direct).join(about, "doc"), percent), "pairs")
-        if not pairs.isEmpty():
-            labels = _link_closest_first(labels, pairs, sets, percent)
+        done.append(active.where(direct).select("cell", "node"))
         large = active.where(~direct)
         if large.isEmpty():
-            return labels
-        draw = F.pmod(F.xxhash64(F.col("doc"), F.lit(turn), F.lit("pivot")), F.lit(1_000_003)) / 1_000_003.0 < F.lit(PIVOTS) / F.col("n")
-        pivot = (F.col("doc") == F.col("first")) | draw
-        pivots = large.where(pivot).select("cell", F.col("doc").alias("b"))
-        met = large.join(pivots, "cell").where(F.col("doc") != F.col("b")).select(F.col("doc").alias("a"), "b").distinct()
-        known = _distances(met, sets)
-        labels = relabel(labels, known.where(_linked(percent)).select("a", "b"))
-        members = materialize(_split(large.where(~pivot), pivots, known, radius), "members")
-        turn += 1
+            return labels, functools.reduce(DataFrame.unionByName, done)
+        # the draw depends on the document alone, so regions that hold the same documents have the same pivots
+        chance = F.pmod(F.xxhash64(F.col("node"), F.lit(turn), F.lit("pivot")), F.lit(1_000_003)) / 1_000_003.0
+        first = large.groupBy("cell").agg(F.min_by("node", F.xxhash64(F.col("node"), F.lit(turn), F.lit("first"))).alias("first"))
+        drawn = materialize(large.join(first, "cell").select("cell", "node", ((F.col("node") == F.col("first")) | (chance < F.lit(PIVOTS) / F.col("n"))).alias("pivot")), "drawn")
+        pivots = drawn.where("pivot").select("cell", F.col("node").alias("b"))
+        met = drawn.join(pivots, "cell").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
+        met = materialize(met, "met")
+        known = sets.distances(met)
+        labels = _merge(labels, known.where(_linked(percent)).select("a", "b"))
+        parts = _split(drawn.where("not pivot").select("cell", "node"), pivots, known, radius)
+        release(drawn, met, known, *([members] if turn else []))
+        members, turn = parts, turn + 1
 
 
 def _split(rest: DataFrame, pivots: DataFrame, known: DataFrame, radius: float) -> DataFrame:
     """Voronoi regions and shells of the documents that are left; a region that they do not part stays and is stuck."""
-    by_pivot = rest.select("cell", F.col("doc").alias("a")).join(pivots.select("cell", "b"), "cell").join(known, ["a", "b"])
-    by_pivot = by_pivot.select("cell", "a", "b", (1 - F.col("inside") / F.col("every")).alias("d"))
+    by_pivot = rest.select("cell", F.col("node").alias("a")).join(pivots, "cell").join(known, ["a", "b"])
+    by_pivot = materialize(by_pivot.select("cell", "a", "b", (1 - F.col("inside") / F.col("every")).alias("d")), "split")
     home = by_pivot.groupBy("cell", "a").agg(F.min("d").alias("nearest"))
     near = by_pivot.join(home, ["cell", "a"]).where(F.col("d") <= F.col("nearest") + 2 * radius)
     shell = F.floor(F.col("d") / radius)
     dealt = near.withColumn("shell", F.explode(F.array(shell - 1, shell, shell + 1)))
-    dealt = materialize(dealt.select(F.col("cell").alias("was"), F.xxhash64("cell", "b", "shell").alias("cell"), F.col("a").alias("doc")), "split")
+    dealt = materialize(dealt.select(F.col("cell").alias("was"), F.xxhash64("cell", "b", "shell").alias("cell"), F.col("a").alias("node")), "split")
     # rows that meet: the sum of squares over the parts against the square of the whole
     parts = dealt.groupBy("was", "cell").agg(F.count("*").alias("k")).groupBy("was").agg(F.sum(F.col("k") * F.col("k")).alias("parts"))
     whole = rest.groupBy(F.col("cell").alias("was")).agg((F.count("*") * F.count("*")).alias("whole"))
     good = materialize(whole.join(parts, "was").where("parts < 0.7 * whole").select("was"), "split")
-    kept = rest.select(F.col("cell").alias("was"), "doc").join(good, "was", "left_anti").select(F.col("was").alias("cell"), "doc", F.lit(True).alias("stuck"))
-    return kept.unionByName(dealt.join(good, "was", "left_semi").select("cell", "doc", F.lit(False).alias("stuck")).distinct())
+    kept = rest.select(F.col("cell").alias("was"), "node").join(good, "was", "left_anti").select(F.col("was").alias("cell"), "node", F.lit(True).alias("stuck"))
+    out = kept.unionByName(dealt.join(good, "was", "left_semi").select("cell", "node", F.lit(False).alias("stuck")).distinct())
+    out = materialize(out, "members")
+    release(by_pivot, dealt, good)
+    return out
+
+
+def close_pairs(size: np.ndarray, sketches: np.ndarray, label: np.ndarray, tile: np.ndarray, ends: np.ndarray, percent: int):
+    """Rows i < j of one region (``ends`` is where the region of each row ends) whose sketches allow a link and whose
+    labels differ: i, j, places apart. Sketches are unsigned. With two tiles in a region, rows of one tile do not meet."""
+    both = np.arange(0, 2 * int(size.max(initial=0)) + 1)
+    most = both - 2 * -(-percent * both // (100 + percent))
+    count = ends - np.arange(len(ends)) - 1
+    upto = np.cumsum(count)
+    out, a = [], 0
+    while a < len(ends):
+        base = upto[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, base + PAIRS, side="right")))
+        i = np.repeat(np.arange(a, b), count[a:b])
+        j = np.arange(len(i)) - np.repeat(upto[a:b] - count[a:b] - base, count[a:b]) + i + 1
+        ok = (label[i] != label[j]) & ((tile[i] != tile[j]) | (tile[i] < 0))
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
+        ok = apart <= most[size[i] + size[j]]
+        out.append((i[ok], j[ok], apart[ok]))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _candidates(regions: DataFrame, about: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) with la, lb, apart of documents of a region that may be linked and are in different components.
+
+    Regions are compared in blocks of at most ``TILE`` documents of one region against as many others. With ``best``
+    a block gives only the closest pair of each two components.
+    """
+    active = _active(regions, labels).join(about.select("node", "size", "sketch"), "node")
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
+    active = active.withColumns({"tiles": tiles, "own": F.pmod(F.xxhash64(F.col("node"), F.lit(11)), tiles).cast("int")})
+    columns = ["cell", "lo", "hi", "own", "node", "label", "size", "sketch"]
+    alone = active.where("tiles = 1").withColumns({"lo": F.lit(-1), "hi": F.lit(-1), "own": F.lit(-1)}).select(columns)
+    other = active.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    other = other.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "own": F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))})
+    # rows that meet within a tile have no tile of their own (-1); in a block of two tiles only rows of different ones meet
+    blocks = alone.unionByName(other.select(columns))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            key = [rows.column(c).to_numpy() for c in ("cell", "lo", "hi")]
+            new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
+            yield from compare(rows.slice(0, int(new[-1])))
+            held = pa.concat_batches([rows.slice(int(new[-1]))])
+        if held is not None:
+            yield from compare(held)
+
+    def compare(rows):
+        if not len(rows):
+            return
+        at = {c: rows.column(c).to_numpy() for c in ("cell", "lo", "hi", "own", "node", "label", "size")}
+        new = np.flatnonzero(np.concatenate([[True], np.any([at[c][1:] != at[c][:-1] for c in ("cell", "lo", "hi")], axis=0)]))
+        ends = np.repeat(np.append(new[1:], len(rows)), np.diff(np.append(new, len(rows))))
+        i, j, apart = close_pairs(at["size"], rows.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH), at["label"], at["own"], ends, percent)
+        i, j = np.where(at["node"][i] < at["node"][j], i, j), np.where(at["node"][i] < at["node"][j], j, i)
+        la, lb, a, b = at["label"][i], at["label"][j], at["node"][i], at["node"][j]
+        x, y = np.minimum(la, lb), np.maximum(la, lb)
+        if best:
+            order = np.lexsort((b, a, apart, y, x))
+            first = np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])]) if len(order) else np.zeros(0, bool)
+            take = order[first]
+        else:
+            take = np.unique(np.stack([a, b]), axis=1, return_index=True)[1]
+        yield batch_of(**{c: pa.array(v[take]) for c, v in {"a": a, "b": b, "x": x, "y": y, "apart": apart}.items()})
+
+    dealt = blocks.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+    return arrow_pass(dealt, run, "a long, b long, x long, y long, apart long")
+
+
+def _link_direct(regions: DataFrame, about: DataFrame, labels: DataFrame, sets: _Shingles, percent: int) -> DataFrame:
+    """Compares the closest pair of each two components exactly; then all pairs that these links leave in different ones."""
+    found = _candidates(regions, about, labels, percent, best=True).groupBy("x", "y").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+    first = materialize(found, "pairs")
+    known = sets.distances(first)
+    labels = _merge(labels, known.where(_linked(percent)).select("a", "b"))
+    rest = materialize(_candidates(regions, about, labels, percent, best=False).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        others = sets.distances(rest)
+        labels = _merge(labels, others.where(_linked(percent)).select("a", "b"))
+        release(others)
+    release(first, known, rest)
+    return labels
+
+
+def _same_document(narrow: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of rows that share a doc_id."""
+    several = narrow.groupBy("doc").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("doc")
+    rows = narrow.alias("r").join(several.alias("s"), F.col("r.doc").eqNullSafe(F.col("s.doc")), "left_semi").distinct()
+    nodes = rows.join(classes.select("f1", "f2", "n", "node"), ["f1", "f2", "n"]).select("doc", "node")
+    least = nodes.groupBy("doc").agg(F.min("node").alias("b"))
+    return nodes.alias("r").join(least.alias("s"), F.col("r.doc").eqNullSafe(F.col("s.doc"))).select(F.col("node").alias("a"), "b").where("a <> b")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id (smallest with an equal set)."""
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
+    rows = texts(docs)
+    rows = rows.select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("row"), "text")
     sets = _sets_pass(rows, width, percent)
-    narrow = sets.select("doc", "n", "f1", "f2")
-    classes = materialize(narrow.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc"), "f1", "f2", "n")
-    # a key that stands twice may be shared; copies of a set also count here, and drop out with their class below
-    shared = sets.select(F.explode("keys").alias("cell")).groupBy("cell").agg(F.count("*").alias("k")).where("k > 1").select("cell")
-    shared = materialize(shared, "shared")
-    members = _with_keys_in(sets, shared).join(reps, ["doc", "f1", "f2", "n"], "left_semi").join(shared, "cell", "left_semi").select("cell", "doc").distinct()
-    members = materialize(members, "members")
-    members = _merge_equal_regions(members)
-    inside = members.select("doc").distinct()
-    about = sets.join(inside, "doc", "left_semi").join(reps, ["doc", "f1", "f2", "n"], "left_semi").select("doc", F.col("n").alias("size"), "sketch").dropDuplicates(["doc"])
+    narrow = materialize(sets.select("doc", "n", "f1", "f2"), "narrow")
+    smallest = F.min(F.struct(F.col("doc").isNull(), "doc"))  # a null is the largest
+    classes = sets.where("n > 0").groupBy("f1", "f2", "n").agg(smallest.alias("rep"), F.min("row").alias("row"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # a key of two different sets: copies of a set do not make one
+    keys = sets.select(F.explode("keys").alias("cell"), "f1")
+    shared = materialize(keys.groupBy("cell").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("cell"), "shared")
+    named = classes.select("f1", "f2", "n", "node")
+    found = materialize(_with_keys_in(sets, shared).join(shared, "cell", "left_semi").join(named, ["f1", "f2", "n"]).select("cell", "node"), "members")
+    central = found.groupBy("node").agg(F.count("*").alias("k")).join(classes.select("node", "f1", "f2", "n", "row"), "node")
+    own = sets.select("row", "f1", "f2", "n", F.size("keys").alias("keys"), "sketch")
+    # 32 steps of the share of keys that others have too, most first; a hash tells equal ones apart
+    rank = F.shiftleft(31 - F.least(F.lit(31), F.floor(F.col("k") * 32 / F.col("keys"))), 58) + F.shiftrightunsigned(F.xxhash64("node"), 6)
+    about = central.join(own, ["row", "f1", "f2", "n"]).select("node", "row", "f1", F.col("n").alias("size"), "sketch", rank.alias("rank")).dropDuplicates(["node"])
     about = materialize(about, "about")
-    hashes = _hash_sets(rows.join(about.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), width)
-    labels = _link_regions(members, about, hashes, percent)
-    named = materialize(classes.join(labels, classes["rep"] == labels["doc"], "left").select("f1", "f2", "n", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id")), "named")
-    found = narrow.where("n > 0").join(named, ["f1", "f2", "n"]).select("doc", "n", "component_id", "class_id")
+    release(sets, shared)
+    members = _merge_equal_regions(found)
+    release(found)
+    same = materialize(_same_document(narrow.where("n > 0"), classes), "same")
+    labels = about.select("node").unionByName(same.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    labels = materialize(labels.select("node", F.col("node").alias("label")), "labels")
+    if not same.isEmpty():
+        labels = _merge(labels, same)
+    hashes = _Shingles(rows, about, width)
+    labels = _link_to_pivots(members, about, labels, hashes, percent)
+    labels, regions = _split_large(members, about, labels, hashes, percent)
+    labels = _link_direct(regions, about, labels, hashes, percent)
+    hashes.release()
+    label = F.coalesce("label", "node")
+    placed = classes.join(labels, "node", "left").select("f1", "f2", "n", "rep", label.alias("label"))
+    least = placed.groupBy("label").agg(F.min("rep").alias("least"))
+    named = materialize(placed.join(least, "label").select("f1", "f2", "n", F.col("rep.doc").alias("class_id"), F.col("least.doc").alias("component_id")), "named")
+    linked = narrow.where("n > 0").join(named, ["f1", "f2", "n"]).select("doc", "n", "component_id", "class_id")
     alone = narrow.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"), F.col("doc").alias("class_id"))
-    out = found.unionByName(alone)
-    real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
-    return out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), real("class_id").alias("class_id"))
+    return linked.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "class_id")
 
 
 def _row_key(docs: DataFrame):
