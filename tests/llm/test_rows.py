@@ -114,6 +114,36 @@ def test_quality(spark, sf_dir, tmp_path):
     assert q.op3_perplexity_rules(spark, write(spark, odd_documents(spark, []), tmp_path / "e")).count() == 0
 
 
+def test_kept_equals_brute_force(spark, sf_dir):
+    """Bands, perplexities and verdicts of the whole table, one document after the other from the model's formula."""
+    from tracewell.llm import quality as Q
+
+    rows = [(r.doc_id, r.lang, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    grams = Counter(c for _, _, t in rows for c in gram_codes(t).tolist())
+    model = Model(np.array(list(grams)), np.array(list(grams.values())))
+    want = {}
+    for i, lang, t in rows:
+        parts = [round(float(x) * Q.PARTS) for x in model.log_probability(gram_codes(t))]
+        want[i] = lang, base_quality(t)[-1], -sum(parts) / Q.PARTS / len(parts) if parts else None
+    band = {}
+    for lang in {x[0] for x in want.values()} | {"*"}:
+        bins = sorted(math.floor(v * Q.BINS) for at, failed, v in want.values() if not failed and lang in (at, "*"))
+        if bins and (len(bins) >= Q.LEAST_DOCS or lang == "*"):
+            q1, q3 = (bins[math.ceil(len(bins) * share) - 1] / Q.BINS for share in (0.25, 0.75))
+            reach = max((q3 - q1) * Q.FENCE, Q.LEAST_FENCE)
+            band[lang] = q1 - reach, q3 + reach
+    got = q.op3_perplexity_rules(spark, sf_dir).collect()
+    assert len(got) == len(want)
+    for r in got:
+        lang, failed, value = want[r.doc_id]
+        low, high = band.get(lang, band["*"])
+        assert r.log_perplexity == pytest.approx(value, abs=1e-9) and r.kept == (not failed and (value is None or low <= value <= high))
+    same = defaultdict(set)
+    for r in got:
+        same[next(t for i, _, t in rows if i == r.doc_id)].add(r.log_perplexity)
+    assert all(len(v) == 1 for v in same.values())
+
+
 def test_perplexity_finds_noise_and_keeps_clean(spark):
     rng = np.random.default_rng(5)
     parts = ["ther", "on", "is", "and", "re", "ing", "a", "tion"]
