@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import ODD_ROWS, odd_documents, write
 from tracewell.llm import queries as q
-from tracewell.llm.packing import Packer, pack_documents
+from tracewell.llm.packing import Packer, pack_conversations, pack_documents
 from tracewell.llm.token_blocks import document_ids, pack, read_shard, unpack, write_shard
 
 
@@ -70,7 +70,7 @@ def check_pieces(rows, got):
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
-        assert at <= 2048 and len(pieces) <= 64
+        assert at <= 2048 and len(pieces) <= 8
     total = sum(r.length for r in got)
     assert total == sum(len(x[2]) for x in want)
     padded = sum(n if (n := sum(p[1] for p in s)) & (n - 1) == 0 else 2048 for s in by_seq.values())
@@ -94,19 +94,51 @@ def test_packing(spark, sf_dir, tmp_path):
 
 def test_packer_holds_every_limit():
     rng = np.random.default_rng(3)
-    packer = Packer(100, 4, 60, 10, 0)
+    packer = Packer(100, 4, 60, 0)
     sizes = rng.integers(1, 250, 3000).tolist()
     for k, n in enumerate(sizes):
-        packer.add((k,), n)
+        packer.add((k,), n, ((10, n),) if k % 3 else ((0, n // 4), (n // 2, n)))
     packer.finish()
-    seqs, covered = {}, {}
+    seqs, covered, bearing = {}, {}, {}
     for (k,), start, length, seq, offset in packer.out:
+        loss = [i for i in range(start, start + length) if (i >= 10 if k % 3 else i < sizes[k] // 4 or i >= sizes[k] // 2)]
+        bearing.setdefault(seq, {})[k, start] = len(loss)
         seqs.setdefault(seq, []).append((start, length))
         covered.setdefault(k, []).extend(range(start, start + length))
     assert all(sorted(covered[k]) == list(range(n)) for k, n in enumerate(sizes))
-    for pieces in seqs.values():
+    for seq, pieces in seqs.items():
         assert sum(n for _, n in pieces) <= 100 and len(pieces) <= 4
-        assert sum(packer._loss(s, n) for s, n in pieces) <= 60
+        assert sum(n for n in bearing[seq].values()) <= 60
+
+
+def test_limits_bind_on_the_whole_table(spark, sf_dir):
+    rows = q.op4_vector_packing(spark, sf_dir).collect()
+    segments, loss = {}, {}
+    for r in rows:
+        segments[r.sequence_id] = segments.get(r.sequence_id, 0) + 1
+        loss[r.sequence_id] = loss.get(r.sequence_id, 0) + r.loss_tokens
+        first = r.doc_tokens // 4
+        assert r.loss_tokens == max(0, r.start + r.length - max(first, r.start))
+    assert max(segments.values()) == 8 and max(loss.values()) == 1792
+
+
+def test_conversations(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = rows.collect() + [(10**6, t, "assistant" if t % 2 else "user", "word " * (t % 50)) for t in range(400)]
+    docs = spark.createDataFrame(turns, rows.schema)
+    got = pack_conversations(docs, public_tokenizers.path("byte_bpe_50k.json"), 1).collect()
+    want, found = {}, {}
+    for conv, turn, role, text in sorted(map(tuple, turns), key=str):
+        ids = ids_of("byte_bpe_50k.json", text, 1)
+        n, loss = want.get(conv, (0, 0))
+        want[conv] = n + len(ids), loss + len(ids) * (role == "assistant")
+    seqs = {}
+    for r in got:
+        n, loss = found.get(r.doc_id, (0, 0))
+        found[r.doc_id] = n + r.length, loss + r.loss_tokens
+        seqs.setdefault(r.sequence_id, []).append((r.length, r.loss_tokens))
+    assert found == want
+    assert all(sum(n for n, _ in s) <= 2048 and len(s) <= 8 and sum(x for _, x in s) <= 1792 for s in seqs.values())
 
 
 def test_empty_tables(spark, tmp_path):
