@@ -103,7 +103,7 @@ def samples(h: Hashes, n: int, length: int):
 
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, t (a hash of the text: tells rows of one id apart), text."""
-    return texts(docs).withColumn("t", F.hash("text"))
+    return texts(docs).withColumn("t", F.xxhash64("text"))
 
 
 def _suffixes(rows: DataFrame, length: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _suffixes(rows: DataFrame, length: int) -> DataFrame:
             if out:
                 yield _suffix_batch(batch, out, index)
 
-    return arrow_pass(rows.select("doc_id", "t", "text"), run, "doc_id long, t int, bucket long, whole long, first long, spread int")
+    return arrow_pass(rows.select("doc_id", "t", "text"), run, "doc_id long, t long, bucket long, whole long, first long, spread int")
 
 
 def _suffix_batch(batch, out, index) -> pa.RecordBatch:
@@ -144,7 +144,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array([pack.compress(x) for x in pc.cast(batch.column("text"), pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "t", "z"])
 
-    return arrow_pass(rows.select("doc_id", "t", "text"), run, "doc_id long, t int, z binary")
+    return arrow_pass(rows.select("doc_id", "t", "text"), run, "doc_id long, t long, z binary")
 
 
 def _bytes_of(packed: bytes, unpack) -> bytes:
@@ -177,7 +177,7 @@ def _contexts(rows: DataFrame, members: DataFrame, length: int) -> DataFrame:
 
     lists = members.groupBy("doc_id", "t").agg(F.collect_list(F.struct("bucket", "hot", "first", "spread")).alias("found"))
     joined = _on_document(_packed(rows).dropDuplicates(["doc_id", "t"]), lists, "inner")
-    return materialize(arrow_pass(joined.select("doc_id", "t", "z", "found"), run, "doc_id long, t int, bucket long, hot boolean, first long, spread int, bytes binary"), "contexts")
+    return materialize(arrow_pass(joined.select("doc_id", "t", "z", "found"), run, "doc_id long, t long, bucket long, hot boolean, first long, spread int, bytes binary"), "contexts")
 
 
 def _context_batch(batch, ids, out) -> pa.RecordBatch:
@@ -216,7 +216,7 @@ def _runs(row: np.ndarray, number: np.ndarray):
     return row[cut], number[cut], number[last]
 
 
-_SPANS = "doc_id long, t int, first long, last long"
+_SPANS = "doc_id long, t long, first long, last long"
 
 
 def _refine_blocks(contexts: DataFrame, length: int) -> DataFrame:
@@ -229,7 +229,7 @@ def _refine_blocks(contexts: DataFrame, length: int) -> DataFrame:
         hit = count[which] > 1
         r, a, b = _runs(row[hit], number[hit])
         first = np.array(rows["first"], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([rows["doc_id"][k] for k in r], pa.int64()), pa.array([rows["t"][k] for k in r], pa.int32()), pa.array(first[r] + a, pa.int64()), pa.array(first[r] + b, pa.int64())], names=["doc_id", "t", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array([rows["doc_id"][k] for k in r], pa.int64()), pa.array([rows["t"][k] for k in r], pa.int64()), pa.array(first[r] + a, pa.int64()), pa.array(first[r] + b, pa.int64())], names=["doc_id", "t", "first", "last"])
 
     def run(batches):
         held = None
@@ -276,7 +276,7 @@ def _parts(contexts: DataFrame, length: int, width: int) -> DataFrame:
                 names=["doc_id", "t", "bucket", "whole", "first", "spread", "bytes"],
             )
 
-    return arrow_pass(contexts.select("doc_id", "t", "bucket", "first", "spread", "bytes"), run, "doc_id long, t int, bucket long, whole long, first long, spread int, bytes binary")
+    return arrow_pass(contexts.select("doc_id", "t", "bucket", "first", "spread", "bytes"), run, "doc_id long, t long, bucket long, whole long, first long, spread int, bytes binary")
 
 
 def _spans(members: DataFrame) -> DataFrame:
