@@ -1,9 +1,12 @@
 """Media columns: content-addressed payloads in tar shards; rows carry digest, shard, offset and length.
 
 A payload (bytes, padded with 0 to a positive multiple of 64) is stored as an 8-bit grey PNG of width 64, which is
-lossless and compressed. A task appends PNG files, named by the payload's SHA-256, to tar shards in the shared folder
-and stores a payload once per task, however often it comes. ``fill_metadata`` reads only the first 33 bytes of each
-file by a range read; ``read_features`` reads the stored bytes back and decodes them.
+lossless and compressed, once in the whole corpus, under its SHA-256 in a tar shard of the shared folder. Digests are
+counted first. Payloads that stand once go to shards from the task that reads them, without a shuffle; of those that
+stand more often, which a bitmap of bounded size picks out, one copy each is dealt out and stored.
+
+``fill_metadata`` reads only the first 33 bytes of each file by a range read; ``read_features`` reads the stored bytes
+back and decodes them. Both work on payloads; rows, however many share one, get the values by a join on the digest.
 
 Null text is an empty payload (64 zero bytes); repeated rows share a stored file; an empty table gives no shard.
 """
@@ -19,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import files
-from .common import arrow_pass, materialize, shared_dir, texts
+from .common import arrow_pass, batch_of, bitmap, has, materialize, release, shared_dir, texts
 
 WIDTH = 64
 SHARD_BYTES = 32_000_000
@@ -79,78 +83,113 @@ def feature(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]} mean={mean:.3f} dev={deviation:.3f} bits={entropy:.3f} bands={'/'.join(map(str, bands))}"
 
 
-def store_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Store each text as media; rows: doc_id, n_bytes, digest, shard, offset, length. A written table."""
-    folder = folder or shared_dir(docs.sparkSession, "media")
+def payload_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text, n_bytes, digest (SHA-256 of the padded payload, hex), h (a hash of the digest)."""
+    raw = F.col("text").cast("binary")
+    n = F.octet_length("text")
+    pad = F.when(n == 0, 64).otherwise(F.pmod(-n, F.lit(64)))
+    keyed = texts(docs).select("doc_id", "text", n.cast("long").alias("n_bytes"), F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("00"), pad))), 256).alias("digest"))
+    return keyed.withColumn("h", F.xxhash64("digest"))
+
+
+_STORED = "digest string, shard string, offset long, length long"
 
-    def store(batches):
-        seen: dict[bytes, tuple] = {}  # payloads of the open shard
-        done: list[tuple] = []  # rows whose shard is still open
-        shard, at = [], 0
+
+def _store(folder: str):
+    """A pass over (text, digest) that stores each row's payload."""
+
+    def run(batches):
+        shard, at, done = [], 0, []
 
         def close():
-            nonlocal shard, at, done, seen
-            if not done:
-                return
             uri = files.write_new(folder, ".tar", b"".join(shard) + bytes(1024))
-            doc_id, n_bytes, digest, offset, length = zip(*done)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(digest), pa.array([uri] * len(done)), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
-            shard, at, done, seen = [], 0, [], {}
+            digest, offset, length = zip(*done)
+            return batch_of(digest=pa.array(digest), shard=pa.array([uri] * len(done)), offset=pa.array(offset, pa.int64()), length=pa.array(length, pa.int64()))
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), pc.cast(batch.column("text"), pa.binary()).to_pylist()):
+            for k in range(len(batch)):
+                raw = batch.column("text")[k].as_py().encode()
                 payload = raw + bytes(-len(raw) % 64 if raw else 64)
                 digest = hashlib.sha256(payload).hexdigest()
-                if digest not in seen:
-                    media = to_png(payload)
-                    member = tarfile.TarInfo(f"{digest}.png")
-                    member.size = len(media)
-                    head = member.tobuf(tarfile.USTAR_FORMAT)
-                    seen[digest] = at + len(head), len(media)
-                    shard += [head, media, bytes(-len(media) % 512)]
-                    at += len(head) + len(media) + len(shard[-1])
-                done.append((doc_id, len(raw), digest, *seen[digest]))
+                if digest != batch.column("digest")[k].as_py():
+                    raise ValueError("a payload differs from its digest")
+                media = to_png(payload)
+                member = tarfile.TarInfo(f"{digest}.png")
+                member.size = len(media)
+                head = member.tobuf(tarfile.USTAR_FORMAT)
+                done.append((digest, at + len(head), len(media)))
+                shard += [head, media, bytes(-len(media) % 512)]
+                at += len(head) + len(media) + len(shard[-1])
                 if at >= SHARD_BYTES:
-                    yield from close()
-        yield from close()
+                    yield close()
+                    shard, at, done = [], 0, []
+        if done:
+            yield close()
+
+    return run
+
+
+def store_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Store each distinct payload as media; a row for each: digest, shard, offset, length. A written table."""
+    folder = folder or shared_dir(docs.sparkSession, "media")
+    keyed = payload_keys(docs)
+    repeated = materialize(keyed.groupBy("digest", "h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "media-repeated")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
+    release(repeated)
+
+    def single(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~has(shared.value, batch.column("h").to_numpy())))
+
+    def several(batches):
+        seen: set = set()  # copies of a task go on once
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = {h[i]: i for i in np.flatnonzero(has(shared.value, h)).tolist() if h[i] not in seen}
+            seen.update(new)
+            yield batch.take(pa.array(sorted(new.values()), pa.int64()))
 
-    return materialize(arrow_pass(texts(docs), store, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
+    rows = keyed.select("text", "digest", "h")
+    once = rows.mapInArrow(lambda batches: _store(folder)(single(batches)), _STORED)
+    copies = arrow_pass(rows, several, "text string, digest string, h long").dropDuplicates(["digest"])
+    return materialize(once.unionByName(arrow_pass(copies.select("text", "digest"), _store(folder), _STORED)), "media-files")
 
 
 def _by_shard(batches, read):
     """Rows come sorted by shard; ``read(reader, offset, length)`` gives a tuple per row."""
-    uri, reader, last = None, None, None
+    uri, reader = None, None
     for batch in batches:
         out = []
         for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length"))):
             if shard != uri:
                 if reader:
                     reader.close()
-                uri, reader, last = shard, files.RangeReader(shard), None
-            if last != offset:  # copies of a payload follow each other
-                last, row = offset, read(reader, offset, length)
-            out.append(row)
+                uri, reader = shard, files.RangeReader(shard)
+            out.append(read(reader, offset, length))
         if out:
             yield batch, [list(x) for x in zip(*out)]
     if reader:
         reader.close()
 
 
-def fill_metadata(rows: DataFrame) -> DataFrame:
+def fill_metadata(stored: DataFrame) -> DataFrame:
     """Add width, height and bit_depth from each file's header alone."""
-    kept = ["doc_id", "n_bytes", "digest", "shard", "offset", "length"]
+    kept = ["digest", "shard", "offset", "length"]
 
     def run(batches):
         for batch, (width, height, depth) in _by_shard(batches, lambda f, offset, length: png_header(f.read(offset, HEADER_BYTES))):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(width, pa.int64()), pa.array(height, pa.int64()), pa.array(depth, pa.int64())], names=[*kept, "width", "height", "bit_depth"])
+            yield batch_of(**{c: batch.column(c) for c in kept}, width=pa.array(width, pa.int64()), height=pa.array(height, pa.int64()), bit_depth=pa.array(depth, pa.int64()))
 
-    n = max(1, min(rows.select("shard").distinct().count(), 10_000))
-    dealt = rows.select(kept).repartition(n, "shard").sortWithinPartitions("shard", "offset")
-    return arrow_pass(dealt, run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long, width long, height long, bit_depth long")
+    n = max(1, min(stored.select("shard").distinct().count(), 10_000))
+    dealt = stored.select(kept).repartition(n, "shard").sortWithinPartitions("shard", "offset")
+    return arrow_pass(dealt, run, _STORED + ", width long, height long, bit_depth long")
 
 
-def read_features(rows: DataFrame) -> DataFrame:
+def read_features(stored: DataFrame) -> DataFrame:
     """Read each stored file back and add payload and media digests and a feature."""
+    kept = ["digest", "width", "height", "bit_depth"]
 
     def read(f, offset, length):
         media = f.read(offset, length)
@@ -162,13 +201,16 @@ def read_features(rows: DataFrame) -> DataFrame:
         for batch, (size, sha, tail, media_bytes, media_sha, features) in _by_shard(batches, read):
             if sha != batch.column("digest").to_pylist():
                 raise ValueError("a stored payload differs from its digest")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(size, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array(media_bytes, pa.int64()), pa.array(media_sha), pa.array(features), *(batch.column(c) for c in ("width", "height", "bit_depth", "shard", "offset"))],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "shard", "offset"],
+            yield batch_of(
+                **{c: batch.column(c) for c in kept}, payload_bytes=pa.array(size, pa.int64()), payload_sha256=pa.array(sha), tail_crc32=pa.array(tail, pa.int64()),
+                media_bytes=pa.array(media_bytes, pa.int64()), media_sha256=pa.array(media_sha), feature=pa.array(features),
             )
 
-    return arrow_pass(rows, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, bit_depth long, shard string, offset long").drop("shard")
+    return arrow_pass(stored, run, "digest string, width long, height long, bit_depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    return read_features(fill_metadata(store_media(docs))).drop("offset")
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height, bit_depth."""
+    media = materialize(read_features(fill_metadata(store_media(docs))), "media-columns")
+    rows = payload_keys(docs).select("doc_id", "n_bytes", "digest").join(media, "digest")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
