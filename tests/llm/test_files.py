@@ -1,15 +1,18 @@
 import hashlib
+import math
+import random
 import re
 import tarfile
 import zlib
+from collections import Counter
 
 import pytest
 
 from tests.llm.helpers import ODD_ROWS, odd_documents, write
 from tracewell.llm import queries as q
 from tracewell.llm.licenses import Index, words
-from tracewell.llm.media import from_png, png_header, store_media, to_png
-from tracewell.llm.warc import decode_http, parse_records, read_archives, read_records, reassemble, write_archives
+from tracewell.llm.media import feature, from_png, png_header, store_media, to_png
+from tracewell.llm.warc import decode_http, members, parse_records, read_archives, read_records, reassemble, write_archives
 
 
 def pages(spark, rows):
@@ -50,6 +53,17 @@ def test_warc_whole_table_and_empty(spark, sf_dir, tmp_path):
     assert q.op6_warc_segments(spark, write(spark, pages(spark, []), tmp_path, "pages")).count() == 0
 
 
+def test_archive_files_are_members_with_mandatory_headers(spark):
+    folder = write_archives(pages(spark, PAGES), segment_bytes=5000)
+    found = [head for r in spark.read.parquet(f"{folder}/manifest").collect() for m in members(r.path) for head, _ in parse_records(m)]
+    for head in found:
+        assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(head) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["warc-date"])
+    responses = {h["warc-record-id"] for h in found if h["warc-type"] == "response"}
+    revisits = [h for h in found if h["warc-type"] == "revisit"]
+    assert revisits and all(h["warc-refers-to"] in responses for h in revisits)
+    assert len({h["warc-record-id"] for h in found}) == len(found)
+
+
 def test_lost_segments_are_noticed(spark):
     folder = write_archives(pages(spark, [(1, "u", "y" * 900)]), segment_bytes=100)
     records = read_records(spark, folder)
@@ -88,6 +102,7 @@ def test_media(spark, sf_dir, tmp_path):
 
 def test_media_shards_are_tar_files(spark):
     rows = store_media(odd_documents(spark)).collect()
+    assert len({r.digest for r in rows}) == len(rows)  # once in the whole corpus
     for r in rows:
         with tarfile.open(r.shard.removeprefix("file://")) as tar:
             assert len(tar.getnames()) == len(set(tar.getnames()))
@@ -96,6 +111,28 @@ def test_media_shards_are_tar_files(spark):
         assert hashlib.sha256(from_png(media).tobytes()).hexdigest() == r.digest
 
 
+def test_png_and_feature_are_what_they_say():
+    """The stored form by another reader of PNG, and the feature by plain counting."""
+    rng = random.Random(3)
+    for payload in (bytes(64), bytes(rng.randrange(256) for _ in range(640)), b"ab" * 320):
+        media, at, data = to_png(payload), 8, b""
+        while at < len(media):
+            size, kind = int.from_bytes(media[at : at + 4], "big"), media[at + 4 : at + 8]
+            assert zlib.crc32(media[at + 4 : at + 8 + size]) == int.from_bytes(media[at + 8 + size : at + 12 + size], "big")
+            data += media[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+            at += 12 + size
+        lines = zlib.decompress(data)
+        assert b"".join(lines[k + 1 : k + 65] for k in range(0, len(lines), 65)) == payload and not any(lines[::65])
+        n = len(payload)
+        mean = sum(payload) / n
+        deviation = math.sqrt(sum((b - mean) ** 2 for b in payload) / n)
+        bits = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+        bands = "/".join(str(sum(b // 32 == k for b in payload) * 1000 // n) for k in range(8))
+        got = re.fullmatch(r"64x(\d+) mean=(.*) dev=(.*) bits=(.*) bands=(.*)", feature(from_png(media)))
+        assert int(got[1]) == n // 64 and got[5] == bands
+        assert all(abs(float(got[k]) - v) < 0.001 for k, v in ((2, mean), (3, deviation), (4, bits)))
+
+
 def base_licenses(text):
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

@@ -1,12 +1,15 @@
-"""WARC archives: records written by Spark's text sink, read back whole, reassembled from segments.
+"""WARC archives: records written as gzip members by the tasks, read back in pieces, reassembled from segments.
 
 Writing: a record per page. Its block is an HTTP response in chunked transfer framing; a block over ``segment_bytes``
 becomes a first record and continuation records (WARC-Segment-Number, WARC-Segment-Origin-ID, and
 WARC-Segment-Total-Length on the last). Of records with equal payloads of ``revisit_bytes`` or more, that with the
-largest page id is a response, the others are revisit records that name it and carry no payload.
+largest page id is a response, the others are revisit records that name it (WARC-Refers-To) and carry no payload. Each
+record is a gzip member of its own; a file is closed at ``FILE_BYTES``. A manifest beside the files lists those of
+committed tasks, so a task that runs twice does no harm.
 
-Reading: files are parsed into records; continuations are grouped by origin identifier, ordered by segment number,
-their total length is verified, and chunked framing is decoded. A wrong length, a gap or a wrong digest raises.
+Reading: files are decompressed and parsed in pieces, member by member; continuations are grouped by origin
+identifier, ordered by segment number, their total length is verified, and chunked framing is decoded. A wrong
+length, a gap or a wrong digest raises.
 
 Null html is an empty payload. Null or repeated page ids are records of their own: each row has its own record id.
 Rows that share both page id and payload are all responses if theirs is the largest id. Extra columns are left out.
@@ -16,18 +19,22 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, join_small, materialize, shared_dir
+from . import files
+from .common import arrow_pass, batch_of, join_small, materialize, shared_dir
 
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 REVISIT_BYTES = 1_000
-#: bounds the size of an archive file
-FILE_RECORDS = 20_000
+#: compressed bytes at which an archive file is closed
+FILE_BYTES = 256_000_000
+#: bytes of a file that are read at once, and of records that are handed on at once
+PIECE_BYTES = 4_000_000
 _CRLF = "\r\n"
 
 
@@ -45,20 +52,30 @@ def _chunked(payload: Column) -> Column:
 
 
 def mark_revisits(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, payload_bytes, digest (SHA-1, hex), refers_to (null for responses)."""
+    """page_id, url, payload, payload_bytes, digest (SHA-1, hex), rid (record id), refers_to (null for responses),
+    refers_rid (null also where the row referred to stands several times).
+
+    A record id is a hash of page id, address and payload; rows that are equal in all three are told apart by number."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    groups = rows.where(F.col("payload_bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("rows"))
-    repeated = materialize(groups.where("rows > 1 and largest is not null").select("digest", "largest"), "revisits")
-    joined = join_small(rows, repeated, "digest", "left")
-    return joined.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
-
-
-def write_archives(pages: DataFrame, folder: str | None = None, segment_bytes: int = SEGMENT_BYTES, revisit_bytes: int = REVISIT_BYTES) -> str:
-    """Write gzipped archive files and return their folder."""
+    named = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")), "digest"))
+    as_uuid = lambda h: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+    rows = rows.withColumn("rid", as_uuid(named))
+    groups = rows.where(F.col("payload_bytes") >= revisit_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "rid")).alias("largest"), F.count("*").alias("rows"))
+    repeated = materialize(groups.where("rows > 1 and largest.page_id is not null").select("digest", F.col("largest.page_id").alias("largest"), F.col("largest.rid").alias("largest_rid")), "revisits")
+    equal = materialize(rows.groupBy("rid").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("rid").alias("same_rid")), "equal-pages")
+    repeated = materialize(join_small(repeated, equal, F.col("largest_rid") == F.col("same_rid"), "left").select("digest", "largest", F.when(F.col("same_rid").isNull(), F.col("largest_rid")).alias("largest_rid")), "revisits")
+    joined = join_small(join_small(rows, repeated, "digest", "left"), equal, F.col("rid") == F.col("same_rid"), "left")
+    numbered = as_uuid(F.md5(F.concat_ws("|", "rid", F.monotonically_increasing_id().cast("string"))))
+    joined = joined.withColumn("rid", F.when(F.col("same_rid").isNull(), F.col("rid")).otherwise(numbered))
+    other = ~F.col("page_id").eqNullSafe(F.col("largest"))
+    return joined.select("page_id", "url", "payload", "payload_bytes", "digest", "rid", F.when(other, F.col("largest")).alias("refers_to"), F.when(other, F.col("largest_rid")).alias("refers_rid"))
+
+
+def write_archives(pages: DataFrame, folder: str | None = None, segment_bytes: int = SEGMENT_BYTES, revisit_bytes: int = REVISIT_BYTES, captured: Column | None = None) -> str:
+    """Write archive files and their manifest, and return the folder. ``captured``: the time of capture, now if not given."""
     folder = folder or shared_dir(pages.sparkSession, "warc")
     rows = mark_revisits(pages, revisit_bytes)
-    rows = rows.withColumn("rid", F.concat(F.lit("<urn:tracewell:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(">")))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Transfer-Encoding: chunked{_CRLF}{_CRLF}"), _chunked(F.col("payload")))
     rows = rows.withColumn("block", F.when(revisit, F.lit(f"HTTP/1.1 304 Not Modified{_CRLF}{_CRLF}")).otherwise(http).cast("binary"))
@@ -69,12 +86,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, segment_bytes: i
     record = F.concat(
         F.lit(f"WARC/1.1{_CRLF}"),
         _header("WARC-Type", F.when(revisit, "revisit").when(first, "response").otherwise("continuation")),
-        _header("WARC-Record-ID", F.when(first, F.col("rid")).otherwise(F.concat(F.regexp_replace("rid", ">$", ":"), F.col("number").cast("string"), F.lit(">")))),
+        _header("WARC-Record-ID", F.when(first, F.col("rid")).otherwise(F.concat(F.regexp_replace("rid", ">$", "-"), F.col("number").cast("string"), F.lit(">")))),
+        _header("WARC-Date", F.date_format(F.to_utc_timestamp(captured if captured is not None else F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _header("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]", "%20")),
         _header("WARC-Page-ID", F.col("page_id")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _header("WARC-Payload-Length", F.col("payload_bytes")),
         _header("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        _header("WARC-Refers-To", F.col("refers_rid")),
         _header("WARC-Refers-To-Page-ID", F.col("refers_to")),
         _header("WARC-Segment-Number", F.when(several, F.col("number"))),
         _header("WARC-Segment-Origin-ID", F.when(~first, F.col("rid"))),
@@ -84,10 +103,53 @@ def write_archives(pages: DataFrame, folder: str | None = None, segment_bytes: i
         F.lit(_CRLF),
         part.cast("string"),
     )
-    rows.select(record.alias("record")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    several_rows = rows.select(F.concat(record.cast("binary"), F.lit(_CRLF * 2).cast("binary")).alias("record"))
+    several_rows.mapInArrow(_write_files(f"{folder}/data"), "path string, records long, bytes long").write.parquet(f"{folder}/manifest")
     return folder
 
 
+def _write_files(folder: str):
+    """A pass over (record) that appends each as a gzip member to the task's open file."""
+
+    def run(batches):
+        path, out, records = None, None, 0
+
+        def close():
+            size = out.tell()
+            out.close()
+            return batch_of(path=pa.array([path]), records=pa.array([records], pa.int64()), bytes=pa.array([size], pa.int64()))
+
+        for batch in batches:
+            for record in batch.column("record"):
+                if out is None:
+                    path, out = files.open_new(folder, ".warc.gz")
+                    records = 0
+                out.write(gzip.compress(record.as_py(), 6, mtime=0))
+                records += 1
+                if out.tell() >= FILE_BYTES:
+                    yield close()
+                    out = None
+        if out is not None:
+            yield close()
+
+    return run
+
+
+def members(uri: str):
+    """The gzip members of a file, read in pieces; no more than a member and a piece are held."""
+    with files.open_read(uri) as f:
+        unzip, held = zlib.decompressobj(31), []
+        while piece := f.read(PIECE_BYTES):
+            while piece:
+                held.append(unzip.decompress(piece))
+                piece = unzip.unused_data if unzip.eof else b""
+                if unzip.eof:
+                    yield b"".join(held)
+                    unzip, held = zlib.decompressobj(31), []
+        if any(held):
+            raise ValueError(f"{uri} ends inside a record")
+
+
 def parse_records(raw: bytes):
     """(headers by lower-case name, block) of each record of an archive file."""
     at = 0
@@ -134,20 +196,21 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches):
         schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+        rows = lambda out: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
         for batch in batches:
-            for content in batch.column("content"):
-                raw = gzip.decompress(content.as_py())
+            for path in batch.column("path").to_pylist():
                 out, held = [], 0
-                for head, block in parse_records(raw):
+                for head, block in (record for member in members(path) for record in parse_records(member)):
                     out.append((head.get("warc-segment-origin-id", head["warc-record-id"]), head["warc-type"], number(head, "warc-page-id"), head.get("warc-payload-digest", "").removeprefix("sha1:"), number(head, "warc-payload-length"), number(head, "warc-refers-to-page-id"), number(head, "warc-segment-number"), number(head, "warc-segment-total-length"), block))
                     held += len(block)
-                    if held > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+                    if held > PIECE_BYTES:
+                        yield rows(out)
                         out, held = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+                    yield rows(out)
 
-    return arrow_pass(spark.read.format("binaryFile").load(folder).select("content"), run, _RECORD)
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    return arrow_pass(manifest.select("path").repartition(max(1, min(manifest.count(), 10_000))), run, _RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
