@@ -17,15 +17,26 @@ def _at(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_new(folder: str, suffix: str, payload) -> str:
+def open_new(folder: str, suffix: str):
+    """(uri, open stream) of a new file."""
     uri = f"{folder}/{uuid.uuid4().hex}{suffix}"
     where, path = _at(uri)
     where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with where.open_output_stream(path) as out:
+    return uri, where.open_output_stream(path, compression=None)
+
+
+def write_new(folder: str, suffix: str, payload) -> str:
+    uri, out = open_new(folder, suffix)
+    with out:
         out.write(payload)
     return uri
 
 
+def open_read(uri: str):
+    where, path = _at(uri)
+    return where.open_input_stream(path, compression=None)
+
+
 def read_all(uri: str) -> bytes:
     where, path = _at(uri)
     with where.open_input_file(path) as f:

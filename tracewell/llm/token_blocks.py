@@ -2,22 +2,28 @@
 
 A shard file holds whole documents::
 
-    "PFB1" | n_ids u64 | n_blocks u32 | n_docs u32
-    doc_id i64 x n_docs | ids per document u64 x n_docs
-    start of each block in the body, u64 x (n_blocks + 1)
+    "PFB2"
     body: per block of 128 ids: minimum u32 | width u8 | n_exceptions u8 | n_ids u16
           | packed low bits, 16 x width bytes | positions u8 x n_exceptions | differences u32 x n_exceptions
+    doc_id i64 x n_docs | whether a document has an id, a bit each | ids per document u64 x n_docs
+    start of each block in the body, u64 x (n_blocks + 1)
+    n_ids u64 | n_blocks u32 | n_docs u32 | "PFB2"
 
 Each block subtracts its minimum, packs the differences at the width that holds ``PERCENTILE`` of them, and lists the
-wider ones as exceptions. The block index lets a reader open one document without decoding the rest.
-
-Documents are dealt by ranges of doc_id, so shards follow each other in id order; a task closes a shard at
-``SHARD_IDS`` ids and never holds more than that plus one slice of texts. Null texts are empty documents (end id
-only), null ids come first, repeated rows are documents of their own, an empty table gives no shard.
+wider ones as exceptions. The block index lets a reader open one document without decoding the rest; as it stands at
+the end, a writer keeps only the index and one run of blocks in memory.
+
+Texts are dealt by ranges of (doc_id, hash of the text, row number), so that shards follow each other in id order and
+one id, or none, may hold any share of the rows; each task then encodes and writes at once. (To encode first and
+shuffle ids took more: ids are as large as these texts, and had to be written before ranges could be drawn.) Null texts
+are empty documents (end id only), null ids come first, repeated rows are documents of their own, rows of one id come
+in the order of a hash of their texts; an empty table gives no shard.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,7 +36,10 @@ from .tokens import encoder, sliced
 BLOCK = 128
 PERCENTILE = 0.9
 SHARD_IDS = 4_000_000
-_HEAD = np.dtype([("magic", "S4"), ("ids", "<u8"), ("blocks", "<u4"), ("docs", "<u4")])
+#: ids that are packed or unpacked at once
+RUN = 2048 * BLOCK
+_MAGIC = b"PFB2"
+_TAIL = np.dtype([("ids", "<u8"), ("blocks", "<u4"), ("docs", "<u4"), ("magic", "S4")])
 _BLOCK = np.dtype([("minimum", "<u4"), ("width", "u1"), ("exceptions", "u1"), ("ids", "<u2")])
 
 
@@ -103,25 +112,98 @@ def unpack(starts: np.ndarray, body: np.ndarray) -> np.ndarray:
     return ids.ravel()[(np.arange(BLOCK) < head["ids"][:, None]).ravel()]
 
 
+class ShardWriter:
+    """Writes documents to a stream as they come."""
+
+    def __init__(self, out):
+        self.out, self.docs, self.starts, self.at = out, [], [np.zeros(1, np.int64)], 0
+        self.held, self.n_held, self.ids, self.n_docs = [], 0, 0, 0
+        out.write(_MAGIC)
+
+    def add(self, doc_ids: np.ndarray, has_id: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.docs.append((doc_ids.astype("<i8"), has_id, sizes.astype("<u8")))
+        self.n_docs += len(doc_ids)
+        self.ids += len(ids)
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= RUN:
+            ids = np.concatenate(self.held)
+            whole = len(ids) // BLOCK * BLOCK
+            self._blocks(ids[:whole])
+            self.held, self.n_held = [ids[whole:].copy()], len(ids) - whole
+
+    def _blocks(self, ids: np.ndarray) -> None:
+        for a in range(0, len(ids), RUN):
+            starts, body = pack(ids[a : a + RUN])
+            self.starts.append(starts[1:] + self.at)
+            self.at += len(body)
+            self.out.write(body.tobytes())
+
+    def close(self) -> None:
+        self._blocks(np.concatenate([np.zeros(0, np.uint32), *self.held]))
+        doc_ids, has_id, sizes = (np.concatenate(x) for x in zip(*self.docs))
+        starts = np.concatenate(self.starts).astype("<u8")
+        for x in (doc_ids, np.packbits(has_id.astype(np.uint8)), sizes, starts, np.array([(self.ids, len(starts) - 1, self.n_docs, _MAGIC)], _TAIL)):
+            self.out.write(x.tobytes())
+
+
+class Shard:
+    """A shard file that has been read."""
+
+    def __init__(self, raw: bytes):
+        tail = np.frombuffer(raw, _TAIL, 1, len(raw) - _TAIL.itemsize)[0]
+        if raw[:4] != _MAGIC or tail["magic"] != _MAGIC:
+            raise ValueError("not a shard of patched frame-of-reference blocks")
+        n, blocks, flags = int(tail["docs"]), int(tail["blocks"]), -(-int(tail["docs"]) // 8)
+        at = len(raw) - _TAIL.itemsize - 8 * (blocks + 1) - 16 * n - flags
+        self.doc_ids = np.frombuffer(raw, "<i8", n, at)
+        self.has_id = np.unpackbits(np.frombuffer(raw, np.uint8, flags, at + 8 * n))[:n].astype(bool)
+        self.sizes = np.frombuffer(raw, "<u8", n, at + 8 * n + flags).astype(np.int64)
+        self.starts = np.frombuffer(raw, "<u8", blocks + 1, at + 16 * n + flags)
+        self.body = np.frombuffer(raw, np.uint8, at - 4, 4)
+        self.ends = np.cumsum(self.sizes)
+        if int(self.starts[-1]) != len(self.body) or self.sizes.sum() != tail["ids"]:
+            raise ValueError("the shard is damaged: its counts differ")
+
+    def ids(self, lo: int, hi: int) -> np.ndarray:
+        """The ids from ``lo`` to ``hi``: only their blocks are decoded."""
+        first, last = lo // BLOCK, -(-hi // BLOCK)
+        return unpack(self.starts[first : last + 1], self.body)[lo - first * BLOCK : hi - first * BLOCK]
+
+    def runs(self):
+        """(from, to) of runs of documents of about ``RUN`` ids."""
+        a = 0
+        while a < len(self.sizes):
+            base = self.ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(self.ends, base + RUN, side="right")))
+            yield a, b
+            a = b
+
+
 def write_shard(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    starts, body = pack(ids)
-    head = np.array([(b"PFB1", len(ids), len(starts) - 1, len(doc_ids))], _HEAD)
-    return b"".join(x.tobytes() for x in (head, doc_ids.astype("<i8"), sizes.astype("<u8"), starts.astype("<u8"), body))
+    out = io.BytesIO()
+    shard = ShardWriter(out)
+    shard.add(doc_ids, np.ones(len(doc_ids), bool), sizes, ids)
+    shard.close()
+    return out.getvalue()
 
 
 def read_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc ids, ids per document, all ids) of a shard file."""
-    head = np.frombuffer(raw, _HEAD, 1)[0]
-    if head["magic"] != b"PFB1":
-        raise ValueError("not a shard of patched frame-of-reference blocks")
-    n, blocks, at = int(head["docs"]), int(head["blocks"]), _HEAD.itemsize
-    doc_ids = np.frombuffer(raw, "<i8", n, at)
-    sizes = np.frombuffer(raw, "<u8", n, at + 8 * n).astype(np.int64)
-    starts = np.frombuffer(raw, "<u8", blocks + 1, at + 16 * n)
-    ids = unpack(starts, np.frombuffer(raw, np.uint8, -1, at + 16 * n + 8 * (blocks + 1)))
-    if len(ids) != head["ids"] or sizes.sum() != len(ids):
-        raise ValueError("the shard is damaged: its counts differ")
-    return doc_ids, sizes, ids
+    shard = Shard(raw)
+    return shard.doc_ids, shard.sizes, shard.ids(0, int(shard.sizes.sum()))
+
+
+def document_ids(raw: bytes, index: int) -> np.ndarray:
+    """The ids of the document at ``index`` of a shard: the block index leads to its blocks, no other is decoded."""
+    shard = Shard(raw)
+    return shard.ids(int(shard.ends[index] - shard.sizes[index]), int(shard.ends[index]))
+
+
+def binaries(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values of ``sizes`` items each, cut from an array without a copy."""
+    offsets = np.concatenate([[0], np.cumsum(sizes) * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -135,38 +217,38 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     def write(batches):
         from pyspark import TaskContext
 
-        part, seq, held, count = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, shard = TaskContext.get().partitionId(), 0, None
         enc = encoder(tokenizer)
 
         def close():
-            nonlocal seq, held, count
-            doc_ids, sizes, ids = (np.concatenate(x) for x in zip(*held))
-            raw = write_shard(doc_ids, sizes, ids)
-            row = batch_of(part=pa.array([part], pa.int64()), seq=pa.array([seq], pa.int64()), path=pa.array([files.write_new(folder, ".pfb", raw)]), n_docs=pa.array([len(doc_ids)], pa.int64()), n_ids=pa.array([len(ids)], pa.int64()), n_bytes=pa.array([len(raw)], pa.int64()))
-            seq, held, count = seq + 1, [], 0
+            nonlocal seq, shard
+            shard.close()
+            size = shard.out.tell()
+            shard.out.close()
+            row = batch_of(part=pa.array([part], pa.int64()), seq=pa.array([seq], pa.int64()), path=pa.array([path]), n_docs=pa.array([shard.n_docs], pa.int64()), n_ids=pa.array([shard.ids], pa.int64()), n_bytes=pa.array([size], pa.int64()))
+            seq, shard = seq + 1, None
             return row
 
         for batch in batches:
-            doc_ids, text = batch.column("doc_id").fill_null(NULL_ID).to_numpy(), batch.column("text")
+            doc_id, text = batch.column("doc_id"), batch.column("text")
             for a, b in sliced(text):
+                if shard is None:
+                    path, out = files.open_new(folder, ".pfb")
+                    shard = ShardWriter(out)
                 ids, sizes = enc.encode(text[a:b])
-                ends = np.cumsum(sizes)
-                held.append((doc_ids[a:b], sizes + 1, np.insert(ids, ends, end_id).astype(np.uint32)))
-                count += len(ids)
-                if count >= SHARD_IDS:
+                ids = np.insert(ids.astype(np.uint32), np.cumsum(sizes), end_id)
+                shard.add(doc_id[a:b].fill_null(0).to_numpy(), np.asarray(doc_id[a:b].is_valid()), sizes + 1, ids)
+                if shard.ids >= SHARD_IDS:
                     yield close()
-        if held:
+        if shard is not None:
             yield close()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = texts(docs).withColumns({"digest": F.xxhash64("text"), "k": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(n, "doc_id", "digest", "k").sortWithinPartitions("doc_id", "digest", "k").select("doc_id", "text")
     return materialize(arrow_pass(ordered, write, "part long, seq long, path string, n_docs long, n_ids long, n_bytes long"), "shards")
 
 
-#: stands for a null doc_id in files
-NULL_ID = -(2**63)
-
-
 def read_token_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of all documents, ids as little-endian uint32; start counts the ids of all before it."""
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
@@ -179,26 +261,11 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
-                doc_ids, sizes, ids = read_shard(files.read_all(path))
-                ends = np.cumsum(sizes)
-                raw = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
-                yield batch_of(doc_id=pa.array(doc_ids, mask=doc_ids == NULL_ID), start=pa.array(base + ends - sizes, pa.int64()), ids=raw)
+                shard = Shard(files.read_all(path))
+                for a, b in shard.runs():
+                    first = shard.ends[a:b] - shard.sizes[a:b]
+                    ids = shard.ids(int(first[0]), int(shard.ends[b - 1])).astype("<u4")
+                    yield batch_of(doc_id=pa.array(shard.doc_ids[a:b], mask=~shard.has_id[a:b]), start=pa.array(base + first, pa.int64()), ids=binaries(shard.sizes[a:b], ids))
 
     spread = placed.repartition(max(1, min(shards.count(), 4000)))
     return arrow_pass(spread, read, "doc_id long, start long, ids binary")
-
-
-def document_ids(raw: bytes, index: int) -> np.ndarray:
-    """The ids of the document at ``index`` of a shard: the block index leads to its blocks, no other is decoded."""
-    head = np.frombuffer(raw, _HEAD, 1)[0]
-    n, blocks, at = int(head["docs"]), int(head["blocks"]), _HEAD.itemsize
-    sizes = np.frombuffer(raw, "<u8", n, at + 8 * n).astype(np.int64)
-    lo = int(sizes[:index].sum())
-    hi = lo + int(sizes[index])
-    first, last = lo // BLOCK, -(-hi // BLOCK)
-    starts = np.frombuffer(raw, "<u8", blocks + 1, at + 16 * n)[first : last + 1]
-    ids = unpack(starts, np.frombuffer(raw, np.uint8, -1, at + 16 * n + 8 * (blocks + 1)))
-    return ids[lo - first * BLOCK : hi - first * BLOCK]
-
-
-__all__ = ["document_ids", "pack", "read_shard", "read_token_shards", "unpack", "write_shard", "write_token_shards"]

@@ -19,8 +19,10 @@ import regex
 #: starts the first piece of a text, so that it is told from pieces with a space before them
 _FIRST = "\x01"
 _ODD = "^[ \n]|[ \n]$|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0  -‏    　﻿]|<\\|"
-#: pieces kept per worker; beyond that the memo starts anew
-MEMO = 1_500_000
+#: bytes of what a worker keeps of pieces and words, as estimated; beyond that its memo starts anew
+MEMO_BYTES = 96_000_000
+#: bytes of an entry besides those of the piece and its ids: two objects and a place in the table
+_ENTRY = 200
 #: characters whose classes all Unicode versions agree on
 _PLAIN = regex.compile("[ \n!-~À-ÖØ-öø-įı-ɏ]*")
 
@@ -42,6 +44,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self._letters = _byte_letters()
         # the two kinds of file: with a normalizer (lower case, blanks dropped) or without
         self._lower = self.tokenizer.normalizer is not None
@@ -53,6 +56,7 @@ class PieceEncoder:
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
+            self.held += _ENTRY + 6 * len(word)
             letters = word.replace(" ", "\u0120") if word.isascii() and "\n" not in word else "".join([self._letters[b] for b in word.encode()])
             ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
         return ids
@@ -77,13 +81,14 @@ class PieceEncoder:
         plain = texts.filter(pa.array(~odd))
         pieces = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_FIRST), plain, ""), "\n", " \n"), " ")
         flat = pieces.flatten().dictionary_encode()
-        if len(self.memo) > MEMO:
-            self.memo, self.words = {}, {}
+        if self.held > MEMO_BYTES:
+            self.memo, self.words, self.held = {}, {}, 0
         memo, each = self.memo, []
         for p in flat.dictionary.to_pylist():
             ids = memo.get(p)
             if ids is None:
                 ids = memo[p] = self._new(p[1:] if p[0] == _FIRST else p if p[0] == "\n" else " " + p)
+                self.held += _ENTRY + len(p) + len(ids)
             each.append(ids)
         size = np.array([len(x) // 4 for x in each], np.int64)
         pool = np.frombuffer(b"".join(each), np.uint32)
@@ -122,7 +127,7 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def sliced(texts: pa.Array, most: int = 24_000_000):
+def sliced(texts: pa.Array, most: int = 8_000_000):
     """(from, to) of runs of texts of about ``most`` bytes."""
     sizes = np.cumsum(np.asarray(pc.binary_length(texts)))
     start = 0
