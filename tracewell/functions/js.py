@@ -35,3 +35,10 @@ def day(ms: Column) -> Column:
 def share_percent(part: Column, whole: Column) -> Column:
     """Percentage with one decimal; 0 of nothing."""
     return F.when(whole > 0, half_up(part * 1000.0 / whole) / F.lit(10.0)).otherwise(0.0)
+
+
+def to_fixed(x: Column, digits: int) -> Column:
+    """A number that is not negative, with ``digits`` decimals: by its exact value, ties up (the fraction is exact)."""
+    scale = 10**digits
+    part = F.floor((x - F.floor(x)) * scale + 0.5)
+    return F.concat((F.floor(x) + F.when(part >= scale, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((part % scale).cast("string"), digits, "0"))

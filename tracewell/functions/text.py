@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .js import half_up
+from .js import half_up, to_fixed
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
@@ -138,11 +138,11 @@ def sensitive_reason(path: Column) -> Column:
 
 
 def format_tokens(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1_000, F.format_string("%.1fK", n / 1_000)).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.concat(to_fixed(n / 1_000_000, 1), F.lit("M"))).when(n >= 1_000, F.concat(to_fixed(n / 1_000, 1), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def format_cost(dollars: Column) -> Column:
-    return F.when(dollars < 0.01, F.format_string("$%.4f", dollars)).otherwise(F.format_string("$%.2f", dollars))
+    return F.when(dollars < 0.01, F.concat(F.lit("$"), to_fixed(dollars, 4))).otherwise(F.concat(F.lit("$"), to_fixed(dollars, 2)))
 
 
 def agent_cost(agent: Column, tokens_in: Column, tokens_out: Column) -> Column:

@@ -311,17 +311,6 @@ def residue_check(spark, d):
     return on.table(spark, d, "documents").select("doc_id", text.residue(F.col("text")).alias("residue"))
 
 
-@query("SELECT event_id, 'k' AS paths FROM events")
-def field_paths(spark, d):
-    return on.table(spark, d, "events").select("event_id", F.array_join(redact.field_paths(F.col("props")), ",").alias("paths"))
-
-
-@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"in":[{"a":1}]}' AS kept, '{"in":[{"a":1,"b":2}]}' AS stripped FROM events""")
-def keep_and_strip(spark, d):
-    deep = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "in": [{"a": 1, "b": 2}]}'))
-    return on.table(spark, d, "events").select("event_id", redact.keep_fields(deep, ["k", "in[]"], ["in.*.b"]).alias("kept"), redact.strip_fields(deep, ["k"]).alias("stripped"))
-
-
 @query("""WITH e AS (SELECT user_id, event_id, event_type, (epoch_us(ts) // 1000) AS ms FROM events), v AS (SELECT * FROM e WHERE event_type = 'view'), c AS (SELECT * FROM e WHERE event_type = 'click'),
  n AS (SELECT v.event_id AS id, v.user_id AS session_id, v.ms AS timestamp, c.ms AS completed_at, row_number() OVER (PARTITION BY v.event_id ORDER BY c.ms, c.event_id) AS rn FROM v LEFT JOIN c ON v.user_id = c.user_id AND c.event_id = v.event_id + 1)
  SELECT id, session_id, timestamp, completed_at, completed_at - timestamp AS duration_ms, CASE WHEN completed_at IS NOT NULL THEN true END AS success FROM n WHERE rn = 1""")
@@ -505,16 +494,6 @@ def quality_scores(spark, d):
     return quality.quality_scores(sessions, u, quality.outcome_signals(u), rolled, on.AS_OF)
 
 
-@query()
-def session_tags(spark, d):
-    """Tags and task types of sessions with files and commands made from the events."""
-    u = on.coarse_usages(spark, d)
-    texts = {"click": ("file", "src/components/a.test.ts"), "view": ("file", "docs/readme.md"), "purchase": ("command", "cargo build"), "signup": ("command", "git commit -m 'fix bug'"), "error": ("command", "pytest")}
-    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in texts.items() for x in (k, v[i])]), F.col("tool_name"))
-    tags = quality.infer_tags(u.select("session_id", pick(0).alias("kind"), "pos", pick(1).alias("text")))
-    return tags.select("session_id", "category", "tag", "confidence", "inferred_from")
-
-
 @query(U + "SELECT session_id, max(timestamp) AS latest FROM u GROUP BY 1")
 def latest_versions(spark, d):
     u = on.usages(spark, d)
