@@ -36,3 +36,9 @@ def test_equal_lists_need_one_round(spark, monkeypatch):
     monkeypatch.setattr(joins, "_one_by_one", None)
     df = spark.createDataFrame(ROWS["one folder"], "hook_id int, hook_pos int, transcript_id int, transcript_pos int, score int")
     assert {(r.hook_id, r.transcript_id) for r in joins.greedy_match(df, rounds=1).collect()} == {(k, k) for k in range(35)}
+
+
+def test_a_chain_of_1500_hooks_is_matched(spark):
+    rows = [(h, h, t, t, 1) for h in range(1500) for t in (h, h + 1)]
+    df = spark.createDataFrame(rows, "hook_id int, hook_pos int, transcript_id int, transcript_pos int, score int")
+    assert {(r.hook_id, r.transcript_id) for r in joins.greedy_match(df, rounds=1).collect()} == one_by_one(rows)

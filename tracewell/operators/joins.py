@@ -42,13 +42,14 @@ def candidates(hooks: DataFrame, transcripts: DataFrame, window_ms: int = 5_000,
     return h.join(t, "bucket").withColumn("score", score).where(F.col("score") >= least).drop("bucket")
 
 
-def greedy_match(pairs: DataFrame, rounds: int = 12) -> DataFrame:
+def greedy_match(pairs: DataFrame, rounds: int = 4) -> DataFrame:
     """One transcript per hook: hooks in order each take their best free transcript (the first among equals).
 
     Hooks with the same list of pairs take its transcripts in order: the k-th hook of a list takes the k-th, unless an
     earlier hook with another list contests one of the first k. Such rounds give what going through the hooks one by one
-    gives, whole table at a time. What is still open after ``rounds`` of them (long chains of contested hooks) is gone
-    through one by one, in order, by one task that holds only the ids taken; no pair is left open.
+    gives, whole table at a time. What is still open after ``rounds`` of them (long chains of contested hooks) is parted
+    into groups that share no transcript, and each group is gone through one by one, in order, by a task that holds
+    only the ids taken in it; no pair is left open.
     """
     chosen, open_ = None, pairs
     for _ in range(rounds):
@@ -58,7 +59,7 @@ def greedy_match(pairs: DataFrame, rounds: int = 12) -> DataFrame:
         chosen = won if chosen is None else chosen.unionByName(won)
         open_ = checkpointed(open_.join(won.select("hook_id"), "hook_id", "left_anti").join(won.select("transcript_id"), "transcript_id", "left_anti").select(*pairs.columns))
     if not open_.isEmpty():
-        rest = checkpointed(_one_by_one(open_))
+        rest = checkpointed(_one_by_one(_grouped(open_)).select(*pairs.columns))
         chosen = rest if chosen is None else chosen.unionByName(rest)
     return pairs.limit(0) if chosen is None else chosen
 
@@ -79,14 +80,34 @@ def _uncontested(pairs: DataFrame) -> DataFrame:
     return placed.where("rank = place").join(blocked, "hook_id", "left_anti")
 
 
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """pairs with the smallest hook_id that is reached over shared transcripts and hooks, as ``group``.
+
+    Labels pass from hooks to transcripts and back, and each takes its label's label, so long chains take few rounds.
+    """
+    edges = pairs.select("hook_id", "transcript_id").distinct()
+    labels = checkpointed(edges.select("hook_id", F.col("hook_id").alias("group")).distinct())
+    while True:
+        across = edges.join(labels, "hook_id").groupBy("transcript_id").agg(F.min("group").alias("group"))
+        back = edges.join(across, "transcript_id").groupBy("hook_id").agg(F.min("group").alias("group"))
+        above = back.select(F.col("hook_id").alias("group"), F.col("group").alias("above"))
+        moved = back.join(above, "group").select("hook_id", F.col("above").alias("group"))
+        moved = checkpointed(moved.join(labels.withColumnRenamed("group", "was"), "hook_id"))
+        labels = moved.select("hook_id", "group")
+        if moved.where("group <> was").isEmpty():
+            return pairs.join(labels, "hook_id")
+
+
 def _one_by_one(pairs: DataFrame) -> DataFrame:
-    """The pairs that hooks take in order, one after the other."""
+    """The pairs that the hooks of a group take in order, one after the other."""
 
     def run(batches):
-        hooks, taken = set(), set()
+        group, hooks, taken = None, set(), set()
         for batch in batches:
             keep = []
-            for h, t in zip(batch.column("hook_id").to_pylist(), batch.column("transcript_id").to_pylist()):
+            for g, h, t in zip(*(batch.column(c).to_pylist() for c in ("group", "hook_id", "transcript_id"))):
+                if g != group:
+                    group, hooks, taken = g, set(), set()
                 free = h not in hooks and t not in taken
                 keep.append(free)
                 if free:
@@ -94,7 +115,7 @@ def _one_by_one(pairs: DataFrame) -> DataFrame:
                     taken.add(t)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    ordered = pairs.repartition(1).sortWithinPartitions("hook_pos", "hook_id", F.col("score").desc(), "transcript_pos")
+    ordered = pairs.repartition("group").sortWithinPartitions("group", "hook_pos", "hook_id", F.col("score").desc(), "transcript_pos")
     return ordered.mapInArrow(run, pairs.schema)
 
 
