@@ -374,3 +374,21 @@ def test_running_totals_over_ranges(spark):
     rows = [(rng.choice(["a", "a", "b", None]), i, rng.randrange(5)) for i in rng.sample(range(1000), 300)]
     got = range_totals(spark.createDataFrame(rows, "g string, i int, w int"), ["g"], ["i"], F.col("w"), "upto").collect()
     assert len(got) == 300 and all(r.upto == sum(w for g, i, w in rows if g == r.g and i <= r.i) for r in got)
+
+
+def test_research_profiles(spark):
+    doc = '{"type":"x","session":{"session_id":"s","tool_count":2,"cwd":"/home/a","source":"startup"},"tool_usages":[{"tool_name":"Bash","tool_input":"secret","success":true}],"messages":[{"uuid":"u","content":"private"}]}'
+    assert one(spark, redact.keep_profile(F.col("j")), j=doc) == '{"session":{"session_id":"s","tool_count":2},"tool_usages":[{"tool_name":"Bash","success":true}]}'
+    assert '"messages":[{"uuid":"u"}]' in one(spark, redact.keep_profile(F.col("j"), "workflow"), j=doc)
+    assert one(spark, redact.keep_profile(F.col("j"), "full-transcript", ["session.cwd"]), j=doc).count("private") == 1
+
+
+def test_other_sanitizers(spark):
+    assert one(spark, text.home_as_tilde(F.col("p")), p="/Users/ann/x") == "~/x" and one(spark, text.home_as_tilde(F.col("p")), p="c:\\users\\bob\\x") == "~\\x"
+    assert one(spark, text.clean_cmdline(F.col("p")), p="run /home/ann/x --token abc --API_KEY=k C:\\Users\\bob\\y") == "run /home/[REDACTED]/x --token=[REDACTED] --api-key=[REDACTED] C:\\Users\\[REDACTED]\\y"
+
+
+def test_tool_count_gives_points(spark):
+    h = spark.createDataFrame([(1, 1, 1000, "/w", 3), (2, 2, 1000, "/w", 30)], "hook_id int, hook_pos int, start long, cwd string, tool_calls long")
+    t = spark.createDataFrame([(7, 7, 1200, "/w", 10)], "transcript_id int, transcript_pos int, t_start long, t_cwd string, message_count long")
+    assert {r.hook_id: r.score for r in joins.candidates(h, t).collect()} == {1: 60, 2: 55}

@@ -135,3 +135,61 @@ def test_cleanup(spark):
     assert {r.id for r in live.stale_managed(m, on, 0).collect()} == {"a", "c"}
     calls = spark.createDataFrame([("Bash", 0, None), ("Bash", 0, 5), ("Read", 0, None)], "tool_name string, started_at long, completed_at long")
     assert live.long_running(calls, 61_000).count() == 1
+
+
+def test_files_with_dates_in_their_names(spark, tmp_path):
+    for name, n in (("s_2024-01-01.jsonl", 1), ("s_2024-01-05.jsonl", 2), ("s_extra.jsonl", 3), ("t_2024-01-05.jsonl", 4)):
+        (tmp_path / name).write_text('{"n": %d}\nbroken\n' % n)
+    read = lambda **k: [r.n for r in logs.read_dated(spark, str(tmp_path), "n int", "s_", **k).collect()]
+    assert sorted(read()) == [1, 2, 3] and sorted(read(start="2024-01-02")) == [2, 3] and sorted(read(end="2024-01-02")) == [1, 3]
+    assert read(limit=1) == [2]
+    assert logs.read_dated(spark, str(tmp_path / "none"), "n int").count() == 0
+
+
+def test_catalogs_of_the_three_layouts(spark, tmp_path):
+    claude = tmp_path / "c" / "-home-ann-proj"
+    codex = tmp_path / "x" / "sessions" / "2024" / "02" / "03"
+    gemini = tmp_path / "g" / "abcdef0123456789" / "chats"
+    for d in (claude, codex, gemini):
+        d.mkdir(parents=True)
+    (claude / "s1.jsonl").write_text('{"type":"user","timestamp":"2024-01-01T00:00:01Z"}\n{"type":"summary","summary":"' + "fix " * 20 + '"}\n{"ts":1704067200}\n')
+    (claude / "s2.jsonl").write_text('{"timestamp":"2024-01-01T00:00:03Z"}\n' * 40)
+    (codex / "rollout-2024-02-03T04-05-06-x.jsonl").write_text('{"timestamp":"2024-02-03T04:05:06Z"}\n')
+    (gemini / "g1.json").write_text('{"lastUpdated":"2024-01-02T00:00:00Z","messages":[{"type":"gemini","timestamp":"2024-01-01T00:00:05Z"},{"type":"user","content":"hello","timestamp":"2024-01-01T00:00:04Z"}]}')
+    (gemini / "bad.json").write_text("no json")
+    got = {r.id: r for r in logs.discover(logs.claude_catalog(spark, str(tmp_path / "c")), logs.codex_catalog(spark, str(tmp_path / "x")), logs.gemini_catalog(spark, str(tmp_path / "g"))).collect()}
+    a = got["claude:s1"]
+    assert (a.name, a.project_dir, a.start_time, a.end_time, a.message_count) == (("fix " * 20)[:50], "/home/ann/proj", 1704067200000, 1704067201000, None)
+    assert (got["claude:s2"].name, got["claude:s2"].message_count) == ("proj", 2)
+    x = got["codex:rollout-2024-02-03T04-05-06-x"]
+    assert (x.name, x.project_dir, x.start_time) == ("2024:02:03 04:05:06", "2024-02-03", 1706933106000)
+    g = got["gemini:abcdef0123456789:g1"]
+    assert (g.name, g.project_dir, g.message_count, g.start_time, g.end_time) == ("hello", "gemini:abcdef012345", 2, 1704067204000, 1704153600000)
+
+
+def test_ps_and_branches(spark):
+    lines = [("  12 1 ?? node 01-02:03:04 5.5 100 7 node  run x",), ("a b",), ("13 x tty1 sh 00:05 - - 0 sh -c",)]
+    rows = [tuple(r) for r in logs.parse_ps(spark.createDataFrame(lines, "value string")).collect()]
+    assert rows == [(12, 1, None, "node", "node run x", 93784, 5.5, 100, 7), (13, 1, "tty1", "sh", "sh -c", 5, 0.0, None, None)]
+    heads = [(1, "## release-1.2"), (2, "## release-1.2...origin/release-1.2 [ahead 3, behind 1]"), (3, "## No commits yet on main")]
+    got = {r.repo_id: (r.branch, r.ahead, r.behind) for r in logs.parse_git_status(spark.createDataFrame(heads, "repo_id int, value string")).collect()}
+    assert got == {1: ("release-1.2", 0, 0), 2: ("release-1.2", 3, 1), 3: ("main", 0, 0)}
+
+
+def test_zip_bundle_and_migrations(spark, tmp_path):
+    import hashlib
+    import json
+    import zipfile
+
+    rows = spark.createDataFrame([(i, "é") for i in range(50)], "id int, t string")
+    manifest = sinks.zip_bundle({"sessions": rows, "usages": rows.where("id < 3")}, str(tmp_path / "b"), '{"n":1}').collect()
+    found = {}
+    for r in manifest:
+        with zipfile.ZipFile(r.zip.removeprefix("file://")) as z:
+            raw = z.read(r.name)
+        assert hashlib.sha256(raw).hexdigest() == r.sha256 and len(raw) == r.bytes and raw.count(b"\n") == r.rows
+        found.setdefault(r.name.split("-")[0], []).extend(json.loads(x) for x in raw.decode().splitlines())
+    assert sorted(x["id"] for x in found["sessions"]) == list(range(50)) and len(found["usages"]) == 3 and found["prep_report"] == [{"n": 1}]
+    store = spark.createDataFrame([(1, None, "a"), (2, 1, "b")], "id int, version int, name string")
+    up = sinks.migrate(store, {0: lambda df: df.withColumn("name", F.upper("name")), 1: lambda df: df.withColumn("tag", F.concat(F.lit("t"), "name"))})
+    assert sorted(tuple(r) for r in up.select("id", "version", "name", "tag").collect()) == [(1, 2, "A", "tA"), (2, 2, "b", "tb")]

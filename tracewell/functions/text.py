@@ -82,6 +82,20 @@ def hide_flags(command: Column) -> Column:
     return F.regexp_replace(command, r"(?i)(--?(?:token|password|secret|api[-_]?key|auth)[= ])\S+", "$1[REDACTED]")
 
 
+def home_as_tilde(path: Column) -> Column:
+    """A path below a user's home, with the home as ~."""
+    return F.regexp_replace(path, r"^(?:/Users/[^/]+|/home/[^/]+|[Cc]:\\[Uu][Ss][Ee][Rr][Ss]\\[^\\]+)", "~")
+
+
+def clean_cmdline(command: Column) -> Column:
+    """A command line without user names in home paths and without values of secret-bearing flags."""
+    out = F.regexp_replace(command, r"(/Users/|/home/)[^/\s]+", "$1[REDACTED]")
+    out = F.regexp_replace(out, r"(?i)C:\\Users\\[^\\\s]+", r"C:\\Users\\[REDACTED]")
+    for flag, shown in (("token", "token"), ("api[-_]?key", "api-key"), ("password", "password"), ("secret", "secret")):
+        out = F.regexp_replace(out, rf"(?i)--{flag}[=\s]+\S+", f"--{shown}=[REDACTED]")
+    return out
+
+
 def residue(text: Column) -> Column:
     """What is left after redaction: block, warn or clean."""
     key = text.rlike(r"-----BEGIN [A-Z ]*PRIVATE KEY")

@@ -32,13 +32,16 @@ def candidates(hooks: DataFrame, transcripts: DataFrame, window_ms: int = 5_000,
     """hooks (hook_id, hook_pos, start, cwd), transcripts (transcript_id, transcript_pos, t_start, t_cwd): pairs of ``least`` points.
 
     A pair needs both a start within twice the window and a related directory, so pairs meet in buckets of time;
-    the directory is checked within a bucket.
+    the directory is checked within a bucket. Where there are tool_calls (of a hook) and message_count (of a
+    transcript), a count of messages from one to five times that of calls gives its points too.
     """
     width = 2 * window_ms
     h = hooks.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("start") / width) + d)))
     t = transcripts.withColumn("bucket", F.floor(F.col("t_start") / width))
     inside = lambda a, b: F.col(a).startswith(F.concat(F.col(b), F.lit("/"))) | F.col(b).startswith(F.concat(F.col(a), F.lit("/")))
-    score = match_score(F.abs(F.col("start") - F.col("t_start")), window_ms, F.col("cwd") == F.col("t_cwd"), inside("cwd", "t_cwd"), F.lit(False))
+    counted = "tool_calls" in hooks.columns and "message_count" in transcripts.columns
+    same_tools = F.col("message_count").between(F.col("tool_calls"), F.col("tool_calls") * 5) if counted else F.lit(False)
+    score = match_score(F.abs(F.col("start") - F.col("t_start")), window_ms, F.col("cwd") == F.col("t_cwd"), inside("cwd", "t_cwd"), same_tools)
     return h.join(t, "bucket").withColumn("score", score).where(F.col("score") >= least).drop("bucket")
 
 

@@ -200,6 +200,17 @@ def keep_fields(value: Column, kept: list[str], always_strip: list[str] = ()) ->
     return _rewrite(value, walk)
 
 
+def keep_profile(value: Column, profile: str = rules.DEFAULT_PROFILE, always_strip: list[str] = ()) -> Column:
+    """A shared session's JSON with what a research profile keeps. A field stays if the profile names it (or what lies
+    above it as a whole); fields named only as ancestors of others hold those alone."""
+    groups = rules.RESEARCH_PROFILES[profile]
+    if groups == ["*"]:
+        return strip_fields(value, list(always_strip))
+    named = [f for g in groups for f in rules.FIELD_GROUPS[g]]
+    leaves = [f for f in named if not any(other != f and other.replace("[]", "").startswith(f + ".") for other in named)]
+    return keep_fields(value, leaves, always_strip)
+
+
 def _rewrite(value: Column, walk) -> Column:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

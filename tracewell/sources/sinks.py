@@ -20,6 +20,71 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def migrate(store: DataFrame, migrations: dict[int, object], version: str = "version") -> DataFrame:
+    """A store in its latest version: rows of version k pass through ``migrations[k]``, ``[k + 1]``, ... in turn.
+
+    A migration takes and gives a DataFrame; rows without a version count as version 0.
+    """
+    latest = max(migrations, default=-1) + 1
+    out = store.withColumn(version, F.coalesce(F.col(version), F.lit(0)).cast("int"))
+    for k in range(latest):
+        if k in migrations:
+            old = migrations[k](out.where(F.col(version) == k)).withColumn(version, F.lit(k + 1))
+            out = out.where(F.col(version) != k).unionByName(old, allowMissingColumns=True)
+    return out
+
+
+def zip_bundle(tables: dict[str, DataFrame], folder: str, report: str = "{}") -> DataFrame:
+    """Tables as JSON lines in ZIP files: each task writes one, with a member for each table part it holds.
+
+    A row for each member: zip, name, rows, bytes, sha256 (of the member's bytes); committed rows name the files that count.
+    """
+    import hashlib
+    import uuid
+    import zipfile
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches):
+        members: dict[str, list] = {}
+        state: dict = {"n": 0}
+
+        def flush(name):
+            if "zip" not in state:
+                uri = f"{folder}/{uuid.uuid4().hex}.zip"
+                where, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+                where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                state["uri"], state["out"] = uri, where.open_output_stream(path, compression=None)
+                state["zip"] = zipfile.ZipFile(state["out"], "w", zipfile.ZIP_DEFLATED)
+            lines = members.pop(name)
+            raw = "".join(x + "\n" for x in lines).encode()
+            member = f"{name}-{state['n']:05d}.jsonl"
+            state["n"] += 1
+            state["zip"].writestr(zipfile.ZipInfo(member), raw, zipfile.ZIP_DEFLATED)
+            return pa.RecordBatch.from_arrays([pa.array([state["uri"]]), pa.array([member]), pa.array([len(lines)], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([hashlib.sha256(raw).hexdigest()])], names=["zip", "name", "rows", "bytes", "sha256"])
+
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
+                members.setdefault(name, []).append(value)
+                if len(members[name]) >= 2_000:
+                    yield flush(name)
+        for name in list(members):
+            yield flush(name)
+        if "zip" in state:
+            state["zip"].close()
+            state["out"].close()
+
+    rows = None
+    for name, table in tables.items():
+        lines = json_lines(table).select(F.lit(name).alias("name"), "value")
+        rows = lines if rows is None else rows.unionByName(lines)
+    spark = rows.sparkSession
+    rows = rows.unionByName(spark.createDataFrame([("prep_report", report)], "name string, value string"))
+    rows.mapInArrow(run, "zip string, name string, rows long, bytes long, sha256 string").write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
+
+
 def json_lines(rows: DataFrame) -> DataFrame:
     """One JSON text per row, nulls kept."""
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
@@ -52,8 +117,10 @@ def display_line(role: Column, tool: Column, content: Column) -> Column:
     return F.when(F.trim(content) == "", None).when(tool.isNotNull(), F.concat(F.lit("["), tool, F.lit("] "), content)).otherwise(F.concat(F.coalesce(role, F.lit("unknown")), F.lit(": "), content))
 
 
-def export_sqlite(rows: DataFrame, path: str, table: str, key: str) -> int:
-    """Rows into a local SQLite file, fetched one partition at a time; returns their number."""
+def export_sqlite(rows: DataFrame, path: str, table: str, key: str, most: int = 1_000_000) -> int:
+    """Rows of a small result into a local SQLite file on the driver; returns their number. Over ``most`` rows raise."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows: write Parquet instead")
     kinds = {"bigint": "INTEGER", "int": "INTEGER", "boolean": "INTEGER", "double": "REAL"}
     columns = ", ".join(f'"{c}" {kinds.get(t, "TEXT")}' + (" PRIMARY KEY" if c == key else "") for c, t in rows.dtypes)
     n = 0
