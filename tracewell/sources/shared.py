@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -13,3 +14,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getConf().get("spark.checkpoint.dir") is None and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, or below a folder of this machine where that is unset (tests)."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isEmpty():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
+            held = context._jsc.sc().getCheckpointDir()
+        base = held.get()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
