@@ -482,7 +482,18 @@ def budget_status(spark, d):
 
 
 
-@query()
+@query(ALL_LOOPS + """, g AS (SELECT session_id, count(*) AS loops, sum(iterations) AS retries FROM l GROUP BY 1),
+ e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, ts, event_type AS k, value, floor((epoch_us(ts) // 1000) / 5000) AS t, floor(((epoch_us(ts) // 1000) + floor(value)) / 5000) AS c FROM events),
+ x AS (SELECT session_id, min(t) AS a, max(t) AS b, max(c) AS z, count(*) AS n, count(*) FILTER (k = 'signup') AS commits, count(*) FILTER (k = 'error') AS f, count(*) FILTER (k = 'error' AND value > 50) AS denied, coalesce(bool_or(k = 'view'), false) AS lint, coalesce(bool_or(k = 'purchase'), false) AS build,
+ coalesce(arg_max(CASE WHEN k = 'click' THEN 1 ELSE 0 END, (ts, event_id)) FILTER (k IN ('click', 'error')), 0) AS tested FROM e GROUP BY 1),
+ y AS (SELECT x.*, coalesce(loops, 0) AS loops, coalesce(retries, 0) AS retries, f / n AS rate, n / greatest(1.0, (z - a) / 60000) AS pace, z - b < 60000 AS quick FROM x LEFT JOIN g USING (session_id)),
+ qq AS (SELECT *, 50 + CASE WHEN commits > 0 THEN 20 ELSE 0 END + tested * 15 + CASE WHEN build THEN 10 ELSE 0 END - tested * 20 + CASE WHEN quick THEN 5 ELSE 0 END AS completion, 60 + CASE WHEN lint THEN 10 ELSE 0 END + tested * 15 AS code_quality,
+ 70 - CASE WHEN loops > 0 THEN loops * 10 + least(20, retries * 2) ELSE 0 END + CASE WHEN rate > 0.3 THEN -20 WHEN rate > 0.2 THEN -10 ELSE 0 END + CASE WHEN n BETWEEN 3 AND 100 THEN 10 WHEN n > 500 THEN -15 ELSE 0 END + CASE WHEN pace BETWEEN 0.5 AND 15 THEN 5 WHEN pace > 30 THEN -10 ELSE 0 END AS efficiency,
+ 80 - f * 15 + CASE WHEN denied = 0 THEN 10 ELSE denied * -5 END AS safety, CASE WHEN rate < 0.2 THEN 30 ELSE 0 END + CASE WHEN commits > 0 THEN 25 ELSE 0 END + CASE WHEN quick THEN 20 ELSE 0 END + CASE WHEN n BETWEEN 3 AND 500 THEN 15 ELSE 0 END + CASE WHEN pace BETWEEN 0.5 AND 20 THEN 10 ELSE 0 END AS heuristic_score FROM y),
+ rr AS (SELECT session_id, loops, heuristic_score, greatest(0, least(100, completion)) AS completion, greatest(0, least(100, code_quality)) AS code_quality, greatest(0, least(100, efficiency)) AS efficiency, greatest(0, least(100, safety)) AS safety FROM qq),
+ w AS (SELECT *, greatest(0, floor((completion * 35 + code_quality * 25 + efficiency * 25 + safety * 15) / 100 + 0.5) - CASE WHEN loops > 0 THEN 10 ELSE 0 END) AS overall FROM rr)
+ SELECT session_id, CAST(completion AS BIGINT) AS completion, CAST(code_quality AS BIGINT) AS code_quality, CAST(efficiency AS BIGINT) AS efficiency, CAST(safety AS BIGINT) AS safety, CAST(overall AS BIGINT) AS overall, CASE WHEN overall >= 80 THEN 'excellent' WHEN overall >= 60 THEN 'good' WHEN overall >= 40 THEN 'fair' WHEN overall > 0 THEN 'poor' ELSE 'unknown' END AS classification,
+ CAST(heuristic_score AS BIGINT) AS heuristic_score, CASE WHEN heuristic_score >= 70 THEN 'likely_success' WHEN heuristic_score < 40 THEN 'likely_failure' ELSE 'uncertain' END AS heuristic FROM w""")
 def quality_scores(spark, d):
     """Outcomes, loops and scores of sessions whose calls run commands by event type."""
     u = on.coarse_usages(spark, d)
