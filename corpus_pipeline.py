@@ -5,6 +5,11 @@ one's docs. All but the last return the columns of documents. Quality keeps the
 perplexity bands accept; near-duplicates keeps the smallest doc_id of each group (five-word shingles, similarity 0.8);
 personal-data replaces spans by their kind in brackets; mixing repeats or leaves out documents so that sources meet
 their target shares; packing cuts them into sequences of 2048 token ids.
+
+In every stage a row is its doc_id with its text, so rows that share an id, or have none, are judged each for itself.
+Null and empty texts fail the quality rules; where a stage still meets them they hold no shingles, spans or words and
+are packed as an end id. Of repeated rows one stays after near-duplicates; ties go to the smallest doc_id. Columns of
+any name pass through unchanged (n_chars follows the redacted text). Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm.common import documents, materialize
+from tracewell.llm.common import documents, materialize, release
 from tracewell.llm.jaccard import keep_first
 from tracewell.llm.mixing import take_copies
 from tracewell.llm.packing import pack_documents
@@ -52,7 +57,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        done = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
