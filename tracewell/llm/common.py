@@ -33,10 +33,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    ``batch_rows``: rows of the Arrow batches of this write, where rows are wide; the session's setting comes back.
+    """
+    path, conf, setting = shared_dir(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = conf.get(setting)
+    try:
+        if batch_rows:
+            conf.set(setting, batch_rows)
+        df.write.parquet(path)
+    finally:
+        conf.set(setting, held)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._written_at = path
     return written

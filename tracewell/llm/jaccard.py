@@ -234,7 +234,7 @@ class _Shingles:
 
         x = self.of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         xa, xb = x.select(F.col("node").alias("a"), F.col("x").alias("xa")), x.select(F.col("node").alias("b"), F.col("x").alias("xb"))
-        return materialize(arrow_pass(pairs.join(xa, "a").join(xb, "b"), run, "a long, b long, inside long, every long", PAIR_ROWS), "distances")
+        return materialize(arrow_pass(pairs.join(xa, "a").join(xb, "b"), run, "a long, b long, inside long, every long", PAIR_ROWS), "distances", PAIR_ROWS)
 
     def release(self) -> None:
         release(*self.tables)
