@@ -290,3 +290,24 @@ def test_many_matches_in_one_text(spark):
     text = "1.2.3.4 x " * 20_000
     row = find_spans(odd_documents(spark, [(1, text, "en", "a")])).collect()[0]
     assert row.n_ip == 20_000 and row.spans.startswith("ip:0:7,ip:10:17,") and row.spans.endswith("ip:199990:199997")
+
+
+def test_mixing_of_hot_rows_and_clashing_columns(spark):
+    """Rows without an id and of one size, and one row many times over: copies meet the target, columns stay."""
+    from pyspark.sql import functions as F
+
+    from tracewell.llm.mixing import mix
+
+    rows = [(None, f"a b {i}", "en", "s") for i in range(2000)] + [(7, "same text here", "en", "s")] * 2000 + [(8, "w " * 30, "en", "t")]
+    docs = odd_documents(spark, rows).withColumns({c: F.lit("mine") for c in ("mix_words", "mix_copy", "copies", "row", "t", "step", "found", "pii_spans")})
+    got = mix(docs, share=0.6)
+    check_mix_share = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("size")).collect()
+    assert all(abs(r.taken - r.target) <= r["size"] for r in check_mix_share)
+    out = take_copies(docs, share=0.6)
+    assert out.columns == docs.columns and out.where("mix_words <> 'mine' or copies <> 'mine' or row <> 'mine' or t <> 'mine'").count() == 0
+    want = Counter()
+    for r in got.collect():
+        want[r.doc_id, r["size"]] += r.copies
+    have = Counter((r.doc_id, len(WORD.findall(r.text))) for r in out.collect())
+    assert have == +want
+    assert redact(docs).where("found <> 'mine' or pii_spans <> 'mine' or row <> 'mine'").count() == 0

@@ -7,7 +7,7 @@ patterns (kinds x 27 rows at most, whatever the corpus) estimates the prior of e
 reliability per kind. A logistic span classifier is then trained on the soft labels and applied in SQL. Besides kind
 and votes it sees the span itself (its length, its separators, how many different characters it has) and what stands
 around it (whether a word of its own kind is near, what follows it), each as a small number, so that at most
-kinds x 27 x 108 counts reach the driver.
+kinds x 27 x 216 counts reach the driver.
 
 Base spans (email, ip, card, phone) are kept whatever the classifier says; the classifier adds spans of these and
 further kinds (local phone numbers, US social security numbers, IBANs, names, secrets such as keys and passwords).

@@ -29,7 +29,7 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir))
+    return judge(documents(spark, sf_dir)).drop("t")
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
