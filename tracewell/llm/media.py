@@ -43,7 +43,7 @@ def to_png(payload: bytes) -> bytes:
     height = len(payload) // WIDTH
     rows = np.zeros((height, WIDTH + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(height, WIDTH)
-    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, height, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, height, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int]:
@@ -84,15 +84,15 @@ def feature(samples: np.ndarray) -> str:
 
 
 def payload_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_bytes, digest (SHA-256 of the padded payload, hex), h (a hash of the digest)."""
+    """doc_id, text, n_bytes, digest (SHA-256 of the padded payload), h (a hash of the digest)."""
     raw = F.col("text").cast("binary")
     n = F.octet_length("text")
     pad = F.when(n == 0, 64).otherwise(F.pmod(-n, F.lit(64)))
-    keyed = texts(docs).select("doc_id", "text", n.cast("long").alias("n_bytes"), F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("00"), pad))), 256).alias("digest"))
+    keyed = texts(docs).select("doc_id", "text", n.cast("long").alias("n_bytes"), F.unhex(F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("00"), pad))), 256)).alias("digest"))
     return keyed.withColumn("h", F.xxhash64("digest"))
 
 
-_STORED = "digest string, shard string, offset long, length long"
+_STORED = "digest binary, shard string, offset long, length long"
 
 
 def _store(folder: str):
@@ -104,17 +104,17 @@ def _store(folder: str):
         def close():
             uri = files.write_new(folder, ".tar", b"".join(shard) + bytes(1024))
             digest, offset, length = zip(*done)
-            return batch_of(digest=pa.array(digest), shard=pa.array([uri] * len(done)), offset=pa.array(offset, pa.int64()), length=pa.array(length, pa.int64()))
+            return batch_of(digest=pa.array(digest, pa.binary()), shard=pa.array([uri] * len(done)), offset=pa.array(offset, pa.int64()), length=pa.array(length, pa.int64()))
 
         for batch in batches:
             for k in range(len(batch)):
                 raw = batch.column("text")[k].as_py().encode()
                 payload = raw + bytes(-len(raw) % 64 if raw else 64)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest != batch.column("digest")[k].as_py():
                     raise ValueError("a payload differs from its digest")
                 media = to_png(payload)
-                member = tarfile.TarInfo(f"{digest}.png")
+                member = tarfile.TarInfo(f"{digest.hex()}.png")
                 member.size = len(media)
                 head = member.tobuf(tarfile.USTAR_FORMAT)
                 done.append((digest, at + len(head), len(media)))
@@ -133,7 +133,7 @@ def store_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Store each distinct payload as media; a row for each: digest, shard, offset, length. A written table."""
     folder = folder or shared_dir(docs.sparkSession, "media")
     keyed = payload_keys(docs)
-    repeated = materialize(keyed.groupBy("digest", "h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "media-repeated")
+    repeated = materialize(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "media-repeated")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
     release(repeated)
 
@@ -153,7 +153,7 @@ def store_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
     rows = keyed.select("text", "digest", "h")
     once = rows.mapInArrow(lambda batches: _store(folder)(single(batches)), _STORED)
-    copies = arrow_pass(rows, several, "text string, digest string, h long").dropDuplicates(["digest"])
+    copies = arrow_pass(rows, several, "text string, digest binary, h long").dropDuplicates(["digest"])
     return materialize(once.unionByName(arrow_pass(copies.select("text", "digest"), _store(folder), _STORED)), "media-files")
 
 
@@ -195,22 +195,23 @@ def read_features(stored: DataFrame) -> DataFrame:
         media = f.read(offset, length)
         samples = from_png(media)
         payload = samples.tobytes()
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
+        return len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).digest(), feature(samples)
 
     def run(batches):
         for batch, (size, sha, tail, media_bytes, media_sha, features) in _by_shard(batches, read):
             if sha != batch.column("digest").to_pylist():
                 raise ValueError("a stored payload differs from its digest")
             yield batch_of(
-                **{c: batch.column(c) for c in kept}, payload_bytes=pa.array(size, pa.int64()), payload_sha256=pa.array(sha), tail_crc32=pa.array(tail, pa.int64()),
-                media_bytes=pa.array(media_bytes, pa.int64()), media_sha256=pa.array(media_sha), feature=pa.array(features),
+                **{c: batch.column(c) for c in kept}, payload_bytes=pa.array(size, pa.int64()), tail_crc32=pa.array(tail, pa.int64()),
+                media_bytes=pa.array(media_bytes, pa.int64()), media_sha256=pa.array(media_sha, pa.binary()), feature=pa.array(features),
             )
 
-    return arrow_pass(stored, run, "digest string, width long, height long, bit_depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_pass(stored, run, "digest binary, width long, height long, bit_depth long, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height, bit_depth."""
-    media = materialize(read_features(fill_metadata(store_media(docs))), "media-columns")
+    media = read_features(fill_metadata(store_media(docs)))  # which has found the digest of what it read to be this one
     rows = payload_keys(docs).select("doc_id", "n_bytes", "digest").join(media, "digest")
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+    shown = lambda c, name: F.lower(F.hex(c)).alias(name)
+    return rows.select("doc_id", "n_bytes", "payload_bytes", shown("digest", "payload_sha256"), "tail_crc32", "media_bytes", shown("media_sha256", "media_sha256"), "feature", "width", "height", "bit_depth")
