@@ -17,7 +17,6 @@ Rows that share both page id and payload are all responses if theirs is the larg
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import zlib
 
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import arrow_pass, batch_of, join_small, materialize, shared_dir
+from .common import arrow_pass, batch_of, join_small, materialize, release, shared_dir
 
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
@@ -61,10 +60,12 @@ def mark_revisits(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataF
     named = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")), "digest"))
     as_uuid = lambda h: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
     rows = rows.withColumn("rid", as_uuid(named))
-    groups = rows.where(F.col("payload_bytes") >= revisit_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "rid")).alias("largest"), F.count("*").alias("rows"))
+    keys = materialize(rows.select("page_id", "payload_bytes", "digest", "rid"), "page-keys")
+    groups = keys.where(F.col("payload_bytes") >= revisit_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "rid")).alias("largest"), F.count("*").alias("rows"))
     repeated = materialize(groups.where("rows > 1 and largest.page_id is not null").select("digest", F.col("largest.page_id").alias("largest"), F.col("largest.rid").alias("largest_rid")), "revisits")
-    equal = materialize(rows.groupBy("rid").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("rid").alias("same_rid")), "equal-pages")
+    equal = materialize(keys.groupBy("rid").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("rid").alias("same_rid")), "equal-pages")
     repeated = materialize(join_small(repeated, equal, F.col("largest_rid") == F.col("same_rid"), "left").select("digest", "largest", F.when(F.col("same_rid").isNull(), F.col("largest_rid")).alias("largest_rid")), "revisits")
+    release(keys)
     joined = join_small(join_small(rows, repeated, "digest", "left"), equal, F.col("rid") == F.col("same_rid"), "left")
     numbered = as_uuid(F.md5(F.concat_ws("|", "rid", F.monotonically_increasing_id().cast("string"))))
     joined = joined.withColumn("rid", F.when(F.col("same_rid").isNull(), F.col("rid")).otherwise(numbered))
@@ -124,7 +125,8 @@ def _write_files(folder: str):
                 if out is None:
                     path, out = files.open_new(folder, ".warc.gz")
                     records = 0
-                out.write(gzip.compress(record.as_py(), 6, mtime=0))
+                member = zlib.compressobj(1, zlib.DEFLATED, 31)
+                out.write(member.compress(record.as_py()) + member.flush())
                 records += 1
                 if out.tell() >= FILE_BYTES:
                     yield close()
