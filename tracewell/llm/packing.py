@@ -28,6 +28,8 @@ from .common import arrow_pass, batch_of, texts
 from .tokens import encoder, sliced
 
 POOL = 1024
+#: bytes of what a worker keeps of pieces of text; packing holds little else
+MEMO_BYTES = 400_000_000
 #: share of the tokens from which on a sequence is padded rather than cut
 WASTE = 0.99
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -175,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tokens: int = 2
         from pyspark import TaskContext
 
         def examples():
-            enc = encoder(tokenizer)
+            enc = encoder(tokenizer, MEMO_BYTES)
             for batch in batches:
                 doc_ids, text = batch.column("doc_id").to_pylist(), batch.column("text")
                 for a, b in sliced(text):
@@ -202,7 +204,7 @@ def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, tokens: in
         from pyspark import TaskContext
 
         def examples():
-            enc = encoder(tokenizer)
+            enc = encoder(tokenizer, MEMO_BYTES)
             conv, held, spans, n = None, [], [], 0
             for batch in batches:
                 convs, roles, text = batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text")

@@ -20,7 +20,7 @@ import regex
 _FIRST = "\x01"
 _ODD = "^[ \n]|[ \n]$|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0  -‏    　﻿]|<\\|"
 #: bytes of what a worker keeps of pieces and words, as estimated; beyond that its memo starts anew
-MEMO_BYTES = 96_000_000
+MEMO_BYTES = 224_000_000
 #: bytes of an entry besides those of the piece and its ids: two objects and a place in the table
 _ENTRY = 200
 #: characters whose classes all Unicode versions agree on
@@ -37,7 +37,8 @@ def _byte_letters() -> list[str]:
 class PieceEncoder:
     """Encodes lists of texts with one tokenizer file; equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
+        self.most = memo_bytes
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,7 +82,7 @@ class PieceEncoder:
         plain = texts.filter(pa.array(~odd))
         pieces = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_FIRST), plain, ""), "\n", " \n"), " ")
         flat = pieces.flatten().dictionary_encode()
-        if self.held > MEMO_BYTES:
+        if self.held > self.most:
             self.memo, self.words, self.held = {}, {}, 0
         memo, each = self.memo, []
         for p in flat.dictionary.to_pylist():
@@ -120,14 +121,15 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, memo_bytes: int = MEMO_BYTES) -> PieceEncoder:
     """One encoder per worker and file, so that what it has seen serves later batches."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
+    _ENCODERS[path].most = memo_bytes
     return _ENCODERS[path]
 
 
-def sliced(texts: pa.Array, most: int = 8_000_000):
+def sliced(texts: pa.Array, most: int = 16_000_000):
     """(from, to) of runs of texts of about ``most`` bytes."""
     sizes = np.cumsum(np.asarray(pc.binary_length(texts)))
     start = 0
