@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: rows of a table that may be broadcast; larger ones are joined by a shuffle
 BROADCAST_ROWS = 20_000
-#: bits of a filter that is broadcast: 16 MB
+#: most bits of a filter that is broadcast: 16 MB
 BITMAP = 27
 #: rows that a pass works on at once
 BATCH_ROWS = 2_000
@@ -78,14 +78,17 @@ def arrow_pass(df: DataFrame, fn, schema: str, rows: int = BATCH_ROWS) -> DataFr
 
 
 def bitmap(values: DataFrame) -> np.ndarray:
-    """Bits of the low part of each value (long) of the one column, as words: 2**BITMAP bits, whatever the values.
+    """Bits of the low part of each value (long) of the one column, as words: about 32 bits a value, at most 2**BITMAP.
 
     A filter that lets all of ``values`` pass and, up to a hundred million values, few others.
     """
     (name,) = values.columns
-    low = F.col(name).bitwiseAND(F.lit((1 << BITMAP) - 1))
+    bits, n = 16, values.count()
+    while bits < BITMAP and 1 << bits < 32 * n:
+        bits += 1
+    low = F.col(name).bitwiseAND(F.lit((1 << bits) - 1))
     words = values.groupBy(F.shiftrightunsigned(low, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))")).alias("word")).toArrow()
-    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[words["at"].to_numpy()] = words["word"].to_numpy()
     return out
 
