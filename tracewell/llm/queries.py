@@ -1,4 +1,4 @@
-"""The queries opN_<name> of the ten operators over whole tables, and SQL for those that SQL can express."""
+"""The queries opN_<name> of the operators over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from .licenses import scan_licenses
 from .media import media_columns
 from .mixing import mix
 from .packing import pack_documents
+from .phrases import collocations
 from .pii import find_spans
 from .quality import judge
 from .substrings import remove_repeats
@@ -64,6 +65,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_blocks": op9_token_blocks,
     "op10_media_columns": op10_media_columns,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +92,23 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN largest <> page_id THEN largest END AS refers_to
         FROM m""",
+    "op11_phrase_collocations": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS words
+          FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents)),
+        d AS (SELECT lang, words, count(*) AS m FROM pieces WHERE len(words) > 0 GROUP BY ALL),
+        totals AS (SELECT lang, sum(m * len(words)) AS n FROM d GROUP BY lang),
+        starts AS (SELECT lang, words, m, unnest(range(1, len(words) + 1)) AS i FROM d),
+        grams AS (SELECT lang, m, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(words)),
+        f AS MATERIALIZED (SELECT lang, phrase, k AS size, sum(m)::BIGINT AS a FROM grams GROUP BY ALL HAVING sum(m) >= 100),
+        cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+        scored AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n::BIGINT AS n, (1000::HUGEINT * c.a * n::HUGEINT // (x.a::HUGEINT * y.a))::BIGINT AS score
+          FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = rest JOIN totals t ON t.lang = c.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_ AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, a FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM cand))),
+        drops AS (SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase WHERE 100 * i.a >= 100 * c.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best ANTI JOIN drops USING (lang, phrase)
+        QUALIFY rank <= 2000""",
 }
