@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode_documents, encode_documents
 from .common import documents
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
@@ -69,6 +70,12 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = decode_documents(encode_documents(documents(spark, sf_dir), *vocabulary), *vocabulary)
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -81,6 +88,7 @@ QUERIES = {
     "op9_token_blocks": op9_token_blocks,
     "op10_media_columns": op10_media_columns,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
