@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import decode_documents, encode_documents
+from .clusters import cluster
 from .common import documents
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
@@ -76,6 +77,35 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, dim=64, seed="3")
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """The rounds written out: nearest centroids, sums and new centroids of each."""
+
+    def nearest(centroids: str) -> str:
+        return f"""SELECT vec_id, k, d FROM (SELECT v.vec_id, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN {centroids} c USING (j) GROUP BY v.vec_id, c.k)
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1"""
+
+    parts = [
+        "kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        "v AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS j, floor(1024 * unnest(embedding)::DOUBLE)::HUGEINT AS x FROM kept)",
+        "seeds AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM kept QUALIFY k < 8)",
+        "c0 AS MATERIALIZED (SELECT k, j, x FROM v JOIN seeds USING (vec_id))",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"a{i} AS MATERIALIZED ({nearest(f'c{i}')})",
+            f"s{i} AS (SELECT k, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i} JOIN v USING (vec_id) GROUP BY k, j)",
+            f"c{i + 1} AS MATERIALIZED (SELECT c.k, c.j, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{i} c LEFT JOIN s{i} s ON s.k = c.k AND s.j = c.j)",
+        ]
+    parts += [f"a{rounds} AS MATERIALIZED ({nearest(f'c{rounds}')})", f"digest AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY k)"]
+    return "WITH " + ",\n".join(parts) + f"""
+        SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN digest USING (k)"""
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -89,6 +119,7 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -119,4 +150,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM best ANTI JOIN drops USING (lang, phrase)
         QUALIFY rank <= 2000""",
+    "op13_centroid_clusters": _clusters_sql(),
 }
