@@ -2,7 +2,7 @@
 
 1. Equal pieces of text become one row with its number of copies, so repeated passages are counted once.
 2. Phrases of n words are counted for n = 1, 2, ... in turn. A task sums the phrases of a few megabytes of pieces and
-   sends them, packed by hash bucket, to the bucket's task, where DuckDB sums them out of core: beyond
+   sends them, a row for each hash bucket, to the bucket's task, where DuckDB sums them out of core: beyond
    ``COUNT_MEMORY`` it works from a scratch folder of the task, which goes when the task ends. A phrase that occurs
    ``least`` times consists of phrases that do, so phrases of n words are only sent where both of their phrases of
    n - 1 words pass a bitmap of the frequent ones (at most 16 MB). It lets some others pass, whose counts then tell.
@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, bitmap, has, join_small, materialize, release
@@ -35,8 +35,6 @@ CHUNK_BYTES = 12_000_000
 BLOCK_WORDS = 1_000_000
 #: memory of one count in DuckDB; beyond it works out of core
 COUNT_MEMORY = "256MB"
-#: hash buckets for each partition of the shuffle, so that partitions come out even
-BUCKETS_PER_PARTITION = 8
 #: parts of a language that are ranked for themselves before its first rows are
 RANKED_APART = 64
 
@@ -98,15 +96,27 @@ def _phrases(lang: str, piece: pa.Array, copies: np.ndarray, n: int, frequent: n
         yield parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " "), total, h[one]
 
 
-def _packed(lang: str, phrases: pa.Array, counts: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket: its phrases, a line each, and their counts."""
-    bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).astype(np.int32)
-    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), phrases.take(pa.array(order))), "\n")
-    numbers = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(counts[order]))])
-    return batch_of(bucket=pa.array(bucket[cuts[:-1]]), lang=pa.array([lang] * (len(cuts) - 1)), phrases=lines, counts=numbers)
+def _packed(found: list[tuple[str, pa.Array, np.ndarray, np.ndarray]], keys: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: its languages, and for each its phrases, a line each, and their counts."""
+    out: dict[int, list] = {}
+    for lang, phrases, counts, hashes in found:
+        bucket = (hashes % np.uint64(len(keys))).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, counts = bucket[order], counts[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), phrases.take(pa.array(order))), "\n").to_pylist()
+        for k, text in enumerate(lines):
+            out.setdefault(int(bucket[cuts[k]]), []).append((lang, text, counts[cuts[k] : cuts[k + 1]].tobytes()))
+    columns = [[[x[c] for x in own] for own in out.values()] for c in range(3)]
+    kinds = (pa.string(), pa.string(), pa.binary())
+    return batch_of(key=pa.array(keys[list(out)]), **{name: pa.array(col, pa.list_(kind)) for name, col, kind in zip(("langs", "phrases", "counts"), columns, kinds)})
+
+
+def bucket_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """An int for each of ``parts`` partitions that Spark's hash sends there, so that each partition gets one bucket."""
+    rows = spark.range(40 * parts).select(F.col("id").cast("int").alias("key"))
+    first = rows.groupBy(F.pmod(F.hash("key"), F.lit(parts)).alias("part")).agg(F.min("key").alias("key")).collect()  # a row for each partition
+    return np.array(sorted(r.key for r in first), np.int32)
 
 
 def count_phrases(pieces: DataFrame, n: int, least: int, frequent: np.ndarray | None = None) -> DataFrame:
@@ -115,7 +125,7 @@ def count_phrases(pieces: DataFrame, n: int, least: int, frequent: np.ndarray |
     ``frequent``: bitmap of the hashes of the frequent phrases of n - 1 words.
     """
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * BUCKETS_PER_PARTITION
+    keys = bucket_keys(pieces.sparkSession, parts)
 
     def send(batches):
         held: list[pa.RecordBatch] = []
@@ -126,10 +136,16 @@ def count_phrases(pieces: DataFrame, n: int, least: int, frequent: np.ndarray |
             langs = table["lang"].chunk(0).dictionary_encode()
             copies = table["copies"].to_numpy()
             of = np.asarray(langs.indices)
+            found = []
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 own = np.flatnonzero(of == k)
                 for phrases, counts, hashes in _phrases(lang, table["piece"].chunk(0).take(pa.array(own)), copies[own], n, frequent):
-                    yield _packed(lang, phrases, counts, hashes, buckets)
+                    found.append((lang, phrases, counts, hashes))
+                    if sum(len(x[2]) for x in found) >= BLOCK_WORDS:
+                        yield _packed(found, keys)
+                        found = []
+            if found:
+                yield _packed(found, keys)
 
         size = 0
         for batch in batches:
@@ -149,9 +165,9 @@ def count_phrases(pieces: DataFrame, n: int, least: int, frequent: np.ndarray |
 
         def rows():
             for batch in batches:
-                lists = pc.split_pattern(batch.column("phrases"), "\n")
-                langs = batch.column("lang").take(pa.array(np.repeat(np.arange(len(batch)), np.diff(np.asarray(lists.offsets)))))
-                counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int64)
+                lists, langs = pc.split_pattern(batch.column("phrases").flatten(), "\n"), batch.column("langs").flatten()
+                langs = langs.take(pa.array(np.repeat(np.arange(len(langs)), np.diff(np.asarray(lists.offsets)))))
+                counts = np.frombuffer(b"".join(batch.column("counts").flatten().to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([langs, lists.flatten(), pa.array(counts)], schema=schema)
 
         with tempfile.TemporaryDirectory(prefix="count-") as scratch:
@@ -162,8 +178,8 @@ def count_phrases(pieces: DataFrame, n: int, least: int, frequent: np.ndarray |
             finally:
                 db.close()
 
-    sent = pieces.select("lang", "piece", "copies").mapInArrow(send, "bucket int, lang string, phrases string, counts binary")
-    return sent.repartition(parts, "bucket").drop("bucket").mapInArrow(total, "lang string, phrase string, a long")
+    sent = pieces.select("lang", "piece", "copies").mapInArrow(send, "key int, langs array<string>, phrases array<string>, counts array<binary>")
+    return sent.repartition(parts, "key").drop("key").mapInArrow(total, "lang string, phrase string, a long")
 
 
 def _bitmap_of(counts: DataFrame, n: int) -> np.ndarray:
