@@ -36,7 +36,7 @@ from .tokens import sliced
 #: bytes of text worked on at once
 SLICE_BYTES = 4_000_000
 #: estimated bytes of what a worker keeps of pieces it has seen; beyond that it starts anew
-MEMO_BYTES = 128_000_000
+MEMO_BYTES = 160_000_000
 #: bytes of an entry of that memo besides its text and ids
 _ENTRY = 200
 #: pre-tokens of one text that are held at once
@@ -119,6 +119,7 @@ class ByteBpe:
         entries = pa.array(list(self.ranks), pa.binary())
         rank = np.fromiter(self.ranks.values(), np.int64, len(self.ranks))
         self.longest = max(map(len, self.ranks))
+        self.pairs: list[int | None] = [self.ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self.hash = MinimalPerfectHash(entries)
         at = np.empty(len(entries), np.int64)
         at[self.hash.slots(entries)] = np.arange(len(entries))
@@ -130,7 +131,6 @@ class ByteBpe:
         self._split = regex.compile(pattern)
         self._strict: regex.Pattern | None = None
         self.memo: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
         self.held, self.most = 0, memo_bytes
 
     def _pretokens(self, text: str) -> regex.Pattern:
@@ -147,11 +147,16 @@ class ByteBpe:
         ``stop[i]`` ends the part that begins at i (-1: none begins there), ``before[i]`` begins the part to its left.
         A heap entry holds rank, begin and end of a pair in one number.
         """
-        n, get = len(piece), self.ranks.get
+        n, get, push = len(piece), self.ranks.get, heapq.heappush
         bits = 16 if n < 1 << 16 else 32
         mask, high = (1 << bits) - 1, 2 * bits
-        stop, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << high | i << bits | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        stop, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+        first, i = piece[0], 0
+        for second in piece[1:]:
+            r = self.pairs[first << 8 | second]
+            if r is not None:
+                heap.append(r << high | i << bits | i + 2)
+            first, i = second, i + 1
         heapq.heapify(heap)
         while heap:
             x = heapq.heappop(heap)
@@ -164,10 +169,10 @@ class ByteBpe:
                 before[end] = i
                 far = stop[end]
                 if (r := get(piece[i:far])) is not None:
-                    heapq.heappush(heap, r << high | i << bits | far)
+                    push(heap, r << high | i << bits | far)
             left = before[i]
             if left >= 0 and (r := get(piece[left:end])) is not None:
-                heapq.heappush(heap, r << high | left << bits | end)
+                push(heap, r << high | left << bits | end)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : stop[i]]])
@@ -181,11 +186,11 @@ class ByteBpe:
         slots = self.hash.slots(keys)
         same = np.asarray(pc.equal(keys, self.entries.take(pa.array(slots)))).tolist()
         for t, x, is_entry, slot in zip(new, raw, same, slots.tolist()):
-            ids = self.tokens[t] = self.entry_ids[slot] if is_entry else self._merge(x)
+            ids = self.memo[t] = self.entry_ids[slot] if is_entry else self._merge(x)
             self.held += _ENTRY + len(t) + len(ids)
 
     def _ids(self, words: list[str]) -> bytes:
-        known = self.tokens
+        known = self.memo
         if new := [w for w in dict.fromkeys(words) if w not in known]:
             self._resolve(new)
         return b"".join([known[w] for w in words])
@@ -204,7 +209,7 @@ class ByteBpe:
 
     def _forget(self) -> None:
         if self.held > self.most:
-            self.memo, self.tokens, self.held = {}, {}, 0
+            self.memo, self.held = {}, 0
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; no text may be null.
@@ -220,20 +225,25 @@ class ByteBpe:
         # the first piece of a text has no blank before it; all others have, or begin with a line's end
         index = np.asarray(flat.indices).astype(np.int64) * 2
         index[offsets[:-1]] += 1
-        used = np.unique(index)
+        there = np.zeros(2 * len(flat.dictionary), bool)
+        there[index] = True
+        used = np.flatnonzero(there)
         names = flat.dictionary.to_pylist()
         cut = [(names[k >> 1] if k & 1 or names[k >> 1][0] == "\n" else " " + names[k >> 1]) for k in used.tolist()]
-        memo, parted = self.memo, {}
+        memo, parted, new = self.memo, [], {}
         for piece in cut:
             if piece not in memo:
-                parted[piece] = self._pretokens(piece).findall(piece)
-        if new := [w for w in dict.fromkeys(w for words in parted.values() for w in words) if w not in self.tokens]:
-            self._resolve(new)
-        for piece, words in parted.items():
-            ids = memo[piece] = b"".join([self.tokens[w] for w in words])
+                words = self._pretokens(piece).findall(piece)
+                if len(words) > 1:
+                    parted.append((piece, words))
+                new.update(dict.fromkeys(w for w in words if w not in memo))
+        if new:
+            self._resolve(list(new))
+        for piece, words in parted:
+            ids = memo[piece] = b"".join([memo[w] for w in words])
             self.held += _ENTRY + len(piece) + len(ids)
         each = [memo[piece] for piece in cut]
-        place = np.searchsorted(used, index).tolist()
+        place = (np.cumsum(there) - 1)[index].tolist()
         out, k = [], 0
         for i, is_odd in enumerate(odd.tolist()):
             if is_odd:
@@ -246,6 +256,8 @@ class ByteBpe:
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for; ids that the vocabulary lacks raise."""
         numbers = np.frombuffer(ids, "<u4")
+        if len(numbers) and numbers.max() >= len(self.by_rank):
+            raise ValueError("an id that the vocabulary lacks")
         out = []
         for k in range(0, len(numbers), 4_000_000):
             part = self.by_rank.take(pa.array(numbers[k : k + 4_000_000]))
