@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import release, written
 
 
 def pair_calls(pre: DataFrame, post: DataFrame) -> DataFrame:
@@ -28,98 +29,109 @@ def match_score(gap_ms: Column, window_ms: int, same_cwd: Column, near_cwd: Colu
     return time + F.when(same_cwd, 25).when(near_cwd, 10).otherwise(0) + F.when(same_tools, 5).otherwise(0)
 
 
+def prefixes_among(strings: DataFrame, among: DataFrame, column: str, proper: bool = True) -> DataFrame:
+    """(column, prefix): each distinct string of ``strings`` with all its prefixes that stand in ``among`` (prefix).
+
+    A trie by equality: a string is cut at the lengths that occur in ``among`` (as many as its longest string is long),
+    and the cuts are joined. No order is compared and no pair of strings is made that does not share the prefix. Null
+    strings take no part. ``proper``: a string is no prefix of itself.
+    """
+    nodes = among.select("prefix").where("prefix is not null").distinct()
+    sizes = [r[0] for r in nodes.select(F.length("prefix").alias("n")).distinct().collect()]  # at most the longest string's length
+    size = F.length(column)
+    own = strings.select(column).distinct()
+    cuts = F.filter(F.array(*map(F.lit, sorted(sizes))).cast("array<int>"), lambda n: n < size if proper else n <= size)
+    return own.select(column, F.explode(F.transform(cuts, lambda n: F.substring(column, F.lit(1), n))).alias("prefix")).join(nodes, "prefix").select(column, "prefix")
+
+
 def candidates(hooks: DataFrame, transcripts: DataFrame, window_ms: int = 5_000, least: int = 40) -> DataFrame:
     """hooks (hook_id, hook_pos, start, cwd), transcripts (transcript_id, transcript_pos, t_start, t_cwd): pairs of ``least`` points.
 
-    A pair needs both a start within twice the window and a related directory, so pairs meet in buckets of time;
-    the directory is checked within a bucket. Where there are tool_calls (of a hook) and message_count (of a
-    transcript), a count of messages from one to five times that of calls gives its points too.
+    Directories are related if one is a plain prefix of the other (``/w/1`` of ``/w/12`` too); empty and null ones are
+    not. Of ``least`` points, 36 or more, a pair always has some for its directory, so pairs meet by directory and
+    bucket of time: under the same one, or where one side's is a prefix (a node of the trie of the other side's). Where
+    there are tool_calls (of a hook) and message_count (of a transcript), a count of messages from one to five times
+    that of calls gives its points too.
     """
+    if least < 36:
+        raise ValueError("below 36 points a pair needs no directory, and would have to meet by time alone")
     width = 2 * window_ms
-    h = hooks.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("start") / width) + d)))
-    t = transcripts.withColumn("bucket", F.floor(F.col("t_start") / width))
-    inside = lambda a, b: F.col(a).startswith(F.concat(F.col(b), F.lit("/"))) | F.col(b).startswith(F.concat(F.col(a), F.lit("/")))
+    h, t = hooks.where("cwd <> ''"), transcripts.where("t_cwd <> ''")
+    above_h = prefixes_among(h, t.select(F.col("t_cwd").alias("prefix")), "cwd").groupBy("cwd").agg(F.collect_list("prefix").alias("above"))
+    above_t = prefixes_among(t, h.select(F.col("cwd").alias("prefix")), "t_cwd").groupBy("t_cwd").agg(F.collect_list("prefix").alias("above"))
+    own = lambda c, *kinds: F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("node")) for k in kinds])
+    up = lambda k: F.coalesce(F.transform("above", lambda p: F.struct(F.lit(k).alias("kind"), p.alias("node"))), F.array().cast("array<struct<kind:string,node:string>>"))
+    near = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(c) / width) + d))
+    dealt_h = h.join(above_h, "cwd", "left").withColumn("at", F.explode(F.concat(own("cwd", "same", "below"), up("above")))).drop("above").withColumn("bucket", near("start"))
+    dealt_t = t.join(above_t, "t_cwd", "left").withColumn("at", F.explode(F.concat(own("t_cwd", "same", "above"), up("below")))).drop("above").withColumn("bucket", F.floor(F.col("t_start") / width))
     counted = "tool_calls" in hooks.columns and "message_count" in transcripts.columns
     same_tools = F.col("message_count").between(F.col("tool_calls"), F.col("tool_calls") * 5) if counted else F.lit(False)
-    score = match_score(F.abs(F.col("start") - F.col("t_start")), window_ms, F.col("cwd") == F.col("t_cwd"), inside("cwd", "t_cwd"), same_tools)
-    return h.join(t, "bucket").withColumn("score", score).where(F.col("score") >= least).drop("bucket")
+    score = match_score(F.abs(F.col("start") - F.col("t_start")), window_ms, F.col("at.kind") == "same", F.lit(True), same_tools)
+    return dealt_h.join(dealt_t, ["at", "bucket"]).withColumn("score", score).where(F.col("score") >= least).drop("at", "bucket")
+
 
+#: pairs that a task goes through in one round of ``greedy_match``
+BLOCK_PAIRS = 250_000
 
-def greedy_match(pairs: DataFrame, rounds: int = 4) -> DataFrame:
+
+def greedy_match(pairs: DataFrame, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """One transcript per hook: hooks in order each take their best free transcript (the first among equals).
 
-    Hooks with the same list of pairs take its transcripts in order: the k-th hook of a list takes the k-th, unless an
-    earlier hook with another list contests one of the first k. Such rounds give what going through the hooks one by one
-    gives, whole table at a time. What is still open after ``rounds`` of them (long chains of contested hooks) is parted
-    into groups that share no transcript, and each group is gone through one by one, in order, by a task that holds
-    only the ids taken in it; no pair is left open.
-    """
-    chosen, open_ = None, pairs
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
-        won = checkpointed(_uncontested(open_).select(*pairs.columns))
-        chosen = won if chosen is None else chosen.unionByName(won)
-        open_ = checkpointed(open_.join(won.select("hook_id"), "hook_id", "left_anti").join(won.select("transcript_id"), "transcript_id", "left_anti").select(*pairs.columns))
-    if not open_.isEmpty():
-        rest = checkpointed(_one_by_one(_grouped(open_)).select(*pairs.columns))
-        chosen = rest if chosen is None else chosen.unionByName(rest)
-    return pairs.limit(0) if chosen is None else chosen
-
-
-def _uncontested(pairs: DataFrame) -> DataFrame:
-    """The pairs of the hooks whose turn among hooks with the same list no earlier hook of another list changes."""
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("hook_id").orderBy(F.col("score").desc(), "transcript_pos")))
-    own = lambda seed: F.xxhash64("transcript_id", "rank", F.lit(seed))
-    lists = ranked.groupBy("hook_id").agg(F.min("hook_pos").alias("pos"), F.struct(F.count("*"), F.sum(own(1).bitwiseAND(F.lit(2**40 - 1))), F.bit_xor(own(2))).alias("list"))
-    lists = lists.withColumn("place", F.row_number().over(Window.partitionBy("list").orderBy("pos", "hook_id"))).drop("pos")
-    placed = checkpointed(ranked.join(lists, "hook_id"))
-    firsts = placed.groupBy("transcript_id", "list").agg(F.min("hook_pos").alias("pos"))
-    by_pos = Window.partitionBy("transcript_id").orderBy("pos")
-    firsts = firsts.select("transcript_id", F.col("list").alias("first_list"), F.col("pos").alias("first_pos"), F.lead("pos").over(by_pos).alias("next_pos"), F.row_number().over(by_pos).alias("k")).where("k = 1").drop("k")
-    other = F.when(F.col("list") == F.col("first_list"), F.col("next_pos")).otherwise(F.col("first_pos"))
-    reached = placed.where("rank <= place").join(firsts, "transcript_id").withColumn("blocked", F.coalesce(other <= F.col("hook_pos"), F.lit(False)))
-    blocked = reached.where("blocked").select("hook_id").distinct()
-    return placed.where("rank = place").join(blocked, "hook_id", "left_anti")
-
-
-def _grouped(pairs: DataFrame) -> DataFrame:
-    """pairs with the smallest hook_id that is reached over shared transcripts and hooks, as ``group``.
-
-    Labels pass from hooks to transcripts and back, and each takes its label's label, so long chains take few rounds.
+    Rounds of reservations. The open pairs are dealt to blocks of consecutive hooks, whatever group they belong to. A
+    task goes through its block in order; a hook takes its best transcript if that is certainly free: not taken in the
+    block, in no open pair of an earlier block, and not among those that an undecided hook before it may take. All that
+    commit leave with their transcripts. The first block is decided whole in each round, and others but for what hangs
+    on earlier ones, so blocks that meet at few transcripts take few rounds; at worst, a chain through all blocks takes
+    as many rounds as there are blocks. A task holds the ids of a block only. The result is that of going through all
+    hooks one by one. Ids are not null; equal pairs count once.
     """
-    edges = pairs.select("hook_id", "transcript_id").distinct()
-    labels = checkpointed(edges.select("hook_id", F.col("hook_id").alias("group")).distinct())
-    while True:
-        across = edges.join(labels, "hook_id").groupBy("transcript_id").agg(F.min("group").alias("group"))
-        back = edges.join(across, "transcript_id").groupBy("hook_id").agg(F.min("group").alias("group"))
-        above = back.select(F.col("hook_id").alias("group"), F.col("group").alias("above"))
-        moved = back.join(above, "group").select("hook_id", F.col("above").alias("group"))
-        moved = checkpointed(moved.join(labels.withColumnRenamed("group", "was"), "hook_id"))
-        labels = moved.select("hook_id", "group")
-        if moved.where("group <> was").isEmpty():
-            return pairs.join(labels, "hook_id")
-
-
-def _one_by_one(pairs: DataFrame) -> DataFrame:
-    """The pairs that the hooks of a group take in order, one after the other."""
+    chosen, open_ = [], written(pairs, "open-pairs")
+    while n := open_.count():
+        placed = written(open_.repartitionByRange(-(-n // block_pairs), "hook_pos", "hook_id").withColumn("block", F.spark_partition_id()), "placed-pairs")
+        won = written(_reserved(placed).select(*pairs.columns), "matched-pairs")
+        left = open_.join(won.select("hook_id"), "hook_id", "left_anti").join(won.select("transcript_id"), "transcript_id", "left_anti")
+        left = written(left.select(*pairs.columns), "open-pairs")
+        release(open_, placed)
+        chosen.append(won)
+        open_ = left
+    release(open_)
+    out = pairs.sparkSession.createDataFrame([], pairs.schema)
+    for won in chosen:
+        out = out.unionByName(won)
+    return out
+
+
+def _reserved(placed: DataFrame) -> DataFrame:
+    """The pairs that the hooks of each block certainly take."""
+    first = placed.groupBy("transcript_id").agg(F.min("block").alias("first_block"))
+    rows = placed.join(first, "transcript_id").withColumn("earlier", F.col("first_block") < F.col("block")).drop("first_block")
 
     def run(batches):
-        group, hooks, taken = None, set(), set()
+        block, hook, taken, unsure = None, None, set(), set()
+        done = waits = False
         for batch in batches:
             keep = []
-            for g, h, t in zip(*(batch.column(c).to_pylist() for c in ("group", "hook_id", "transcript_id"))):
-                if g != group:
-                    group, hooks, taken = g, set(), set()
-                free = h not in hooks and t not in taken
-                keep.append(free)
-                if free:
-                    hooks.add(h)
-                    taken.add(t)
+            for b, h, t, earlier in zip(*(batch.column(c).to_pylist() for c in ("block", "hook_id", "transcript_id", "earlier"))):
+                if b != block:
+                    block, hook, taken, unsure = b, None, set(), set()
+                if h != hook:
+                    hook, done, waits = h, False, False
+                commits = False
+                if not done and t not in taken:
+                    if earlier or t in unsure:
+                        waits = True
+                    else:
+                        done, commits = True, not waits
+                    if commits:
+                        taken.add(t)
+                    else:
+                        unsure.add(t)  # the hook may take it, or one before it
+                keep.append(commits)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    ordered = pairs.repartition("group").sortWithinPartitions("group", "hook_pos", "hook_id", F.col("score").desc(), "transcript_pos")
-    return ordered.mapInArrow(run, pairs.schema)
+    blocks = placed.select(F.max("block")).first()[0] + 1
+    ordered = rows.repartition(blocks, "block").sortWithinPartitions("block", "hook_pos", "hook_id", F.col("score").desc(), "transcript_pos", "transcript_id")
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -165,13 +177,33 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, bucket_ms: int = 3_
     return kept.drop("level", "bucket", "l_level", "r_level")
 
 
-def resolve_project(rows: DataFrame, projects: DataFrame, path: str) -> DataFrame:
+def resolve_project(rows: DataFrame, projects: DataFrame, path: str, home: str | None = None) -> DataFrame:
     """The first project (by position) whose path is the row's path or a directory above it.
 
-    The row's path is cut into its ancestors and joined by equality, so no product of the two tables is made.
+    The row's path is cut into its ancestors and joined by equality, so no product of the two tables is made. With
+    ``home``, a ``~`` that begins a path on either side stands for it.
     """
-    p = projects.groupBy("project_path").agg(F.min(F.struct("project_pos", "project_id")).alias("p"))
-    found = _ancestors(rows, path, "project_path").join(p, "project_path").groupBy(path).agg(F.min("p").getField("project_id").alias("project_id"))
+    at = "_at"
+    p = projects.withColumn("project_path", _at_home(F.col("project_path"), home)).groupBy("project_path").agg(F.min(F.struct("project_pos", "project_id")).alias("p"))
+    own = rows.withColumn(at, F.when(F.col(path) != "", _at_home(F.col(path), home)))
+    found = _ancestors(own, at, "project_path").join(p, "project_path").groupBy(at).agg(F.min("p").getField("project_id").alias("project_id"))
+    return own.join(found, at, "left").drop(at)
+
+
+def _at_home(path: Column, home: str | None) -> Column:
+    """The path with a leading ``~`` as ``home``, and without a slash at its end."""
+    out = path if home is None else F.when(path.startswith("~"), F.concat(F.lit(home), F.regexp_replace(path, "^~", ""))).otherwise(path)
+    return F.regexp_replace(out, "/$", "")
+
+
+def first_prefix(rows: DataFrame, projects: DataFrame, path: str) -> DataFrame:
+    """The first project (project_pos, path_pos) one of whose paths is a plain prefix of the row's: ``/w/1`` of ``/w/12``.
+
+    Priority on the trie of ``prefixes_among``: the paths that are prefixes of a string are joined, and the smallest
+    position among them wins. An empty project path fits every path, a null path fits none.
+    """
+    p = projects.groupBy(F.col("project_path").alias("prefix")).agg(F.min(F.struct("project_pos", "path_pos", "project_id")).alias("p"))
+    found = prefixes_among(rows.where(F.col(path).isNotNull()), p, path, proper=False).join(p, "prefix").groupBy(path).agg(F.min("p").getField("project_id").alias("project_id"))
     return rows.join(found, path, "left")
 
 
@@ -189,13 +221,17 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str) -> DataFrame
     return rows.join(best, path, "left")
 
 
-def prioritized_lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The table's value under the first of several keys that it holds."""
-    out, names = rows, []
-    for i, key in enumerate(keys):
-        names.append(f"_found{i}")
-        out = out.join(table.select(F.col("key").alias(f"_key{i}"), F.col(value).alias(names[-1])), F.col(key) == F.col(f"_key{i}"), "left").drop(f"_key{i}")
-    return out.withColumn(value, F.coalesce(*names)).drop(*names)
+def prioritized_lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str, order: str | None = None) -> DataFrame:
+    """The table's value under the first of several keys that it holds.
+
+    Of a repeated key the value last by ``order`` counts (without it the greatest), so no row comes twice. Each row asks
+    for all its keys in one join, from which it takes the answer to the first.
+    """
+    last = table.where("key is not null").groupBy("key").agg(F.max_by(value, order) if order else F.max(value)).toDF("_key", "_value")
+    asked = rows.select(F.array(*keys).alias("_keys")).distinct()
+    requests = asked.select("_keys", F.posexplode("_keys").alias("_k", "_key"))
+    answers = requests.join(last.where("_value is not null"), "_key").groupBy("_keys").agg(F.min_by("_value", "_k").alias(value))
+    return rows.drop(value).withColumn("_keys", F.array(*keys)).join(answers.withColumnRenamed("_keys", "_asked"), F.col("_keys").eqNullSafe(F.col("_asked")), "left").drop("_keys", "_asked")
 
 
 def merge_timeline(*sources: DataFrame) -> DataFrame:
@@ -215,11 +251,30 @@ def catalog_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def infer_projects(repos: DataFrame, known: DataFrame) -> DataFrame:
-    """Repositories not yet known, each with an id from its name; equal names get -1, -2, ... in order of path."""
-    fresh = repos.join(known.select("path"), "path", "left_anti")
-    slug = F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-")
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("path")) - 1
-    return fresh.withColumn("slug", slug).withColumn("project_id", F.when(n > 0, F.concat("slug", F.lit("-"), n.cast("string"))).otherwise(F.col("slug"))).drop("slug")
+    """Repositories (path, name) whose path is not yet known, in order of path, each with a new id out of its name.
+
+    known (path, project_id). The id is the name in lower case with dashes for other characters, none at the ends. While
+    it is in use, -1, -2, ... are added to what there is: a, a-1, a-1-2, a-1-2-3. Such ids belong to one family, so
+    families are gone through apart. A missing name is the last part of the path; without either there is no project.
+    """
+    name = F.coalesce(F.nullif("name", F.lit("")), F.try_element_at(F.filter(F.split("path", "/"), lambda x: x != ""), F.lit(-1)))
+    fresh = repos.groupBy("path").agg(F.max("name").alias("name")).join(known.select("path"), "path", "left_anti").withColumn("name", name).where("name is not null")
+    slug = F.regexp_replace(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), "^-|-$", "")
+    taken = known.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("name"), F.col("project_id").cast("string").alias("slug")).where("slug is not null").distinct()
+    rows = fresh.select("path", "name", slug.alias("slug")).unionByName(taken)
+    rows = rows.withColumn("family", F.regexp_replace("slug", "(-[0-9]+)+$", ""))
+
+    def of_family(family: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(family.slug[family.path.isna()]), []
+        for r in family[family.path.notna()].sort_values("path").itertuples():
+            project, suffix = r.slug, 1
+            while project in used:
+                project, suffix = f"{project}-{suffix}", suffix + 1
+            used.add(project)
+            out.append((r.path, r.name, project))
+        return pd.DataFrame(out, columns=["path", "name", "project_id"])
+
+    return rows.groupBy("family").applyInPandas(of_family, "path string, name string, project_id string")
 
 
 def live_pids(sessions: DataFrame, processes: DataFrame, label: str = "claude") -> DataFrame:
@@ -229,8 +284,10 @@ def live_pids(sessions: DataFrame, processes: DataFrame, label: str = "claude")
 
 
 def bulk_get(ids: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
-    """A row per asked id, found or not; ``found`` tells which."""
-    return ids.join(table.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    """A row per asked id, found or not; ``found`` tells which. Of rows of the table with one key the greatest counts."""
+    rest = [c for c in table.columns if c != key]
+    once = table.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+    return ids.join(once.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def attach_managed(conversations: DataFrame, managed: DataFrame, hour_ms: int = 3_600_000) -> DataFrame:

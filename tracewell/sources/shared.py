@@ -27,3 +27,21 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
             held = context._jsc.sc().getCheckpointDir()
         base = held.get()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below spark.checkpoint.dir and read again; ``release`` removes it."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_written_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
