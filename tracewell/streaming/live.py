@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.logs import EVENT
 
-HOOK_EVENT = "event string, tool_use_id string, session_id string, tool_name string, timestamp long, error string, cwd string, input_tokens long, output_tokens long"
-SESSION = "session_id string, status string, start_time long, end_time long, last_activity long, tool_count long, awaiting_user boolean, input_tokens long, output_tokens long"
+HOOK_EVENT = "event string, tool_use_id string, session_id string, tool_name string, timestamp long, error string, cwd string, input_tokens long, output_tokens long, commit string, seq long"
+SESSION = (
+    "session_id string, status string, start_time long, end_time long, last_activity long, tool_count long, awaiting_user boolean, input_tokens long, output_tokens long, "
+    "auto_continue_attempts long, version long, tools_used array<struct<tool_name:string,n:bigint>>, commits array<string>"
+)
+_SESSION_STATE = "status string, start_time long, end_time long, last_activity long, tool_count long, awaiting_user boolean, input_tokens long, output_tokens long, auto_continue_attempts long, version long"
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str = HOOK_EVENT, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,6 +31,23 @@ def read_stream(spark: SparkSession, folder: str, schema: str = HOOK_EVENT, file
     return rows.where(F.coalesce(*[F.col(c).cast("string") for c in rows.columns[:2]]).isNotNull())
 
 
+def read_hooks(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Hook events of a drop folder with ``arrival``: their number ``seq`` if they have one, then the time and name of
+    their file and their place in it, as a text that sorts in that order."""
+    rows = read_stream(spark, folder, HOOK_EVENT, files_per_trigger)
+    m, number = F.col("_metadata"), lambda c: F.lpad(c.cast("string"), 19, "0")
+    placed = rows.withColumn("arrival", F.concat_ws("/", number(F.coalesce("seq", F.lit(0))), number(F.unix_micros(m.file_modification_time)), m.file_name, number(m.file_block_start)))
+
+    def numbered(batches):
+        n = 0  # a task reads a file from its first line to its last
+        for batch in batches:
+            line = pc.utf8_lpad(pc.cast(pa.array(range(n, n + len(batch)), pa.int64()), pa.string()), 19, "0")
+            n += len(batch)
+            yield batch.set_column(batch.schema.get_field_index("arrival"), "arrival", pc.binary_join_element_wise(batch.column("arrival"), line, "/"))
+
+    return placed.mapInArrow(numbered, placed.schema)
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     return read_stream(spark, folder, EVENT)
 
@@ -54,45 +78,106 @@ def unique_events(rows: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.withColumn("at", F.to_timestamp("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def live_sessions(hooks: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """Session state by start, call, awaiting, tokens and end events; events of unknown sessions are ignored.
-
-    Each batch gives the state of the sessions that it touched. A session without events for ``idle_ms`` ends.
-    """
-
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = list(state.get) if state.exists else None
-        if state.hasTimedOut:
-            if current is not None and current[0] == "active":
-                current[0], current[2] = "ended", current[3]
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["timestamp", "event"], kind="stable")
-            for r in rows.itertuples():
-                ms = int(r.timestamp)
-                if r.event == "start":
-                    current = ["active", ms, None, ms, 0, False, 0, 0]
-                if current is None:
-                    continue
-                current[3] = max(current[3], ms)
-                if r.event == "pre":
-                    current[4], current[5] = current[4] + 1, False
-                elif r.event == "awaiting":
-                    current[5] = True
-                elif r.event == "tokens":
-                    current[6] += int(r.input_tokens) if pd.notna(r.input_tokens) else 0
-                    current[7] += int(r.output_tokens) if pd.notna(r.output_tokens) else 0
-                elif r.event == "end":
-                    current[0], current[2] = "ended", ms
-            if current is not None:
-                state.update(tuple(current))
-                state.setTimeoutDuration(idle_ms)
+#: transformWithState keeps its state in RocksDB
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SessionProcessor(StatefulProcessor):
+    """The state of one session: a value, counts of completed calls by tool, the list of its commits, and a timer."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", _SESSION_STATE)
+        self.tools = handle.getMapState("tools", "tool_name string", "n long")
+        self.commits = handle.getListState("commits", "commit string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        current = list(self.session.get()) if self.session.exists() else None
+        for r in batch.itertuples():
+            ms = int(r.timestamp)
+            if r.event == "start":  # also of a known session: it begins anew
+                current = ["active", ms, None, ms, 0, False, 0, 0, 0, current[9] if current else 0]
+                self.tools.clear()
+                self.commits.clear()
+            if current is None:
+                continue
+            if r.event == "end":
+                current[0], current[2] = "ended", ms
+                continue
+            if r.event == "auto_continue":
+                current[8] += 1
+                continue
+            if r.event == "auto_continue_reset":
+                current[8] = 0
+                continue
+            current[3] = max(current[3], ms)
+            if r.event == "pre":
+                current[4], current[5] = current[4] + 1, False
+            elif r.event == "post" and isinstance(r.tool_name, str):
+                had = self.tools.getValue((r.tool_name,))[0] if self.tools.containsKey((r.tool_name,)) else 0
+                self.tools.updateValue((r.tool_name,), (had + 1,))
+            elif r.event in ("awaiting", "resumed"):
+                current[5] = r.event == "awaiting"
+            elif r.event == "tokens":
+                current[6] += int(r.input_tokens) if pd.notna(r.input_tokens) else 0
+                current[7] += int(r.output_tokens) if pd.notna(r.output_tokens) else 0
+            elif r.event == "commit" and isinstance(r.commit, str):
+                self.commits.appendValue((r.commit,))
         if current is not None:
-            status, start, end, last, calls, awaiting, tokens_in, tokens_out = current
-            yield pd.DataFrame({"session_id": [key[0]], "status": [status], "start_time": [start], "end_time": pd.array([end], dtype="Int64"), "last_activity": [last], "tool_count": [calls], "awaiting_user": [awaiting], "input_tokens": [tokens_in], "output_tokens": [tokens_out]})
-
-    held = "status string, start_time long, end_time long, last_activity long, tool_count long, awaiting_user boolean, input_tokens long, output_tokens long"
-    return hooks.groupBy("session_id").applyInPandasWithState(advance, SESSION, held, "update", GroupStateTimeout.ProcessingTimeTimeout)
+            current[9] = max(current[9] + 1, self._now())
+            self.session.update(tuple(current))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(current[3], current[2] or 0) + self.idle_ms)
+            yield self._rows(key, current)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        current = list(self.session.get())
+        if current[0] == "active":
+            current[0], current[2] = "ended", current[3]
+            yield self._rows(key, [*current[:9], max(current[9] + 1, self._now())])
+        self.session.clear()
+        self.tools.clear()
+        self.commits.clear()
+
+    @staticmethod
+    def _now() -> int:
+        return time.time_ns() // 1000
+
+    def _rows(self, key, current: list) -> pd.DataFrame:
+        status, start, end, last, calls, awaiting, tokens_in, tokens_out, attempts, version = current
+        used = [{"tool_name": k[0], "n": v[0]} for k, v in sorted(self.tools.iterator(), key=lambda kv: kv[0][0])]
+        return pd.DataFrame(
+            {
+                "session_id": [key[0]], "status": [status], "start_time": [start], "end_time": pd.array([end], dtype="Int64"), "last_activity": [last], "tool_count": [calls], "awaiting_user": [awaiting], "input_tokens": [tokens_in], "output_tokens": [tokens_out],
+                "auto_continue_attempts": [attempts], "version": [version], "tools_used": [used], "commits": [[c[0] for c in self.commits.get()]],
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def live_sessions(hooks: DataFrame, idle_ms: int = 3_600_000, late: str = "1 hour") -> DataFrame:
+    """Session state by start, pre, post, awaiting, resumed, tokens, commit, auto_continue (and its reset) and end events.
+
+    hooks as of ``read_hooks``, with ``arrival``: events of a batch are taken in order of arrival, whatever their times
+    say; of equal times that which came first is first. Events of sessions that have not started are ignored; a start
+    of a known session begins it anew. Each batch gives the state of the sessions that it touched, numbered by
+    ``version`` (microseconds of the batch, growing by session), of which the last counts. tool_count counts calls begun, tools_used those completed, by tool.
+
+    Timers are of event time: once the watermark (``late`` behind the newest event) passes ``idle_ms`` after a session's
+    last event or its end, its state is removed; one that is still active then ends at its last event. So a query that
+    takes what is there now ends by itself, and state is bounded by the sessions of the last hours. Events more than
+    ``late`` behind may be left out. Write with outputMode update.
+    """
+    hooks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    timed = hooks.where("session_id is not null and timestamp is not null").withColumn("at", F.timestamp_millis("timestamp")).withWatermark("at", late)
+    return timed.groupBy("session_id").transformWithStateInPandas(SessionProcessor(idle_ms), SESSION, "Update", "EventTime")
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str):
