@@ -15,9 +15,19 @@ def append_log(rows: DataFrame, path: str, timestamp: str = "timestamp", format:
     rows.withColumn("dt", day(F.col(timestamp))).write.mode("append").partitionBy("dt").format(format).save(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` over those of ``old`` with the same key; write the result to a new folder."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of ``new`` over those of ``old`` with the same key; write the result to a new folder.
+
+    Of several rows of ``new`` with one key the last by ``order`` stays (without it, or with equal ones, the greatest
+    row), and so of ``old``, so a key stands once.
+    """
+
+    def once(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != key]
+        first = [order] if order in rest else []
+        return rows.groupBy(key).agg(F.max(F.struct(*first, *[c for c in rest if c not in first])).alias("_row")).select(key, "_row.*").select(rows.columns) if rest else rows.distinct()
+
+    return once(old.join(new.select(key), key, "left_anti")).unionByName(once(new), allowMissingColumns=True)
 
 
 def migrate(store: DataFrame, migrations: dict[int, object], version: str = "version") -> DataFrame:
