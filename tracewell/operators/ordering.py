@@ -26,3 +26,13 @@ def range_totals(rows: DataFrame, group: list[str], order: list[str], weight: Co
 def range_numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """``rows`` with the number (from 1) of each in the order of ``order`` among those of its group."""
     return range_totals(rows, group, order, F.lit(1), name)
+
+
+def running_sums(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``rows`` (one for each value of ``order``) with each of ``columns`` as its sum over all rows up to this one."""
+    placed = checkpointed(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range only
+    firsts = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns]).select("_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({c: F.sum(c).over(inside) for c in columns}).join(firsts, "_range")
+    return summed.withColumns({c: F.col(c) + F.col(f"_{c}") for c in columns}).select(*rows.columns)

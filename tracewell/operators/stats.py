@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.js import day, half_up, is_false, is_true, share_percent
-from .ordering import range_totals
+from .joins import first_prefix
+from .ordering import range_totals, running_sums
 
 
 def n_if(cond: Column) -> Column:
@@ -126,6 +127,28 @@ def recent_activity(usages: DataFrame, as_of: int, window_ms: int = 3_600_000) -
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tool_calls"), F.coalesce(F.sum("f"), F.lit(0)).alias("failures"), F.min(F.struct((-F.col("n")).alias("k"), "tool_name")).getField("tool_name").alias("top_tool"))
 
 
+def recent_sessions(sessions: DataFrame, as_of: int, window_ms: int = 3_600_000) -> DataFrame:
+    """One row over the sessions (start_time, end_time, tokens, cost) that began in the last window or are active."""
+    began = (F.col("start_time") > as_of - window_ms) & (F.col("start_time") <= as_of)
+    active = (F.col("start_time") <= as_of) & (F.col("end_time").isNull() | (F.col("end_time") > as_of))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return sessions.where(began | active).agg(F.count("*").alias("sessions"), F.count(F.when(active, 1)).alias("active_sessions"), total("input_tokens"), total("output_tokens"), total("cost_usd"))
+
+
+def active_sessions(sessions: DataFrame) -> DataFrame:
+    """(at, active, input_tokens, output_tokens, cost_usd): how many sessions are active from each time on, and what
+    those that have begun until then hold, at every time at which one begins or ends.
+
+    A sweep: a session adds one at its start and takes it away at its end (never, if it has none). Changes of one time
+    are added up, dealt to ranges of time, and each range starts from the sum of those before it, so no task sees all.
+    """
+    parts = ["input_tokens", "output_tokens", "cost_usd"]
+    begin = sessions.select(F.col("start_time").alias("at"), F.lit(1).alias("change"), *parts)
+    finish = sessions.where("end_time is not null").select(F.greatest("end_time", "start_time").alias("at"), F.lit(-1).alias("change"), *[F.lit(0).alias(c) for c in parts])
+    changes = begin.unionByName(finish).where("at is not null").groupBy("at").agg(*[F.sum(c).alias(c) for c in ["change", *parts]])
+    return running_sums(changes, "at", ["change", *parts]).withColumnRenamed("change", "active")
+
+
 def week_over_week(usages: DataFrame, as_of: int) -> DataFrame:
     """Calls in the last 7 days, in the 7 before, and the change."""
     week = 7 * 86_400_000
@@ -198,6 +221,21 @@ def mean_score(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("sessions"), half_up(F.avg("score"), 1).alias("mean_score"))
 
 
+def by_project_path(transcripts: DataFrame, projects: DataFrame, as_of: int | None = None, days: int = 30) -> DataFrame:
+    """Transcripts (project_dir, modified_at, tests_ran, tests_failed) by the first project one of whose paths is a plain prefix.
+
+    projects (project_pos, path_pos, project_id, project_name, project_path). Every project has a row, and rows without
+    one are counted under a null id. A session succeeds if tests ran and none failed, and fails if some did.
+    """
+    rows = transcripts if as_of is None else transcripts.where(F.col("modified_at") >= as_of - days * 86_400_000)
+    ran, failed = F.coalesce("tests_ran", F.lit(False)), F.coalesce("tests_failed", F.lit(0))
+    per = first_prefix(rows, projects, "project_dir").groupBy("project_id").agg(F.count("*").alias("session_count"), F.count(F.when(ran & (failed == 0), 1)).alias("success_count"), F.count(F.when(ran & (failed > 0), 1)).alias("failure_count"))
+    every = projects.groupBy("project_id").agg(F.min_by("project_name", F.struct("project_pos", "path_pos")).alias("project_name"))
+    every = every.unionByName(every.sparkSession.createDataFrame([(None, None)], every.schema)).withColumnRenamed("project_id", "p")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return every.join(per, F.col("p").eqNullSafe(F.col("project_id")), "left").select(F.col("p").alias("project_id"), "project_name", zero("session_count"), zero("success_count"), zero("failure_count"))
+
+
 def by_project(rows: DataFrame, projects: DataFrame) -> DataFrame:
     """Per project, also those without rows, and for rows of none (project_id null): sessions, mean score, tests passed and failed."""
     per = rows.groupBy("project_id").agg(F.count("*").alias("sessions"), F.avg("score").alias("mean_score"), F.sum("tests_passed").alias("tests_passed"), F.sum("tests_failed").alias("tests_failed"))
