@@ -151,14 +151,16 @@ def test_greedy_match_equals_one_by_one(spark):
 
 def test_candidates_equal_all_pairs(spark):
     rng = random.Random(5)
-    cwd = lambda: rng.choice(["/a", "/a/b", "/c"])
+    cwd = lambda: rng.choice(["/a", "/a/b", "/ab", "/a/bc", "/c", "/", "", None, "~/é"])
     h = [(i, i, rng.randrange(60_000), cwd()) for i in range(80)]
     t = [(i, i, rng.randrange(60_000), cwd()) for i in range(80)]
 
     def points(a, b):
         gap = abs(a[2] - b[2])
         n = 30 if gap <= 5000 else 15 if gap <= 10_000 else 0
-        return n + (25 if a[3] == b[3] else 10 if a[3].startswith(b[3] + "/") or b[3].startswith(a[3] + "/") else 0)
+        if not a[3] or not b[3]:
+            return n
+        return n + (25 if a[3] == b[3] else 10 if a[3].startswith(b[3]) or b[3].startswith(a[3]) else 0)
 
     want = sorted((a[0], b[0], points(a, b)) for a in h for b in t if points(a, b) >= 40)
     got = joins.candidates(spark.createDataFrame(h, "hook_id int, hook_pos int, start long, cwd string"), spark.createDataFrame(t, "transcript_id int, transcript_pos int, t_start long, t_cwd string"))
@@ -181,7 +183,7 @@ def test_pairing_catalog_and_projects(spark):
     new = spark.createDataFrame([(1, 5), (2, 6), (4, 1)], "id int, modified_at long")
     assert {r.id: r.change for r in joins.catalog_diff(old, new).collect()} == {1: "unchanged", 2: "updated", 3: "removed", 4: "added"}
     repos = spark.createDataFrame([("My App", "/1"), ("my app", "/2"), ("other", "/3")], "name string, path string")
-    known = spark.createDataFrame([("/3",)], "path string")
+    known = spark.createDataFrame([("/3", "x")], "path string, project_id string")
     assert {r.path: r.project_id for r in joins.infer_projects(repos, known).collect()} == {"/1": "my-app", "/2": "my-app-1"}
 
 
@@ -392,3 +394,62 @@ def test_tool_count_gives_points(spark):
     h = spark.createDataFrame([(1, 1, 1000, "/w", 3), (2, 2, 1000, "/w", 30)], "hook_id int, hook_pos int, start long, cwd string, tool_calls long")
     t = spark.createDataFrame([(7, 7, 1200, "/w", 10)], "transcript_id int, transcript_pos int, t_start long, t_cwd string, message_count long")
     assert {r.hook_id: r.score for r in joins.candidates(h, t).collect()} == {1: 60, 2: 55}
+
+
+def test_plain_prefixes_and_home(spark):
+    rows = spark.createDataFrame([(1, "/w/12"), (2, "/w/1"), (3, "/x"), (4, None), (5, "~/p/x"), (6, "")], "id int, cwd string")
+    p = spark.createDataFrame([(0, 1, "b", "/w/12"), (0, 0, "b", "/w/1"), (1, 0, "a", "/w"), (2, 0, "rest", "")], "project_pos int, path_pos int, project_id string, project_path string")
+    assert {r.id: r.project_id for r in joins.first_prefix(rows, p, "cwd").collect()} == {1: "b", 2: "b", 3: "rest", 4: None, 5: "rest", 6: "rest"}
+    assert {r.id: r.project_id for r in joins.first_prefix(rows, p.where("project_pos = 1"), "cwd").collect()} == {1: "a", 2: "a", 3: None, 4: None, 5: None, 6: None}
+    home = spark.createDataFrame([(0, "p", "~/p/"), (1, "w", "/w/1")], "project_pos int, project_id string, project_path string")
+    more = rows.unionByName(spark.createDataFrame([(7, "/home/u/p/x"), (8, "/home/u/px")], "id int, cwd string"))
+    assert {r.id: r.project_id for r in joins.resolve_project(more, home, "cwd", home="/home/u").collect()} == {1: None, 2: "w", 3: None, 4: None, 5: "p", 6: None, 7: "p", 8: None}
+
+
+def test_repeated_keys(spark):
+    rows = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, "z", "a"), (4, None, "z")], "id int, first string, second string")
+    table = spark.createDataFrame([("a", 1, 9), ("a", 2, 3), ("b", 5, 1), ("z", None, 1)], "key string, value int, at int")
+    assert {r.id: r.value for r in joins.prioritized_lookup(rows, table, ["first", "second"], "value").collect()} == {1: 2, 2: 5, 3: 2, 4: None}
+    assert {r.id: r.value for r in joins.prioritized_lookup(rows, table, ["first", "second"], "value", order="at").collect()} == {1: 1, 2: 5, 3: 1, 4: None}
+    ids = spark.createDataFrame([("a",), ("q",)], "id string")
+    assert sorted((r.id, r.found, r.value) for r in joins.bulk_get(ids, table.withColumnRenamed("key", "id")).collect()) == [("a", True, 2), ("q", False, None)]
+
+
+def test_project_ids_avoid_those_in_use(spark):
+    repos = spark.createDataFrame([("App!", "/1"), ("app", "/2"), ("app-1", "/3"), (None, "/x/app"), ("", "/"), ("(New)", "/4"), ("new", "/k")], "name string, path string")
+    known = spark.createDataFrame([("/k", "new"), ("/q", "app-1")], "path string, project_id string")
+    got = {r.path: r.project_id for r in joins.infer_projects(repos, known).collect()}
+    used, want = {"new", "app-1"}, {}
+    for path, slug in (("/1", "app"), ("/2", "app"), ("/3", "app-1"), ("/4", "new"), ("/x/app", "app")):
+        project, n = slug, 1
+        while project in used:
+            project, n = f"{project}-{n}", n + 1
+        used.add(project)
+        want[path] = project
+    assert got == want
+
+
+def test_active_sessions_and_projects_by_path(spark):
+    s = spark.createDataFrame([(0, 10, 1, 2, 3), (5, None, 1, 0, 0), (10, 10, 0, 0, 1), (20, 15, 5, 0, 0)], "start_time long, end_time long, input_tokens long, output_tokens long, cost_usd long")
+    assert [(r.at, r.active, r.input_tokens) for r in stats.active_sessions(s).orderBy("at").collect()] == [(0, 1, 1), (5, 2, 2), (10, 1, 2), (20, 1, 7)]
+    r = stats.recent_sessions(s, 12, 3).first()
+    assert (r.sessions, r.active_sessions, r.input_tokens, r.cost_usd) == (2, 1, 1, 1)
+    assert stats.active_sessions(s.limit(0)).count() == 0 and stats.recent_sessions(s.limit(0), 12).first().sessions == 0
+    t = spark.createDataFrame([("/a/b", True, 0), ("/ab", True, 2), ("/ab", False, 0), ("/q", True, 1), (None, None, None)], "project_dir string, tests_ran boolean, tests_failed int")
+    p = spark.createDataFrame([(0, 0, "x", "X", "/a"), (1, 0, "y", "Y", "/a/b")], "project_pos int, path_pos int, project_id string, project_name string, project_path string")
+    assert {r.project_id: tuple(r)[1:] for r in stats.by_project_path(t, p).collect()} == {"x": ("X", 3, 1, 1), "y": ("Y", 0, 0, 0), None: (None, 2, 0, 1)}
+
+
+def test_counts_of_all_rules_equal_python(spark):
+    import re
+
+    from tracewell.functions import rules
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    planted = ['aws "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ1234" = ' + "A" * 40 + "\n", "sk-" + "a1" * 15 + " ghp_" + "b2" * 15 + " +1 (555) 010-9999", r"C:\\Users\\ann\\x /home/ann/y a@b.co"]
+    docs = docs.unionByName(spark.createDataFrame([(x,) for x in planted], "text string"))
+    rows = docs.select("text", *redact.rule_counts(F.col("text"))).collect()
+    for name, _, patterns, _ in rules.REDACTION:
+        compiled = [re.compile(p.replace(r"\z", r"\Z"), re.ASCII) for p in patterns]
+        assert [r[name] for r in rows] == [sum(sum(1 for _ in c.finditer(r.text)) for c in compiled) for r in rows], name
+    assert sum(r.aws_secret for r in rows) >= 2

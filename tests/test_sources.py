@@ -5,7 +5,7 @@ import sqlite3
 
 from pyspark.sql import functions as F
 
-from tracewell.sources import logs, sinks
+from tracewell.sources import changelog, logs, sinks
 from tracewell.streaming import live
 
 
@@ -83,6 +83,9 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(m).first().markdown == "## User\n\nA\n\n## Assistant\n\nB"
     merged = sinks.upsert(rows, spark.createDataFrame([(2, "n"), (3, "z")], "id long, text string"), "id")
     assert sorted(map(tuple, merged.collect())) == [(1, "a"), (2, "n"), (3, "z")]
+    twice = spark.createDataFrame([(2, "x", 5), (2, "n", 9), (3, "z", 1), (3, "y", 1)], "id long, text string, at int")
+    merged = sinks.upsert(rows.withColumn("at", F.lit(0)), twice, "id", "at")
+    assert sorted(map(tuple, merged.collect())) == [(1, "a", 0), (2, "n", 9), (3, "z", 1)]
 
 
 HOOKS = [
@@ -107,13 +110,51 @@ def test_live_pairs_and_stats(spark, tmp_path):
     assert {r.tool_name: r.success_count for r in live.live_tool_stats(done).collect()} == {"Bash": 1, "Read": 0}
 
 
+def final_sessions(rows):
+    last = {}
+    for r in rows:
+        if r.session_id not in last or last[r.session_id].version < r.version:
+            last[r.session_id] = r
+    return last
+
+
 def test_live_sessions(spark, tmp_path):
     put(tmp_path / "in" / "a.json", *HOOKS[:6])
     put(tmp_path / "in" / "b.json", *HOOKS[6:])
-    rows = drain(live.live_sessions(live.read_stream(spark, str(tmp_path / "in"))), "sessions", "update")
-    last = max(rows, key=lambda r: r.last_activity)
-    assert {r.session_id for r in rows} == {"s"}
+    rows = drain(live.live_sessions(live.read_hooks(spark, str(tmp_path / "in"))), "sessions", "update")
+    last = final_sessions(rows)
+    assert set(last) == {"s"}
+    last = last["s"]
     assert (last.status, last.end_time, last.tool_count, last.input_tokens, last.output_tokens) == ("ended", 9_000, 2, 3000, 1300)
+    assert [tuple(x) for x in last.tools_used] == []
+
+
+def test_sessions_keep_arrival_order_over_batches_and_restarts(spark, tmp_path):
+    """Equal times in order of arrival; a second run goes on from the checkpoint; the idle timer ends sessions."""
+    hour, folder = 3_600_000, tmp_path / "in"
+    out = tmp_path / "out"
+
+    def run():
+        stream = live.live_sessions(live.read_hooks(spark, str(folder), files_per_trigger=1))
+        write = lambda batch, _: batch.write.mode("append").parquet(str(out))
+        q = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(write).start()
+        assert q.awaitTermination(200), "the query did not end by itself"
+        return final_sessions(spark.read.parquet(str(out)).collect())
+
+    put(folder / "1.json", {"event": "pre", "session_id": "t", "timestamp": 5}, {"event": "start", "session_id": "t", "timestamp": 5}, {"event": "pre", "session_id": "t", "timestamp": 5}, {"event": "post", "session_id": "t", "tool_name": "Bash", "timestamp": 5}, {"event": "awaiting", "session_id": "t", "timestamp": 5},
+        {"event": "auto_continue", "session_id": "t", "timestamp": 5}, {"event": "start", "session_id": "idle", "timestamp": 7}, {"event": "start", "session_id": "done", "timestamp": 7}, {"event": "end", "session_id": "done", "timestamp": 7}, {"event": "pre", "session_id": "done", "timestamp": 9})
+    got = run()
+    assert (got["t"].tool_count, got["t"].awaiting_user, got["t"].status, got["t"].auto_continue_attempts) == (1, True, "active", 1)
+    assert [tuple(x) for x in got["t"].tools_used] == [("Bash", 1)]
+    assert (got["done"].status, got["done"].end_time, got["done"].tool_count, got["done"].last_activity) == ("ended", 7, 1, 9)
+    put(folder / "2.json", {"event": "pre", "session_id": "t", "timestamp": hour}, {"event": "commit", "session_id": "t", "commit": "abc", "timestamp": hour}, {"event": "auto_continue_reset", "session_id": "t", "timestamp": hour})
+    put(folder / "3.json", {"event": "tokens", "session_id": "t", "timestamp": 2 * hour + 10, "input_tokens": 7})
+    got = run()
+    assert (got["t"].tool_count, got["t"].input_tokens, got["t"].commits, got["t"].auto_continue_attempts) == (2, 7, ["abc"], 0)
+    assert (got["idle"].status, got["idle"].end_time) == ("ended", 7)
+    put(folder / "4.json", {"event": "pre", "session_id": "done", "timestamp": 3 * hour}, {"event": "start", "session_id": "idle", "timestamp": 3 * hour})
+    got = run()
+    assert (got["done"].tool_count, got["idle"].status, got["idle"].start_time) == (1, "active", 3 * hour)
 
 
 def test_windows_and_unique_events(spark, tmp_path):
@@ -193,3 +234,43 @@ def test_zip_bundle_and_migrations(spark, tmp_path):
     store = spark.createDataFrame([(1, None, "a"), (2, 1, "b")], "id int, version int, name string")
     up = sinks.migrate(store, {0: lambda df: df.withColumn("name", F.upper("name")), 1: lambda df: df.withColumn("tag", F.concat(F.lit("t"), "name"))})
     assert sorted(tuple(r) for r in up.select("id", "version", "name", "tag").collect()) == [(1, 2, "A", "tA"), (2, 2, "b", "tb")]
+
+
+CHANGES = "key long, version long, deleted boolean, name string"
+
+
+def test_change_log(spark, tmp_path):
+    log = changelog.ChangeLog(spark, str(tmp_path / "log"), CHANGES)
+    rows = lambda *r: spark.createDataFrame(list(r), CHANGES)
+    names = lambda **k: {r.key: r.name for r in log.read(**k).collect()}
+    assert names() == {}
+    log.append(rows((1, 5, False, "a"), (1, 4, False, "old"), (2, 5, None, "b"), (3, 9, True, None)), 0)
+    log.append(rows((1, 3, False, "late"), (2, 7, True, None)), 1)
+    log.append(rows((1, 3, False, "late"), (2, 7, True, None)), 1)  # replayed
+    assert names() == {1: "a"}
+    log.compact()
+    log.append(rows((2, 6, False, "before the tombstone"), (3, 10, False, "c"), (4, 1, False, "d")), 2)
+    assert names() == {1: "a", 3: "c", 4: "d"}
+    log.compact(forget=8)
+    assert names() == {1: "a", 3: "c", 4: "d"} and names(cap=2) == {3: "c", 1: "a"}
+    log.append(rows((2, 6, False, "its tombstone is forgotten"), (4, 0, False, "older")), 3)
+    assert names() == {1: "a", 2: "its tombstone is forgotten", 3: "c", 4: "d"}
+    assert len(list((tmp_path / "log").glob("base-*"))) == 1
+
+
+def test_change_log_takes_a_stream(spark, tmp_path):
+    put(tmp_path / "in" / "a.json", *[{"key": k % 3, "version": k, "deleted": k == 8, "name": str(k)} for k in range(9)])
+    log = changelog.ChangeLog(spark, str(tmp_path / "log"), CHANGES)
+    stream = live.read_stream(spark, str(tmp_path / "in"), CHANGES)
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(log.append).start().awaitTermination(100)
+    assert {r.key: r.name for r in log.read().collect()} == {0: "6", 1: "7"}
+
+
+def test_ring(spark, tmp_path):
+    ring = changelog.Ring(spark, str(tmp_path / "ring"), "id long, name string", [F.col("id").desc()], size=5)
+    assert ring.read().count() == 0
+    for k, ids in enumerate([range(3), range(3, 20), range(10, 12), [50]]):
+        for _ in range(2):  # each batch is replayed
+            ring.append(spark.createDataFrame([(i, str(i)) for i in ids], "id long, name string"), k)
+    assert [r.id for r in ring.read().collect()] == [50, 19, 18, 17, 16] and [r.id for r in ring.read(2).collect()] == [50, 19]
+    assert len(list((tmp_path / "ring").iterdir())) == 2

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transcripts
-from ..sources import logs, sinks
+from ..sources import changelog, logs, sinks
 from ..sources.shared import fresh_folder
 from ..streaming import live
 from . import adapters as on
@@ -95,13 +95,14 @@ def gemini_messages(spark, d):
     return logs.parse_gemini(per.select("transcript_id", F.to_json(F.struct(messages.alias("messages"))).alias("value"))).select("transcript_id", "line", "role", "content")
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS version FROM orders")
 def json_store(spark, d):
-    """A store whose rows are replaced by newer ones of the same key."""
-    o = on.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
+    """A store whose rows are replaced by newer ones of the same key, each of which comes in two versions."""
+    o = on.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.lit(0).alias("version"))
+    new = o.where("id % 3 = 0").select("id", F.explode(F.array(F.struct(F.lit("newer").alias("state"), F.lit(1).alias("version")), F.struct(F.lit("new").alias("state"), F.lit(2).alias("version")))).alias("v")).select("id", "v.*")
     folder = fresh_folder(spark, "store")
-    sinks.json_lines(sinks.upsert(o, o.where("id % 3 = 0").withColumn("state", F.lit("new")), "id")).write.text(folder)
-    return logs.read_jsonl(spark, folder, "id long, state string")
+    sinks.json_lines(sinks.upsert(o, new, "id", "version")).write.text(folder)
+    return logs.read_jsonl(spark, folder, "id long, state string, version int")
 
 
 @query("""SELECT 'labels.jsonl' AS name, count(*) AS rows, CAST(sum(length('{"doc_id":' || doc_id || ',"quality":' || quality || '}') + 1) AS BIGINT) AS bytes FROM labels UNION ALL SELECT 'sources.jsonl', count(*), CAST(sum(strlen('{"source":"' || source || '"}') + 1) AS BIGINT) FROM documents""")
@@ -146,7 +147,7 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 def _hook_stream(spark, rows: DataFrame) -> DataFrame:
     """rows of hook events, dropped as JSON lines and read as a stream."""
     folder = fresh_folder(spark, "hooks")
-    rows.coalesce(1).write.json(folder)
+    rows.write.json(folder)
     return live.read_stream(spark, folder)
 
 
@@ -163,7 +164,7 @@ def stream_pairs(spark, d):
 @query("SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     folder = fresh_folder(spark, "bus")
-    _events(spark, d).select(F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("event_type").alias("category")).coalesce(1).write.json(folder)
+    _events(spark, d).select(F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("event_type").alias("category")).write.json(folder)
     out = _drained(spark, live.windowed_counts(live.events(spark, folder), "6 hours"), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "category", "n")
 
@@ -171,7 +172,7 @@ def stream_windows(spark, d):
 @query("SELECT DISTINCT event_id % 1000 AS id FROM events")
 def stream_unique(spark, d):
     folder = fresh_folder(spark, "bus")
-    _events(spark, d).select((F.col("event_id") % 1000).cast("string").alias("id"), F.lit("2024-01-01T00:00:00").alias("timestamp"), F.lit("c").alias("category")).coalesce(1).write.json(folder)
+    _events(spark, d).select((F.col("event_id") % 1000).cast("string").alias("id"), F.lit("2024-01-01T00:00:00").alias("timestamp"), F.lit("c").alias("category")).write.json(folder)
     return _drained(spark, live.unique_events(live.events(spark, folder)), "append").select(F.col("id").cast("long").alias("id"))
 
 
@@ -197,3 +198,53 @@ def long_running(spark, d):
     e = _events(spark, d)
     calls = e.select("event_id", F.when(F.col("event_type") == "click", "Bash").otherwise("Read").alias("tool_name"), F.when(F.col("event_id") % 3 != 0, 1).alias("completed_at"), F.col("timestamp").alias("started_at"))
     return live.long_running(calls, on.AS_OF).select("event_id")
+
+
+_KIND = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'pre' WHEN 'view' THEN 'tokens' WHEN 'purchase' THEN 'awaiting' ELSE 'end' END"
+
+
+@query(f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, {MS} AS ms, {_KIND} AS event FROM events), w AS (SELECT max(ms) - 3600000 AS mark FROM e),
+ s AS (SELECT session_id, max(event_id) AS first FROM e WHERE event = 'start' GROUP BY 1), k AS (SELECT e.*, first FROM e JOIN s USING (session_id) WHERE event_id >= first),
+ g AS (SELECT session_id, min(ms) FILTER (event_id = first) AS start_time, arg_max(ms, event_id) FILTER (event = 'end') AS ended, max(ms) FILTER (event <> 'end') AS last_activity, count(*) FILTER (event = 'pre') AS tool_count,
+ coalesce(arg_max(event, event_id) FILTER (event IN ('awaiting', 'pre')) = 'awaiting', false) AS awaiting_user, CAST(coalesce(sum(event_id % 97) FILTER (event = 'tokens'), 0) AS BIGINT) AS input_tokens FROM k GROUP BY 1)
+ SELECT session_id, CASE WHEN ended IS NOT NULL OR last_activity + 3600000 <= mark THEN 'ended' ELSE 'active' END AS status, start_time, CASE WHEN ended IS NOT NULL THEN ended WHEN last_activity + 3600000 <= mark THEN last_activity END AS end_time,
+ last_activity, tool_count, awaiting_user, input_tokens FROM g, w""")
+def live_sessions(spark, d):
+    """Events in order of their number as hook events of their user's session: the last state of each session."""
+    kind = F.expr(_KIND)
+    rows = _events(spark, d).select(kind.alias("event"), F.col("user_id").cast("string").alias("session_id"), F.lit("Bash").alias("tool_name"), "timestamp", F.when(kind == "tokens", F.col("event_id") % 97).alias("input_tokens"), F.col("event_id").alias("seq"))
+    folder = fresh_folder(spark, "hooks")
+    rows.write.json(folder)
+    out = _drained(spark, live.live_sessions(live.read_hooks(spark, folder)), "update")
+    last = out.groupBy("session_id").agg(F.max_by(F.struct("status", "start_time", "end_time", "last_activity", "tool_count", "awaiting_user", "input_tokens"), "version").alias("s"))
+    return last.select("session_id", "s.*")
+
+
+def _three_batches(spark, rows: DataFrame, part: str):
+    """``rows`` in three batches by ``part``, one after the other."""
+    for k in range(3):
+        yield k, rows.where(F.expr(part) == k).drop("part")
+
+
+@query("SELECT event_id AS id, event_type AS category FROM events ORDER BY event_id DESC LIMIT 500")
+def event_ring(spark, d):
+    """The last 500 events by their number, after three batches of which one is replayed."""
+    rows = _events(spark, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("category"))
+    ring = changelog.Ring(spark, fresh_folder(spark, "ring"), "id long, category string", [F.col("id").desc()])
+    for k, batch in _three_batches(spark, rows, "id % 3"):
+        ring.append(batch, k)
+    ring.append(rows.where("id % 3 = 2"), 2)
+    return ring.read()
+
+
+@query("""WITH c AS (SELECT user_id AS key, event_id AS version, event_type FROM events), l AS (SELECT key, max(version) AS version, arg_max(event_type, version) AS state FROM c GROUP BY 1)
+ SELECT key, version, state FROM l WHERE state <> 'error' ORDER BY version DESC LIMIT 200""")
+def live_upserts(spark, d):
+    """The newest state of each user, deleted by an error; later batches bring older changes; 200 rows are kept."""
+    rows = _events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("deleted"), F.col("event_type").alias("state"))
+    log = changelog.ChangeLog(spark, fresh_folder(spark, "upserts"), "key long, version long, deleted boolean, state string")
+    for k, batch in _three_batches(spark, rows, "2 - version % 3"):
+        log.append(batch, k)
+        if k == 1:
+            log.compact()
+    return log.read(cap=200).drop("deleted")

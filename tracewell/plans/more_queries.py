@@ -178,11 +178,16 @@ def open_predictions(spark, d):
     return filters.predictions_with_outcomes(p, o, False)
 
 
-@query("""WITH f AS (SELECT p_partkey AS path, regexp_replace(lower(p_brand || ' ' || p_type), '[^a-z0-9]+', '-', 'g') AS slug FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY path) - 1 AS n FROM f)
- SELECT path, slug || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS project_id FROM n""")
+@query("""WITH r AS (SELECT '/r/' || p_partkey AS path, CASE WHEN p_partkey % 7 <> 0 THEN '(' || p_brand || ' ' || p_type || ')' END AS name, p_partkey % 5 = 0 AS is_known FROM part),
+ s AS (SELECT *, regexp_replace(regexp_replace(lower(coalesce(name, regexp_extract(path, '[^/]*$'))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM r), u AS (SELECT DISTINCT slug FROM s WHERE is_known),
+ n AS (SELECT path, s.slug, row_number() OVER (PARTITION BY s.slug ORDER BY path) - 1 + CASE WHEN u.slug IS NULL THEN 0 ELSE 1 END AS n FROM s LEFT JOIN u ON u.slug = s.slug WHERE NOT is_known)
+ SELECT path, slug || coalesce((SELECT string_agg('-' || k, '' ORDER BY k) FROM unnest(range(1, n + 1)) v(k)), '') AS project_id FROM n""")
 def infer_projects(spark, d):
-    repos = on.table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.concat_ws(" ", "p_brand", "p_type").alias("name"))
-    return joins.infer_projects(repos, repos.where("path % 5 = 0")).select("path", "project_id")
+    """Parts as repositories, a seventh without a name; each fifth is known, under the id of its name."""
+    k = F.col("p_partkey")
+    repos = on.table(spark, d, "part").select(F.concat(F.lit("/r/"), k.cast("string")).alias("path"), F.when(k % 7 != 0, F.concat(F.lit("("), "p_brand", F.lit(" "), "p_type", F.lit(")"))).alias("name"), (k % 5 == 0).alias("is_known"))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("name", F.regexp_extract("path", "[^/]*$", 0))), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return joins.infer_projects(repos.drop("is_known"), repos.where("is_known").select("path", slug.alias("project_id"))).select("path", "project_id")
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 9 <> 0 THEN n_chars END AS size_bytes FROM documents ORDER BY size_bytes ASC NULLS LAST, id LIMIT 100")

@@ -286,14 +286,25 @@ def entropy(spark, d):
     return words.select("word", F.abs(F.round(text.entropy(F.col("word")), 6)).alias("bits"))
 
 
-COUNTED = [x for x in rules.REDACTION if x[0] in ("aws_key_id", "github_token", "email", "ssn", "credential_assignment", "unix_path")]
+#: all rules but the one that looks behind, which DuckDB cannot
+NO_LOOKBEHIND = [x for x in rules.REDACTION if not any("(?<" in p for p in x[2])]
 
 
-@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p[0].replace(chr(39), chr(39) * 2)}')) AS {n}" for n, _, p, _ in COUNTED) + " FROM documents")
+def _found_sql(patterns: list[str]) -> str:
+    quoted = [p.replace("'", "''").replace("\\z", "$") for p in patterns]
+    return " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in quoted)
+
+
+@query("SELECT doc_id, " + ", ".join(f"{_found_sql(p)} AS {n}" for n, _, p, _ in NO_LOOKBEHIND) + " FROM documents")
 def redact_counts(spark, d):
-    names = [n for n, *_ in COUNTED]
-    counts = [c for c, (n, *_) in zip(redact.rule_counts(F.coalesce("text", F.lit(""))), rules.REDACTION) if n in names]
-    return on.table(spark, d, "documents").select("doc_id", *counts)
+    names = [n for n, *_ in NO_LOOKBEHIND]
+    return redact_counts_all(spark, d).select("doc_id", *names)
+
+
+@query()
+def redact_counts_all(spark, d):
+    """Matches of every rule, also of that which SQL cannot write."""
+    return on.table(spark, d, "documents").select("doc_id", *redact.rule_counts(F.coalesce("text", F.lit(""))))
 
 
 @query()
@@ -331,9 +342,9 @@ def _transcripts(spark, d):
     return n.select(F.col("o_orderkey").alias("transcript_id"), F.col("o_orderkey").alias("transcript_pos"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 1500 - 2500).alias("t_start"), F.concat(F.lit("/w/"), ((F.col("o_custkey") + 1) % 40).cast("string"), F.when(F.col("o_custkey") % 3 == 0, "/sub").otherwise("")).alias("t_cwd"), F.concat(F.lit("/t/"), (F.col("o_custkey") * 2).cast("string")).alias("path"))
 
 
-H = """WITH h AS (SELECT o_orderkey AS hook_id, o_orderkey * 1500 AS start, '/w/' || (o_custkey % 40) AS cwd, '/t/' || o_custkey AS transcript_path FROM orders),
+H = """WITH RECURSIVE h AS (SELECT o_orderkey AS hook_id, o_orderkey * 1500 AS start, '/w/' || (o_custkey % 40) AS cwd, '/t/' || o_custkey AS transcript_path FROM orders),
  t AS (SELECT o_orderkey AS transcript_id, o_orderkey * 1500 - 2500 AS t_start, '/w/' || ((o_custkey + 1) % 40) || CASE WHEN o_custkey % 3 = 0 THEN '/sub' ELSE '' END AS t_cwd, '/t/' || (o_custkey * 2) AS path FROM orders) """
-CAND = """SELECT hook_id, transcript_id, CAST(score AS INTEGER) AS score FROM (SELECT hook_id, transcript_id, CASE WHEN abs(start - t_start) <= 5000 THEN 30 WHEN abs(start - t_start) <= 10000 THEN 15 ELSE 0 END + CASE WHEN cwd = t_cwd THEN 25 WHEN starts_with(cwd, t_cwd || '/') OR starts_with(t_cwd, cwd || '/') THEN 10 ELSE 0 END AS score FROM h, t WHERE abs(start - t_start) <= 10000) WHERE score >= 40"""
+CAND = """SELECT hook_id, transcript_id, CAST(score AS INTEGER) AS score FROM (SELECT hook_id, transcript_id, CASE WHEN abs(start - t_start) <= 5000 THEN 30 WHEN abs(start - t_start) <= 10000 THEN 15 ELSE 0 END + CASE WHEN cwd = t_cwd THEN 25 WHEN starts_with(cwd, t_cwd) OR starts_with(t_cwd, cwd) THEN 10 ELSE 0 END AS score FROM h, t WHERE abs(start - t_start) <= 10000) WHERE score >= 40"""
 
 
 @query(H + ", l AS (SELECT path, max(transcript_id) AS transcript_id FROM t GROUP BY 1) SELECT hook_id, transcript_id FROM h JOIN l ON transcript_path = path")
@@ -346,7 +357,15 @@ def correlate_scored(spark, d):
     return joins.candidates(_hooks(spark, d), _transcripts(spark, d)).select("hook_id", "transcript_id", "score")
 
 
-@query()
+#: one hook after the other takes its first option that none before it has; ``low`` is the smallest option still to come
+GREEDY = """, lists AS (SELECT hook_id, row_number() OVER (ORDER BY hook_id) AS k, list(transcript_id ORDER BY score DESC, transcript_id) AS options FROM c GROUP BY hook_id),
+ ahead AS MATERIALIZED (SELECT *, min(list_min(options)) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM lists),
+ walk AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS hook_id, NULL::BIGINT AS transcript_id, []::BIGINT[] AS taken
+ UNION ALL SELECT k, hook_id, pick, list_filter(CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, lambda x: x >= low) FROM
+ (SELECT a.k, a.hook_id, a.low, w.taken, list_filter(a.options, lambda x: NOT list_contains(w.taken, x))[1] AS pick FROM walk w JOIN ahead a ON a.k = w.k + 1)) """
+
+
+@query(H + f", c AS MATERIALIZED ({CAND}){GREEDY} SELECT hook_id, transcript_id, score FROM walk JOIN c USING (hook_id, transcript_id)")
 def correlate_greedy(spark, d):
     return joins.greedy_match(joins.candidates(_hooks(spark, d), _transcripts(spark, d))).select("hook_id", "transcript_id", "score")
 
@@ -385,8 +404,43 @@ def interval_overlap(spark, d):
 @query("SELECT page_id, CASE WHEN contains(url, '.example.com/en/') THEN 2 WHEN contains(url, '.example.com/') THEN 1 END AS project_id FROM (SELECT page_id, regexp_replace(url, '^https?://[^/]*\\.example', '/x.example') AS url FROM pages)".replace("\\\\", "\\"))
 def resolve_project(spark, d):
     pages = on.table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"^https?://[^/]*\.example", "/x.example").alias("cwd"))
-    projects = spark.createDataFrame([(0, 2, "/x.example.com/en"), (1, 1, "/x.example.com"), (2, 3, "/y")], "project_pos int, project_id int, project_path string")
-    return joins.resolve_project(pages, projects, "cwd").select("page_id", "project_id")
+    projects = spark.createDataFrame([(0, 2, "~/en/"), (1, 1, "~"), (2, 3, "/y")], "project_pos int, project_id int, project_path string")
+    return joins.resolve_project(pages, projects, "cwd", home="/x.example.com").select("page_id", "project_id")
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, '^https?://[^/]*/([^?#]*)', 1) AS dir, octet_length(encode(html)) AS n FROM pages),
+ j AS (SELECT *, CASE WHEN starts_with(dir, 'en/1') THEN 'ones' WHEN starts_with(dir, 'en/') THEN 'english' WHEN starts_with(dir, 'f') THEN 'french' END AS project_id FROM p),
+ g AS (SELECT project_id, count(*) AS session_count, count(*) FILTER (n % 3 > 0 AND n % 2 = 0) AS success_count, count(*) FILTER (n % 3 > 0 AND n % 2 > 0) AS failure_count FROM j GROUP BY 1)
+ SELECT v.id AS project_id, v.name AS project_name, coalesce(session_count, 0) AS session_count, coalesce(success_count, 0) AS success_count, coalesce(failure_count, 0) AS failure_count
+ FROM (VALUES ('ones', 'Ones'), ('english', 'English'), ('french', 'French'), ('empty', 'Empty'), (NULL, NULL)) v(id, name) LEFT JOIN g ON g.project_id IS NOT DISTINCT FROM v.id""")
+def by_project_path(spark, d):
+    """Pages as transcripts in the folder of their address; the paths of the projects have no boundaries."""
+    n = F.octet_length("html")
+    pages = on.table(spark, d, "pages").select(F.regexp_extract("url", "^https?://[^/]*/([^?#]*)", 1).alias("project_dir"), (n % 3 > 0).alias("tests_ran"), (n % 2).alias("tests_failed"))
+    projects = spark.createDataFrame([(0, 0, "ones", "Ones", "en/1"), (1, 0, "english", "English", "en/2"), (1, 1, "english", "English", "en/"), (2, 0, "french", "French", "f"), (3, 0, "empty", "Empty", "en/1")], "project_pos int, path_pos int, project_id string, project_name string, project_path string")
+    return stats.by_project_path(pages, projects)
+
+
+_SPANS = "SELECT event_id, (epoch_us(ts) // 1000) AS a, CASE WHEN event_type <> 'signup' THEN (epoch_us(ts) // 1000) + CAST(floor(value * 60000) AS BIGINT) END AS b, event_id % 97 AS input_tokens, event_id % 89 AS output_tokens, CAST(floor(value * 100) AS BIGINT) AS cost_usd FROM events"
+
+
+def _spans(spark, d):
+    e = on.table(spark, d, "events").withColumn("start_time", on.millis("ts"))
+    return e.select("start_time", F.when(F.col("event_type") != "signup", F.col("start_time") + F.floor(F.col("value") * 60_000)).alias("end_time"), (F.col("event_id") % 97).alias("input_tokens"), (F.col("event_id") % 89).alias("output_tokens"), F.floor(F.col("value") * 100).alias("cost_usd"))
+
+
+@query(f"""WITH s AS ({_SPANS}), k AS (SELECT *, a <= {on.AS_OF} AND (b IS NULL OR b > {on.AS_OF}) AS active FROM s WHERE a > {on.AS_OF - 86_400_000} AND a <= {on.AS_OF} OR a <= {on.AS_OF} AND (b IS NULL OR b > {on.AS_OF}))
+ SELECT count(*) AS sessions, count(*) FILTER (active) AS active_sessions, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(cost_usd), 0) AS BIGINT) AS cost_usd FROM k""")
+def recent_sessions(spark, d):
+    """Events as sessions that last for minutes, those of signups open; costs in cents."""
+    return stats.recent_sessions(_spans(spark, d), on.AS_OF, 86_400_000)
+
+
+@query(f"""WITH s AS ({_SPANS}), c AS (SELECT a AS "at", 1 AS n, input_tokens AS i, output_tokens AS o, cost_usd AS c FROM s UNION ALL SELECT greatest(a, b), -1, 0, 0, 0 FROM s WHERE b IS NOT NULL),
+ g AS (SELECT "at", sum(n) AS n, sum(i) AS i, sum(o) AS o, sum(c) AS c FROM c GROUP BY 1)
+ SELECT "at", CAST(sum(n) OVER w AS BIGINT) AS active, CAST(sum(i) OVER w AS BIGINT) AS input_tokens, CAST(sum(o) OVER w AS BIGINT) AS output_tokens, CAST(sum(c) OVER w AS BIGINT) AS cost_usd FROM g WINDOW w AS (ORDER BY "at")""")
+def active_sessions(spark, d):
+    return stats.active_sessions(_spans(spark, d))
 
 
 @query("SELECT page_id, CASE WHEN contains(url, '.example.com/en/') THEN '/x.example.com/en' WHEN contains(url, '.example.com/') THEN '/x.example.com' END AS prefix FROM (SELECT page_id, regexp_replace(url, '^https?://[^/]*\\.example', '/x.example') AS url FROM pages)".replace("\\\\", "\\"))
@@ -403,10 +457,12 @@ def timeline_merge(spark, d):
     return joins.merge_timeline(hooks, turns)
 
 
-@query("SELECT doc_id, coalesce(a.quality, b.quality, c.quality) AS quality FROM documents d LEFT JOIN labels a USING (doc_id) LEFT JOIN labels b ON b.doc_id = d.doc_id + 1 LEFT JOIN labels c ON c.doc_id = d.doc_id + 2")
+@query("""WITH l AS (SELECT doc_id // 2 AS key, max(quality) AS quality FROM labels GROUP BY 1)
+ SELECT doc_id, coalesce(a.quality, b.quality, c.quality) AS quality FROM documents d LEFT JOIN l a ON a.key = d.doc_id LEFT JOIN l b ON b.key = d.doc_id + 1 LEFT JOIN l c ON c.key = d.doc_id + 2""")
 def prioritized_lookup(spark, d):
+    """Labels under half their id, so that keys are repeated."""
     rows = on.table(spark, d, "documents").select("doc_id", (F.col("doc_id") + 1).alias("second"), (F.col("doc_id") + 2).alias("third"))
-    labels = on.table(spark, d, "labels").select(F.col("doc_id").alias("key"), "quality")
+    labels = on.table(spark, d, "labels").select(F.floor(F.col("doc_id") / 2).alias("key"), "quality")
     return joins.prioritized_lookup(rows, labels, ["doc_id", "second", "third"], "quality").select("doc_id", "quality")
 
 
@@ -561,13 +617,18 @@ def by_project(spark, d):
     return out.withColumn("mean_score", F.round("mean_score", 6))
 
 
-@query("SELECT event_id AS id, quality, doc_id IS NOT NULL AS found FROM (SELECT DISTINCT event_id FROM events) LEFT JOIN labels ON doc_id = event_id")
+@query("SELECT event_id AS id, quality, key IS NOT NULL AS found FROM (SELECT DISTINCT event_id FROM events) LEFT JOIN (SELECT doc_id // 2 AS key, max(quality) AS quality FROM labels GROUP BY 1) ON key = event_id")
 def bulk_get(spark, d):
+    """Labels under half their id, so that keys are repeated."""
     ids = on.table(spark, d, "events").select(F.col("event_id").alias("id")).distinct()
-    return joins.bulk_get(ids, on.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"))
+    return joins.bulk_get(ids, on.table(spark, d, "labels").select(F.floor(F.col("doc_id") / 2).alias("id"), "quality"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_custkey % 40 AS cwd, o_orderkey * 60000 AS b, CASE WHEN o_custkey % 3 = 0 THEN o_custkey END AS c_pid, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS m_pid FROM orders),
+ l AS (SELECT m_pid, max(id) AS managed_id FROM o WHERE m_pid IS NOT NULL GROUP BY 1), p AS (SELECT id AS conversation_id, managed_id FROM o JOIN l ON c_pid = l.m_pid),
+ c AS MATERIALIZED (SELECT x.id AS hook_id, y.id AS transcript_id, 1 AS score FROM o x JOIN o y ON x.cwd = y.cwd AND y.b BETWEEN x.b - 3600000 AND x.b + 3600000 WHERE x.id NOT IN (SELECT conversation_id FROM p) AND y.id NOT IN (SELECT managed_id FROM p))""" + GREEDY + """,
+ linked AS (SELECT conversation_id, managed_id, 'pid' AS how FROM p UNION ALL SELECT hook_id, transcript_id, 'time' FROM walk WHERE transcript_id IS NOT NULL)
+ SELECT * FROM linked UNION ALL SELECT NULL, id, 'alone' FROM o WHERE id NOT IN (SELECT managed_id FROM linked)""")
 def attach_managed(spark, d):
     """Orders as conversations and as managed sessions in 40 folders: some share a pid, others a folder and a time."""
     o = on.table(spark, d, "orders")
