@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import js, rules, text
-from tracewell.operators import filters, joins, loops, monitor, quality, redact, stats, transcripts
+from tracewell.operators import diffs, filters, joins, loops, monitor, quality, redact, stats, transcripts
 
 
 def one(spark, column, **values):
@@ -339,7 +339,7 @@ def test_previews_and_patterns(spark):
     assert transcripts.check_pattern("(a+)+$") and transcripts.check_pattern("(") and not transcripts.check_pattern(r"\bsk-[a-z]{20,}")
     found = transcripts.pattern_matches(spark.createDataFrame([(1, "x1 y22")], "id int, text string"), {"num": "[0-9]+"}).collect()
     assert [(r.pattern, r.start, r.end, r.match) for r in found] == [("num", 1, 2, "1"), ("num", 4, 6, "22")]
-    assert one(spark, transcripts.line_diff(F.col("a"), F.col("b")), a="x\ny\nz", b="x\nq\nz") == " x\n-y\n+q\n z"
+    assert one(spark, diffs.line_diff(F.col("a"), F.col("b")), a="x\ny\nz", b="x\nq\nz") == " x\n-y\n+q\n z"
 
 
 def test_managed_sessions(spark):
@@ -453,3 +453,55 @@ def test_counts_of_all_rules_equal_python(spark):
         compiled = [re.compile(p.replace(r"\z", r"\Z"), re.ASCII) for p in patterns]
         assert [r[name] for r in rows] == [sum(sum(1 for _ in c.finditer(r.text)) for c in compiled) for r in rows], name
     assert sum(r.aws_secret for r in rows) >= 2
+
+
+def test_edits_are_shortest():
+    rng = random.Random(6)
+    for _ in range(1500):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 14))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        found, out, i = diffs.edits(a, b), "", 0
+        for a0, a1, b0, b1 in found:
+            out += a[i:a0] + b[b0:b1]
+            i = a1
+        assert out + a[i:] == b
+        assert sum(c[1] - c[0] + c[3] - c[2] for c in found) == len(a) + len(b) - 2 * best[-1][-1], (a, b)
+
+
+def test_changes_have_line_numbers():
+    before = "first line\nmail ann@example.com now\nsame\nkey=abc123\n"
+    after = "first line\nmail <EMAIL_1> now\nsame\nkey=<KEY>\n"
+    assert diffs.text_changes(before, after) == [(2, "ann@example.com", "<EMAIL_1>"), (4, "abc123", "<KEY>")]
+    assert diffs.text_changes("a\nb\n", "a\nx y z\nb\n") == [(2, "", "x y z\n")]
+    assert diffs.text_changes("", "") == diffs.text_changes("a\n", "a\n") == []
+    assert diffs.text_changes("a\nb\n", "") == [(1, "a\nb\n", "")] and diffs.text_changes("", "x") == [(1, "", "x")]
+    assert diffs.tidied([(0, 3, 0, 4), (5, 9, 6, 6), (20, 21, 17, 18)]) == [(0, 9, 0, 6), (20, 21, 17, 18)]
+    long = "\n".join(f"line {k}" for k in range(20_000))
+    assert diffs.text_changes(long, long.replace("line 777\n", "line x\n").replace("line 19999", "")) == [(778, "777", "x"), (20_000, "line 19999", "")]
+
+
+def test_highlight_equals_brute_force(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "😀 aa1aa é")], "doc_id long, text string"))
+    patterns = {"words": [r"\b[a-z]{2}\b", r"a[a-z0-9]"], "digits": "[0-9]+", "nothing": r"\b"}
+    found = transcripts.pattern_matches(docs, patterns, "doc_id")
+    got = {r.doc_id: r.highlighted for r in transcripts.highlight(docs, found, "doc_id").collect()}
+    spans = {r.doc_id: r.n for r in found.where("pattern = 'words'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    for doc_id, text_ in docs.collect():
+        words = {m.span() for p in patterns["words"] for m in re.finditer(p, text_ or "")}
+        every = sorted(words | {m.span() for m in re.finditer("[0-9]+", text_ or "")})
+        out, end, merged = "", 0, []
+        for a, b in every:
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            out += text_[end:a] + ">>>" + text_[a:b] + "<<<"
+            end = b
+        assert got[doc_id] == (None if text_ is None else out + text_[end:])
+        assert spans.get(doc_id, 0) == len(words)

@@ -5,7 +5,7 @@ import sqlite3
 
 from pyspark.sql import functions as F
 
-from tracewell.sources import changelog, logs, sinks
+from tracewell.sources import changelog, logs, sinks, zips
 from tracewell.streaming import live
 
 
@@ -274,3 +274,30 @@ def test_ring(spark, tmp_path):
             ring.append(spark.createDataFrame([(i, str(i)) for i in ids], "id long, name string"), k)
     assert [r.id for r in ring.read().collect()] == [50, 19, 18, 17, 16] and [r.id for r in ring.read(2).collect()] == [50, 19]
     assert len(list((tmp_path / "ring").iterdir())) == 2
+
+
+def test_zip_import_reads_what_the_sink_wrote(spark, tmp_path):
+    rows = spark.range(5_000).selectExpr("id", "concat('é', id) as text").repartition(3)
+    manifest = sinks.zip_bundle({"t": rows}, str(tmp_path / "b"), report='{"n": 1}')
+    lines, status = zips.import_bundle(spark, str(tmp_path / "b"), manifest)
+    assert {r.status for r in status.collect()} == {"ok"} and status.count() == manifest.count()
+    got = lines.where("name not like 'prep%'").select(F.from_json("value", "id long, text string").alias("j")).select("j.*")
+    assert got.exceptAll(rows).count() == 0 and got.count() == 5_000
+    assert [r.value for r in lines.where("name like 'prep%'").collect()] == ['{"n": 1}']
+
+
+def test_damaged_members_are_named(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("good.jsonl", "1\n2\n")
+        z.writestr("bad.jsonl", "hello hello hello\n")
+        z.writestr("changed.jsonl", "x")
+        z.writestr("empty.jsonl", "")
+    raw = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "a.zip").write_bytes(raw.replace(b"hello hello hello", b"hello hellO hello"))
+    (tmp_path / "cut.zip").write_bytes(raw[:60])
+    manifest = spark.createDataFrame([("f/a.zip", n, __import__("hashlib").sha256(x).hexdigest()) for n, x in (("good.jsonl", b"1\n2\n"), ("bad.jsonl", b"hello hello hello\n"), ("changed.jsonl", b"y"), ("gone.jsonl", b""))], "zip string, name string, sha256 string")
+    lines, status = zips.import_bundle(spark, str(tmp_path), manifest)
+    assert {(r.zip, r.name): r.status for r in status.collect()} == {("a.zip", "good.jsonl"): "ok", ("a.zip", "bad.jsonl"): "damaged", ("a.zip", "changed.jsonl"): "wrong hash", ("a.zip", "empty.jsonl"): "unlisted", ("a.zip", "gone.jsonl"): "missing", ("cut.zip", None): "damaged"}
+    assert sorted((r.name, r.line, r.value) for r in lines.collect()) == [("changed.jsonl", 0, "x"), ("good.jsonl", 0, "1"), ("good.jsonl", 1, "2")]

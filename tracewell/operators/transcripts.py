@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 
 import pandas as pd
@@ -132,26 +131,35 @@ def check_pattern(pattern: str) -> list[str]:
     return found
 
 
-def pattern_matches(rows: DataFrame, patterns: dict[str, str], key: str = "id", text: str = "text") -> DataFrame:
-    """key, pattern, start, end, match: all matches of named patterns with their places."""
+def pattern_matches(rows: DataFrame, patterns: dict[str, str | list[str]], key: str = "id", text: str = "text") -> DataFrame:
+    """key, pattern, start, end, match: all matches of named patterns with their places (code points, end exclusive).
+
+    A pattern may have several expressions; a match that two of them find at one place counts once.
+    """
 
     @F.pandas_udf("array<struct<pattern:string,start:int,end:int,match:string>>")
     def run(texts: pd.Series) -> pd.Series:
-        table = [(n, re.compile(p)) for n, p in patterns.items()]
-        return pd.Series([[{"pattern": n, "start": m.start(), "end": m.end(), "match": m[0]} for n, p in table for m in p.finditer(t or "")] for t in texts])
+        table = [(n, [re.compile(x) for x in ([p] if isinstance(p, str) else p)]) for n, p in patterns.items()]
+        return pd.Series([[{"pattern": n, "start": a, "end": b, "match": (t or "")[a:b]} for n, several in table for a, b in dict.fromkeys(m.span() for p in several for m in p.finditer(t or ""))] for t in texts])
 
     return rows.select(key, F.explode(run(F.col(text))).alias("m")).select(key, "m.*")
 
 
-def line_diff(before: Column, after: Column) -> Column:
-    """Lines of two texts, each marked as kept, removed or added."""
-
-    @F.pandas_udf("string")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            lines = [d for d in difflib.ndiff((x or "").split("\n"), (y or "").split("\n")) if d[0] != "?"]
-            out.append("\n".join(d[0] + d[2:] for d in lines))
-        return pd.Series(out)
-
-    return run(before, after)
+def merged_spans(matches: DataFrame, key: str = "id") -> DataFrame:
+    """(key, start, end): the union of each text's spans, empty ones left out; spans that overlap become one, spans that
+    only touch stay two."""
+    by_place = Window.partitionBy(key).orderBy("start", "end")
+    before = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    rows = matches.where("end > start").select(key, "start", "end").distinct().withColumn("first", (F.col("start") >= F.coalesce(before, F.lit(0))).cast("int"))
+    return rows.withColumn("k", F.sum("first").over(by_place)).groupBy(key, "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
+
+
+def highlight(rows: DataFrame, matches: DataFrame, key: str = "id", text: str = "text", begin: str = ">>>", finish: str = "<<<") -> DataFrame:
+    """(key, highlighted): the text of each row with markers around the union of its spans. Keys are unique."""
+    spans = merged_spans(matches, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    both = rows.select(key, F.col(text).alias("_text")).join(spans, key, "left")
+    piece = lambda a, b: F.substring("_text", a + 1, b - a)
+    last = lambda i: F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["end"])
+    marked = F.array_join(F.transform("spans", lambda s, i: F.concat(piece(last(i), s["start"]), F.lit(begin), piece(s["start"], s["end"]), F.lit(finish))), "")
+    rest = piece(F.element_at("spans", -1)["end"], F.length("_text"))
+    return both.select(key, F.when(F.col("spans").isNull(), F.col("_text")).otherwise(F.concat(marked, rest)).alias("highlighted"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transcripts
-from ..sources import changelog, logs, sinks
+from ..sources import changelog, logs, sinks, zips
 from ..sources.shared import fresh_folder
 from ..streaming import live
 from . import adapters as on
@@ -136,6 +136,16 @@ def corpus_files(spark, d):
     return transcripts.corpus_stats(calls).drop("transcripts")
 
 
+@query("SELECT doc_id, quality, 'ok' AS status FROM labels")
+def zip_import(spark, d):
+    """Labels written as ZIP bundles, read back and held against their manifest."""
+    folder = fresh_folder(spark, "zips")
+    manifest = sinks.zip_bundle({"labels": on.table(spark, d, "labels").select("doc_id", "quality")}, folder)
+    lines, status = zips.import_bundle(spark, folder, manifest)
+    rows = lines.where("name like 'labels%'").join(status.select("zip", "name", "status"), ["zip", "name"])
+    return rows.select(F.from_json("value", "doc_id long, quality int").alias("j"), "status").select("j.*", "status")
+
+
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives of all that is there now, in one batch, as a table."""
     folder = fresh_folder(spark, "stream")

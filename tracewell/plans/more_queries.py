@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import filters, joins, monitor, quality, redact, stats, transcripts
+from ..operators import diffs, filters, joins, monitor, quality, redact, stats, transcripts
 from . import adapters as on
 from .queries import NORM, S, U, query
 
@@ -288,10 +288,24 @@ def line_diffs(spark, d):
     c = on.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
     lines = lambda rows: F.array_join(F.transform(rows, lambda x: F.concat(F.lit("l"), x.turn.cast("string"))), "\n")
     old, new = lines(F.filter("t", lambda x: x.role != "user")), lines(F.col("t"))
-    added = F.regexp_replace(transcripts.line_diff(old, new), r"(?m)^-\n?", "")
+    added = F.regexp_replace(diffs.line_diff(old, new), r"(?m)^-\n?", "")
     return c.select("conv_id", added.alias("diff"))
 
 
+@query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '@'))) AS lines FROM documents WHERE contains(text, '@')""")
+def text_changes(spark, d):
+    """Documents against themselves with @ written out: the lines that change."""
+    c = on.table(spark, d, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", F.explode(diffs.changes(F.col("text"), F.regexp_replace("text", "@", " at "))).alias("c"))
+    return c.groupBy("doc_id").agg(F.countDistinct("c.line").cast("long").alias("lines"))
+
+
+@query()
+def highlighted(spark, d):
+    """Digits and mail addresses of documents between markers, their union where they overlap."""
+    docs = on.table(spark, d, "documents")
+    return transcripts.highlight(docs, transcripts.pattern_matches(docs, {"digits": "[0-9]{4,}", "mail": ["[a-z0-9.]+@[a-z0-9]+", "[a-z0-9]+@[a-z0-9.]+"]}, "doc_id"), "doc_id")
+
+
 @query("SELECT o_orderkey AS session_id, o_orderkey % 3 = 0 AS active, CAST(o_orderkey % 4 AS INTEGER) AS commit_count, CASE WHEN o_orderkey % 3 = 0 THEN 500 ELSE 900 END AS duration_ms FROM orders")
 def session_listing(spark, d):
     k = F.col("o_orderkey")
