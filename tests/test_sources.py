@@ -6,7 +6,7 @@ import sqlite3
 from pyspark.sql import functions as F
 
 from tracewell.sources import changelog, logs, sinks, zips
-from tracewell.streaming import live
+from tracewell.streaming import ingest, live
 
 
 def put(path, *lines):
@@ -301,3 +301,23 @@ def test_damaged_members_are_named(spark, tmp_path):
     lines, status = zips.import_bundle(spark, str(tmp_path), manifest)
     assert {(r.zip, r.name): r.status for r in status.collect()} == {("a.zip", "good.jsonl"): "ok", ("a.zip", "bad.jsonl"): "damaged", ("a.zip", "changed.jsonl"): "wrong hash", ("a.zip", "empty.jsonl"): "unlisted", ("a.zip", "gone.jsonl"): "missing", ("cut.zip", None): "damaged"}
     assert sorted((r.name, r.line, r.value) for r in lines.collect()) == [("changed.jsonl", 0, "x"), ("good.jsonl", 0, "1"), ("good.jsonl", 1, "2")]
+
+
+BODIES = [
+    ("session-start", '{"session_id":"s","cwd":"/w"}', None), ("session-start", '{"session_id":"s"}', "missing cwd"), ("session-start", '{"session_id":"","cwd":null}', "missing session_id, cwd"), ("session-end", '{"session_id":0}', "missing session_id"),
+    ("session-end", '{"session_id":7,"more":{"deep":[1]}}', None), ("pre-tool-use", '{"session_id":"s","tool_name":"Bash"}', None), ("post-tool-use", '{"session_id":"s","tool_name":false}', "missing tool_name"), ("stop", "not json", None), ("stop", None, None), ("pre-compact", "[]", None),
+    ("notification", "not json", "body is no JSON object"), ("notification", "[1]", "body is no JSON object"), ("user-prompt-submit", "{}", None), ("unheard-of", "{}", "unknown endpoint"), (None, "{}", "unknown endpoint"), ("session-end", None, "body is no JSON object"),
+]
+
+
+def test_intake_checks_each_endpoint_and_bears_replays(spark, tmp_path):
+    rows = spark.createDataFrame([b[:2] for b in BODIES], "endpoint string, body string")
+    intake = ingest.Intake(spark, str(tmp_path / "in"))
+    intake.append(rows.limit(0), 0)
+    for _ in range(2):
+        intake.append(rows, 1)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.endpoint, r.body) for r in intake.good().collect()), key=key) == sorted((b[:2] for b in BODIES if b[2] is None), key=key)
+    assert sorted(((r.endpoint, r.body, r.reason) for r in intake.rejected().collect()), key=key) == sorted((b for b in BODIES if b[2] is not None), key=key)
+    events = ingest.hook_events(intake.good()).collect()
+    assert sorted((r.event, r.session_id) for r in events) == [("end", "7"), ("pre", "s"), ("start", "s")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import transcripts
 from ..sources import changelog, logs, sinks, zips
 from ..sources.shared import fresh_folder
-from ..streaming import live
+from ..streaming import ingest, live
 from . import adapters as on
 from .queries import query
 
@@ -258,3 +258,21 @@ def live_upserts(spark, d):
         if k == 1:
             log.compact()
     return log.read(cap=200).drop("deleted")
+
+
+_ENDPOINT = "CASE event_type WHEN 'signup' THEN 'session-start' WHEN 'click' THEN 'pre-tool-use' WHEN 'view' THEN 'post-tool-use' WHEN 'purchase' THEN 'session-end' ELSE 'stop' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_ENDPOINT} AS endpoint, event_id % 3 <> 0 AS has_id, event_id % 5 <> 0 AS has_more FROM events)
+ SELECT event_id, endpoint, CASE WHEN endpoint = 'stop' THEN NULL WHEN endpoint = 'session-end' THEN CASE WHEN NOT has_id THEN 'missing session_id' END
+ ELSE CASE WHEN has_id AND has_more THEN NULL ELSE 'missing ' || concat_ws(', ', CASE WHEN NOT has_id THEN 'session_id' END, CASE WHEN NOT has_more THEN CASE WHEN endpoint = 'session-start' THEN 'cwd' ELSE 'tool_name' END END) END END AS reason FROM e""")
+def hook_intake(spark, d):
+    """Events as bodies of hook endpoints, of which some lack a required field, taken in by three batches, one replayed."""
+    k, kind = F.col("event_id"), F.expr(_ENDPOINT)
+    body = F.to_json(F.struct(k.alias("event_id"), F.when(k % 3 != 0, F.col("user_id").cast("string")).alias("session_id"), F.when(k % 5 != 0, "Bash").alias("tool_name"), F.when(k % 5 != 0, "/w").alias("cwd")))
+    rows = _events(spark, d).select(k, kind.alias("endpoint"), body.alias("body"))
+    intake = ingest.Intake(spark, fresh_folder(spark, "intake"))
+    for n, batch in [*_three_batches(spark, rows, "event_id % 3"), (1, rows.where("event_id % 3 = 1"))]:
+        intake.append(batch, n)
+    number = F.get_json_object("body", "$.event_id").cast("long").alias("event_id")
+    return intake.good().select(number, "endpoint", F.lit(None).cast("string").alias("reason")).unionByName(intake.rejected().select(number, "endpoint", "reason"))
