@@ -73,3 +73,29 @@ def test_equals_every_start():
         assert got == every_start(" ".join(parts))
         seen |= got[0]
     assert len(seen) > 8
+
+
+def test_postings_lead_only_to_templates_of_the_files_words(monkeypatch):
+    """The work on a file does not grow with templates that share no indexed word with it."""
+    from tracewell.llm import licenses
+
+    seen = []
+    monkeypatch.setattr(licenses, "_in_place", lambda found, text, start, own=licenses._in_place: seen.append(len(text)) or own(found, text, start))
+    more = [(f"l{k}", [f"key{k}"], " ".join(f"w{k}x{j}" for j in range(50))) for k in range(3000)]
+    index = Index({}, 100, templates=[*TEMPLATES, *more])
+    assert sum(len(p) for p in index.postings.values()) == sum(map(len, index.rare))
+    whole = " ".join(["prose"] * 100 + ["key7"] + [f"w7x{j}" if j % 6 else "torn" for j in range(50)])
+    assert labels(index, whole) == ({"l7"}, 41 / 50)
+    assert len(seen) <= 3 and labels(index, "prose of no licence") == (set(), 0.0)
+
+
+def test_whole_texts_pass_and_torn_ones_do_not():
+    from tracewell.llm.license_texts import WHOLE
+
+    index = Index({}, 100)
+    for label, _, text in WHOLE:
+        assert labels(index, "file of x\n// " + text.upper().replace(" ", "\n * ")) [0] >= {label}, label
+        assert labels(index, text)[1] == 1.0
+    mit = WHOLE[0][2]
+    assert labels(index, mit.replace("sublicense", "lend"))[1] > 0.99
+    assert labels(index, " ".join(w for k, w in enumerate(mit.split()) if k % 3))[0] == set()

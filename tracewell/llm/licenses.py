@@ -2,15 +2,20 @@
 
 Document frequencies of the words of the licence templates are counted over all documents. A template passes where
 the share ``COVERAGE`` of its words stand at their places, so of any n - need + 1 of its n places one is right there. The
-index holds so many places of each template, those with the highest IDF. For each file and each template whose mandatory
-key phrases stand in it, every occurrence of a word of these places gives a start, and every start is verified: no
-place that passes is missed, however long the file and whatever else it holds. The share at the best start is the
-template's score. Templates that pass give their label.
-
-Beside these labels stand the base ones: places where a fixed phrase's words follow each other.
-
-Null text is an empty file; files without words get null places, no labels and score 0. Repeated rows and null ids
-give a row each; extra columns are left out; an empty table gives no rows.
+index has postings: for each word its (template, place) pairs, of so many places of each template, those with the highest
+IDF. A file's words that have postings are looked up, the highest IDF first; each of their places in the file, less the
+place in the template, is a start, and starts meet by template. A start that gathers enough of the template's indexed
+places to pass is verified, after the mandatory key phrases: no place that passes is missed, however long the file and
+whatever else it holds, and templates that share no indexed word with the file cost nothing. Templates that pass give
+their label.
+
+Beside these labels stand the base ones: places where a fixed phrase's words follow each other. The score is the
+share at the best place of a template that passes; a file that only names a licence by a base phrase has ``NAMED``.
+
+Null text is an empty file; files without words get null places, no labels and score 0. A text of any length is one
+file, held by its task. Of equal shares at several starts the score is the same, so ties need no rule; labels are
+sorted. Repeated rows and null ids give a row each; columns of other names are not read, so none can clash; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, texts
+from .license_texts import WHOLE
 
 #: lower-cases A-Z; all ASCII but digits and letters separates words
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -63,12 +69,17 @@ TEMPLATES = [
 ]
 #: the share of a template that must stand in place
 COVERAGE = 0.8
+#: the score of a file that names a licence and quotes none
+NAMED = 0.5
 
 
 def words(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
+TEMPLATES += [(label, keys, b" ".join(words(text.encode())).decode()) for label, keys, text in WHOLE]
+
+
 def _phrase_places(found: list[bytes], phrase: list[bytes]) -> list[int]:
     out, at, n = [], -1, len(phrase)
     while True:
@@ -89,13 +100,18 @@ class Index:
     """The places of each template's rarest words by IDF, as many as make a lookup of them exact."""
 
     def __init__(self, frequencies: dict[str, int], n_docs: int, templates=None, base=None):
-        self.templates = [(label, [k.encode().split() for k in keys], text.encode().split()) for label, keys, text in templates or TEMPLATES]
+        self.templates = [(label, [words(k.encode()) for k in keys], words(text.encode())) for label, keys, text in templates or TEMPLATES]
         self.base = [(phrase.encode().split(), label) for phrase, label in (base or BASE).items()]
-        self.vocabulary = frozenset(w for _, _, text in self.templates for w in text)
+        self.vocabulary = frozenset(w for _, keys, text in self.templates for part in [*keys, text] for w in part)
         self.idf = {w: math.log((n_docs + 1) / (frequencies.get(w.decode(), 0) + 1)) + 1e-9 for w in self.vocabulary}
         self.needs = [next(n for n in range(len(text) + 1) if n / len(text) >= COVERAGE) for _, _, text in self.templates]
         # of any len - need + 1 places at least one is right where a template passes; the rarest give the fewest starts
         self.rare = [sorted(range(len(text)), key=lambda p: (-self.idf[text[p]], p))[: len(text) - need + 1] for (_, _, text), need in zip(self.templates, self.needs)]
+        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        for t, places in enumerate(self.rare):
+            for p in places:
+                self.postings.setdefault(self.templates[t][2][p], []).append((t, p))
+        self.by_idf = sorted(self.postings, key=lambda w: (-self.idf[w], w))
         self.base_words = frozenset(w for phrase, _ in self.base for w in phrase)
 
     def base_places(self, found: list[bytes], present: frozenset) -> tuple[list[int], set[str]]:
@@ -110,19 +126,26 @@ class Index:
 
     def scan(self, found: list[bytes], present: frozenset) -> tuple[set[str], float]:
         """Labels of the templates in the file, and the best score."""
+        looked_up = [w for w in self.by_idf if w in present]
+        if not looked_up:
+            return set(), 0.0
+        places: dict[bytes, list[int]] = {w: [] for w in looked_up}
+        for at, w in enumerate(found):
+            if w in places:
+                places[w].append(at)
+        votes: dict[int, Counter] = {}
+        for w in looked_up:
+            for t, p in self.postings[w]:
+                votes.setdefault(t, Counter()).update(at - p for at in places[w])
         labels, score = set(), 0.0
-        places: dict[bytes, list[int]] = {}
-        for (label, keys, text), need, rare in zip(self.templates, self.needs, self.rare):
-            if not all(present.issuperset(k) and _phrase_places(found, k) for k in keys):
+        for t, starts in votes.items():
+            label, keys, text = self.templates[t]
+            # of the indexed places at most len(text) - need may be wrong, and there is one more of them
+            likely = [s for s, n in starts.items() if n >= len(self.rare[t]) - (len(text) - self.needs[t])]
+            if not likely or not all(present.issuperset(k) and _phrase_places(found, k) for k in keys):
                 continue
-            starts = set()
-            for p in rare:
-                w = text[p]
-                if w not in places:
-                    places[w] = _phrase_places(found, [w]) if w in present else []
-                starts.update(at - p for at in places[w])
-            stand = max((_in_place(found, text, s) for s in starts), default=0)
-            if stand >= need:
+            stand = max(_in_place(found, text, s) for s in likely)
+            if stand >= self.needs[t]:
                 labels.add(label)
                 score = max(score, stand / len(text))
         return labels, score
@@ -148,7 +171,7 @@ def word_frequencies(docs: DataFrame, vocabulary) -> tuple[dict[str, int], int]:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    frequencies, n_docs = word_frequencies(docs, {w for _, _, text in TEMPLATES for w in text.split()})
+    frequencies, n_docs = word_frequencies(docs, {w.decode() for _, _, text in TEMPLATES for w in words(text.encode())})
 
     def run(batches):
         index = Index(frequencies, n_docs)
@@ -159,7 +182,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 present = (index.vocabulary | index.base_words).intersection(found)
                 places, base = index.base_places(found, present)
                 labels, score = index.scan(found, present)
-                score = 1.0 if base else score
+                score = max(score, NAMED) if base else score
                 out.append((len(found), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score))
             if out:
                 n_words, n_base, first, last, base_labels, labels, score = zip(*out)
