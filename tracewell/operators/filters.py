@@ -111,3 +111,35 @@ def enrichment_flags(rows: DataFrame, columns: list[str]) -> DataFrame:
 def retained(rows: DataFrame, as_of: int, keep_days: int, most: int, order: str = "timestamp") -> DataFrame:
     """Rows younger than ``keep_days``, of these the newest ``most``."""
     return rows.where(F.col(order) >= as_of - keep_days * 86_400_000).orderBy(F.col(order).desc(), "id").limit(most)
+
+
+def contribution_list(rows: DataFrame, agent: str | None = None, project_paths: list[str] | None = None, search: str | None = None, annotations: DataFrame | None = None, workflow: str | None = None, by: str = "newest") -> DataFrame:
+    """Contributions (id, session_id, agent, name, project_dir, cwd, workflow_status, modified_at, size_bytes) that pass, in order.
+
+    A project is its paths, with what lies below them. The search is for a part of the name, folder or ids, whatever
+    the case, blanks around it aside. ``annotations`` (session_id) keeps the annotated ones. A row without a workflow
+    status is pending.
+    """
+    out = rows
+    if agent is not None:
+        out = out.where(F.col("agent") == agent)
+    if project_paths is not None:
+        folder = F.coalesce(F.nullif("project_dir", F.lit("")), F.col("cwd"), F.lit(""))
+        inside = [(folder == p) | folder.startswith(p + "/") for p in project_paths]
+        out = out.where(reduce(lambda a, b: a | b, inside, F.lit(False)))
+    if search is not None and search.strip():
+        wanted = F.lit(search.strip().lower())
+        out = out.where(F.coalesce(*[F.when(F.contains(F.lower(c), wanted), True) for c in ("name", "project_dir", "id", "session_id")], F.lit(False)))
+    if annotations is not None:
+        out = out.join(annotations.select("session_id").where(F.col("session_id").cast("string") != "").distinct(), "session_id", "left_semi")
+    if workflow is not None:
+        out = out.where(F.coalesce(F.nullif("workflow_status", F.lit("")), F.lit("pending")) == workflow)
+    return out.orderBy(*contribution_order(by))
+
+
+def managed_list(sessions: DataFrame, active: bool = False, agent: str | None = None, limit: int | None = None) -> DataFrame:
+    """Managed sessions, the newest first; with ``active`` only those that run."""
+    out = sessions.where("status = 'running'") if active else sessions
+    out = out if agent is None else out.where(F.col("agent") == agent)
+    out = out.orderBy(F.col("started_at").desc(), "id")
+    return out if limit is None else out.limit(limit)

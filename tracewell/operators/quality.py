@@ -143,6 +143,29 @@ def classify(score: Column) -> Column:
     return F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").when(score > 0, "poor").otherwise("unknown")
 
 
+# What is said of each dimension from 70 up and below 40.
+DIMENSION_WORDS = {
+    "completion": ("task completed", "task may be incomplete"),
+    "code_quality": ("good code quality", "code quality issues"),
+    "efficiency": ("efficient workflow", "inefficient workflow"),
+    "safety": ("safe operations", "safety concerns"),
+}
+# The color of each class; others are gray.
+CLASS_COLORS = {"excellent": "green", "good": "blue", "fair": "yellow", "poor": "red"}
+
+
+def class_color(classification: Column) -> Column:
+    return F.coalesce(*[F.when(classification == k, F.lit(v)) for k, v in CLASS_COLORS.items()], F.lit("gray"))
+
+
+def describe(overall: Column, classification: Column, **dimensions: Column) -> Column:
+    """A sentence on a score: its class, and what is strong and weak in it."""
+    said = lambda test, which: F.array_join(F.array_compact(F.array(*[F.when(test(c), F.lit(DIMENSION_WORDS[d][which])) for d, c in dimensions.items()])), ", ")
+    strong, weak = said(lambda c: c >= 70, 0), said(lambda c: c < 40, 1)
+    head = F.concat(F.initcap(classification), F.lit(" ("), overall.cast("string"), F.lit("/100)"))
+    return F.concat_ws(". ", head, F.when(strong != "", F.concat(F.lit("Strengths: "), strong)), F.when(weak != "", F.concat(F.lit("Areas to improve: "), weak)))
+
+
 def classify_heuristic(score: Column) -> Column:
     return F.when(score >= 70, "likely_success").when(score < 40, "likely_failure").otherwise("uncertain")
 

@@ -97,6 +97,18 @@ def index_percentiles(values: DataFrame, column: str, shares=(0.25, 0.5, 0.75, 0
     return ranked.agg(*[F.coalesce(F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("v"))), F.lit(0)).alias(f"p{round(p * 100)}") for p in shares])
 
 
+def index_stats(catalog: DataFrame) -> DataFrame:
+    """Transcripts by agent, and in all under a null agent."""
+    return catalog.groupBy("agent").agg(F.count("*").alias("n")).unionByName(catalog.agg(F.lit(None).cast("string").alias("agent"), F.count("*").alias("n")))
+
+
+def preparation_stats(prepared: DataFrame) -> DataFrame:
+    """prepared (score, redactions, stripped_fields): sessions, redactions, distinct fields stripped, mean score."""
+    fields = prepared.select(F.explode("stripped_fields").alias("field")).agg(F.countDistinct("field").alias("fields_stripped"))
+    rows = prepared.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("redactions"), F.lit(0)).alias("redactions"), F.coalesce(half_up(F.avg("score"), 1), F.lit(0.0)).alias("mean_score"))
+    return rows.crossJoin(F.broadcast(fields))  # one row each
+
+
 def overview(scored: DataFrame) -> DataFrame:
     """One row: totals, feedback counts, scores by class; a score of 0 is poor, none is unscored."""
     s = F.col("score")

@@ -52,6 +52,22 @@ def corpus_stats(calls: DataFrame, n: int = 20) -> DataFrame:
     return per.orderBy(F.col("reads").desc(), "file_path").limit(n)
 
 
+def corpus_totals(catalog: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row over all transcripts: their number, bytes and megabytes, and reads (with a file), writes and edits."""
+    size = catalog.agg(F.count("*").alias("transcripts"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"))
+    tool = lambda t, more=F.lit(True): F.count(F.when((F.col("tool_name") == t) & more, 1))
+    use = calls.agg(tool("Read", F.col("file_path") != "").alias("reads"), tool("Write").alias("writes"), tool("Edit").alias("edits"))
+    return size.withColumn("size_mb", F.floor(F.col("size_bytes") / 1_048_576 + 0.5)).crossJoin(F.broadcast(use))  # one row each
+
+
+def top_projects(catalog: DataFrame, calls: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` projects of most bytes: the last part of the folder, transcripts, bytes and reads (with a file)."""
+    reads = calls.where("tool_name = 'Read' and file_path <> ''").groupBy("transcript_id").agg(F.count("*").alias("reads"))
+    name = F.coalesce(F.nullif(F.regexp_extract("project_dir", "([^/]+)$", 1), F.lit("")), F.lit("unknown"))
+    per = catalog.join(reads.withColumnRenamed("transcript_id", "id"), "id", "left").groupBy(name.alias("project"))
+    return per.agg(F.count("*").alias("transcripts"), F.sum("size_bytes").alias("size_bytes"), F.coalesce(F.sum("reads"), F.lit(0)).alias("reads")).orderBy(F.col("size_bytes").desc(), "project").limit(n)
+
+
 def sensitive_files(calls: DataFrame, ids: int = 5) -> DataFrame:
     """Sensitive files read: reason, number of transcripts and the first ``ids`` of them."""
     hits = calls.where("tool_name = 'Read'").select("transcript_id", "file_path", sensitive_reason(F.col("file_path")).alias("reason")).where("reason is not null").distinct()

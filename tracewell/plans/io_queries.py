@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transcripts
+from ..operators.ordering import range_numbered
 from ..sources import changelog, logs, sinks, zips
 from ..sources.shared import fresh_folder
 from ..streaming import ingest, live
@@ -146,6 +147,20 @@ def zip_import(spark, d):
     return rows.select(F.from_json("value", "doc_id long, quality int").alias("j"), "status").select("j.*", "status")
 
 
+@query("""WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), l AS (SELECT 0 AS kind, '' AS pos, 'manifest' AS type, (SELECT count(*) FROM s) AS n UNION ALL SELECT 1, CAST(user_id AS VARCHAR), 'session', n FROM s UNION ALL SELECT 2, CAST(event_id AS VARCHAR), 'tool_usage', event_id FROM events)
+ SELECT CAST(row_number() OVER (ORDER BY kind, pos) AS BIGINT) AS line, type, CAST(n AS BIGINT) AS n FROM l""")
+def legacy_bundle(spark, d):
+    """Users as sessions and events as usages in one bundle, its lines numbered in the order of its files."""
+    e = on.table(spark, d, "events")
+    folder = fresh_folder(spark, "legacy")
+    sessions = e.groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("n"))
+    sinks.legacy_bundle(sessions, e.select(F.col("event_id").alias("tool_use_id"), "event_type"), folder, "b1", "2024-01-31T00:00:00Z", {"email": 2})
+    schema = "type string, session_count long, data struct<n:long,tool_use_id:long>"
+    rows = spark.read.text(folder).select(F.from_json("value", schema).alias("j"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    numbered = range_numbered(rows, [], ["file", "at"], "line")
+    return numbered.select(F.col("line").cast("long").alias("line"), "j.type", F.coalesce("j.session_count", "j.data.n", "j.data.tool_use_id").alias("n"))
+
+
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives of all that is there now, in one batch, as a table."""
     folder = fresh_folder(spark, "stream")

@@ -368,3 +368,65 @@ def keep_and_strip(spark, d):
     i = F.col("event_id")
     deep = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "in": [{"a": '), (i % 10).cast("string"), F.lit(', "b": 2}], "z": '), i.cast("string"), F.lit("}"))
     return on.table(spark, d, "events").select("event_id", redact.keep_fields(deep, ["k", "in[]"], ["in.*.b"]).alias("kept"), redact.strip_fields(deep, ["k"]).alias("stripped"))
+
+
+@query("""SELECT doc_id AS id FROM documents LEFT JOIN (SELECT DISTINCT doc_id AS l FROM labels) ON l = doc_id WHERE lang = 'en' AND source <> 'src0' AND contains(lower(substr(text, 1, 80)), 'the') AND l IS NOT NULL AND coalesce(CASE WHEN n_chars % 3 = 0 THEN 'ready' END, 'pending') = 'pending'""")
+def contribution_list(spark, d):
+    """Documents as contributions of their language's agent, named by their first 80 characters."""
+    rows = on.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("session_id"), F.col("lang").alias("agent"), F.substring("text", 1, 80).alias("name"), F.col("source").alias("project_dir"), F.lit(None).cast("string").alias("cwd"), F.when(F.col("n_chars") % 3 == 0, "ready").alias("workflow_status"), F.col("n_chars").alias("modified_at"), F.col("n_chars").alias("size_bytes"))
+    marked = on.table(spark, d, "labels").select(F.col("doc_id").alias("session_id"))
+    return filters.contribution_list(rows.withColumn("id", F.col("id").cast("string")), "en", [f"src{k}" for k in range(1, 20)], " THE ", marked, "pending", "largest").select(F.col("id").cast("long").alias("id"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
+def managed_list(spark, d):
+    m = on.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("completed").alias("status"), F.col("o_orderpriority").alias("agent"), F.col("o_orderdate").alias("started_at"))
+    return filters.managed_list(m, True, "1-URGENT", 25).select("id")
+
+
+@query("SELECT lang AS agent, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM documents")
+def index_stats(spark, d):
+    return stats.index_stats(on.table(spark, d, "documents").select(F.col("lang").alias("agent")))
+
+
+@query("""WITH f AS (SELECT doc_id, unnest(list_filter(['lang', 'source', 'text'], lambda x: (x = 'lang' AND n_chars % 2 = 0) OR (x = 'source' AND n_chars % 3 = 0) OR (x = 'text' AND n_chars < 0))) AS field FROM documents)
+ SELECT count(*) AS sessions, CAST(sum(n_chars % 5) AS BIGINT) AS redactions, floor(avg(n_chars % 101) * 10 + 0.5) / 10 AS mean_score, (SELECT count(DISTINCT field) FROM f) AS fields_stripped FROM documents""")
+def preparation_stats(spark, d):
+    n = F.col("n_chars")
+    fields = F.array_compact(F.array(F.when(n % 2 == 0, "lang"), F.when(n % 3 == 0, "source"), F.when(n < 0, "text")))
+    return stats.preparation_stats(on.table(spark, d, "documents").select((n % 101).alias("score"), (n % 5).alias("redactions"), fields.alias("stripped_fields")))
+
+
+CALLS = """WITH t AS (SELECT page_id AS id, octet_length(encode(html)) AS size_bytes, regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]+)/[^/]*$', 1) AS project, list_value('Read', 'Write', 'Edit', 'Read')[octet_length(encode(html)) % 4 + 1] AS tool_name FROM pages) """
+
+
+def _page_calls(spark, d):
+    size, folder = F.octet_length("html").cast("long"), F.regexp_extract("url", "^([^?#]*)/[^/?#]*", 1)
+    pages = on.table(spark, d, "pages").select(F.col("page_id").alias("id"), size.alias("size_bytes"), folder.alias("project_dir"), "url")
+    calls = pages.select(F.col("id").alias("transcript_id"), F.element_at(F.array(*map(F.lit, ["Read", "Write", "Edit", "Read"])), (F.col("size_bytes") % 4 + 1).cast("int")).alias("tool_name"), F.col("url").alias("file_path"))
+    return pages, calls
+
+
+@query(CALLS + """SELECT count(*) AS transcripts, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, CAST(floor(sum(size_bytes) / 1048576 + 0.5) AS BIGINT) AS size_mb, count(*) FILTER (tool_name = 'Read') AS reads, count(*) FILTER (tool_name = 'Write') AS writes, count(*) FILTER (tool_name = 'Edit') AS edits FROM t""")
+def corpus_totals(spark, d):
+    """Pages as transcripts, each with a call by the size of its html."""
+    return transcripts.corpus_totals(*_page_calls(spark, d))
+
+
+@query(CALLS + """SELECT CASE WHEN project = '' THEN 'unknown' ELSE project END AS project, count(*) AS transcripts, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, count(*) FILTER (tool_name = 'Read') AS reads FROM t GROUP BY 1 ORDER BY size_bytes DESC, project LIMIT 20""")
+def top_projects(spark, d):
+    return transcripts.top_projects(*_page_calls(spark, d))
+
+
+@query("""WITH d AS (SELECT conv_id, turn, length(text) % 101 AS o, length(text) % 97 AS a, length(text) % 89 AS b, length(text) % 83 AS c, length(text) % 79 AS e, role FROM conversations),
+ k AS (SELECT *, CASE WHEN o >= 80 THEN 'excellent' WHEN o >= 60 THEN 'good' WHEN o >= 40 THEN 'fair' WHEN o > 0 THEN 'poor' ELSE 'unknown' END AS class,
+ concat_ws(', ', CASE WHEN a >= 70 THEN 'task completed' END, CASE WHEN b >= 70 THEN 'good code quality' END, CASE WHEN c >= 70 THEN 'efficient workflow' END, CASE WHEN e >= 70 THEN 'safe operations' END) AS s,
+ concat_ws(', ', CASE WHEN a < 40 THEN 'task may be incomplete' END, CASE WHEN b < 40 THEN 'code quality issues' END, CASE WHEN c < 40 THEN 'inefficient workflow' END, CASE WHEN e < 40 THEN 'safety concerns' END) AS w FROM d)
+ SELECT conv_id, turn, concat_ws('. ', upper(class[1]) || class[2:] || ' (' || o || '/100)', CASE WHEN s <> '' THEN 'Strengths: ' || s END, CASE WHEN w <> '' THEN 'Areas to improve: ' || w END) AS description,
+ CASE class WHEN 'excellent' THEN 'green' WHEN 'good' THEN 'blue' WHEN 'fair' THEN 'yellow' WHEN 'poor' THEN 'red' ELSE 'gray' END AS color FROM k""")
+def score_descriptions(spark, d):
+    """Turns of conversations with scores by the length of their text."""
+    n = F.length("text")
+    cls = quality.classify(n % 101)
+    rows = on.table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", quality.describe(n % 101, cls, completion=n % 97, code_quality=n % 89, efficiency=n % 83, safety=n % 79).alias("description"), quality.class_color(cls).alias("color"))

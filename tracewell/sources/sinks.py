@@ -115,6 +115,22 @@ def bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
     return out
 
 
+def legacy_bundle(sessions: DataFrame, usages: DataFrame, path: str, bundle_id: str, exported_at: str, redactions: dict[str, int] | None = None, order: tuple[str, str] = ("session_id", "tool_use_id")) -> None:
+    """One list of unlike lines over many part files: the manifest, then sessions and tool usages, each in its order.
+
+    Lines are dealt by ranges of (kind, order), so the part files, read by name one after the other, are in order, and
+    no task holds more than its range. ``redactions``: their number by category.
+    """
+    counted = sessions.agg(F.count("*").alias("session_count")).crossJoin(F.broadcast(usages.agg(F.count("*").alias("tool_usage_count"))))  # one row each
+    by = redactions or {}
+    categories = F.create_map(*[F.lit(x) for pair in sorted(by.items()) for x in pair]) if by else F.from_json(F.lit("{}"), "map<string,int>")
+    report = F.struct(F.lit(sum(by.values())).alias("total_redactions"), categories.alias("categories"))
+    head = counted.select(F.lit(0).alias("kind"), F.lit("").alias("at"), F.to_json(F.struct(F.lit("manifest").alias("type"), F.lit(bundle_id).alias("bundle_id"), F.lit("1.0.0").alias("version"), F.lit(exported_at).alias("exported_at"), "session_count", "tool_usage_count", report.alias("sanitization"))).alias("value"))
+    line = lambda rows, k, kind, key: rows.select(F.lit(k).alias("kind"), F.col(key).cast("string").alias("at"), F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*rows.columns).alias("data")), {"ignoreNullFields": "false"}).alias("value"))
+    lines = head.unionByName(line(sessions, 1, "session", order[0])).unionByName(line(usages, 2, "tool_usage", order[1]))
+    lines.orderBy("kind", "at", "value").select("value").write.mode("overwrite").text(path)
+
+
 def markdown(messages: DataFrame) -> DataFrame:
     """transcript_id, markdown: role headers and contents in order of line."""
     block = F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), F.coalesce("content", F.lit("")))
