@@ -11,7 +11,7 @@ empty set, whose distance is the size).
 Inside a region documents are close, and pivots are documents. First each document meets one pivot, the most central
 document of its regions, so a group of copies falls into one component whatever the number of regions it fills; a
 region whose documents are then in one component is finished. Of the others, those of more than ``SMALL`` documents
-draw ``PIVOTS`` pivots, whose exact distances to all others are taken, and are split into the pivots' Voronoi regions
+become one where they have the same central pivot, and draw ``PIVOTS`` pivots, whose exact distances to all others are taken, and are split into the pivots' Voronoi regions
 and, inside these, into shells one radius wide; a document also goes to every region whose pivot is at most two radii
 farther than its own, and to the neighbouring shells, so no link is lost; pivots have met all others and leave. The
 parts are joined again recursively. Smaller regions, and those that a split does not part, are compared in blocks:
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, batch_of, bitmap, has, materialize, release, texts
 from .components import relabel
 
-#: documents of a region that are compared directly
-SMALL = 128
+#: documents of a region that are compared directly: half a million pairs of sketches
+SMALL = 1024
 PIVOTS = 8
 #: documents of one region that a block holds
 TILE = 2048
@@ -294,6 +294,15 @@ def _active(members: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(state, "cell")
 
 
+def _merge_by_pivot(active: DataFrame, about: DataFrame) -> DataFrame:
+    """Large regions with the same central pivot become one: a group of near copies fills hundreds of regions with nearly
+    the same documents, which are then taken up once and not in each."""
+    small, large = active.where(F.col("n") <= SMALL), active.where(F.col("n") > SMALL)
+    firsts = large.join(about.select("node", "rank"), "node").groupBy("cell").agg(F.min(F.struct("rank", "node")).alias("first"))
+    merged = large.join(firsts, "cell").select(F.xxhash64("first.node", F.lit("merged")).alias("cell"), "node").distinct()
+    return small.select("cell", "node").unionByName(merged)
+
+
 def _split_large(members: DataFrame, about: DataFrame, labels: DataFrame, sets: _Shingles, percent: int) -> tuple[DataFrame, DataFrame]:
     """Joins regions of more than ``SMALL`` documents at pivots and splits them, again and again.
 
@@ -301,7 +310,7 @@ def _split_large(members: DataFrame, about: DataFrame, labels: DataFrame, sets:
     """
     radius = 1 - percent / 100 + 1e-9
     done, turn = [], 0
-    members = members.withColumn("stuck", F.lit(False))
+    members = materialize(_merge_by_pivot(_active(members, labels), about).withColumn("stuck", F.lit(False)), "members")
     while True:
         active = materialize(_active(members, labels), "active")
         direct = F.col("stuck") | (F.col("n") <= SMALL)
@@ -319,7 +328,7 @@ def _split_large(members: DataFrame, about: DataFrame, labels: DataFrame, sets:
         known = sets.distances(met)
         labels = _merge(labels, known.where(_linked(percent)).select("a", "b"))
         parts = _split(drawn.where("not pivot").select("cell", "node"), pivots, known, radius)
-        release(drawn, met, known, *([members] if turn else []))
+        release(drawn, met, known, members)
         members, turn = parts, turn + 1
 
 
@@ -329,17 +338,19 @@ def _split(rest: DataFrame, pivots: DataFrame, known: DataFrame, radius: float)
     by_pivot = materialize(by_pivot.select("cell", "a", "b", (1 - F.col("inside") / F.col("every")).alias("d")), "split")
     home = by_pivot.groupBy("cell", "a").agg(F.min("d").alias("nearest"))
     near = by_pivot.join(home, ["cell", "a"]).where(F.col("d") <= F.col("nearest") + 2 * radius)
-    shell = F.floor(F.col("d") / radius)
-    dealt = near.withColumn("shell", F.explode(F.array(shell - 1, shell, shell + 1)))
-    dealt = materialize(dealt.select(F.col("cell").alias("was"), F.xxhash64("cell", "b", "shell").alias("cell"), F.col("a").alias("node")), "split")
-    # rows that meet: the sum of squares over the parts against the square of the whole
-    parts = dealt.groupBy("was", "cell").agg(F.count("*").alias("k")).groupBy("was").agg(F.sum(F.col("k") * F.col("k")).alias("parts"))
+    near = materialize(near.select(F.col("cell").alias("was"), "b", F.floor(F.col("d") / radius).alias("shell"), F.col("a").alias("node")), "split")
+    # rows that would meet: the sum of squares over the parts (a shell with its neighbours) against the square of the whole
+    shells = near.groupBy("was", "b", "shell").agg(F.count("*").alias("k"))
+    about_shell = shells.select("was", "b", F.explode(F.array(*[F.struct((F.col("shell") + d).alias("shell"), "k") for d in (-1, 0, 1)])).alias("s")).groupBy("was", "b", "s.shell").agg(F.sum("s.k").alias("k"))
+    parts = about_shell.groupBy("was").agg(F.sum(F.col("k") * F.col("k")).alias("parts"))
     whole = rest.groupBy(F.col("cell").alias("was")).agg((F.count("*") * F.count("*")).alias("whole"))
     good = materialize(whole.join(parts, "was").where("parts < 0.7 * whole").select("was"), "split")
+    # only what is worth it is dealt out
+    dealt = near.join(good, "was", "left_semi").withColumn("shell", F.explode(F.array(F.col("shell") - 1, F.col("shell"), F.col("shell") + 1)))
+    dealt = dealt.select(F.xxhash64("was", "b", "shell").alias("cell"), "node", F.lit(False).alias("stuck")).distinct()
     kept = rest.select(F.col("cell").alias("was"), "node").join(good, "was", "left_anti").select(F.col("was").alias("cell"), "node", F.lit(True).alias("stuck"))
-    out = kept.unionByName(dealt.join(good, "was", "left_semi").select("cell", "node", F.lit(False).alias("stuck")).distinct())
-    out = materialize(out, "members")
-    release(by_pivot, dealt, good)
+    out = materialize(kept.unionByName(dealt), "members")
+    release(by_pivot, near, good)
     return out
 
 
