@@ -168,7 +168,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, bucket_ms: int = 3_
         return met.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{side}_begin") / width), F.floor(F.col(f"{side}_end") / width))))
 
     left, right = leveled(left, "l"), leveled(right, "r")
-    levels = sorted({r[0] for x, side in ((left, "l"), (right, "r")) for r in x.select(f"{side}_level").distinct().collect()})  # at most 64
+    levels = sorted(r[0] for r in left.select("l_level").union(right.select("r_level")).distinct().collect())  # at most 64
     if not levels:
         return left.join(right, key).drop("l_level", "r_level")
     later = F.floor(F.greatest("l_begin", "r_begin") / (F.pow(F.lit(2.0), F.col("level")) * bucket_ms))

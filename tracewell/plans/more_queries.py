@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -196,31 +198,39 @@ def smallest_contributions(spark, d):
     return rows.orderBy(*filters.contribution_order("smallest")).limit(100).select("id", "size_bytes")
 
 
-@query("""SELECT page_id, list_value('agent', NULL, 'editor', 'server', NULL)[page_id % 5 + 1] AS label FROM pages""")
+@query(r"""WITH c AS (SELECT page_id, CASE WHEN contains(url, '#') THEN 'bash -c ' || url ELSE 'node ' || url END AS cmd, regexp_extract(url, '^https?://([^/]*)', 1) AS exe FROM pages)
+ SELECT page_id, CASE WHEN starts_with(cmd, 'bash -c ') THEN NULL WHEN regexp_matches(cmd, '(?i)\bEN\b') THEN 'agent' WHEN starts_with(exe, 'th') THEN 'editor' WHEN ends_with(exe, '.org') THEN 'server' END AS label FROM c""")
 def match_process(spark, d):
-    i = F.col("page_id")
-    cmd = _pick(i, "node /opt/Agent run", "bash -c agent", "vim x", "x", "unknown")
-    exe = _pick(i, "/usr/bin/node", "/bin/sh", "/usr/local/edit/vim", "/srv/httpd", "/bin/true")
-    matchers = [{"label": "agent", "kind": "cmd_regex", "pattern": r"\bagent\b"}, {"label": "editor", "kind": "exe_prefix", "pattern": "/usr/local/edit"}, {"label": "server", "kind": "exe_suffix", "pattern": "httpd"}]
-    return on.table(spark, d, "pages").select("page_id", filters.match_process(cmd, exe, matchers).alias("label"))
+    """Addresses of pages as command lines, hosts as programs; those with a fragment run in a shell."""
+    url = F.col("url")
+    cmd = F.when(url.contains("#"), F.concat(F.lit("bash -c "), url)).otherwise(F.concat(F.lit("node "), url))
+    matchers = [{"label": "agent", "kind": "cmd_regex", "pattern": r"\bEN\b"}, {"label": "editor", "kind": "exe_prefix", "pattern": "th"}, {"label": "server", "kind": "exe_suffix", "pattern": ".org"}]
+    return on.table(spark, d, "pages").select("page_id", filters.match_process(cmd, F.regexp_extract(url, "^https?://([^/]*)", 1), matchers).alias("label"))
 
 
-@query("SELECT page_id, list_value('docker', 'macos', NULL, 'macos', NULL)[page_id % 5 + 1] AS sandbox FROM pages")
+@query(r"""WITH c AS (SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 'docker run ' ELSE 'sh ' END || replace(replace(substr(text, 1, 200), ' the ', ' claude '), ' la ', ' --sandbox ') AS cmd FROM documents)
+ SELECT doc_id, CASE WHEN regexp_matches(cmd, '(?i)docker\s+(run|exec)') AND regexp_matches(cmd, '(?i)claude-sandbox|claude-code-config|\bclaude\b') THEN 'docker' WHEN contains(cmd, '--sandbox ') THEN 'macos' END AS sandbox FROM c""")
 def sandboxes(spark, d):
-    command = _pick(F.col("page_id"), "docker run -it claude-sandbox", "sandbox-exec -f x sh", "docker run nginx", "codex --sandbox on", "ls")
-    return on.table(spark, d, "pages").select("page_id", text.sandbox(command).alias("sandbox"))
+    """Beginnings of documents as command lines, two of their words written as marks of sandboxes."""
+    words = F.replace(F.replace(F.substring("text", 1, 200), F.lit(" the "), F.lit(" claude ")), F.lit(" la "), F.lit(" --sandbox "))
+    command = F.concat(F.when(F.col("n_chars") % 2 == 0, "docker run ").otherwise("sh "), words)
+    return on.table(spark, d, "documents").select("doc_id", text.sandbox(command).alias("sandbox"))
 
 
-@query("SELECT page_id, list_value('github_pr', 'github_commit', 'github_issue', 'github_repo', 'file', 'file', 'url', 'other')[page_id % 8 + 1] AS kind FROM pages")
+_HUB = [("^https?://[^/]*[.]example[.]com/en/", "https://github.com/a/b/pull/"), ("^https?://[^/]*[.]example[.]com/fr/", "https://github.com/a/b/issues/"), ("^https?://[^/]*[.]example[.]com/de/", "https://github.com/a/b/commit/"), ("^https?://[^/]*[.]example[.]com/", "https://github.com/a/b/"), ("^https?://[^/]*[.]example[.]net/en", "file:///en"), ("^http://[^/]*[.]example[.]net", "/w"), ("^http:", "ftp:")]
+
+
+@query("WITH u AS (SELECT page_id, " + functools.reduce(lambda x, r: f"regexp_replace({x}, '{r[0]}', '{r[1]}')", _HUB, "url") + """ AS u FROM pages)
+ SELECT page_id, CASE WHEN contains(u, '/pull/') THEN 'github_pr' WHEN contains(u, '/commit/') THEN 'github_commit' WHEN contains(u, '/issues/') THEN 'github_issue' WHEN starts_with(u, 'https://github.com/') THEN 'github_repo' WHEN starts_with(u, 'file://') OR starts_with(u, '/') THEN 'file' WHEN regexp_matches(u, '^https?://') THEN 'url' ELSE 'other' END AS kind FROM u""")
 def artifact_types(spark, d):
-    g = "https://github.com/a/b"
-    url = _pick(F.col("page_id"), g + "/pull/7", g + "/commit/ab", g + "/issues/2", g, "file:///x", "/tmp/x", F.col("url"), "ftp://x")
-    return on.table(spark, d, "pages").select("page_id", text.artifact_type(url).alias("kind"))
+    """Addresses of pages, of which some hosts and languages are written as those of code hosts and files."""
+    return on.table(spark, d, "pages").select("page_id", text.artifact_type(functools.reduce(lambda x, r: F.regexp_replace(x, *r), _HUB, F.col("url"))).alias("kind"))
 
 
-@query("SELECT page_id, list_value('claude', 'codex', 'gemini', NULL)[page_id % 4 + 1] AS agent FROM pages")
+@query("SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'claude' WHEN contains(url, '/fr/') THEN 'codex' WHEN contains(url, '/de/') THEN 'gemini' END AS agent FROM pages")
 def agents_of_paths(spark, d):
-    path = F.concat(F.lit("/home/u/"), _pick(F.col("page_id"), ".claude/projects/", ".codex/sessions/", ".gemini/tmp/", "notes/"), F.col("page_id").cast("string"))
+    """Addresses of pages as paths, their languages written as the agents' folders."""
+    path = functools.reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), [("/en/", "/.claude/"), ("/fr/", "/.codex/"), ("/de/", "/.gemini/")], F.col("url"))
     return on.table(spark, d, "pages").select("page_id", text.detect_agent(path).alias("agent"))
 
 
@@ -231,18 +241,22 @@ def etimes(spark, d):
     return on.table(spark, d, "orders").select("o_orderkey", text.etime_seconds(etime).alias("seconds"))
 
 
-@query(r"""SELECT doc_id, '/home/<USER>/x' || doc_id AS path, 'run --token [REDACTED] -password=[REDACTED] in C:\Users\<USER>\y' AS command FROM documents""")
+@query(r"""WITH w AS (SELECT doc_id, coalesce(nullif(regexp_extract(text, '[A-Za-z]+'), ''), 'u') AS w FROM documents)
+ SELECT doc_id, '/home/<USER>/' || w AS path, 'run --token [REDACTED] -password=[REDACTED] in C:\Users\<USER>\' || w AS command FROM w""")
 def sanitized(spark, d):
-    i = F.col("doc_id").cast("string")
-    command = F.concat(F.lit("run --token t"), i, F.lit(" -password=p"), i, F.lit(" in C:\\Users\\u"), i, F.lit("\\y"))
-    return on.table(spark, d, "documents").select("doc_id", text.hide_user(F.concat(F.lit("/home/u"), i, F.lit("/x"), i)).alias("path"), text.hide_user(text.hide_flags(command)).alias("command"))
+    """The first word of each document as user, secret and file."""
+    w = F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("u"))
+    command = F.concat(F.lit("run --token "), w, F.lit(" -password="), w, F.lit(" in C:\\Users\\"), w, F.lit("\\"), w)
+    return on.table(spark, d, "documents").select("doc_id", text.hide_user(F.concat(F.lit("/home/"), w, F.lit("/"), w)).alias("path"), text.hide_user(text.hide_flags(command)).alias("command"))
 
 
-@query("SELECT o_orderkey, lower(printf('%08x', o_orderkey)) AS hash, 'fix order ' || o_orderkey AS message FROM orders")
+@query(r"SELECT doc_id, substr(md5(text), 1, 12) AS hash, rtrim(substr(trim(regexp_replace(substr(text, 1, 400), '[ \n]+', ' ', 'g')), 1, 200)) AS message FROM documents WHERE regexp_matches(substr(text, 1, 400), '[A-Za-z]')")
 def commits(spark, d):
-    k = F.col("o_orderkey")
-    out = F.concat(F.lit("[main "), F.lower(F.lpad(F.hex(k), 8, "0")), F.lit("] fix order "), k.cast("string"), F.lit("\n 1 file changed"))
-    return on.table(spark, d, "orders").select("o_orderkey", text.commit_hash(out).alias("hash"), text.commit_message(out).alias("message"))
+    """Output of git with the beginning of each document that has a letter there as message."""
+    message = F.trim(F.regexp_replace(F.substring("text", 1, 400), "[ \\n]+", " "))
+    out = F.concat(F.lit("[main "), F.substring(F.md5("text"), 1, 12), F.lit("] "), message, F.lit("\n 1 file changed"))
+    rows = on.table(spark, d, "documents").where(F.substring("text", 1, 400).rlike("[A-Za-z]"))
+    return rows.select("doc_id", text.commit_hash(out).alias("hash"), F.rtrim(text.commit_message(out)).alias("message"))
 
 
 def _fixed(x: str, digits: int) -> str:

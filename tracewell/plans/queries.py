@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.js import share_percent
 from ..operators import filters, joins, loops, monitor, quality, redact, stats, transcripts
+from ..sources import sinks
 from . import adapters as on
 
 QUERIES: dict = {}
@@ -258,12 +261,19 @@ def basename(spark, d):
     return on.table(spark, d, "pages").select("page_id", text.normalize_file_path(F.col("url")).alias("name"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, 'run ' || CASE doc_id % 6 WHEN 0 THEN 'npm run test' WHEN 1 THEN 'eslint src' WHEN 2 THEN 'go build ./...' WHEN 3 THEN 'git commit -m x' WHEN 4 THEN 'cat make.txt' ELSE 'ls' END AS command FROM documents)
- SELECT doc_id, CASE WHEN command LIKE '%npm run test%' THEN 'test' WHEN command LIKE '%eslint%' THEN 'lint' WHEN command LIKE '%go build%' OR command LIKE '%make%' THEN 'build' WHEN command LIKE '%git commit%' THEN 'git' END AS kind FROM t""")
+_AS_COMMANDS = [(" the ", " npm run test "), (" die ", " eslint src "), (" la ", " go build ./... "), (" le ", " git commit -m x "), (" of ", " git push ")]
+
+
+def _rules_sql(patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches(cmd, '(?i){p}')" for p in patterns) + ")"
+
+
+@query("WITH t AS (SELECT doc_id, " + functools.reduce(lambda x, r: f"replace({x}, '{r[0]}', '{r[1]}')", _AS_COMMANDS, "substr(text, 1, 120)") + f""" AS cmd FROM documents)
+ SELECT doc_id, CASE WHEN {_rules_sql(rules.TEST_COMMANDS)} THEN 'test' WHEN {_rules_sql(rules.LINT_COMMANDS)} THEN 'lint' WHEN {_rules_sql(rules.BUILD_COMMANDS)} THEN 'build' WHEN {_rules_sql([rules.GIT_COMMIT, rules.GIT_PUSH, rules.GIT_REBASE, rules.GIT_STASH])} THEN 'git' END AS kind FROM t""")
 def classify_cmd(spark, d):
-    commands = F.array(*map(F.lit, ["npm run test", "eslint src", "go build ./...", "git commit -m x", "cat make.txt", "ls"]))
-    rows = on.table(spark, d, "documents").select("doc_id", F.concat(F.lit("run "), F.element_at(commands, (F.col("doc_id") % 6 + 1).cast("int"))).alias("command"))
-    return rows.select("doc_id", text.classify_command(F.col("command")).alias("kind"))
+    """Beginnings of documents as command lines, some of their words written as commands."""
+    command = functools.reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), _AS_COMMANDS, F.substring("text", 1, 120))
+    return on.table(spark, d, "documents").select("doc_id", text.classify_command(command).alias("kind"))
 
 
 SCORE = "greatest(0, floor((" + " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1.5 ELSE 0 END" for w in rules.QUALITY_KEYWORDS) + " + CASE WHEN length(text) > 400 AND length(text) < 8000 THEN 2 ELSE 0 END - CASE WHEN length(text) > 8000 THEN 1 ELSE 0 END - CASE WHEN length(text) < 120 THEN 1 ELSE 0 END) * 10 + 0.5) / 10)"
@@ -508,9 +518,12 @@ def privacy_domains(spark, d):
     return on.table(spark, d, "pages").groupBy(F.parse_url("url", F.lit("HOST")).alias("domain")).agg(F.count("*").alias("pages"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents")
+@query("""SELECT doc_id, sha256(raw) AS sha256, octet_length(encode(raw)) AS bytes FROM (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}' AS raw FROM documents)""")
 def bundle_manifest(spark, d):
-    return on.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("bytes"))
+    """Lines of documents as the bundle writes them, with their hashes."""
+    rows = on.table(spark, d, "documents").select("doc_id", "lang", "source")
+    lines = sinks.json_lines(rows)
+    return lines.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.sha2("value", 256).alias("sha256"), F.octet_length("value").alias("bytes"))
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 3")
@@ -601,10 +614,13 @@ def previews(spark, d):
     return on.table(spark, d, "conversations").select("turn", "conv_id", transcripts.safe_preview(F.col("text"), 80).alias("preview"))
 
 
-@query("SELECT CASE page_id % 3 WHEN 0 THEN 'cc_hook' WHEN 1 THEN 'cc_transcript' ELSE 'codex_transcript' END AS source_type, count(*) AS n FROM pages GROUP BY 1")
+@query("""WITH t AS (SELECT CASE WHEN role = 'user' THEN 'cc_hook' WHEN role = 'assistant' THEN 'cc_transcript' WHEN text = '' THEN 'unknown' ELSE 'codex_transcript' END AS source_type, length(text) AS n FROM conversations)
+ SELECT source_type, count(*) AS n, CAST(sum(n) AS BIGINT) AS chars FROM t GROUP BY 1""")
 def source_types(spark, d):
-    data = F.element_at(F.array(F.lit('{"tool_name":"x"}'), F.lit('{"messages":[]}'), F.lit("{}")), (F.col("page_id") % 3 + 1).cast("int"))
-    return on.table(spark, d, "pages").groupBy(transcripts.source_type(F.lit("codex"), data).alias("source_type")).agg(F.count("*").alias("n"))
+    """Turns as shared sessions: what the user says under a tool's name, what the assistant says as messages."""
+    said = F.col("text")
+    data = F.when(F.col("role") == "user", F.to_json(F.struct(said.alias("tool_name")))).when(F.col("role") == "assistant", F.to_json(F.struct(F.array(said).alias("messages")))).otherwise(F.to_json(F.struct(said.alias("note"))))
+    return on.table(spark, d, "conversations").groupBy(transcripts.source_type(F.when(said == "", "").otherwise("Codex"), data).alias("source_type")).agg(F.count("*").alias("n"), F.sum(F.length(said)).alias("chars"))
 
 
 @query("""WITH r AS (SELECT CASE WHEN n_regionkey < 3 THEN n_regionkey END AS project_id, c_acctbal AS score, c_custkey % 5 AS p, c_custkey % 2 AS f FROM customer JOIN nation ON c_nationkey = n_nationkey),
