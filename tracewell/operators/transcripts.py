@@ -133,6 +133,32 @@ def safe_preview(text: Column, most: int = 200) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat)
 
 
+# The marks of roles in chat previews; other roles have the last.
+ROLE_MARKS = {"user": "👤", "assistant": "🤖", "tool": "🔧"}
+OTHER_MARK = "📝"
+
+
+def chat_previews(messages: DataFrame, first: int = 20, cut: int = 200, most: int = 4_000) -> DataFrame:
+    """transcript_id, preview: the first messages (line, role, content, timestamp) of each transcript as a chat.
+
+    A message has a line with its role's mark, role and time (UTC, hours and minutes), one with the beginning of its
+    content if it has any, and a blank one; then the number of messages left out. Only the first messages of each task's
+    rows are shuffled; the number of all comes from a count.
+    """
+    ranked = messages.withColumn("_k", F.row_number().over(Window.partitionBy("transcript_id").orderBy("line"))).where(F.col("_k") <= first)
+    role = F.coalesce(F.nullif("role", F.lit("")), F.lit("unknown"))
+    mark = F.coalesce(*[F.when(role == r, F.lit(m)) for r, m in ROLE_MARKS.items()], F.lit(OTHER_MARK))
+    content = F.coalesce("content", F.lit(""))
+    said = F.trim(F.replace(F.substring(content, 1, cut), F.lit("\n"), F.lit(" ")))
+    time = F.coalesce(F.date_format(F.try_to_timestamp("timestamp"), "HH:mm"), F.lit(""))
+    head = F.concat(mark, F.upper(F.substring(role, 1, 1)), F.substring(role, 2, 1_000), F.lit(" "), time)
+    block = F.concat(head, F.when(said != "", F.concat(F.lit("\n  "), said, F.when(F.length(content) > cut, "...").otherwise(""))).otherwise(""), F.lit("\n"))
+    shown = ranked.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("_k", block.alias("block")))).alias("blocks"))
+    counted = messages.groupBy("transcript_id").agg(F.count("*").alias("n"))
+    more = F.when(F.col("n") > first, F.concat(F.lit("\n... and "), (F.col("n") - first).cast("string"), F.lit(" more messages"))).otherwise("")
+    return shown.join(counted, "transcript_id").select("transcript_id", F.substring(F.concat(F.array_join(F.transform("blocks", lambda b: b.block), "\n"), more), 1, most).alias("preview"))
+
+
 def check_pattern(pattern: str) -> list[str]:
     """What is wrong with a redaction pattern: it does not compile, nests repeats, or matches nothing at all."""
     try:

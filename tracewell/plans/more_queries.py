@@ -444,3 +444,15 @@ def score_descriptions(spark, d):
     cls = quality.classify(n % 101)
     rows = on.table(spark, d, "conversations")
     return rows.select("conv_id", "turn", quality.describe(n % 101, cls, completion=n % 97, code_quality=n % 89, efficiency=n % 83, safety=n % 79).alias("description"), quality.class_color(cls).alias("color"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+ b AS (SELECT conv_id, k, n, CASE role WHEN 'user' THEN '👤' WHEN 'assistant' THEN '🤖' ELSE '📝' END || upper(role[1]) || role[2:] || ' ' || printf('%02d:%02d', turn % 24, conv_id % 60)
+ || CASE WHEN trim(replace(substr(text, 1, 60), chr(10), ' ')) <> '' THEN chr(10) || '  ' || trim(replace(substr(text, 1, 60), chr(10), ' ')) || CASE WHEN length(text) > 60 THEN '...' ELSE '' END ELSE '' END || chr(10) AS block FROM r WHERE k <= 3)
+ SELECT conv_id AS transcript_id, substr(string_agg(block, chr(10) ORDER BY k) || CASE WHEN any_value(n) > 3 THEN chr(10) || '... and ' || (any_value(n) - 3) || ' more messages' ELSE '' END, 1, 250) AS preview FROM b GROUP BY 1""")
+def chat_previews(spark, d):
+    """The first three turns of each conversation, with times made of their numbers."""
+    c = on.table(spark, d, "conversations")
+    time = F.format_string("2024-01-01 %02d:%02d:00", F.col("turn") % 24, F.col("conv_id") % 60)
+    rows = c.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("line"), "role", F.col("text").alias("content"), time.alias("timestamp"))
+    return transcripts.chat_previews(rows, 3, 60, 250)
