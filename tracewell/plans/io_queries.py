@@ -291,3 +291,14 @@ def hook_intake(spark, d):
         intake.append(batch, n)
     number = F.get_json_object("body", "$.event_id").cast("long").alias("event_id")
     return intake.good().select(number, "endpoint", F.lit(None).cast("string").alias("reason")).unionByName(intake.rejected().select(number, "endpoint", "reason"))
+
+
+@query(f"""WITH b AS (SELECT conv_id, string_agg('## ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1),
+ c AS (SELECT conv_id, role, sum(turn) AS n FROM conversations WHERE turn % 3 > 0 GROUP BY 1, 2), s AS (SELECT conv_id, sum(n) AS total, string_agg('- ' || role || ': ' || n, chr(10) ORDER BY role) AS each FROM c GROUP BY 1)
+ SELECT conv_id AS transcript_id, body || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Redaction Summary' || chr(10) || chr(10) || '**Total redactions:** ' || coalesce(total, 0) || chr(10) || chr(10)
+ || coalesce('**By category:**' || chr(10) || each || chr(10) || chr(10), '') || '{sinks.SANITIZED_NOTE}' || chr(10) AS markdown FROM b LEFT JOIN s USING (conv_id)""")
+def markdown_summary(spark, d):
+    """Conversations as Markdown; the turns of a role stand for the redactions of a category."""
+    c = on.table(spark, d, "conversations")
+    messages = c.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("line"), "role", F.col("text").alias("content"))
+    return sinks.markdown(messages, c.where("turn % 3 > 0").select(F.col("conv_id").alias("transcript_id"), F.col("role").alias("category"), F.col("turn").alias("n")))

@@ -131,11 +131,24 @@ def legacy_bundle(sessions: DataFrame, usages: DataFrame, path: str, bundle_id:
     lines.orderBy("kind", "at", "value").select("value").write.mode("overwrite").text(path)
 
 
-def markdown(messages: DataFrame) -> DataFrame:
-    """transcript_id, markdown: role headers and contents in order of line."""
+# Fixed value: the note under a sanitized transcript.
+SANITIZED_NOTE = "> **Note:** This transcript has been automatically sanitized. Please review manually before sharing to ensure no sensitive information remains."
+
+
+def markdown(messages: DataFrame, redactions: DataFrame | None = None) -> DataFrame:
+    """transcript_id, markdown: role headers and contents in order of line.
+
+    With ``redactions`` (transcript_id, category, n) a summary follows: their number, and that of each category by name.
+    """
     block = F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), F.coalesce("content", F.lit("")))
     per = messages.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("line", block.alias("text")))).alias("blocks"))
-    return per.select("transcript_id", F.array_join(F.transform("blocks", lambda b: b.text), "\n\n").alias("markdown"))
+    body = F.array_join(F.transform("blocks", lambda b: b.text), "\n\n")
+    if redactions is None:
+        return per.select("transcript_id", body.alias("markdown"))
+    by = redactions.groupBy("transcript_id", "category").agg(F.sum("n").alias("n")).groupBy("transcript_id").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("category", "n"))).alias("by"))
+    each = F.concat(F.lit("**By category:**\n"), F.array_join(F.transform("by", lambda c: F.concat(F.lit("- "), c.category, F.lit(": "), c.n.cast("string"))), "\n"), F.lit("\n\n"))
+    summary = F.concat(F.lit("## Redaction Summary\n\n**Total redactions:** "), F.coalesce("total", F.lit(0)).cast("string"), F.lit("\n\n"), F.coalesce(each, F.lit("")), F.lit(SANITIZED_NOTE + "\n"))
+    return per.join(by, "transcript_id", "left").select("transcript_id", F.concat(body, F.lit("\n\n---\n\n"), summary).alias("markdown"))
 
 
 def display_line(role: Column, tool: Column, content: Column) -> Column:
