@@ -505,3 +505,37 @@ def test_highlight_equals_brute_force(spark):
             end = b
         assert got[doc_id] == (None if text_ is None else out + text_[end:])
         assert spans.get(doc_id, 0) == len(words)
+
+
+def test_contribution_and_managed_lists(spark):
+    rows = spark.createDataFrame(
+        [("a", "s1", "claude", "Fix Bug", "/w/p", None, None, 3, None), ("b", "s2", "codex", "x", "", "/w/p/sub", "ready", 2, 5), ("c", "", "claude", None, "/w/pq", None, "", 1, 9), ("d", None, "claude", "y", None, None, "ready", 4, 0)],
+        "id string, session_id string, agent string, name string, project_dir string, cwd string, workflow_status string, modified_at int, size_bytes int",
+    )
+    ids = lambda **k: [r.id for r in filters.contribution_list(rows, **k).collect()]
+    assert ids() == ["d", "a", "b", "c"] and ids(agent="codex") == ["b"] and ids(by="smallest") == ["d", "b", "c", "a"]
+    assert ids(project_paths=["/w/p"]) == ["a", "b"] and ids(project_paths=[]) == []
+    assert ids(search="  BUG ") == ["a"] and ids(search="W/PQ") == ["c"] and ids(search="  ") == ids()
+    assert ids(workflow="pending") == ["a", "c"] and ids(annotations=spark.createDataFrame([("s1",), ("s1",), ("",)], "session_id string")) == ["a"]
+    m = spark.createDataFrame([(1, "running", "a", 5), (2, "failed", "a", 9), (3, "running", "b", 7)], "id int, status string, agent string, started_at int")
+    assert [r.id for r in filters.managed_list(m).collect()] == [2, 3, 1]
+    assert [r.id for r in filters.managed_list(m, True, "a").collect()] == [1] and [r.id for r in filters.managed_list(m, limit=1).collect()] == [2]
+
+
+def test_descriptions_and_corpus(spark):
+    d = quality.describe(F.lit(85), F.lit("excellent"), completion=F.lit(70), code_quality=F.lit(39), efficiency=F.lit(50), safety=F.lit(100))
+    assert one(spark, d, a=1) == "Excellent (85/100). Strengths: task completed, safe operations. Areas to improve: code quality issues"
+    assert one(spark, quality.describe(F.lit(50), F.lit("fair"), safety=F.lit(50)), a=1) == "Fair (50/100)"
+    assert one(spark, quality.class_color(F.lit("unknown")), a=1) == "gray"
+    t = spark.createDataFrame([("x", "/w/p", 10), ("y", "/q/p", 5), ("z", None, 1)], "id string, project_dir string, size_bytes long")
+    calls = spark.createDataFrame([("x", "Read", "/f"), ("x", "Read", ""), ("y", "Write", None), ("z", "Read", "/g")], "transcript_id string, tool_name string, file_path string")
+    assert tuple(transcripts.corpus_totals(t, calls).first()) == (3, 16, 0, 2, 1, 0)
+    assert [tuple(r) for r in transcripts.top_projects(t, calls).collect()] == [("p", 2, 15, 1), ("unknown", 1, 1, 1)]
+    assert tuple(stats.preparation_stats(spark.createDataFrame([(1.0, 2, ["a", "b"]), (2.0, 0, ["a"])], "score double, redactions int, stripped_fields array<string>")).first()) == (2, 2, 1.5, 2)
+
+
+def test_chat_previews(spark):
+    m = spark.createDataFrame([("t", k, "user" if k % 2 else "", "a\nb" if k else None, "2024-01-01T10:05:00") for k in range(23)] + [("u", 1, "tool", "x" * 300, None)], "transcript_id string, line int, role string, content string, timestamp string")
+    got = {r.transcript_id: r.preview for r in transcripts.chat_previews(m).collect()}
+    assert got["t"].startswith("📝Unknown 10:05\n\n👤User 10:05\n  a b\n\n") and got["t"].endswith("\n... and 3 more messages")
+    assert got["u"] == "🔧Tool \n  " + "x" * 200 + "...\n"

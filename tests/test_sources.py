@@ -321,3 +321,15 @@ def test_intake_checks_each_endpoint_and_bears_replays(spark, tmp_path):
     assert sorted(((r.endpoint, r.body, r.reason) for r in intake.rejected().collect()), key=key) == sorted((b for b in BODIES if b[2] is not None), key=key)
     events = ingest.hook_events(intake.good()).collect()
     assert sorted((r.event, r.session_id) for r in events) == [("end", "7"), ("pre", "s"), ("start", "s")]
+
+
+def test_legacy_bundle_is_in_one_order(spark, tmp_path):
+    sessions = spark.createDataFrame([("b", None), ("a", 1)], "session_id string, n int").repartition(2)
+    usages = spark.range(3_000).selectExpr("lpad(cast(id as string), 5, '0') as tool_use_id").repartition(5)
+    sinks.legacy_bundle(sessions, usages, str(tmp_path / "b"), "id1", "2024-01-01T00:00:00Z", {"pii": 2, "key": 1})
+    lines = [json.loads(x) for f in sorted((tmp_path / "b").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[0] == {"type": "manifest", "bundle_id": "id1", "version": "1.0.0", "exported_at": "2024-01-01T00:00:00Z", "session_count": 2, "tool_usage_count": 3000, "sanitization": {"total_redactions": 3, "categories": {"key": 1, "pii": 2}}}
+    assert lines[1:3] == [{"type": "session", "data": {"session_id": "a", "n": 1}}, {"type": "session", "data": {"session_id": "b", "n": None}}]
+    assert [x["data"]["tool_use_id"] for x in lines[3:]] == [f"{k:05d}" for k in range(3_000)]
+    summary = sinks.markdown(spark.createDataFrame([("t", 1, "user", "A")], "transcript_id string, line int, role string, content string"), spark.createDataFrame([("t", "pii", 2), ("t", "key", 1)], "transcript_id string, category string, n int")).first().markdown
+    assert summary.startswith("## User\n\nA\n\n---\n\n## Redaction Summary\n\n**Total redactions:** 3\n\n**By category:**\n- key: 1\n- pii: 2\n\n> **Note:**")
