@@ -21,7 +21,8 @@ out the closest pair of each two components; then exactly, and then the pairs th
 Sets that are equal form a class, of which one document takes part. Documents without words are linked with nothing.
 Null texts have no words. Rows that share a doc_id are one document in links, as are those without one; a null
 doc_id counts as larger than all others and is returned as null. Extra columns are left out; an empty table gives no
-rows. Tables of a round are removed when the next is written.
+rows. A text of any length is one set, held by its task at eight bytes a shingle. Of equally central documents a hash
+draws the pivot; the components do not depend on it. Tables of a round are removed when the next is written.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ stand more often, which a bitmap of bounded size picks out, one copy each is dea
 ``fill_metadata`` reads only the first 33 bytes of each file by a range read; ``read_features`` reads the stored bytes
 back and decodes them. Both work on payloads; rows, however many share one, get the values by a join on the digest.
 
-Null text is an empty payload (64 zero bytes); repeated rows share a stored file; an empty table gives no shard.
+Null text is an empty payload (64 zero bytes); repeated rows share a stored file; an empty table gives no shard. A text
+of any length is one payload, held by its task. Which copy of equal texts is stored makes no difference to any value.
+Columns of other names are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ eighths of the tokens, the loss limit binds in sequences cut from the inside of
 to bring prefixes of others to them; ``segments`` binds where short pieces come together.
 
 Null text is an empty document. Each row is a document of its own, also with a repeated or null id. Examples without
-tokens take no part. An empty table gives no rows.
+tokens take no part. Texts are encoded in slices of bytes, a longer one alone, and cut wherever a sequence ends. Of
+pieces with equal products the first in the pool is taken. Columns of other names are not read, so none can clash. An
+empty table gives no rows.
 """
 
 from __future__ import annotations

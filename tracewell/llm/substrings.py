@@ -16,7 +16,8 @@ to carry the windows with them.
 Identifiers are 64-bit hashes; a window counts as repeated if both its bucket's and its own identifier agree.
 
 Null texts are empty. Rows that share both doc_id and text count as separate copies. Null ids are an id of their own.
-Extra columns are left out; an empty table gives no rows.
+Extra columns are left out; an empty table gives no rows. A text of any length is one row: what is removed of it
+comes together in one task.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Texts are dealt by ranges of (doc_id, hash of the text, row number), so that sha
 one id, or none, may hold any share of the rows; each task then encodes and writes at once. (To encode first and
 shuffle ids took more: ids are as large as these texts, and had to be written before ranges could be drawn.) Null texts
 are empty documents (end id only), null ids come first, repeated rows are documents of their own, rows of one id come
-in the order of a hash of their texts; an empty table gives no shard.
+in the order of a hash of their texts; an empty table gives no shard. A text of any length is encoded by one task, and
+its blocks are written as they come. Columns of other names are not read.
 """
 
 from __future__ import annotations
