@@ -171,15 +171,16 @@ def _packed(examples, packer: Packer):
         yield _rows(packer.out[k : k + 4096])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tokens: int = 2048, segments: int = 8, loss_tokens: int = 1792, prefix: float = 0.25) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tokens: int = 2048, segments: int = 8, loss_tokens: int = 1792, prefix: float = 0.25, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Pieces of all documents with their place: doc_id, start, length, ids (little-endian uint32), doc_tokens,
-    loss_tokens, sequence_id, offset. The first ``prefix`` share of a document's ids bears no loss."""
+    loss_tokens, sequence_id, offset. The first ``prefix`` share of a document's ids bears no loss. ``memo_bytes``: what a
+    worker keeps of pieces of text, less where its process has done other work before; the result is the same."""
 
     def run(batches):
         from pyspark import TaskContext
 
         def examples():
-            enc = encoder(tokenizer, MEMO_BYTES)
+            enc = encoder(tokenizer, memo_bytes)
             for batch in batches:
                 doc_ids, text = batch.column("doc_id").to_pylist(), batch.column("text")
                 for a, b in sliced(text):
