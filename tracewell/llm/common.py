@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: most bits of a filter that is broadcast: 16 MB
 BITMAP = 27
+#: Spark removes the shuffle files of a query when it ends
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: rows that a pass works on at once
 BATCH_ROWS = 2_000
 
@@ -34,18 +36,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again: cuts lineage and survives lost executors.
+    """Write ``df`` once to the shared folder and read it again: cuts lineage and survives lost executors. What the write
+    has shuffled is removed when it ends, not when the driver next collects garbage.
 
-    ``batch_rows``: rows of the Arrow batches of this write, where rows are wide; the session's setting comes back.
+    ``batch_rows``: rows of the Arrow batches of this write, where rows are wide; the session's settings come back.
     """
-    path, conf, setting = shared_dir(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = conf.get(setting)
+    path, conf, settings = shared_dir(df.sparkSession, name), df.sparkSession.conf, {_CLEANUP: "true"}
+    if batch_rows:
+        settings["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    held = {s: conf.get(s) for s in settings}
     try:
-        if batch_rows:
-            conf.set(setting, batch_rows)
+        for s, value in settings.items():
+            conf.set(s, value)
         df.write.parquet(path)
     finally:
-        conf.set(setting, held)
+        for s, value in held.items():
+            conf.set(s, value)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._written_at = path
     return written

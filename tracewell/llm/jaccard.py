@@ -6,7 +6,7 @@ are dealt by hash into m parts. Two sets within the radius differ in at most d s
 parts are the same in both; a set therefore leaves its m - d - 1 lightest parts out and still shares a part with each
 set it is linked with. The value of a part is the pivot of a region with a window of zero; m depends on the size, and
 documents near the lower end of a band of sizes also go to the band below (the triangle-inequality window around the
-empty set, whose distance is the size).
+empty set, whose distance is the size). Regions of one set are left out by a count of packed prefixes of their keys.
 
 Inside a region documents are close, and pivots are documents. First each document meets one pivot, the most central
 document of its regions, so a group of copies falls into one component whatever the number of regions it fills; a
@@ -51,6 +51,8 @@ SKETCH = 16
 BAND = 1.5
 #: parts beyond those in which linked sets can differ, as a share of these; as many of the lightest are left out
 SPARE = 0.3
+#: keys of a bucket that a task looks through at once, about
+BUCKET_KEYS = 4_000_000
 #: rows of a batch of pairs of sets
 PAIR_ROWS = 200
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -162,20 +164,72 @@ def _sets_pass(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return materialize(arrow_pass(rows, run, "doc long, row long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"), "sets")
 
 
-def _with_keys_in(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """f1, f2, n, cell: the sets' keys, without most of those that are not in ``keys`` (a filter, not a join)."""
-    shared = sets.sparkSession.sparkContext.broadcast(bitmap(keys))
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted 32-bit values as differences, byte by byte: of a batch's keys the upper bytes are mostly zero and vanish."""
+    return np.diff(values, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def _shared_prefixes(sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
+    """(prefix) of keys that stand in two different sets, and the bits that a prefix has.
+
+    Keys are dealt by their first bits to buckets of some ``BUCKET_KEYS`` and sent as the next 32 bits, packed: about
+    three bytes a key. Keys of different value may have one prefix, and a row of no class may pass the filter of rows;
+    then a prefix more is called shared, never one less. Of the rows of one set one sends its keys.
+    """
+    total = sets.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bits = max(8, -(-total // BUCKET_KEYS).bit_length())
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap(classes.select("row")))
+
+    def deal(batches):
+        for batch in batches:
+            lists = batch.column("keys").filter(pa.array(has(shared.value, batch.column("row").to_numpy())))
+            prefix = np.sort(lists.flatten().to_numpy().view(np.uint64) >> np.uint64(32 - bits))
+            bucket = (prefix >> np.uint64(32)).astype(np.int32)
+            edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(prefix))
+            keys = [_packed(prefix[i:j].astype(np.uint32)) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            yield batch_of(bucket=pa.array(bucket[edge[:-1]]), keys=pa.array(keys, pa.binary()))
+
+    def several(bucket, held):
+        values = np.sort(np.concatenate(held))
+        twice = np.unique(values[1:][values[1:] == values[:-1]]).astype(np.int64)
+        return batch_of(prefix=pa.array(twice + (np.int64(bucket) << 32)))
+
+    def meet(batches):
+        at, held = None, []
+        for batch in batches:
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist()):
+                if bucket != at and held:
+                    yield several(at, held)
+                    held = []
+                at = bucket
+                held.append(_unpacked(raw))
+        if held:
+            yield several(at, held)
+
+    dealt = arrow_pass(sets.select("row", "keys"), deal, "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    return materialize(arrow_pass(dealt, meet, "prefix long"), "shared"), bits
+
+
+def _with_keys_in(sets: DataFrame, prefixes: DataFrame, bits: int) -> DataFrame:
+    """f1, f2, n, cell, prefix: the sets' keys, without most of those whose prefix is not in ``prefixes`` (a filter, not a join)."""
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap(prefixes))
 
     def run(batches):
         words = shared.value
         for batch in batches:
             lists = batch.column("keys")
             cell = lists.flatten().to_numpy()
-            hit = has(words, cell)
+            prefix = (cell.view(np.uint64) >> np.uint64(32 - bits)).view(np.int64)
+            hit = has(words, prefix)
             take = pa.array(np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))[hit])
-            yield batch_of(**{c: batch.column(c).take(take) for c in ("f1", "f2", "n")}, cell=pa.array(cell[hit]))
+            yield batch_of(**{c: batch.column(c).take(take) for c in ("f1", "f2", "n")}, cell=pa.array(cell[hit]), prefix=pa.array(prefix[hit]))
 
-    return arrow_pass(sets.select("f1", "f2", "n", "keys"), run, "f1 long, f2 long, n long, cell long").distinct()
+    return arrow_pass(sets.select("f1", "f2", "n", "keys"), run, "f1 long, f2 long, n long, cell long, prefix long").distinct()
 
 
 class _Shingles:
@@ -459,11 +513,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     smallest = F.min(F.struct(F.col("doc").isNull(), "doc"))  # a null is the largest
     classes = sets.where("n > 0").groupBy("f1", "f2", "n").agg(smallest.alias("rep"), F.min("row").alias("row"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    # a key of two different sets: copies of a set do not make one
-    keys = sets.select(F.explode("keys").alias("cell"), "f1")
-    shared = materialize(keys.groupBy("cell").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("cell"), "shared")
+    shared, bits = _shared_prefixes(sets, classes)
     named = classes.select("f1", "f2", "n", "node")
-    found = materialize(_with_keys_in(sets, shared).join(shared, "cell", "left_semi").join(named, ["f1", "f2", "n"]).select("cell", "node"), "members")
+    found = materialize(_with_keys_in(sets, shared, bits).join(shared, "prefix", "left_semi").join(named, ["f1", "f2", "n"]).select("cell", "node"), "members")
     central = found.groupBy("node").agg(F.count("*").alias("k")).join(classes.select("node", "f1", "f2", "n", "row"), "node")
     own = sets.select("row", "f1", "f2", "n", F.size("keys").alias("keys"), "sketch")
     # 32 steps of the share of keys that others have too, most first; a hash tells equal ones apart
