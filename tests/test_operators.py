@@ -539,3 +539,20 @@ def test_chat_previews(spark):
     got = {r.transcript_id: r.preview for r in transcripts.chat_previews(m).collect()}
     assert got["t"].startswith("📝Unknown 10:05\n\n👤User 10:05\n  a b\n\n") and got["t"].endswith("\n... and 3 more messages")
     assert got["u"] == "🔧Tool \n  " + "x" * 200 + "...\n"
+
+
+def test_many_projects_of_one_name(spark):
+    """Each name goes on behind its last id (probing from the start was quadratic), beside names that look like such ids."""
+    names = {f"/{k:05}": ("app", "app", "app", "App 1", "app-1-2", "app-7")[k * 7 % 6 if k < 60 else 0] for k in range(1500)}
+    known = spark.createDataFrame([("/q", "app-1-2-3"), ("/r", "app-1-2-3-4-5-6-7")], "path string, project_id string")
+    used, want = {"app-1-2-3", "app-1-2-3-4-5-6-7"}, {}
+    for path, name in sorted(names.items()):
+        project, n = name.lower().replace(" ", "-"), 1
+        while project in used:
+            project, n = f"{project}-{n}", n + 1
+        used.add(project)
+        want[path] = project
+    found = joins.infer_projects(spark.createDataFrame([(n, p) for p, n in names.items()], "name string, path string"), known)
+    assert {r.path: r.project_id for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan  # no call of pandas for each family

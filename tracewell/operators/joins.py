@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -255,7 +254,7 @@ def infer_projects(repos: DataFrame, known: DataFrame) -> DataFrame:
 
     known (path, project_id). The id is the name in lower case with dashes for other characters, none at the ends. While
     it is in use, -1, -2, ... are added to what there is: a, a-1, a-1-2, a-1-2-3. Such ids belong to one family, so
-    families are gone through apart. A missing name is the last part of the path; without either there is no project.
+    families are gone through apart, many in a task, and each name goes on behind its last id. A missing name is the last part of the path; without either there is no project.
     """
     name = F.coalesce(F.nullif("name", F.lit("")), F.try_element_at(F.filter(F.split("path", "/"), lambda x: x != ""), F.lit(-1)))
     fresh = repos.groupBy("path").agg(F.max("name").alias("name")).join(known.select("path"), "path", "left_anti").withColumn("name", name).where("name is not null")
@@ -263,18 +262,37 @@ def infer_projects(repos: DataFrame, known: DataFrame) -> DataFrame:
     taken = known.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("name"), F.col("project_id").cast("string").alias("slug")).where("slug is not null").distinct()
     rows = fresh.select("path", "name", slug.alias("slug")).unionByName(taken)
     rows = rows.withColumn("family", F.regexp_replace("slug", "(-[0-9]+)+$", ""))
+    rows = rows.withColumn("longest", F.max(F.length("slug")).over(Window.partitionBy("family")))
 
-    def of_family(family: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(family.slug[family.path.isna()]), []
-        for r in family[family.path.notna()].sort_values("path").itertuples():
-            project, suffix = r.slug, 1
-            while project in used:
-                project, suffix = f"{project}-{suffix}", suffix + 1
-            used.add(project)
-            out.append((r.path, r.name, project))
-        return pd.DataFrame(out, columns=["path", "name", "project_id"])
-
-    return rows.groupBy("family").applyInPandas(of_family, "path string, name string, project_id string")
+    def run(batches):
+        family, used, following = None, set(), {}
+        for batch in batches:
+            out, size = [], 0
+            for path, name, slug, of, longest in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "slug", "family", "longest"))):
+                if of != family:
+                    family, used, following = of, set(), {}
+                if path is None:
+                    used.add(slug)
+                    continue
+                project, suffix = following.get(slug, (slug, 1))
+                while project in used:
+                    project, suffix = f"{project}-{suffix}", suffix + 1
+                if len(project) <= longest:  # longer ones are met again only by their own slug, which goes on behind them
+                    used.add(project)
+                following[slug] = f"{project}-{suffix}", suffix + 1
+                out.append((path, name, project))
+                size += len(project)
+                if size > 8_000_000:
+                    yield made(out)
+                    out, size = [], 0
+            if out:
+                yield made(out)
+
+    def made(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=["path", "name", "project_id"])
+
+    # ids in use come first (their path is null), then the repositories in order of path
+    return rows.repartition("family").sortWithinPartitions("family", "path").mapInArrow(run, "path string, name string, project_id string")
 
 
 def live_pids(sessions: DataFrame, processes: DataFrame, label: str = "claude") -> DataFrame:
