@@ -333,3 +333,27 @@ def test_legacy_bundle_is_in_one_order(spark, tmp_path):
     assert [x["data"]["tool_use_id"] for x in lines[3:]] == [f"{k:05d}" for k in range(3_000)]
     summary = sinks.markdown(spark.createDataFrame([("t", 1, "user", "A")], "transcript_id string, line int, role string, content string"), spark.createDataFrame([("t", "pii", 2), ("t", "key", 1)], "transcript_id string, category string, n int")).first().markdown
     assert summary.startswith("## User\n\nA\n\n---\n\n## Redaction Summary\n\n**Total redactions:** 3\n\n**By category:**\n- key: 1\n- pii: 2\n\n> **Note:**")
+
+
+def test_a_batch_of_a_session_takes_few_state_calls():
+    """However many events and restarts a batch has: each call of the state store goes to the JVM and back."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Recorder:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, method):
+            return lambda *args: calls.append(f"{self.name}.{method}") or (None if method == "get" and self.name == "session" else [])
+
+    processor = live.SessionProcessor(10)
+    processor.init(SimpleNamespace(getValueState=lambda *_: Recorder("session"), getMapState=lambda *_: Recorder("tools"), getListState=lambda *_: Recorder("commits"), **{m: (lambda *_, m=m: calls.append(m) or []) for m in ("listTimers", "deleteTimer", "registerTimer")}))
+    rows = [Row(event=e, timestamp=k, tool_name="Bash", input_tokens=1, output_tokens=None, commit="c", arrival=f"{k:05}") for k in range(200) for e in ("start", "pre", "post", "tokens", "commit")]
+    (out,) = processor.handleInputRows(("s",), iter(rows[::-1][::5] + rows), None)
+    assert (out.status, out.start_time, out.tool_count, out.commits) == ("active", 199, 1, ["c"])  # a commit before the last start is of the run before
+    assert [tuple(x) for x in out.tools_used] == [("Bash", 1)]
+    assert len(calls) <= 6

@@ -5,10 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -83,7 +82,11 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class SessionProcessor(StatefulProcessor):
-    """The state of one session: a value, counts of completed calls by tool, the list of its commits, and a timer."""
+    """The state of one session: a value, counts of completed calls by tool, the list of its commits, and a timer.
+
+    Each call of the state store goes to the JVM and back, so a batch's events are worked on in memory: what there was is
+    read once, and what has changed is written once at the end. Rows come and go many sessions to a batch of Arrow.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -94,52 +97,73 @@ class SessionProcessor(StatefulProcessor):
         self.tools = handle.getMapState("tools", "tool_name string", "n long")
         self.commits = handle.getListState("commits", "commit string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        current = list(self.session.get()) if self.session.exists() else None
-        for r in batch.itertuples():
-            ms = int(r.timestamp)
-            if r.event == "start":  # also of a known session: it begins anew
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.session.get()
+        current = list(held) if held is not None else None
+        due = self._due(current) if current else None
+        tools = {k[0]: v[0] for k, v in self.tools.iterator()} if current else {}
+        commits = [c[0] for c in self.commits.get()] if current else []
+        had_tools, had_commits = dict(tools), len(commits)
+        anew = False
+        for r in sorted(rows, key=lambda r: r.arrival):
+            event, ms = r.event, r.timestamp
+            if event == "start":  # also of a known session: it begins anew
                 current = ["active", ms, None, ms, 0, False, 0, 0, 0, current[9] if current else 0]
-                self.tools.clear()
-                self.commits.clear()
+                tools, commits, anew = {}, [], True
             if current is None:
                 continue
-            if r.event == "end":
+            if event == "end":
                 current[0], current[2] = "ended", ms
                 continue
-            if r.event == "auto_continue":
+            if event == "auto_continue":
                 current[8] += 1
                 continue
-            if r.event == "auto_continue_reset":
+            if event == "auto_continue_reset":
                 current[8] = 0
                 continue
             current[3] = max(current[3], ms)
-            if r.event == "pre":
+            if event == "pre":
                 current[4], current[5] = current[4] + 1, False
-            elif r.event == "post" and isinstance(r.tool_name, str):
-                had = self.tools.getValue((r.tool_name,))[0] if self.tools.containsKey((r.tool_name,)) else 0
-                self.tools.updateValue((r.tool_name,), (had + 1,))
-            elif r.event in ("awaiting", "resumed"):
-                current[5] = r.event == "awaiting"
-            elif r.event == "tokens":
-                current[6] += int(r.input_tokens) if pd.notna(r.input_tokens) else 0
-                current[7] += int(r.output_tokens) if pd.notna(r.output_tokens) else 0
-            elif r.event == "commit" and isinstance(r.commit, str):
-                self.commits.appendValue((r.commit,))
+            elif event == "post" and r.tool_name is not None:
+                tools[r.tool_name] = tools.get(r.tool_name, 0) + 1
+            elif event in ("awaiting", "resumed"):
+                current[5] = event == "awaiting"
+            elif event == "tokens":
+                current[6] += r.input_tokens or 0
+                current[7] += r.output_tokens or 0
+            elif event == "commit" and r.commit is not None:
+                commits.append(r.commit)
         if current is not None:
             current[9] = max(current[9] + 1, self._now())
             self.session.update(tuple(current))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(current[3], current[2] or 0) + self.idle_ms)
-            yield self._rows(key, current)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self._keep(tools, commits, {} if anew else had_tools, 0 if anew else had_commits, anew and bool(had_tools), anew and had_commits > 0)
+            if due != self._due(current):
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(self._due(current))
+            yield self._rows(key, current, tools, commits)
+
+    def _due(self, current: list) -> int:
+        """When the timer of a session in this state is due."""
+        return max(current[3], current[2] or 0) + self.idle_ms
+
+    def _keep(self, tools: dict, commits: list, had_tools: dict, had_commits: int, clear_tools: bool, clear_commits: bool) -> None:
+        if clear_tools:
+            self.tools.clear()
+        if clear_commits:
+            self.commits.clear()
+        for tool, n in tools.items():
+            if had_tools.get(tool) != n:
+                self.tools.updateValue((tool,), (n,))
+        if len(commits) > had_commits:
+            self.commits.appendList([(c,) for c in commits[had_commits:]])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         current = list(self.session.get())
         if current[0] == "active":
             current[0], current[2] = "ended", current[3]
-            yield self._rows(key, [*current[:9], max(current[9] + 1, self._now())])
+            tools, commits = {k[0]: v[0] for k, v in self.tools.iterator()}, [c[0] for c in self.commits.get()]
+            yield self._rows(key, [*current[:9], max(current[9] + 1, self._now())], tools, commits)
         self.session.clear()
         self.tools.clear()
         self.commits.clear()
@@ -148,14 +172,13 @@ class SessionProcessor(StatefulProcessor):
     def _now() -> int:
         return time.time_ns() // 1000
 
-    def _rows(self, key, current: list) -> pd.DataFrame:
+    @staticmethod
+    def _rows(key, current: list, tools: dict, commits: list) -> Row:
         status, start, end, last, calls, awaiting, tokens_in, tokens_out, attempts, version = current
-        used = [{"tool_name": k[0], "n": v[0]} for k, v in sorted(self.tools.iterator(), key=lambda kv: kv[0][0])]
-        return pd.DataFrame(
-            {
-                "session_id": [key[0]], "status": [status], "start_time": [start], "end_time": pd.array([end], dtype="Int64"), "last_activity": [last], "tool_count": [calls], "awaiting_user": [awaiting], "input_tokens": [tokens_in], "output_tokens": [tokens_out],
-                "auto_continue_attempts": [attempts], "version": [version], "tools_used": [used], "commits": [[c[0] for c in self.commits.get()]],
-            }
+        used = [Row(tool_name=k, n=n) for k, n in sorted(tools.items())]
+        return Row(
+            session_id=key[0], status=status, start_time=start, end_time=end, last_activity=last, tool_count=calls, awaiting_user=awaiting, input_tokens=tokens_in, output_tokens=tokens_out,
+            auto_continue_attempts=attempts, version=version, tools_used=used, commits=commits,
         )
 
     def close(self) -> None:
@@ -176,8 +199,9 @@ def live_sessions(hooks: DataFrame, idle_ms: int = 3_600_000, late: str = "1 hou
     ``late`` behind may be left out. Write with outputMode update.
     """
     hooks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    hooks = hooks.select("event", "session_id", "tool_name", "timestamp", "input_tokens", "output_tokens", "commit", "arrival")
     timed = hooks.where("session_id is not null and timestamp is not null").withColumn("at", F.timestamp_millis("timestamp")).withWatermark("at", late)
-    return timed.groupBy("session_id").transformWithStateInPandas(SessionProcessor(idle_ms), SESSION, "Update", "EventTime")
+    return timed.groupBy("session_id").transformWithState(SessionProcessor(idle_ms), SESSION, "Update", "EventTime")
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str):
