@@ -315,10 +315,12 @@ def attach_managed(conversations: DataFrame, managed: DataFrame, hour_ms: int =
     last = m.where("m_pid is not null").groupBy("m_pid").agg(F.max_by("managed_id", F.struct("r_begin", "managed_id")).alias("managed_id"))
     c = conversations.select("conversation_id", "pid", "cwd", F.col("start_time").alias("l_begin"), F.coalesce("end_time", F.col("start_time") + hour_ms).alias("l_end"))
     by_pid = c.join(last, c["pid"] == last["m_pid"]).select("conversation_id", "managed_id", F.lit("pid").alias("how"))
-    free_c, free_m = unmatched(c, by_pid, "conversation_id"), unmatched(m, by_pid, "managed_id")
+    # written, as the levels of overlaps are counted before the pairs are made
+    free_c, free_m = written(unmatched(c, by_pid, "conversation_id"), "free-conversations"), written(unmatched(m, by_pid, "managed_id"), "free-managed")
     near = overlapping(free_c, free_m.withColumnRenamed("m_cwd", "cwd"), "cwd")
     pairs = near.select(F.col("conversation_id").alias("hook_id"), F.struct("l_begin", "conversation_id").alias("hook_pos"), F.col("managed_id").alias("transcript_id"), F.struct("r_begin", "managed_id").alias("transcript_pos"), F.lit(1).alias("score"))
     by_time = greedy_match(pairs).select(F.col("hook_id").alias("conversation_id"), F.col("transcript_id").alias("managed_id"), F.lit("time").alias("how"))
+    release(free_c, free_m)
     linked = by_pid.unionByName(by_time)
     alone = unmatched(m, linked, "managed_id").select(F.lit(None).cast(c.schema["conversation_id"].dataType).alias("conversation_id"), "managed_id", F.lit("alone").alias("how"))
     return linked.unionByName(alone)
