@@ -42,8 +42,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the workers still hold memory of the stages before
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, memo_bytes=160_000_000)
+    # the executors still hold memory of the stages before
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, memo_bytes=60_000_000, slice_bytes=2_000_000)
 
 
 STAGES = [

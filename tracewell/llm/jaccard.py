@@ -30,13 +30,14 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, batch_of, bitmap, has, materialize, release, texts
+from .common import BATCH_ROWS, arrow_pass, batch_of, bitmap, has, materialize, release, texts
 from .components import relabel
 
 #: documents of a region that are compared directly: half a million pairs of sketches
@@ -55,6 +56,8 @@ SPARE = 0.3
 BUCKET_KEYS = 4_000_000
 #: rows of a batch of pairs of sets
 PAIR_ROWS = 200
+#: words whose hashes a worker keeps
+WORDS = 50_000
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -65,10 +68,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """64-bit hashes of words."""
+    """64-bit hashes of words: at most ``WORDS``, as they stay in the worker when its task has ended."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -141,6 +144,19 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+def long_sketch(x: np.ndarray) -> bytes:
+    """As ``sketch``, of two to four bits a shingle (a power of two in all): it does not fill up with the set's size."""
+    size = 1 << max(10, (2 * len(x) - 1).bit_length())
+    flips = np.bincount((_mix(x + _MUL[4]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def long_apart(one: bytes, other: bytes) -> int:
+    """Places in which two long sketches differ, the longer one folded: at most the shingles in which the sets differ."""
+    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64))
+
+
 def _sets_pass(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """doc, row (a hash of the row), n, f1, f2 (fingerprint of the set), the keys of its parts, and its bit sketch."""
 
@@ -161,7 +177,7 @@ def _sets_pass(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(bits)))
                 yield batch_of(doc=batch.column("doc_id"), row=batch.column("row"), n=pa.array(n, pa.int64()), f1=pa.array(f1, pa.int64()), f2=pa.array(f2, pa.int64()), keys=lists, sketch=sketches)
 
-    return materialize(arrow_pass(rows, run, "doc long, row long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"), "sets")
+    return materialize(arrow_pass(rows, run, "doc long, row long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"), "sets", BATCH_ROWS)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -233,7 +249,8 @@ def _with_keys_in(sets: DataFrame, prefixes: DataFrame, bits: int) -> DataFrame:
 
 
 class _Shingles:
-    """Shingle hashes (node, x) of those nodes that comparisons have asked for, made from the texts when they first do."""
+    """Shingle hashes (node, n, long, x) of those nodes that comparisons have asked for, made from the texts when they
+    first do; n is their number and long their long sketch."""
 
     def __init__(self, rows: DataFrame, about: DataFrame, width: int):
         self.rows, self.about, self.width, self.tables = rows, about, width, []
@@ -247,7 +264,7 @@ class _Shingles:
         if not missing.isEmpty():
             self.tables.append(self._read(missing))
         release(missing)
-        return functools.reduce(DataFrame.unionByName, self.tables) if self.tables else nodes.sparkSession.createDataFrame([], "node long, x binary")
+        return functools.reduce(DataFrame.unionByName, self.tables) if self.tables else nodes.sparkSession.createDataFrame([], "node long, n long, long binary, x binary")
 
     def _read(self, wanted: DataFrame) -> DataFrame:
         width, shared = self.width, wanted.sparkSession.sparkContext.broadcast(bitmap(wanted.select("row")))
@@ -264,10 +281,45 @@ class _Shingles:
                 for k in range(0, len(hits), PAIR_ROWS):
                     part = hits[k : k + PAIR_ROWS]
                     xs = [shingles(raw, width) for raw in pc.cast(batch.column("text").take(pa.array(part)), pa.binary()).to_pylist()]
-                    yield batch_of(row=pa.array(row[part]), f1=pa.array([fingerprint(x)[0] for x in xs], pa.int64()), x=pa.array([x.tobytes() for x in xs], pa.binary()))
+                    about = {"f1": pa.array([fingerprint(x)[0] for x in xs], pa.int64()), "n": pa.array([len(x) for x in xs], pa.int64()), "long": pa.array([long_sketch(x) for x in xs], pa.binary())}
+                    yield batch_of(row=pa.array(row[part]), **about, x=pa.array([x.tobytes() for x in xs], pa.binary()))
+
+        found = arrow_pass(self.rows.select("row", "text"), run, "row long, f1 long, n long, long binary, x binary")
+        # a row is of one node; by the keys of the join, so the hashes are dealt out once
+        return materialize(found.join(wanted, ["row", "f1"]).dropDuplicates(["row", "f1"]).select("node", "n", "long", "x"), "shingles")
+
+    @staticmethod
+    def _of_nodes(x: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+        """The rows of ``x`` that a filter of ``nodes`` (node) lets pass."""
+        words = x.sparkSession.sparkContext.broadcast(bitmap(nodes.select(F.xxhash64("node").alias("key"))))
+
+        @F.pandas_udf("boolean")
+        def may(keys: pd.Series) -> pd.Series:
+            return pd.Series(has(words.value, keys.to_numpy()))
 
-        found = arrow_pass(self.rows.select("row", "text"), run, "row long, f1 long, x binary")
-        return materialize(found.join(wanted, ["row", "f1"]).select("node", "x").dropDuplicates(["node"]), "shingles")
+        return x.select("node", *columns).where(may(F.xxhash64("node")))
+
+    def near(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """The pairs (a, b) whose long sketches allow a link: no linked pair is left out."""
+
+        def run(batches):
+            for batch in batches:
+                both = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "long_a", "long_b")))
+                ok = pa.array([long_apart(la, lb) <= most_apart(n + m, percent) for n, m, la, lb in both], pa.bool_())
+                yield batch_of(a=batch.column("a").filter(ok), b=batch.column("b").filter(ok))
+
+        x = self.of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        side = lambda c: x.select(F.col("node").alias(c), F.col("n").alias("n_" + c), F.col("long").alias("long_" + c))
+        return materialize(arrow_pass(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long"), "near", BATCH_ROWS)
+
+    def linked(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """The pairs (a, b) that are linked. Sets are sent only for pairs whose long sketches allow it, a fraction of
+        their size; the sketches of regions are too short to part large sets."""
+        near = self.near(pairs, percent)
+        known = self.distances(near)
+        out = materialize(known.where(_linked(percent)).select("a", "b"), "linked")
+        release(near, known)
+        return out
 
     def distances(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b): a, b, inside (shingles in both), every (in either)."""
@@ -287,7 +339,8 @@ class _Shingles:
                     every.append(len(x) + len(y) - k)
                 yield batch_of(a=batch.column("a"), b=batch.column("b"), inside=pa.array(inside, pa.int64()), every=pa.array(every, pa.int64()))
 
-        x = self.of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        x = self._of_nodes(self.of(nodes), nodes, "x")
         xa, xb = x.select(F.col("node").alias("a"), F.col("x").alias("xa")), x.select(F.col("node").alias("b"), F.col("x").alias("xb"))
         return materialize(arrow_pass(pairs.join(xa, "a").join(xb, "b"), run, "a long, b long, inside long, every long", PAIR_ROWS), "distances", PAIR_ROWS)
 
@@ -336,9 +389,9 @@ def _link_to_pivots(members: DataFrame, about: DataFrame, labels: DataFrame, set
     pairs = members.join(firsts, "cell").groupBy("node").agg(F.min("first").alias("first")).select(F.col("node").alias("a"), F.col("first.node").alias("b")).where("a <> b")
     side = lambda x: about.select(*[F.col(c).alias(n) for c, n in (("node", x), ("size", "size_" + x), ("sketch", "sketch_" + x))])
     likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b"), "likely")
-    known = sets.distances(likely)
-    labels = _merge(labels, known.where(_linked(percent)).select("a", "b"))
-    release(firsts, likely, known)
+    links = sets.linked(likely, percent)
+    labels = _merge(labels, links)
+    release(firsts, likely, links)
     return labels
 
 
@@ -484,14 +537,14 @@ def _link_direct(regions: DataFrame, about: DataFrame, labels: DataFrame, sets:
     """Compares the closest pair of each two components exactly; then all pairs that these links leave in different ones."""
     found = _candidates(regions, about, labels, percent, best=True).groupBy("x", "y").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
     first = materialize(found, "pairs")
-    known = sets.distances(first)
-    labels = _merge(labels, known.where(_linked(percent)).select("a", "b"))
+    links = sets.linked(first, percent)
+    labels = _merge(labels, links)
     rest = materialize(_candidates(regions, about, labels, percent, best=False).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        others = sets.distances(rest)
-        labels = _merge(labels, others.where(_linked(percent)).select("a", "b"))
+        others = sets.linked(rest, percent)
+        labels = _merge(labels, others)
         release(others)
-    release(first, known, rest)
+    release(first, links, rest)
     return labels
 
 
@@ -563,8 +616,20 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     key = _row_key(docs)
     found = jaccard_components(docs.select(key.alias("doc_id"), "text"), width, percent)
     found = found.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component")).distinct()
-    ids = docs.select(key.alias("row_key"), "doc_id").distinct()
+    ids = docs.select(key.alias("row_key"), "doc_id")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key").alias("row_key"))
-    firsts = ids.join(found, "row_key").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("first_key"))
-    named = docs.withColumn("_row_key", key)
-    return named.join(firsts, F.col("_row_key") == F.col("first_key"), "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    firsts = ids.distinct().join(found, "row_key").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("first_key"))
+    firsts = materialize(firsts, "firsts")
+    # rows that stand once and come first are most; only those that a filter of the others lets pass are joined
+    held = ids.groupBy("row_key").agg(F.count("*").alias("copies")).join(firsts, F.col("row_key") == F.col("first_key"), "left")
+    looked_at = materialize(held.where(F.col("first_key").isNull() | (F.col("copies") > 1)).select("row_key"), "looked-at")
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(looked_at))
+    release(looked_at)
+
+    @F.pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        return pd.Series(has(words.value, keys.to_numpy()))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("row_key")).withColumn("may", may("row_key"))
+    joined = rows.where("may").join(firsts, F.col("row_key") == F.col("first_key"), "left_semi").dropDuplicates(["row_key"])
+    return rows.where(~F.col("may")).unionByName(joined).select("row.*")

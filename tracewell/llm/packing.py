@@ -32,6 +32,8 @@ from .tokens import encoder, sliced
 POOL = 1024
 #: bytes of what a worker keeps of pieces of text; packing holds little else
 MEMO_BYTES = 400_000_000
+#: bytes of text that are encoded at once, about
+SLICE_BYTES = 16_000_000
 #: share of the tokens from which on a sequence is padded rather than cut
 WASTE = 0.99
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -171,10 +173,11 @@ def _packed(examples, packer: Packer):
         yield _rows(packer.out[k : k + 4096])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tokens: int = 2048, segments: int = 8, loss_tokens: int = 1792, prefix: float = 0.25, memo_bytes: int = MEMO_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tokens: int = 2048, segments: int = 8, loss_tokens: int = 1792, prefix: float = 0.25, memo_bytes: int = MEMO_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of all documents with their place: doc_id, start, length, ids (little-endian uint32), doc_tokens,
     loss_tokens, sequence_id, offset. The first ``prefix`` share of a document's ids bears no loss. ``memo_bytes``: what a
-    worker keeps of pieces of text, less where its process has done other work before; the result is the same."""
+    worker keeps of pieces of text, ``slice_bytes``: what it encodes at once; less where its process or the executor has
+    done other work before. The result is the same."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -183,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tokens: int = 2
             enc = encoder(tokenizer, memo_bytes)
             for batch in batches:
                 doc_ids, text = batch.column("doc_id").to_pylist(), batch.column("text")
-                for a, b in sliced(text):
+                for a, b in sliced(text, slice_bytes):
                     ids, sizes = enc.encode(text[a:b])
                     raw = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4").tobytes()
                     at = 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, bitmap, has, join_small, materialize
+from .common import BATCH_ROWS, arrow_pass, bitmap, has, join_small, materialize
 
 ORDER = 4
 CLASSES = 56
@@ -38,6 +38,9 @@ PARTS = 2**20
 BINS = 1000
 #: no band is narrower than this on either side of the quartiles
 LEAST_FENCE = 0.04
+#: n-grams that a task counts or scores at once, about; a longer text alone
+COUNT_CODES = 1_000_000
+SCORE_CODES = 250_000
 _BLANK = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -143,27 +146,36 @@ class Model:
         return out
 
 
+def add_counts(gram: np.ndarray, n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams and their counts, with those of ``codes`` added."""
+    more, k = np.unique(codes, return_counts=True)
+    at = np.searchsorted(gram, more)
+    hit = at < len(gram)
+    hit[hit] = gram[at[hit]] == more[hit]
+    n[at[hit]] += k[hit]
+    if hit.all():
+        return gram, n
+    gram = np.concatenate([gram, more[~hit]])
+    order = np.argsort(gram, kind="stable")
+    return gram[order], np.concatenate([n, k[~hit]])[order]
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n): how often each n-gram stands in all texts."""
+    """(gram, n): how often each n-gram stands in all texts. A task holds the n-grams it has met, not a place for each."""
 
     def run(batches):
-        counts = np.zeros(CLASSES**ORDER, np.int64)
+        gram, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
         held, size = [], 0
-
-        def add():
-            np.add(counts, np.bincount(np.concatenate(held), minlength=len(counts)), out=counts)
-
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                held.append(gram_codes(text))
+                held.append(gram_codes(text).astype(np.int32))
                 size += len(text)
-                if size > 4_000_000:
-                    add()
+                if size > COUNT_CODES:
+                    gram, n = add_counts(gram, n, np.concatenate(held))
                     held, size = [], 0
         if held:
-            add()
-        gram = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(counts[gram])], names=["gram", "n"])
+            gram, n = add_counts(gram, n, np.concatenate(held))
+        yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n)], names=["gram", "n"])
 
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     return arrow_pass(text, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -213,7 +225,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for k, text in enumerate(texts):
                 out.append(base_features(text))
                 held.append(gram_codes(text))
-                if k + 1 == len(texts) or sum(map(len, held)) > 2_000_000:
+                if k + 1 == len(texts) or sum(map(len, held)) > SCORE_CODES:
                     ends = np.cumsum([0, *map(len, held)])
                     sums = np.concatenate([[0], np.cumsum(np.rint(known.log_probability(np.concatenate(held)) * PARTS).astype(np.int64))]).tolist()
                     per += [(sums[a] - sums[b]) / PARTS / (b - a) if b > a else None for a, b in zip(ends.tolist(), ends[1:].tolist())]
@@ -223,7 +235,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     scored = arrow_pass(rows, run, f"doc_id long, lang string, t long, {', '.join(f'{n} long' for n in _NAMES)}, log_perplexity double")
-    return materialize(scored.withColumn("base_failed", _base_failed()), "scores")
+    return materialize(scored.withColumn("base_failed", _base_failed()), "scores", BATCH_ROWS)
 
 
 def _bins(scores: DataFrame) -> DataFrame:
